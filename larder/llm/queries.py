@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import decontam, pii, quality
-from larder.llm.common import table
+from larder.llm import bpe, decontam, html, langid, pii, quality, secrets, simhash, substring, tokens
+from larder.llm.common import shared_dir, table
+
+#: The vocabulary file of the token queries, as the installed package of public tokenizers names it.
+VOCABULARY = "byte_bpe_50k.json"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,9 +35,52 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those that are not held out."""
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def vocabulary_path(name: str = VOCABULARY) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document; each call starts with a cache of its own, so every distinct text is encoded."""
+    return tokens.token_counts(table(spark, sf_dir, "documents"), vocabulary_path(), shared_dir(spark, "token-cache"))
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document by prefix dynamic programming, and those ids decoded."""
+    return bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate secret of every document with the forest's verdict."""
+    return secrets.scan_secrets(table(spark, sf_dir, "documents"))
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that repeat an earlier window of 20 words, removed."""
+    found = substring.deduplicate(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_pii": op1_pii, "op2_decontamination": op2_decontamination, "op3_quality": op3_quality}
+    found = [op1_pii, op2_decontamination, op3_quality, op4_html, op5_langid, op6_simhash, op7_token_counts, op8_bpe, op9_secrets, op10_substring_dedup]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": decontam.ORACLE}
+    return {"op2_decontamination": decontam.ORACLE, "op10_substring_dedup": substring.ORACLE}
