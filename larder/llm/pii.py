@@ -28,7 +28,7 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("o", *KINDS)
 #: Hashed feature space of the CRF's node potentials.
 DIM = 4096
-#: Bound on the rows that fit the CRF: texts with candidates, least hash of the text first.
+#: About so many texts with candidates fit the CRF.
 TRAIN_DOCS = 1500
 #: Longest text used for fitting (it is skipped, not cut, beyond that).
 TRAIN_CHARS = 20_000
@@ -261,10 +261,14 @@ def added_spans(model: dict[str, np.ndarray], texts: list[str], spans: list[list
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = TRAIN_DOCS) -> dict[str, np.ndarray]:
-    """Fit the CRF on at most ``max_docs`` texts that hold a digit or an @, those with the least hash."""
-    sample = id_and_text(docs, id_col, text_col).where(F.col("text").rlike("[0-9@]") & (F.length("text") <= TRAIN_CHARS))
-    rows = sample.select("text", F.xxhash64("text").alias("h")).orderBy("h", "text").limit(max_docs).collect()
-    return fit_crf([r.text for r in rows])
+    """Fit the CRF on about ``max_docs`` distinct texts that hold a digit or an @, chosen by their hash.
+
+    Their number is counted first, so that only the sample itself is sent to the driver.
+    """
+    held = id_and_text(docs, id_col, text_col).where(F.col("text").rlike("[0-9@]") & (F.length("text") <= TRAIN_CHARS)).select("text")
+    share = min(1.0, max_docs / max(1, held.count()))
+    rows = held.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share * (1 << 30)).distinct().collect()
+    return fit_crf(sorted(r.text for r in rows))
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: dict[str, np.ndarray] | None = None) -> DataFrame:
