@@ -17,16 +17,16 @@ from larder.functions.vectors import l2_distance
 MACRO = ("energy_kcal", "protein_g", "saturated_fats_g", "fat_g", "carb_g", "fiber_g", "sugar_g")
 
 
-def scaled(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Adds the vector ``scaled`` of the columns, bad values as 0, each to mean 0 and deviation 1."""
+def scaled(df: DataFrame, cols: Sequence[str], center: bool = True) -> DataFrame:
+    """Adds the vector ``scaled`` of the columns, bad values as 0, each to deviation 1 and (with center) mean 0."""
     clean = df.withColumns({c: F.coalesce(F.col(c).cast("string").try_cast("double"), F.lit(0.0)) for c in cols})
     together = VectorAssembler(inputCols=list(cols), outputCol="_raw").transform(clean)
-    return StandardScaler(withMean=True, withStd=True, inputCol="_raw", outputCol="scaled").fit(together).transform(together).drop("_raw")
+    return StandardScaler(withMean=center, withStd=True, inputCol="_raw", outputCol="scaled").fit(together).transform(together).drop("_raw")
 
 
-def _clusters(df: DataFrame, cols: Sequence[str], axes: int, prefix: str, model) -> DataFrame:
+def _clusters(df: DataFrame, cols: Sequence[str], axes: int, prefix: str, model, center: bool = True) -> DataFrame:
     """Projection to ``axes`` columns, a cluster on it and the distance to its centroid."""
-    wide = scaled(df, cols)
+    wide = scaled(df, cols, center)
     low = PCA(k=axes, inputCol="scaled", outputCol="_pca").fit(wide).transform(wide).drop("scaled")
     fitted = model.setFeaturesCol("_pca").setPredictionCol(f"cluster_{prefix}").fit(low)
     out = centroid_distance(fitted.transform(low), fitted.clusterCenters(), "_pca", f"cluster_{prefix}", f"dist_{prefix}_centroid")
@@ -48,8 +48,8 @@ def micro_clusters(df: DataFrame, cols: Sequence[str], axes: int = 2, k: int = 4
 
 
 def total_clusters(df: DataFrame, cols: Sequence[str], axes: int = 2, k: int = 3, seed: int = 42) -> DataFrame:
-    """Clusters from a divisive hierarchy."""
-    return _clusters(df, cols, axes, "total", BisectingKMeans(k=k, seed=seed))
+    """Clusters from a divisive hierarchy. Values are not centred: the first division moves the centre in proportion to its length."""
+    return _clusters(df, cols, axes, "total", BisectingKMeans(k=k, seed=seed), center=False)
 
 
 def cluster_profile(df: DataFrame, cluster: str, cols: Sequence[str]) -> DataFrame:

@@ -13,6 +13,7 @@ from larder.operators import nutrition as recipes
 from larder.plans.stand_ins import base, stand_in, with_stand_ins
 from larder.schemas import NUTRIENTS, NUTRITION_ARRAY
 from larder.sources import io
+from larder.sources.workdir import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -507,6 +508,18 @@ def daily_kpi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("day"), "result_rows", _r("avg_minutes").alias("avg_minutes"))
 
 
+@query("SELECT CAST(time_bucket(INTERVAL 1 DAY, ts) AS VARCHAR) AS day, count(*) AS result_rows, round(avg(value), 6) AS avg_value FROM events GROUP BY time_bucket(INTERVAL 1 DAY, ts) HAVING time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)")
+def streamed_daily_kpi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream over all events into windows; those that the watermark closed."""
+    from larder.streaming.jobs import windowed_kpi, write_windows
+
+    path = f"{sf_dir}/events.parquet"
+    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path).select(F.col("ts").cast("timestamp").alias("ts"), "value")
+    out = shared_dir(spark, "stream")
+    write_windows(windowed_kpi(events, "ts", value="value"), f"{out}/rows", f"{out}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{out}/rows").select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("day"), "result_rows", _r("avg_value").alias("avg_value"))
+
+
 # ---- evaluation -------------------------------------------------------------------------------
 
 KS = (1, 3, 5, 10, 20)

@@ -6,6 +6,7 @@ messages come from events and conversations. Every table is a rule over whole ta
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,9 @@ from larder.schemas import NUTRIENTS
 
 BASE = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
-_nutrients = ", ".join(f"CASE WHEN (p_partkey + {i}) % 13 = 0 THEN NULL ELSE CAST((p_partkey * {i + 3}) % 97 AS DOUBLE) * {scale} END AS {n}" for i, (n, scale) in enumerate(zip(NUTRIENTS, (5.1739271, 0.6172839, 0.3141592, 0.5318307, 0.9271828, 0.4142135, 0.8173205, 25.2360679, 11.4494897, 0.2645751, 40.3166247, 1.1180339, 4.1231056), strict=True)))
+#: Factors with many digits, so that no result lies on a border of rounding.
+SCALES = [math.sqrt(x) for x in (27, 0.38, 0.1, 0.28, 0.86, 0.17, 0.67, 637, 131, 0.07, 1625, 1.25, 17)]
+_nutrients = ", ".join(f"CASE WHEN (p_partkey + {i}) % 13 = 0 THEN NULL ELSE CAST((p_partkey * {i + 3}) % 97 AS DOUBLE) * {scale} END AS {n}" for i, (n, scale) in enumerate(zip(NUTRIENTS, SCALES, strict=True)))
 
 #: name: (tables it reads, SELECT)
 STAND_INS: dict[str, str] = {
