@@ -392,18 +392,19 @@ def kpi_user_week(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _kpi(spark, sf_dir, "7d", "7")
 
 
-_TAGS = F.from_json(F.get_json_object("raw_recipe_json", "$.tags"), "array<string>")
+def _tags():
+    return F.from_json(F.get_json_object("raw_recipe_json", "$.tags"), "array<string>")
 
 
 @query("SELECT value, count(*) AS n FROM (SELECT unnest(CAST(json_extract(raw_recipe_json, '$.tags') AS VARCHAR[])) AS value FROM search_log) WHERE value NOT IN ('time-to-make', 'preparation', 'course') GROUP BY value ORDER BY n DESC, value LIMIT 5", "search_log")
 def top_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five most frequent tags of results."""
-    return logs.top_k_exploded(_log(spark, sf_dir)[0], _TAGS, 5, logs.NOISE_TAGS)
+    return logs.top_k_exploded(_log(spark, sf_dir)[0], _tags(), 5, logs.NOISE_TAGS)
 
 
 @query("SELECT count(DISTINCT value) AS diversity FROM (SELECT unnest(CAST(json_extract(raw_recipe_json, '$.tags') AS VARCHAR[])) AS value FROM search_log)", "search_log")
 def tag_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return logs.diversity(_log(spark, sf_dir)[0], _TAGS)
+    return logs.diversity(_log(spark, sf_dir)[0], _tags())
 
 
 @query("WITH d AS (SELECT DISTINCT name, minutes AS score FROM search_log) SELECT 'best' AS side, * FROM (SELECT * FROM d ORDER BY score DESC, name LIMIT 5) UNION ALL SELECT 'worst', * FROM (SELECT * FROM d ORDER BY score, name LIMIT 5)", "search_log")
@@ -513,8 +514,8 @@ def streamed_daily_kpi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream over all events into windows; those that the watermark closed."""
     from larder.streaming.jobs import windowed_kpi, write_windows
 
-    path = f"{sf_dir}/events.parquet"
-    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path).select(F.col("ts").cast("timestamp").alias("ts"), "value")
+    schema = base(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).select(F.col("ts").cast("timestamp").alias("ts"), "value")
     out = shared_dir(spark, "stream")
     write_windows(windowed_kpi(events, "ts", value="value"), f"{out}/rows", f"{out}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{out}/rows").select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("day"), "result_rows", _r("avg_value").alias("avg_value"))

@@ -12,8 +12,12 @@ NUTRIENTS = ("energy_kcal", "protein_g", "saturated_fats_g", "fat_g", "carb_g",
 NUTRITION_ARRAY = ("calories", "total_fat", "sugar", "sodium", "protein", "saturated_fat", "carbs")
 
 
+_TYPES = {"BIGINT": T.LongType(), "INT": T.IntegerType(), "DOUBLE": T.DoubleType(), "STRING": T.StringType(), "BOOLEAN": T.BooleanType(), "DATE": T.DateType(), "TIMESTAMP_NTZ": T.TimestampNTZType(), "ARRAY<STRING>": T.ArrayType(T.StringType()), "ARRAY<DOUBLE>": T.ArrayType(T.DoubleType())}
+
+
 def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
+    """A schema from "name TYPE, ..."; needs no running session."""
+    return T.StructType([T.StructField(n, _TYPES[t]) for n, t in (x.split(" ") for x in spec.split(", "))])
 
 
 RECIPES_RAW = _struct("id BIGINT, name STRING, minutes BIGINT, contributor_id BIGINT, submitted DATE, tags ARRAY<STRING>, nutrition ARRAY<DOUBLE>, n_steps BIGINT, steps ARRAY<STRING>, description STRING, ingredients ARRAY<STRING>, n_ingredients BIGINT, filters ARRAY<STRING>")
