@@ -143,7 +143,7 @@ class Graph:
                 last[key] = node
 
     def arrays(self) -> tuple[np.ndarray, np.ndarray]:
-        return np.array(self.features, dtype=np.int64).reshape(len(self.token), -1), np.array(self.edges, dtype=np.int64).reshape(-1, 3)
+        return np.array(self.features, dtype=np.int64).reshape(len(self.token), -1 if self.token else 0), np.array(self.edges, dtype=np.int64).reshape(-1, 3)
 
 
 def base_labels(graph: Graph, spans: list[list[tuple[int, int, int]]]) -> np.ndarray:
