@@ -2,10 +2,10 @@
 
 Every distinct 64-bit fingerprint is cut into two segments. If two fingerprints differ in at most
 two bits, one of the segments differs in at most one, so the two share a variant of that segment
-in which one bit is a wildcard. Variants are joined by equality and pairs verified.
+in which one bit is a wildcard. Variants are joined by equality (sorted by variant, equal ones stand
+together) and pairs verified.
 
-A bucket of two gives its pair straight from an aggregate; small buckets are joined with
-themselves and verified. Fingerprints in larger buckets (families of near copies) take another,
+Only small buckets give pairs. Fingerprints in larger buckets (families of near copies) take another,
 exact way with no pairs: each is listed under itself and its 64 one-bit neighbours; such a list
 has 65 members at most, all within two bits of each other, so linking each member to the least
 one loses no link. Components come from alternating large and small star steps, each written
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.llm.common import ASCII_LOWER, TO_SPACE, materialize, pieces
@@ -70,10 +70,6 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("digest"), text.alias("text")).mapInArrow(scan, "doc_id bigint, digest bigint, fp bigint")
 
 
-def _differ(a: str, b: str) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
-
-
 def variants(fps: DataFrame) -> DataFrame:
     """fp under 64 keys: segment number and wildcard place above, the segment without that bit below."""
     spread = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i"))
@@ -86,19 +82,67 @@ def neighbours(fps: DataFrame) -> DataFrame:
     return fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(64))).alias("i")).select("fp", F.expr("CASE WHEN i = 64 THEN fp ELSE fp ^ shiftleft(1L, i) END").alias("near"))
 
 
+def _joined(keyed: DataFrame, max_bucket: int) -> DataFrame:
+    """u, v: verified pairs (u > v) of buckets of up to ``max_bucket``; each member of a larger bucket as u = v.
+
+    Rows come sorted by key; a bucket that goes on in the next batch waits for it, up to max_bucket rows.
+    """
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def out(u: list[np.ndarray], v: list[np.ndarray]) -> pa.RecordBatch:
+        empty = np.zeros(0, dtype=np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([empty, *u])), pa.array(np.concatenate([empty, *v]))], schema=schema)
+
+    def complete(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        """Pairs and large members of buckets that are all there."""
+        if not len(key):
+            return out([], [])
+        starts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+        size = np.repeat(np.diff(starts), np.diff(starts))
+        large = fp[size > max_bucket]
+        u, v = [large], [large]
+        for d in range(1, max_bucket):
+            at = np.flatnonzero((key[d:] == key[:-d]) & (size[d:] <= max_bucket))
+            if not len(at):
+                break
+            a, b = fp[at], fp[at + d]
+            near = np.bitwise_count((a ^ b).view(np.uint64)) <= DISTANCE
+            u.append(np.maximum(a, b)[near])
+            v.append(np.minimum(a, b)[near])
+        return out(u, v)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = fp = np.zeros(0, dtype=np.int64)
+        over: int | None = None  # the key of a large bucket whose members go out as they come
+        for batch in batches:
+            key = np.concatenate([key, batch.column(0).to_numpy()])
+            fp = np.concatenate([fp, batch.column(1).to_numpy()])
+            if over is not None:
+                n = int(np.searchsorted(key != over, True)) if (key != over).any() else len(key)
+                yield out([fp[:n]], [fp[:n]])
+                key, fp = key[n:], fp[n:]
+            if not len(key):
+                continue
+            cut = int(np.flatnonzero(key != key[-1])[-1]) + 1 if (key != key[-1]).any() else 0
+            yield complete(key[:cut], fp[:cut])
+            key, fp, over = key[cut:], fp[cut:], None
+            if len(key) > max_bucket:
+                over = int(key[-1])
+                yield out([fp], [fp])
+                key, fp = key[:0], fp[:0]
+        yield complete(key, fp)
+
+    return keyed.repartition("key").sortWithinPartitions("key").select("key", "fp").mapInArrow(scan, "u bigint, v bigint")
+
+
 def links(fps: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
     """Edges u > v between distinct fingerprints at DISTANCE or less, enough to connect all that are linked."""
-    keyed = variants(fps)
-    buckets = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("n > 1"), "buckets")
-    twos = buckets.where("n = 2").where(_differ("lo", "hi") <= DISTANCE).select(F.col("hi").alias("u"), F.col("lo").alias("v")).distinct()
-    members = materialize(keyed.join(buckets.where("n > 2").select("key", "n"), "key"), "members")
-    small = members.where(F.col("n") <= max_bucket)
-    pairs = small.select("key", F.col("fp").alias("u")).join(small.select("key", F.col("fp").alias("v")), "key").where("u > v").where(_differ("u", "v") <= DISTANCE).select("u", "v").distinct()
-    large = members.where(F.col("n") > max_bucket).select("fp").distinct()
-    near = neighbours(large)
-    least = near.groupBy("near").agg(F.min("fp").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").select("near", "v")
-    stars = near.join(least, "near").where("fp > v").where(_differ("fp", "v") <= DISTANCE).select(F.col("fp").alias("u"), "v").distinct()
-    return twos.unionByName(pairs).unionByName(stars).distinct()
+    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = materialize(_joined(variants(fps.repartition(n)), max_bucket).distinct(), "pairs")
+    large = found.where("u = v").select(F.col("u").alias("fp"))
+    lists = neighbours(large).groupBy("near").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
+    stars = lists.select(F.explode("fps").alias("u"), F.array_min("fps").alias("v")).where("u > v")
+    return found.where("u > v").unionByName(stars).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
