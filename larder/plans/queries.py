@@ -667,6 +667,61 @@ def transformed_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return swapped.join(fewer, "id").join(steps, "id")
 
 
+_EDITED = f"""{_FILLED}, {_BEST}, ed AS (SELECT id, list_sort(list(DISTINCT ingredients)) AS l FROM quantity GROUP BY id),
+ln AS (SELECT 'all' AS variant, id, unnest(l) AS ingredients FROM ed UNION ALL SELECT 'fewer', id, unnest(l[2:]) FROM ed),
+qq AS (SELECT id, ingredients, sum(qty_g) AS qty_g FROM quantity GROUP BY 1, 2),
+jn AS (SELECT ln.variant, ln.id, qq.qty_g, w.total_weight, {', '.join(f'b.{n}' for n in NUTRIENTS)}, sum(coalesce(qq.qty_g, 0.0)) OVER v AS known, count(*) FILTER (WHERE qq.qty_g IS NULL) OVER v AS unknown
+  FROM ln LEFT JOIN qq USING (id, ingredients) LEFT JOIN w USING (id) LEFT JOIN best b ON b.id = ln.id AND b.ingredients = ln.ingredients WINDOW v AS (PARTITION BY ln.variant, ln.id)),
+fl AS (SELECT *, CASE WHEN qty_g IS NOT NULL THEN qty_g WHEN total_weight IS NULL THEN NULL ELSE greatest(total_weight - known, 0.0) / unknown * 0.5 END AS filled FROM jn),
+ts AS (SELECT variant, id, greatest(max(total_weight), max(known)) AS weight, {', '.join(f'sum(coalesce(filled, 0.0) * coalesce({n}, 0.0) / 100.0) AS {n}' for n in NUTRIENTS)} FROM fl GROUP BY 1, 2),
+pr AS (SELECT variant, id, {', '.join(f'CASE WHEN weight > 0 THEN {n} / weight * 100.0 END AS {n}' for n in NUTRIENTS)} FROM ts),
+wi AS (SELECT variant, id, energy_kcal, {index_sql(lambda n: f'coalesce({n}, 0.0)')} AS score_sante FROM pr)"""
+
+
+def _what_if(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = lambda n: stand_in(spark, sf_dir, n)
+    lists = s("quantity").groupBy("id").agg(F.array_sort(F.collect_set("ingredients")).alias("l"))
+    edited = lists.select(F.lit("all").alias("variant"), "id", F.col("l").alias("ingredients")).unionByName(lists.select(F.lit("fewer").alias("variant"), "id", F.slice("l", F.lit(2), F.size("l")).alias("ingredients")))
+    return recipes.what_if_nutrition(edited, s("quantity"), s("recipes"), s("matching"), recipes.ingredient_health(s("ingredients")))
+
+
+@query(f"WITH {_EDITED} SELECT variant, id, round(energy_kcal, 4) AS energy_kcal, round(score_sante, 6) AS score_sante FROM wi", "recipes", "quantity", "ingredients", "matching")
+def what_if_nutrition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every recipe as it is, and without its first ingredient."""
+    return _what_if(spark, sf_dir).select("variant", "id", _r("energy_kcal", 4).alias("energy_kcal"), _r("score_sante").alias("score_sante"))
+
+
+@query(f"WITH {_EDITED} SELECT id, variant AS candidate FROM wi QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(score_sante, 6) DESC NULLS LAST, CASE variant WHEN 'all' THEN 1 ELSE 2 END) = 1", "recipes", "quantity", "ingredients", "matching")
+def judged_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The variant of the higher index for every recipe."""
+    scored = _what_if(spark, sf_dir).select("id", F.lit("recipe").alias("target"), F.col("variant").alias("candidate"), F.when(F.col("variant") == "all", 1).otherwise(2).alias("rank"), _r("score_sante").alias("score_sante"))
+    return substitute.judge_substitutes(scored).select("id", "candidate")
+
+
+@query("SELECT DISTINCT i.ndb_no, i.descrip, m.ingredient FROM ingredients i FULL JOIN (SELECT DISTINCT ingredient, ndb_no FROM matching) m USING (ndb_no) WHERE contains(lower(i.descrip), 'red') OR contains(lower(m.ingredient), '77')", "ingredients", "matching")
+def match_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full outer join of nutrients and matches where either name holds a text."""
+    pairs = stand_in(spark, sf_dir, "matching").select("ingredient", "ndb_no").distinct()
+    both = stand_in(spark, sf_dir, "ingredients").select("ndb_no", "descrip").join(pairs.withColumnRenamed("ndb_no", "m_ndb"), F.col("ndb_no") == F.col("m_ndb"), "full_outer")
+    return both.where(F.contains(F.lower("descrip"), F.lit("red")) | F.contains(F.lower("ingredient"), F.lit("77"))).select("ndb_no", "descrip", "ingredient").distinct()
+
+
+@query("SELECT (SELECT count(*) FROM (SELECT vec_id FROM embeddings UNION SELECT doc_id FROM documents)) AS either, (SELECT count(*) FROM (SELECT vec_id FROM embeddings INTERSECT SELECT doc_id FROM labels)) AS judged, (SELECT count(*) FROM (SELECT doc_id FROM documents EXCEPT SELECT vec_id FROM embeddings)) AS without_vector")
+def id_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Union, intersection and difference of id sets, counted."""
+    ids = lambda t, c: base(spark, sf_dir, t).select(F.col(c).alias("id"))
+    v, d, j = ids("embeddings", "vec_id"), ids("documents", "doc_id"), ids("labels", "doc_id")
+    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    return n(v.union(d).distinct(), "either").crossJoin(n(v.intersect(j), "judged")).crossJoin(n(d.distinct().join(v, "id", "left_anti"), "without_vector"))
+
+
+@query("SELECT query, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id % 3, doc_id) AS docs FROM judgments GROUP BY query", "judgments")
+def merged_judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judgments of three parts joined per query."""
+    parts = stand_in(spark, sf_dir, "judgments").groupBy("query", (F.col("doc_id") % 3).alias("part")).agg(F.array_sort(F.collect_list("doc_id")).alias("judgments"))
+    return ireval.merge_judgments(parts).select("query", F.array_join(F.transform("judgments", lambda x: x.cast("string")), ",").alias("docs"))
+
+
 # ---- models: no SQL twin ----------------------------------------------------------------------
 
 

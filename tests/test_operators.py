@@ -200,3 +200,15 @@ def test_encoder_keeps_nulls(spark):
     df = spark.createDataFrame([("ab",), (None,), ("",)], "t string")
     got = [r.embedding for r in search.embed(df.coalesce(1), "t", lambda: lambda ts: np.array([[len(t), 1.0] for t in ts])).collect()]
     assert got == [[2.0, 1.0], None, [0.0, 1.0]]
+
+
+def test_transform_response_and_log(spark):
+    cols = "id int, name string, score_sante double, " + ", ".join(f"{n} double" for n in NUTRIENTS)
+    before = spark.createDataFrame([(i, n, s, *(float(x) for x in range(13))) for i, n, s in ((1, "a", 1.0), (2, "b", 2.0))], cols)
+    after = before.where("id = 1").withColumn("name", F.lit("a2"))
+    rows = {r.id: r for r in substitute.transform_response(before, after, "done").collect()}
+    assert rows[1].success and rows[1].transformed_name == "a2" and not rows[2].success and rows[2].nutrition_after is None
+    response = '{"original_name":"a","recipe":{"name":"b"},"success":true,"message":"m","nutrition_before":{"calories":5},"nutrition_after":{"calories":4}}'
+    log = logs.log_transformation(spark.createDataFrame([("c", "u", datetime.datetime(2024, 1, 1), response), ("c", "u", datetime.datetime(2024, 1, 1), "broken")], "conversation_id string, user_id string, ts timestamp, response string")).collect()
+    assert (log[0].original_name, log[0].transformed_name, log[0].success) == ("a", "b", True) and log[1].success is None
+    assert logs.conversation_stats(spark.createDataFrame([("c",)], "conversation_id string"), spark.createDataFrame(log[:1]), ("calories",)).first().delta_calories == -1.0
