@@ -1,7 +1,7 @@
 """Ingredient substitution as joins and windows over many recipes at once.
 
-The catalogue of ingredients is small by nature; it is broadcast only after its rows are counted
-against ``BROADCAST_CATALOGUE``, and joined through a key otherwise.
+Names and targets are query sets, compared with every row of the catalogue. They are counted and
+broadcast in blocks of at most ``BLOCK`` rows; the catalogue stays where it is.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from larder.functions.text import description_flags
 from larder.functions.vectors import l2_distance
 from larder.schemas import NUTRIENTS
 
-BROADCAST_CATALOGUE = 20_000
+BLOCK = 2_000
 #: Nutrient and order of preference of each goal of an addition.
 ADD_GOALS = {"increase_protein": "protein_g", "decrease_protein": "protein_g", "increase_fiber": "fiber_g", "decrease_sugar": "sugar_g", "decrease_carbs": "carb_g", "decrease_calories": "energy_kcal", "decrease_sodium": "sodium_mg", "decrease_satfat": "saturated_fats_g"}
 #: Nutrient and sign of each goal of a removal.
@@ -80,10 +80,16 @@ def infer_role() -> Column:
     )
 
 
-def _catalogue_side(df: DataFrame) -> DataFrame:
-    if df.limit(BROADCAST_CATALOGUE + 1).count() > BROADCAST_CATALOGUE:
-        raise ValueError(f"the catalogue has more than {BROADCAST_CATALOGUE} rows; filter it first")
-    return F.broadcast(df)
+def against(rows: DataFrame, queries: DataFrame, key: str, block: int = BLOCK) -> DataFrame:
+    """Every row beside every query, the queries broadcast in blocks of about ``block`` by a hash of their key."""
+    blocks = -(-queries.count() // block)
+    if blocks <= 1:
+        return rows.crossJoin(F.broadcast(queries))
+    out = None
+    for b in range(2 * blocks):  # twice as many, so that an uneven hash stays near the bound
+        part = rows.crossJoin(F.broadcast(queries.where(F.pmod(F.xxhash64(key), F.lit(2 * blocks)) == b)))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def match_ingredients(names: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -95,7 +101,7 @@ def match_ingredients(names: DataFrame, candidates: DataFrame) -> DataFrame:
     side = candidates.select("ndb_no", "descrip", F.lower(F.trim("descrip")).alias("low"))
     exact = F.col("low") == F.col("key")
     partial = F.contains(F.col("low"), F.col("key")) | F.exists("parts", lambda p: F.contains(F.col("low"), p))
-    pairs = wanted.crossJoin(_catalogue_side(side)).where(exact | partial).withColumn("priority", F.when(exact, 0).otherwise(1))
+    pairs = against(side, wanted, "key").where(exact | partial).withColumn("priority", F.when(exact, 0).otherwise(1))
     first = pairs.withColumn("rn", F.row_number().over(Window.partitionBy("key").orderBy("priority", "descrip", "ndb_no"))).where("rn = 1")
     return names.withColumn("key", F.lower(F.trim("name"))).join(first.select("key", "ndb_no", "descrip"), "key", "left").drop("key")
 
@@ -106,12 +112,12 @@ def substitutes(targets: DataFrame, catalogue: DataFrame, constraints: Constrain
     A target is the first catalogue row (by ndb_no) whose description holds its name. ``catalogue``: ndb_no,
     descrip, macro and micro (arrays of axes) and the diet flags. First k, then the first-word rule, so fewer than k may stay.
     """
-    side = _catalogue_side(catalogue.select("ndb_no", "descrip", "macro", "micro", meets_diet(constraints).alias("fits")))
+    side = catalogue.select("ndb_no", "descrip", "macro", "micro", meets_diet(constraints).alias("fits"))
     wanted = targets.select("target").distinct()
     holds = F.contains(F.lower("descrip"), F.lower(F.trim("target")))
-    found = wanted.crossJoin(side).where(holds).withColumn("rn", F.row_number().over(Window.partitionBy("target").orderBy("ndb_no"))).where("rn = 1")
+    found = against(side, wanted, "target").where(holds).withColumn("rn", F.row_number().over(Window.partitionBy("target").orderBy("ndb_no"))).where("rn = 1")
     origin = found.select("target", F.col("ndb_no").alias("own"), F.col("macro").alias("macro0"), F.col("micro").alias("micro0"))
-    near = origin.crossJoin(side).where("fits and ndb_no != own").withColumn("distance", w_macro * l2_distance(F.col("macro"), F.col("macro0")) + w_micro * l2_distance(F.col("micro"), F.col("micro0")))
+    near = against(side.where("fits"), origin, "target").where("ndb_no != own").withColumn("distance", w_macro * l2_distance(F.col("macro"), F.col("macro0")) + w_micro * l2_distance(F.col("micro"), F.col("micro0")))
     best = near.withColumn("rank", F.row_number().over(Window.partitionBy("target").orderBy("distance", "ndb_no"))).where(F.col("rank") <= k)
     word = lambda c: F.regexp_extract(F.lower(F.trim(c)), r"^\S+", 0)
     return best.where(~F.startswith(F.lower("descrip"), word("target"))).select("target", "ndb_no", "descrip", "distance", "rank")

@@ -473,7 +473,7 @@ def conversation_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 c AS (SELECT run_id, call, arg_max(json_extract_string(tool_input, '$.query'), seq) AS query, max(seq) AS asked FROM k WHERE type = 'tool_use' GROUP BY 1, 2),
 r AS (SELECT run_id, call, arg_max(seq % 3, seq) AS kind, max(seq) AS seq FROM k WHERE type = 'tool_result' GROUP BY 1, 2),
 b AS (SELECT run_id, query, asked, r.kind, r.seq, coalesce(r.kind < 2, false) AS hit FROM c LEFT JOIN r USING (run_id, call) QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY coalesce(r.kind < 2, false) DESC, asked DESC) = 1)
-SELECT run_id, query, CASE WHEN NOT hit THEN NULL WHEN kind = 0 AND seq <> seq % 9 THEN CAST(seq AS VARCHAR) || ',' || CAST(seq % 9 AS VARCHAR) ELSE CAST(seq AS VARCHAR) END AS ids, CASE WHEN NOT hit THEN NULL WHEN kind = 0 THEN 77 ELSE 1 END AS total_found FROM b""", "agent_events")
+SELECT run_id, query, CASE WHEN NOT hit THEN NULL WHEN kind = 0 AND seq <> seq % 9 THEN CAST(seq AS VARCHAR) || ',' || CAST(seq % 9 AS VARCHAR) ELSE CAST(seq AS VARCHAR) END AS ids, CAST(CASE WHEN NOT hit THEN NULL WHEN kind = 0 THEN 77 ELSE 1 END AS BIGINT) AS total_found FROM b""", "agent_events")
 def event_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = logs.event_metadata(stand_in(spark, sf_dir, "agent_events"))
     return got.select("run_id", "query", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"), "total_found")
