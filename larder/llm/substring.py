@@ -1,20 +1,23 @@
 """Operator 10: exact substring deduplication with super-k-mer partitioning.
 
 A window is 20 consecutive words of a document; its minimiser is the least hash among its runs of
-four words. Consecutive windows that share a minimiser travel as one packed string (compressed
-with a shared dictionary, so equal strings stay equal) to the minimiser's bucket. There rows are
-sorted by (bucket, document, start) and every window that was met before in that order is
-removed; comparison is by the words themselves, so counts are exact. The removed windows
-are gathered per document and joined back to its text.
+a few words. Consecutive windows that share a minimiser travel together to the minimiser's bucket,
+in two rounds. First only (minimiser, place) travels, and sorting finds the minimisers that
+occur twice; a window whose minimiser occurs once in the corpus has no equal. Then the
+super-k-mers of those travel as one packed string each (compressed with a shared dictionary, so equal
+strings stay equal). There rows are sorted by (bucket, document, start) and every window that was met
+before in that order is removed; comparison is by the words themselves, so counts are exact. The
+removed windows are gathered per document and joined back to its text.
 
 Hot buckets: a sample of documents names the minimisers that are very frequent (it decides how
-rows travel, never what is removed). Their windows travel one by one to the bucket of
-their whole content, and each task first keeps only the earliest of equal windows, so that a passage
-found in a third of all documents reaches its bucket once per task.
+rows travel, never what is removed). They skip the first round. Their windows travel one by one to the
+bucket of their whole content, and each task first keeps only the earliest of equal windows, so that a
+passage found in a third of all documents reaches its bucket once per task.
 
 Defined results: null or empty text has no words; fewer than 20 words make no window; a null
 doc_id comes before every other; rows with the same doc_id count as one document, and equal windows
-that start at the same place of it remove neither; other columns are ignored.
+that start at the same place of it remove neither (rows that share an id are told apart by 24 bits of
+their text's hash); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,12 +36,14 @@ from larder.llm.common import pieces, words_of
 
 WINDOW, RUN = 20, 4
 #: One in so many documents is looked at for frequent minimisers; those met so often in it are hot, at most so many.
-SAMPLE_ONE_IN, HOT_COUNT, HOT_MOST = 64, 32, 100_000
+SAMPLE_ONE_IN, HOT_COUNT, HOT_MOST = 64, 256, 100_000
 #: Documents, and characters of each, that train the dictionary of the packed strings; size of the dictionary.
 DICT_DOCS, DICT_CHARS, DICT_BYTES = 400, 4_000, 65_536
 #: Hot windows that a task holds at most before it sends them on.
 HELD = 50_000
 NONE = -(2**63)
+#: A super-k-mer's place in 64 bits: 24 of the text's hash, 27 of the first window, 12 of the number of windows, and whether it travels on in any case.
+TAG, FIRST, COUNT = 1 << 24, 1 << 27, 1 << 12
 
 
 class _Hashes(dict):
@@ -81,7 +86,7 @@ def super_kmers(words: list[str], window: int = WINDOW, run: int = RUN) -> list[
     code = run_hashes(words, run)
     m = sliding_min(code, window - run + 1)
     cuts = np.concatenate([[0], np.flatnonzero(m[1:] != m[:-1]) + 1, [len(m)]])
-    spans = list(zip(m[cuts[:-1]].tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+    spans = [(k, c, min(c + COUNT - 1, b)) for k, a, b in zip(m[cuts[:-1]].tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) for c in range(a, b, COUNT - 1)]
     if len(np.unique(code)) == len(code):
         return [(*x, False) for x in spans]
     return [(k, a, b, int(np.count_nonzero(code[a : b + window - run] == k)) > 1) for k, a, b in spans]
@@ -105,31 +110,93 @@ def train_dictionary(texts: list[str]) -> bytes:
         return b""
 
 
-def _hot(df: DataFrame, one_in: int, count: int) -> frozenset[int]:
+def _packed(df: DataFrame, dictionary: bytes) -> DataFrame:
+    """doc_id, tag, body: the text packed, as it travels to a join."""
+    schema = pa.schema([("doc_id", pa.int64()), ("tag", pa.int32()), ("body", pa.binary())])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = Packer(dictionary).pack
+        for piece in pieces(batches):
+            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array([pack(t.encode()) for t in piece.column(2).to_pylist()], pa.binary())], schema=schema)
+
+    return df.mapInArrow(scan, "doc_id bigint, tag int, body binary")
+
+
+def _hot(df: DataFrame, window: int, run: int, one_in: int, count: int) -> frozenset[int]:
     """Minimisers met ``count`` times or more in a sample of documents; HOT_MOST at most, the most frequent."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
-            found = [m for t in piece.column(2).to_pylist() for m, *_ in super_kmers(words_of(t))]
+            found = [m for t in piece.column(2).to_pylist() for m, *_ in super_kmers(words_of(t), window, run)]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["m"])
 
-    sample = df.where(F.pmod(F.xxhash64("doc_id", "digest"), F.lit(one_in)) == 0).mapInArrow(scan, "m bigint")
+    sample = df.where(F.pmod(F.xxhash64("doc_id", "tag"), F.lit(one_in)) == 0).mapInArrow(scan, "m bigint")
     often = sample.groupBy("m").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= count)
     return frozenset(r.m for r in often.orderBy(F.desc("n"), "m").limit(HOT_MOST).select("m").collect())
 
 
-_ROW = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("digest", pa.int64()), ("start", pa.int32()), ("packed", pa.binary())])
+def _places(df: DataFrame, hot: frozenset[int], window: int, run: int) -> DataFrame:
+    """key, doc_id, place of every super-k-mer; hot ones under a key that spreads them, marked to travel on."""
+    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int64())])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches):
+            keys, docs, places = [], [], []
+            for doc, tag, text in zip(*(piece.column(i).to_pylist() for i in range(3)), strict=True):
+                for m, first, over, again in super_kmers(words_of(text), window, run):
+                    known = m in hot
+                    keys.append(m ^ (doc * 0x9E3779B1 + first) % 2**62 if known else m)
+                    docs.append(doc)
+                    places.append((((tag * FIRST + first) * COUNT + over - first) * 2 + (known or again)) - 2**63)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(docs, pa.int64()), pa.array(places, pa.int64())], schema=schema)
+
+    return df.mapInArrow(scan, "key bigint, doc_id bigint, place bigint")
+
+
+def _shared(places: DataFrame) -> DataFrame:
+    """doc_id, tag, span (first window and number of windows) of super-k-mers whose minimiser occurs twice, or that travel on in any case."""
+    schema = pa.schema([("doc_id", pa.int64()), ("place", pa.int64())])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the last row waits for the next batch, which tells whether its key goes on; `tied`: whether it equals the one before it
+        last: tuple[int, int, int] | None = None
+        tied = False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, doc, place = (batch.column(i).to_numpy() for i in range(3))
+            if last is not None:
+                key, doc, place = (np.concatenate([[x], c]) for x, c in zip(last, (key, doc, place), strict=True))
+            same = key[1:] == key[:-1]
+            keep = np.concatenate([[tied if last is not None else False], same]) | np.concatenate([same, [False]]) | ((place & 1) == 1)
+            tied, last = bool(len(same) and same[-1]) if len(key) > 1 else tied, (int(key[-1]), int(doc[-1]), int(place[-1]))
+            keep = keep[:-1]
+            yield pa.RecordBatch.from_arrays([pa.array(doc[:-1][keep]), pa.array(place[:-1][keep])], schema=schema)
+        if last is not None and (tied or last[2] & 1):
+            yield pa.RecordBatch.from_arrays([pa.array([last[1]], pa.int64()), pa.array([last[2]], pa.int64())], schema=schema)
+
+    found = places.repartition("key").sortWithinPartitions("key").mapInArrow(scan, "doc_id bigint, place bigint")
+    bits = F.expr("place ^ (-9223372036854775807L - 1L)")  # the place without the sign that made it signed
+    return found.select("doc_id", F.shiftrightunsigned(bits, 40).cast("int").alias("tag"), F.shiftrightunsigned(bits, 1).bitwiseAND(F.lit(FIRST * COUNT - 1)).alias("span"))
+
+
+_ROW = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("tag", pa.int32()), ("start", pa.int32()), ("packed", pa.binary())])
 
 
 def _travelling(df: DataFrame, hot: frozenset[int], dictionary: bytes, window: int, run: int) -> DataFrame:
-    """Super-k-mers, hot windows, and (packed null) hot windows known to be removed already."""
+    """The packed super-k-mers at the spans of each document, hot windows, and (packed null) windows known to be removed already.
+
+    ``df``: doc_id, tag, body, spans.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = Packer(dictionary).pack
+        packer = Packer(dictionary)
+        pack, unpack = packer.pack, packer.unpack
         held: dict[str, tuple[int, int, int]] = {}
+        of_content = lambda w: xxhash.xxh64_intdigest(w.encode(), 9) - 2**63
 
         def sent() -> list[tuple]:
-            rows = [(xxhash.xxh64_intdigest(w.encode(), 9) - 2**63, d, g, s, pack(w.encode())) for w, (d, s, g) in held.items()]
+            rows = [(of_content(w), d, g, s, pack(w.encode())) for w, (d, s, g) in held.items()]
             held.clear()
             return rows
 
@@ -137,67 +204,71 @@ def _travelling(df: DataFrame, hot: frozenset[int], dictionary: bytes, window: i
             cols = zip(*rows, strict=True) if rows else [()] * 5
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _ROW, strict=True)], schema=_ROW)
 
-        for piece in pieces(batches):
+        for piece in pieces(batches, limit=1_000_000, rows=500, text="body"):
             rows: list[tuple] = []
-            for doc, digest, text in zip(*(piece.column(i).to_pylist() for i in range(3)), strict=True):
-                words = words_of(text)
-                if len(words) < window:
-                    continue
+            for doc, tag, body, spans in zip(*(piece.column(i).to_pylist() for i in range(4)), strict=True):
+                words = words_of(unpack(body).decode())
                 whole = " ".join(words)
                 at = [0, *accumulate(len(w) + 1 for w in words)]
-                for m, first, over, again in super_kmers(words, window, run):
+                code = run_hashes(words, run)
+                for span in spans:
+                    first, n = divmod(span, COUNT)
+                    over = first + n
+                    m = int(code[first : first + window - run + 1].min())
+                    inside: set[str] = set()
                     if m not in hot:
-                        if again:  # windows may repeat inside the string: those are known to be removed
-                            inside: set[str] = set()
+                        if n > 1 and np.count_nonzero(code[first : over + window - run] == m) > 1:
+                            # windows may repeat inside the string: those are known to be removed
                             for s in range(first, over):
                                 w = whole[at[s] : at[s + window] - 1]
                                 if w in inside:
-                                    rows.append((doc ^ s * 0x9E3779B1, doc, digest, s, None))
+                                    rows.append((doc ^ s * 0x9E3779B1, doc, tag, s, None))
                                 inside.add(w)
-                        rows.append((m, doc, digest, first, pack(whole[at[first] : at[over + window - 1] - 1].encode())))
+                        rows.append((m, doc, tag, first, pack(whole[at[first] : at[over + window - 1] - 1].encode())))
                         continue
                     for s in range(first, over):
-                        w, mine = whole[at[s] : at[s + window] - 1], (doc, s, digest)
+                        w, mine = whole[at[s] : at[s + window] - 1], (doc, s, tag)
                         other = held.setdefault(w, mine)
                         if other is mine:
                             continue
                         if other[:2] == mine[:2]:  # rows that share a doc_id: neither is earlier
-                            rows.append((xxhash.xxh64_intdigest(w.encode(), 9) - 2**63, doc, digest, s, pack(w.encode())))
+                            rows.append((of_content(w), doc, tag, s, pack(w.encode())))
                             continue
                         if mine < other:
                             held[w], mine = mine, other
                         rows.append((mine[0] ^ mine[1] * 0x9E3779B1, mine[0], mine[2], mine[1], None))
                     if len(held) > HELD:
                         rows += sent()
-                if len(rows) > 20_000:
+                if len(rows) > 10_000:
                     yield out(rows)
                     rows = []
             yield out(rows)
         yield out(sent())
 
-    return df.mapInArrow(scan, "key bigint, doc_id bigint, digest bigint, start int, packed binary")
+    return df.mapInArrow(scan, "key bigint, doc_id bigint, tag int, start int, packed binary")
 
 
 def _removed(rows: DataFrame, dictionary: bytes, window: int) -> DataFrame:
-    """doc_id, digest, start, n: n windows of a document from start on that an earlier one equals."""
-    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
+    """doc_id, tag, start, n: n windows of a document from start on that an earlier one equals."""
+    schema = pa.schema([("doc_id", pa.int64()), ("tag", pa.int32()), ("start", pa.int32()), ("n", pa.int32())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = Packer(dictionary).unpack
-        key, alone, seen = None, None, {}
+        key, alone = None, None
+        seen: dict[str, tuple[int, int]] = {}
 
-        def visit(row: tuple, found: list[tuple] | None) -> None:
-            doc, digest, start, packed = row
+        def visit(row: list, found: list[tuple]) -> None:
+            doc, tag, start, packed = row
             text = unpack(packed).decode()
             at = [0, *accumulate(len(w) + 1 for w in text.split(" "))]
             for i in range(len(at) - window):
                 w, here = text[at[i] : at[i + window] - 1], (doc, start + i)
                 first = seen.setdefault(w, here)
                 if first < here:
-                    if found and found[-1][:2] == (doc, digest) and found[-1][2] + found[-1][3] == start + i:
-                        found[-1] = (doc, digest, found[-1][2], found[-1][3] + 1)
+                    if found and found[-1][:2] == (doc, tag) and found[-1][2] + found[-1][3] == start + i:
+                        found[-1] = (doc, tag, found[-1][2], found[-1][3] + 1)
                     else:
-                        found.append((doc, digest, start + i, 1))
+                        found.append((doc, tag, start + i, 1))
 
         for batch in batches:
             found: list[tuple] = []
@@ -215,37 +286,40 @@ def _removed(rows: DataFrame, dictionary: bytes, window: int) -> DataFrame:
             cols = zip(*found, strict=True) if found else [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
-    return rows.repartition("key").sortWithinPartitions("key", "doc_id", "start", "digest").mapInArrow(scan, "doc_id bigint, digest bigint, start int, n int")
+    return rows.repartition("key").sortWithinPartitions("key", "doc_id", "start", "tag").mapInArrow(scan, "doc_id bigint, tag int, start int, n int")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, run: int = RUN, one_in: int = SAMPLE_ONE_IN, hot_count: int = HOT_COUNT) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept (the words that stay, one space apart)."""
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    df = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NONE)).alias("doc_id"), F.xxhash64(text).alias("digest"), text.alias("text"))
-    hot = _hot(df, one_in, hot_count)
-    few = df.where(F.pmod(F.xxhash64("digest"), F.lit(one_in)) == 0).select(F.substring("text", 1, DICT_CHARS).alias("text")).limit(DICT_DOCS)
+    df = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NONE)).alias("doc_id"), F.xxhash64(text).bitwiseAND(F.lit(TAG - 1)).cast("int").alias("tag"), text.alias("text"))
+    hot = _hot(df, window, run, one_in, hot_count)
+    few = df.where(F.pmod(F.xxhash64("tag"), F.lit(one_in)) == 0).select(F.substring("text", 1, DICT_CHARS).alias("text")).limit(DICT_DOCS)
     dictionary = train_dictionary([r.text for r in few.collect()])
-    removed = _removed(_travelling(df, hot, dictionary, window, run), dictionary, window)
-    by_doc = removed.groupBy("doc_id", "digest").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    key, packed = ["doc_id", "tag"], _packed(df, dictionary)
+    spans = _shared(_places(df, hot, window, run)).groupBy(*key).agg(F.collect_list("span").alias("spans"))
+    rows = packed.join(spans, key).select(*key, "body", "spans")
+    removed = _removed(_travelling(rows, hot, dictionary, window, run), dictionary, window)
+    by_doc = removed.groupBy(*key).agg(F.collect_list(F.struct("start", "n")).alias("gone"))
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches):
+        unpack = Packer(dictionary).unpack
+        for piece in pieces(batches, limit=1_000_000, rows=500, text="body"):
             rows = []
-            for doc, body, spans in zip(*(piece.column(i).to_pylist() for i in range(3)), strict=True):
-                words = words_of(body)
+            for doc, body, gone in zip(*(piece.column(i).to_pylist() for i in range(3)), strict=True):
+                words = words_of(unpack(body).decode())
                 n = len(words)
-                if spans:
-                    gone = np.zeros(n + 1, dtype=np.int64)
-                    starts = np.array([(s["start"], s["n"]) for s in spans], dtype=np.int64)
-                    np.add.at(gone, starts[:, 0], 1)
-                    np.add.at(gone, starts.sum(axis=1) + window - 1, -1)
-                    stays = np.cumsum(gone)[:n] == 0
-                    words = [words[i] for i in np.flatnonzero(stays)]
+                if gone:
+                    edge = np.zeros(n + 1, dtype=np.int64)
+                    starts = np.array([(s["start"], s["n"]) for s in gone], dtype=np.int64)
+                    np.add.at(edge, starts[:, 0], 1)
+                    np.add.at(edge, starts.sum(axis=1) + window - 1, -1)
+                    words = [words[i] for i in np.flatnonzero(np.cumsum(edge)[:n] == 0)]
                 rows.append((None if doc == NONE else doc, n, n - len(words), " ".join(words)))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    both = df.join(by_doc, ["doc_id", "digest"], "left").select("doc_id", "text", "spans")
+    both = packed.join(by_doc, key, "left").select("doc_id", "body", "gone")
     return both.mapInArrow(scan, "doc_id bigint, n_words bigint, n_removed bigint, kept string")
 
 
