@@ -48,8 +48,8 @@ def words(text: Column) -> Column:
 
 def tokenize(text: Column, drop: Sequence[str] = ()) -> Column:
     """Words of two characters or more that are neither stop words nor in ``drop``."""
-    out = F.array(*(F.lit(w) for w in [*STOP_WORDS, *(d.lower() for d in drop)]))
-    return F.filter(words(text), lambda w: (F.length(w) > 1) & ~F.array_contains(out, w))
+    out = [*STOP_WORDS, *(d.lower() for d in drop)]
+    return F.filter(words(text), lambda w: (F.length(w) > 1) & ~w.isin(*out))  # a hash set after optimisation
 
 
 def tag_filters(tags: Column, labels: Mapping[str, str] = TAG_LABELS) -> Column:
@@ -140,8 +140,7 @@ def recipe_reference(message: Column) -> Column:
 
 def token_overlap(name: Column, message: Column) -> Column:
     """Share of a name's informative tokens, repeats counted, that a message holds; null if there are none."""
-    stop = F.array(*(F.lit(w) for w in NAME_STOP_WORDS))
-    informative = F.filter(words(name), lambda w: ~F.array_contains(stop, w))
+    informative = F.filter(words(name), lambda w: ~w.isin(*NAME_STOP_WORDS))
     hits = F.size(F.filter(informative, lambda w: F.array_contains(words(message), w)))
     return F.when(F.size(informative) > 0, hits / F.size(informative))
 

@@ -67,20 +67,23 @@ def _bench_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
+def _index(spark: SparkSession, sf_dir: str) -> search.Bm25Index:
+    return search.bm25_index(base(spark, sf_dir, "documents"), "doc_id", WEIGHTS, path=shared_dir(spark, "bm25"))
+
+
 _BENCH = "SELECT item_id AS query_id, text AS query FROM benchmark"
 
 
 @query("WITH " + bm25_sql(_BENCH, 10) + " SELECT query_id, doc_id, round(score, 4) AS score, rank FROM bm")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = search.bm25_index(base(spark, sf_dir, "documents"), "doc_id", WEIGHTS)
-    return search.bm25_search(index, _bench_queries(spark, sf_dir), 10).select("query_id", "doc_id", _r("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return search.bm25_search(_index(spark, sf_dir), _bench_queries(spark, sf_dir), 10).select("query_id", "doc_id", _r("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("WITH " + bm25_sql(_BENCH, 5, "lang = 'en'") + " SELECT query_id, doc_id, round(score, 4) AS score, rank, source FROM bm JOIN documents USING (doc_id)")
 def bm25_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search among documents of one language, with columns of the hits."""
     docs = base(spark, sf_dir, "documents")
-    hits = search.bm25_search(search.bm25_index(docs, "doc_id", WEIGHTS), _bench_queries(spark, sf_dir), 5, docs.where("lang = 'en'"))
+    hits = search.bm25_search(_index(spark, sf_dir), _bench_queries(spark, sf_dir), 5, docs.where("lang = 'en'"))
     full = search.hydrate(hits, docs.select("doc_id", "source"), "doc_id")
     return full.select("query_id", "doc_id", _r("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"), "source")
 
@@ -114,7 +117,7 @@ SELECT query_id, doc_id, CAST(rrf_score AS DOUBLE) AS rrf_score, rank FROM (SELE
 def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = base(spark, sf_dir, "documents")
     asked = _vector_queries(spark, sf_dir).join(docs.select(F.col("doc_id").alias("query_id"), F.col("text").alias("query")), "query_id")
-    hits = search.hybrid_search(search.bm25_index(docs, "doc_id", WEIGHTS), _vectors(spark, sf_dir), asked, 10)
+    hits = search.hybrid_search(_index(spark, sf_dir), _vectors(spark, sf_dir), asked, 10)
     return hits.select("query_id", "doc_id", "rrf_score", F.col("rank").cast("long").alias("rank"))
 
 
