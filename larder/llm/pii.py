@@ -133,14 +133,14 @@ class Graph:
             right = text[m.end() : m.end() + 24].split()
             names = ["bias", f"shape={shape}", f"digits={min(len(digits), 20)}", f"at={'@' in token}", f"dots={min(token.count('.'), 5)}", f"plus={token[0] == '+'}", f"paren={token[0] == '('}", f"dash={min(token.count('-'), 4)}", f"luhn={len(digits) > 12 and luhn(digits)}", f"left={left[-1].lower() if left else '^'}", f"right={right[0].lower() if right else '$'}", f"alpha={bool(re.search('[^\\W0-9_]', token))}"]
             self.features.append([self._id(x) for x in names])
-            if m.start() - before_end <= 1 and before >= 0:
+            chained = m.start() - before_end <= 1 and before >= 0
+            if chained:
                 self.edges.append((before, node, 0))
-            before_end, before = m.end(), node
             # distant tokens of one form share a potential; each is tied to the one before it, so edges stay linear
-            for key in {token.strip(".,;:()[]\"'").lower(), digits[-7:] if len(digits) >= 7 else token.lower()}:
-                if key in last and last[key] != before - 1:
-                    self.edges.append((last[key], node, 1))
-                last[key] = node
+            keys = {token.strip(".,;:()[]\"'").lower(), digits[-7:] if len(digits) >= 7 else token.lower()}
+            self.edges += [(p, node, 1) for p in sorted({last[k] for k in keys if k in last} - ({before} if chained else set()))]
+            last |= dict.fromkeys(keys, node)
+            before_end, before = m.end(), node
 
     def arrays(self) -> tuple[np.ndarray, np.ndarray]:
         return np.array(self.features, dtype=np.int64).reshape(len(self.token), -1 if self.token else 0), np.array(self.edges, dtype=np.int64).reshape(-1, 3)
@@ -229,8 +229,32 @@ def _plausible(kind: int, text: str) -> bool:
     return 7 <= len(digits) <= 15 and not re.search(r"[^\x20-\x2F0-9]", text)
 
 
+def _anchored(graph: Graph, spans: list[list[tuple[int, int, int]]]) -> list[set[int]]:
+    """For each token the labels of base spans that it reaches over skip edges, its own included."""
+    label, root = base_labels(graph, spans), list(range(len(graph.token)))
+
+    def find(a: int) -> int:
+        while root[a] != a:
+            root[a] = root[root[a]]
+            a = root[a]
+        return a
+
+    for a, b, kind in graph.edges:
+        if kind == 1:
+            root[find(b)] = find(a)
+    found: dict[int, set[int]] = {}
+    for i, y in enumerate(label.tolist()):
+        if y:
+            found.setdefault(find(i), set()).add(y)
+    return [found.get(find(i), set()) for i in range(len(root))]
+
+
 def added_spans(model: dict[str, np.ndarray], texts: list[str], spans: list[list[tuple[int, int, int]]], least: float = 0.9) -> list[list[tuple[int, int, int]]]:
-    """Spans the CRF adds to each text: runs of one label, certain enough, apart from every base span."""
+    """Spans the CRF adds to each text: runs of one label, certain enough, apart from every base span.
+
+    A run of fewer than ten digits and without an @ must be tied by skip edges to a base span of its kind, since years and
+    page ranges look like short numbers.
+    """
     graph = Graph()
     for i, t in enumerate(texts):
         if t and _HINT.search(t):
@@ -240,6 +264,7 @@ def added_spans(model: dict[str, np.ndarray], texts: list[str], spans: list[list
         return out
     p = marginals(model, *graph.arrays())
     label, sure = p.argmax(axis=1), p.max(axis=1)
+    tied = _anchored(graph, spans)
     i = 0
     while i < len(label):
         j = i + 1
@@ -251,7 +276,8 @@ def added_spans(model: dict[str, np.ndarray], texts: list[str], spans: list[list
                 start += 1
             while end > start and text[end - 1] in ".,;:!?\"'[]<>(":
                 end -= 1
-            if end > start and all(e <= start or end <= s for _, s, e in spans[graph.doc[i]]) and _plausible(label[i], text[start:end]):
+            sound = "@" in text[start:end] or sum(c.isdigit() for c in text[start:end]) >= 10 or any(label[i] in tied[k] for k in range(i, j))
+            if end > start and sound and all(e <= start or end <= s for _, s, e in spans[graph.doc[i]]) and _plausible(label[i], text[start:end]):
                 out[graph.doc[i]].append((int(label[i]) - 1, start, end))
         i = j
     return out

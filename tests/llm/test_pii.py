@@ -48,8 +48,9 @@ def test_crf_extends_to_repeats_and_leaves_clean_text():
     text = "Call +1 (988) 555-2485 now. Later the same phone again: 555-2485 please."
     base = pii.base_spans(text)
     added = pii.added_spans(model, [text], [base])[0]
+    assert [text[s:e] for _, s, e in added] == ["555-2485"]
     assert all(e <= s2 or e2 <= s for _, s, e in added for _, s2, e2 in base)
-    clean = "There were 12 people, 3 dogs and version 2.0 of the year 2024."
+    clean = "There were 12 people, 3 dogs and version 2.0 of the years 1995-2001, pages 120-1310, in 2024."
     assert pii.added_spans(model, [clean], [pii.base_spans(clean)]) == [[]]
 
 
