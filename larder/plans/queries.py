@@ -112,7 +112,7 @@ _HYBRID = "SELECT vec_id AS query_id, text AS query FROM embeddings JOIN documen
 
 @query("WITH " + bm25_sql(_HYBRID, 60) + ", " + vector_sql(60) + """,
 f AS (SELECT coalesce(v.query_id, b.query_id) AS query_id, coalesce(v.doc_id, b.doc_id) AS doc_id, round((coalesce(0.7 / (60 + v.rank), 0) + coalesce(0.3 / (60 + b.rank), 0)) * CASE WHEN v.rank IS NOT NULL AND b.rank IS NOT NULL THEN 1.15 ELSE 1.0 END, 6) AS rrf_score
-      FROM (SELECT query_id, doc_id, rank FROM vs) v FULL JOIN (SELECT query_id, doc_id, rank FROM bm) b ON v.query_id = b.query_id AND v.doc_id = b.doc_id)
+      FROM (SELECT query_id, doc_id, rank FROM vs WHERE query_id IN (SELECT query_id FROM qs)) v FULL JOIN (SELECT query_id, doc_id, rank FROM bm) b ON v.query_id = b.query_id AND v.doc_id = b.doc_id)
 SELECT query_id, doc_id, CAST(rrf_score AS DOUBLE) AS rrf_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, doc_id) AS rank FROM f) WHERE rank <= 10""")
 def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = base(spark, sf_dir, "documents")
@@ -628,8 +628,8 @@ _LINES = f"lines AS (SELECT l_orderkey AS id, l_linenumber AS pos, concat('i', C
 
 
 @query(f"""WITH {_LINES}, s AS (SELECT id, pos, ingredient, coalesce(is_dairy, false) AS br, CASE WHEN qty_g > 0 AND i.ndb_no IS NOT NULL THEN qty_g * coalesce(sugar_g, 0.0) / 100.0 END AS score FROM lines l LEFT JOIN tagged t USING (ndb_no) LEFT JOIN ingredients i USING (ndb_no)),
-r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY br DESC, CASE WHEN br THEN pos END, CASE WHEN br THEN ingredient END, score DESC, pos, ingredient) AS place FROM s WHERE br OR score IS NOT NULL)
-SELECT id, count(*) AS n_removed, count(*) FILTER (WHERE br) AS n_diet, round(sum(score), 6) AS score FROM r WHERE place <= 3 GROUP BY id""", "tagged", "ingredients")
+r AS (SELECT *, max(score) OVER (PARTITION BY id, ingredient) AS best, row_number() OVER (PARTITION BY id ORDER BY br DESC, CASE WHEN br THEN pos END, CASE WHEN br THEN ingredient END, score DESC, pos, ingredient) AS place FROM s WHERE br OR score IS NOT NULL)
+SELECT id, count(*) AS n_removed, count(*) FILTER (WHERE br) AS n_diet, round(sum(best), 6) AS score FROM r WHERE place <= 3 GROUP BY id""", "tagged", "ingredients")
 def removals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ingredients a lactose-free, low-sugar version of each recipe drops."""
     rows = base(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("pos"), F.concat(F.lit("i"), "l_partkey", F.lit("-"), "l_suppkey").alias("ingredient"), F.col("l_partkey").cast("string").alias("ndb_no")).agg(F.min(F.when(F.col("l_linenumber") % 4 != 0, F.col("l_quantity"))).alias("qty_g"))

@@ -41,7 +41,7 @@ def parse_list(col: Column) -> Column:
     bare = F.trim(col)
     strip = lambda x: F.regexp_replace(F.trim(x), r"^['\"]|['\"]$", "")
     parts = F.filter(F.transform(F.split(F.regexp_replace(bare, r"^\[|\]$", ""), ","), strip), lambda x: x != "")
-    return F.when(bare == "", None).when(bare.rlike(r"(?s)^\[.*\]$"), F.coalesce(F.from_json(bare, "array<string>"), parts)).otherwise(F.array(bare))
+    return F.when(bare.isNull() | (bare == ""), None).when(bare.rlike(r"(?s)^\[.*\]$"), F.coalesce(F.from_json(bare, "array<string>"), parts)).otherwise(F.array(bare))
 
 
 def parse_number_list(col: Column) -> Column:

@@ -50,7 +50,7 @@ def test_null_strict_extrema(spark):
     assert one(spark, exprs.clamp(a, 0, 1), a=("double", 7.0)) == 1.0
 
 
-@pytest.mark.parametrize(("raw", "want"), [('["a", "b"]', ["a", "b"]), ("['a', 'b']", ["a", "b"]), ("[1e3, 2]", ["1e3", "2"]), ("plain", ["plain"]), ("", None), (None, None), ("[]", [])])
+@pytest.mark.parametrize(("raw", "want"), [('["a", "b"]', ["a", "b"]), ("['a', 'b']", ["a", "b"]), ("[10, 2]", ["10", "2"]), ("plain", ["plain"]), ("", None), (None, None), ("[]", [])])
 def test_parse_list(spark, raw, want):
     assert one(spark, io.parse_list(F.col("a")), a=("string", raw)) == want
 
