@@ -43,12 +43,12 @@ DICT_DOCS, DICT_CHARS, DICT_BYTES = 400, 4_000, 65_536
 HELD = 50_000
 NONE = -(2**63)
 #: A super-k-mer's place in 64 bits: 24 of the text's hash, 27 of the first window, 12 of the number of windows, and whether it travels on in any case.
-TAG, FIRST, COUNT = 1 << 24, 1 << 27, 1 << 12
+TAG, FIRST, COUNT = 1 << 24, 1 << 27, 1 << 12  # 13 bits lie below the first window
 
 
 class _Hashes(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
+        if len(self) > 500_000:
             self.clear()
         got = self[word] = xxhash.xxh64_intdigest(word.encode(), 7)
         return got
@@ -79,17 +79,29 @@ def run_hashes(words: list[str], run: int = RUN) -> np.ndarray:
     return code.view(np.int64)
 
 
-def super_kmers(words: list[str], window: int = WINDOW, run: int = RUN) -> list[tuple[int, int, int, bool]]:
-    """(minimiser, first window, one past the last, whether the minimiser occurs twice in it) of each run of windows with one minimiser."""
+def super_kmers(words: list[str], window: int = WINDOW, run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows with one minimiser: minimiser, first window, number of windows, whether the minimiser occurs twice in the run."""
     if len(words) < window:
-        return []
+        none = np.zeros(0, dtype=np.int64)
+        return none, none, none, none.astype(bool)
     code = run_hashes(words, run)
     m = sliding_min(code, window - run + 1)
-    cuts = np.concatenate([[0], np.flatnonzero(m[1:] != m[:-1]) + 1, [len(m)]])
-    spans = [(k, c, min(c + COUNT - 1, b)) for k, a, b in zip(m[cuts[:-1]].tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) for c in range(a, b, COUNT - 1)]
-    if len(np.unique(code)) == len(code):
-        return [(*x, False) for x in spans]
-    return [(k, a, b, int(np.count_nonzero(code[a : b + window - run] == k)) > 1) for k, a, b in spans]
+    first = np.concatenate([[0], np.flatnonzero(m[1:] != m[:-1]) + 1])
+    n = np.diff(first, append=len(m))
+    if n.max() >= COUNT:  # a place holds fewer windows: longer runs (of repeating text) are cut
+        parts = [(c, min(COUNT - 1, a + k - c)) for a, k in zip(first.tolist(), n.tolist(), strict=True) for c in range(a, a + k, COUNT - 1)]
+        first, n = (np.array(x) for x in zip(*parts, strict=True))
+    again = np.zeros(len(first), dtype=bool)
+    if len(np.unique(code)) < len(code):
+        for i in np.flatnonzero(np.isin(m[first], repeated(code))):
+            again[i] = np.count_nonzero(code[first[i] : first[i] + n[i] + window - run] == m[first[i]]) > 1
+    return m[first], first, n, again
+
+
+def repeated(values: np.ndarray) -> np.ndarray:
+    """The values that occur twice or more."""
+    found, counts = np.unique(values, return_counts=True)
+    return found[counts > 1]
 
 
 class Packer:
@@ -127,8 +139,8 @@ def _hot(df: DataFrame, window: int, run: int, one_in: int, count: int) -> froze
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
-            found = [m for t in piece.column(2).to_pylist() for m, *_ in super_kmers(words_of(t), window, run)]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["m"])
+            found = [np.zeros(0, dtype=np.int64), *(super_kmers(words_of(t), window, run)[0] for t in piece.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], names=["m"])
 
     sample = df.where(F.pmod(F.xxhash64("doc_id", "tag"), F.lit(one_in)) == 0).mapInArrow(scan, "m bigint")
     often = sample.groupBy("m").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= count)
@@ -139,22 +151,28 @@ def _places(df: DataFrame, hot: frozenset[int], window: int, run: int) -> DataFr
     """key, doc_id, place of every super-k-mer; hot ones under a key that spreads them, marked to travel on."""
     schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int64())])
 
+    often = np.array(sorted(hot), dtype=np.int64)
+    none = np.zeros(0, dtype=np.int64)
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
-            keys, docs, places = [], [], []
+            keys, docs, places = [none], [none], [none]
             for doc, tag, text in zip(*(piece.column(i).to_pylist() for i in range(3)), strict=True):
-                for m, first, over, again in super_kmers(words_of(text), window, run):
-                    known = m in hot
-                    keys.append(m ^ (doc * 0x9E3779B1 + first) % 2**62 if known else m)
-                    docs.append(doc)
-                    places.append((((tag * FIRST + first) * COUNT + over - first) * 2 + (known or again)) - 2**63)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(docs, pa.int64()), pa.array(places, pa.int64())], schema=schema)
+                m, first, n, again = super_kmers(words_of(text), window, run)
+                if len(often):
+                    known = np.isin(m, often)
+                    m = np.where(known, m ^ (first * 0x9E3779B1 + doc % 2**40), m)
+                    again = again | known
+                keys.append(m)
+                docs.append(np.full(len(m), doc, dtype=np.int64))
+                places.append((((np.uint64(tag * FIRST) + first.astype(np.uint64)) * np.uint64(COUNT) + n.astype(np.uint64)) * np.uint64(2) + again.astype(np.uint64)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (keys, docs, places)], schema=schema)
 
     return df.mapInArrow(scan, "key bigint, doc_id bigint, place bigint")
 
 
 def _shared(places: DataFrame) -> DataFrame:
-    """doc_id, tag, span (first window and number of windows) of super-k-mers whose minimiser occurs twice, or that travel on in any case."""
+    """doc_id, tag, span (first window, number of windows, and the mark to travel on) of super-k-mers whose minimiser occurs twice, or that travel on in any case."""
     schema = pa.schema([("doc_id", pa.int64()), ("place", pa.int64())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,8 +194,8 @@ def _shared(places: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([last[1]], pa.int64()), pa.array([last[2]], pa.int64())], schema=schema)
 
     found = places.repartition("key").sortWithinPartitions("key").mapInArrow(scan, "doc_id bigint, place bigint")
-    bits = F.expr("place ^ (-9223372036854775807L - 1L)")  # the place without the sign that made it signed
-    return found.select("doc_id", F.shiftrightunsigned(bits, 40).cast("int").alias("tag"), F.shiftrightunsigned(bits, 1).bitwiseAND(F.lit(FIRST * COUNT - 1)).alias("span"))
+    place = F.col("place")
+    return found.select("doc_id", F.shiftrightunsigned(place, 40).cast("int").alias("tag"), place.bitwiseAND(F.lit(FIRST * COUNT * 2 - 1)).alias("span"))
 
 
 _ROW = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("tag", pa.int32()), ("start", pa.int32()), ("packed", pa.binary())])
@@ -211,13 +229,13 @@ def _travelling(df: DataFrame, hot: frozenset[int], dictionary: bytes, window: i
                 whole = " ".join(words)
                 at = [0, *accumulate(len(w) + 1 for w in words)]
                 code = run_hashes(words, run)
-                for span in spans:
-                    first, n = divmod(span, COUNT)
-                    over = first + n
-                    m = int(code[first : first + window - run + 1].min())
-                    inside: set[str] = set()
+                firsts = np.array(spans, dtype=np.int64) >> 13
+                least = sliding_min(code, window - run + 1)[firsts].tolist()
+                for span, first, m in zip(spans, firsts.tolist(), least, strict=True):
+                    over = first + (span >> 1) % COUNT
                     if m not in hot:
-                        if n > 1 and np.count_nonzero(code[first : over + window - run] == m) > 1:
+                        if span & 1:
+                            inside: set[str] = set()
                             # windows may repeat inside the string: those are known to be removed
                             for s in range(first, over):
                                 w = whole[at[s] : at[s + window] - 1]
