@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 #: The whitespace that separates words: space, tab, LF, VT, FF, CR.
 SPACES = " \t\n\x0b\x0c\r"
-#: ASCII upper case only, so that other letters keep their form.
-ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-#: Other ASCII white space to a plain space; str.split(" ") then sees no Unicode white space.
-TO_SPACE = str.maketrans("\t\n\x0b\x0c\r", "     ")
+
+
+def ascii_lower(text: str) -> str:
+    """A-Z folded, every other letter as it is (bytes.lower knows ASCII only)."""
+    return text.lower() if text.isascii() else text.encode().lower().decode()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,10 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def words_of(text: str | None) -> list[str]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of a text; null has none."""
+    """Words ``[^\\x20\\x09-\\x0D]+`` of a text; null has none. str.split() would also split at Unicode white space."""
     if not text:
         return []
-    return [w for w in text.translate(TO_SPACE).split(" ") if w]
+    for c in SPACES[1:]:
+        if c in text:
+            text = text.replace(c, " ")
+    return [w for w in text.split(" ") if w]
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:

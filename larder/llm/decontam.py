@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import ASCII_LOWER, id_and_text, pieces
+from larder.llm.common import ascii_lower, id_and_text, pieces
 
 #: Words of a window.
 WINDOW = 10
@@ -36,7 +36,7 @@ _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
 def bench_words(text: str | None) -> list[str]:
-    return _WORD.findall(text.translate(ASCII_LOWER)) if text else []
+    return _WORD.findall(ascii_lower(text)) if text else []
 
 
 class WuManber:

@@ -26,16 +26,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import ASCII_LOWER, TO_SPACE, materialize, pieces
+from larder.llm.common import ascii_lower, materialize, pieces, words_of
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
 #: Members up to which a bucket's pairs are joined and verified; larger ones take the exact way without pairs.
 MAX_BUCKET = 8
-_FOLD = ASCII_LOWER | TO_SPACE
 
 
 def shingle_hashes(text: str | None, size: int = SHINGLE, seed: int = SEED) -> np.ndarray:
-    words = [w for w in text.translate(_FOLD).split(" ") if w] if text else []
+    words = words_of(ascii_lower(text)) if text else []
     if not words:
         return np.zeros(0, dtype=np.uint64)
     digest = xxhash.xxh64_intdigest
