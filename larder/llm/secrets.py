@@ -1,7 +1,7 @@
 """Operator 9: secret scans with a random forest that removes false positives.
 
-Candidates are long runs of key-like characters that mix letters and digits, and values assigned
-to names such as password or token. Each candidate's features (length, character transitions,
+Candidates are runs of 16 or more key-like characters that hold a letter, and values of six or more
+characters assigned to names such as password or token, both at their full length. Each candidate's features (length, character transitions,
 entropy, dictionary coverage, place in a path, neighbouring words) go through a random forest of
 Spark's ML library, fitted to labelled findings; the verdict is its probability of a secret.
 
@@ -9,8 +9,8 @@ The labelled findings are a small table of kinds of true and false findings, fil
 with a fixed seed; their number is a parameter, so fitting is bounded.
 
 Defined results: null or empty text has no candidates and so no rows; candidates do not overlap
-(an assigned value goes first); a run longer than ``LONGEST`` characters is no candidate; repeated
-rows each give their own findings; other columns are ignored.
+(an assigned value goes first); runs without a letter are no candidates unless assigned; repeated
+rows each give their own findings; other columns are ignored. Work is linear in a text's length.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ import math
 import random
 import re
 import string
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,11 +30,11 @@ from pyspark.sql import functions as F
 
 from larder.llm.common import id_and_text, pieces
 
-LONGEST = 512
 #: Labelled findings of each kind that fit the forest.
 EACH_KIND = 60
 _RUN = re.compile(r"(?<![A-Za-z0-9_+/=.-])[A-Za-z0-9_+/=.-]{16,}+")
-_ASSIGNED = re.compile(r"(?i)(?<![a-z])(password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth)[\"']?[ \t]{0,4}[=:][ \t]{0,4}[\"']?([^\s\"'<>,;]{6,512})")
+_ASSIGNED = re.compile(r"(?i)(?<![a-z])(password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth)[\"']?[ \t]{0,4}[=:][ \t]{0,4}[\"']?([^\s\"'<>,;]{6,}+)")
+_LETTER = re.compile("[A-Za-z]")
 _WORD = re.compile(r"[^\W\d_]+")
 CUES = frozenset("password passwd pwd secret secrets token key apikey api access private auth bearer credential credentials".split())
 ANTI = frozenset("sha sha1 sha256 md5 commit checksum hash digest uuid guid id version build example sample test dummy placeholder your xxx changeme isbn order invoice".split())
@@ -42,11 +43,11 @@ FEATURES = ("length", "letters", "digits", "transitions", "rare", "entropy", "di
 
 
 def candidates(text: str) -> Iterator[tuple[str, int, int]]:
-    """(kind, start, end): assigned values first, then other runs that mix letters and digits."""
+    """(kind, start, end): assigned values first, then other runs that hold a letter."""
     taken: list[tuple[int, int]] = []
     for m in _ASSIGNED.finditer(text):
         value = m[2].rstrip(".)]}")
-        if len(value) >= 6 and re.search("[0-9]|[^\\w]", value):
+        if len(value) >= 6:
             taken.append((m.start(2), m.start(2) + len(value)))
             yield "assigned", *taken[-1]
     i = 0
@@ -56,16 +57,15 @@ def candidates(text: str) -> Iterator[tuple[str, int, int]]:
             end -= 1
         while i < len(taken) and taken[i][1] <= start:
             i += 1
-        if not 16 <= end - start <= LONGEST or (i < len(taken) and taken[i][0] < end):
+        if end - start < 16 or (i < len(taken) and taken[i][0] < end):
             continue
-        run = text[start:end]
-        if re.search("[0-9]", run) and re.search("[A-Za-z]", run):
+        if _LETTER.search(text, start, end):
             yield "run", start, end
 
 
 def _entropy(s: str) -> float:
     n = len(s)
-    return -sum(c / n * math.log2(c / n) for c in map(s.count, set(s)))
+    return -sum(c / n * math.log2(c / n) for c in Counter(s).values())
 
 
 def _kind(c: str) -> int:
@@ -78,11 +78,11 @@ def describe(text: str, kind: str, start: int, end: int) -> list[float]:
     n, low = len(run), run.lower()
     kinds = list(map(_kind, run))
     letters, digits = sum(k < 2 for k in kinds), kinds.count(2)
-    pairs = list(zip(low, low[1:], strict=False))
-    rare = sum(a.isalpha() and b.isalpha() and (a in "bcdfgjkqvwxz") and (b in "bcdfghjkmnpqvwxz") for a, b in pairs)
+    # candidates may be very long: neighbours are read off two strings, never kept as a list of pairs
+    rare = sum(a in "bcdfgjkqvwxz" and b in "bcdfghjkmnpqvwxz" for a, b in zip(low, low[1:], strict=False))
     covered = 0
-    for word in re.findall("[a-z]{4,}", low):
-        at = 0
+    for found in re.finditer("[a-z]{4,}", low):
+        word, at = found[0], 0
         while at < len(word):
             hit = next((k for k in range(min(12, len(word) - at), 3, -1) if word[at : at + k] in DICTIONARY), 0)
             covered += hit
@@ -95,7 +95,7 @@ def describe(text: str, kind: str, start: int, end: int) -> list[float]:
         float(n), letters / n, digits / n, sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / max(1, n - 1), rare / max(1, n - 1),
         _entropy(run), len(set(run)) / n, covered / max(1, letters), float(in_path), float(kind == "assigned"), float(sum(w in CUES for w in before)), float(sum(w in ANTI for w in near)),
         float(bool(re.fullmatch("[0-9a-fA-F]+", run))), sum(k == 1 for k in kinds) / n, float(run.startswith(("AKIA", "ASIA", "ghp_", "gho_", "sk_live_", "xox", "AIza", "eyJ"))),
-        sum(a == b for a, b in pairs) / max(1, n - 1), sum(k == 3 for k in kinds) / n,
+        sum(a == b for a, b in zip(low, low[1:], strict=False)) / max(1, n - 1), sum(k == 3 for k in kinds) / n,
     ]
 
 
@@ -105,12 +105,16 @@ def labelled_findings(each: int = EACH_KIND, seed: int = 11) -> list[tuple[list[
     pick = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
     hexes, up, mixed, words = "0123456789abcdef", string.ascii_uppercase + "234567", string.ascii_letters + string.digits, sorted(DICTIONARY)
     filler = ["the and of", "see also", "for more", "in with", "la que de", "und der die", "les des une"]
+    plain = "required optional correct horse battery staple string missing expired invalid unknown nothing hidden protected generated rotating yellow river garden winter mountain silver orange falcon planet kitchen shadow bridge candle harbour meadow lantern pepper violet thunder".split()
+    syllables = lambda n: "".join(r.choice("bdfgklmnprstvz") + r.choice("aeiou") + r.choice(["", "", "n", "r", "s", "l", "ch", "tz", "rb"]) for _ in range(n))
     name = lambda: r.choice(["password", "token", "secret", "api_key", "apikey", "access_key", "pwd"])
     sign = lambda: r.choice(["=", " = ", ": ", '="', ' = "'])
     true = [
         lambda: ("", "AKIA" + pick(up, 16)), lambda: ("key ", "AKIA" + pick(up, 16)), lambda: ("", "ghp_" + pick(mixed, 36)), lambda: ("", "sk_live_" + pick(mixed, 24)), lambda: ("", "AIza" + pick(mixed + "_-", 35)),
         lambda: (f"{name()}{sign()}", pick(hexes, r.choice([16, 18, 20, 24, 32, 40, 64]))), lambda: (f"{name()}{sign()}", pick(mixed, r.randint(12, 48))), lambda: (f"{name()}{sign()}", pick(mixed + "+/", 40) + "="),
         lambda: (f"{name()}{sign()}", pick(mixed + "!#$%&*", r.randint(9, 20))), lambda: ("Bearer ", pick(mixed + "_-", r.randint(32, 80))), lambda: ("secret access ", pick(mixed + "+/", 40)),
+        lambda: ("Bearer ", "eyJ" + pick(mixed + "_-", r.randint(200, 2000))), lambda: ("private key ", pick(mixed + "+/", r.randint(400, 2400))), lambda: (f"{name()}{sign()}", pick(mixed + "+/", r.randint(200, 2000))),
+        lambda: (f"{name()}{sign()}", pick(string.ascii_letters, r.randint(12, 48))), lambda: (f"{name()}{sign()}", pick(string.ascii_lowercase, r.randint(14, 40))), lambda: (f"{name()}{sign()}", "".join(r.choice(plain) for _ in range(r.randint(3, 5)))), lambda: (r.choice(["Bearer ", "secret key "]), pick(string.ascii_letters, r.randint(24, 80))),
     ]
     false = [
         lambda: ("commit ", pick(hexes, 40)), lambda: ("sha256 checksum ", pick(hexes, 64)), lambda: ("md5 ", pick(hexes, 32)), lambda: ("id ", "-".join(pick(hexes, k) for k in (8, 4, 4, 4, 12))),
@@ -118,6 +122,9 @@ def labelled_findings(each: int = EACH_KIND, seed: int = 11) -> list[tuple[list[
         lambda: ("https://", f"{r.choice(words)}.example.com/{r.choice(words)}/{r.randint(1, 9999)}"), lambda: (f"{name()}{sign()}", r.choice(["changeme1", "your_password_1", "xxxxxxxx", "example123", "<password>1", "test1234", "********", "placeholder_1"])),
         lambda: ("", "".join(w.capitalize() for w in r.sample(words, 3)) + str(r.randint(1, 20))), lambda: ("version ", ".".join(str(r.randint(0, 30)) for _ in range(3)) + "-" + r.choice(words) + "-build" + str(r.randint(1, 999))),
         lambda: (f"{name()}: ", "os.environ['" + r.choice(words) + "']"), lambda: ("order ", pick(string.digits, 12) + "-" + r.choice(words).upper()), lambda: ("", f"{r.choice(words)}.{r.randint(10, 99)}-{r.choice(words)}-{r.choice(words)}-2024"),
+        lambda: ("image png ", pick(mixed + "+/", r.randint(300, 2400))), lambda: ("", "/".join(r.choice(words) + r.choice(["", str(r.randint(1, 99))]) for _ in range(r.randint(40, 300)))), lambda: ("", r.choice(string.ascii_letters + string.digits) * r.randint(16, 2000)), lambda: ("", r.choice(["-", "_", "/", "."]).join(r.choice(words + plain) for _ in range(r.randint(3, 6)))),
+        lambda: ("", "".join(w.capitalize() for w in r.sample(words, r.randint(3, 5)))), lambda: ("https://", f"www.{r.choice(words)}.com/{r.choice(words)}/{r.choice(plain)}"), lambda: ("", r.choice([str, str.capitalize, str.upper])(syllables(r.randint(6, 12)))), lambda: (f"{name()}{sign()}", r.choice([w for w in [*words, *plain] if len(w) > 5] + ["placeholder", "your_password", "undefined", "changeme"])),
+        lambda: (f"{name()}: ", syllables(r.randint(3, 4))),
     ]
     out = []
     for label, makers in ((1.0, true), (0.0, false)):

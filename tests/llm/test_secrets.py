@@ -44,3 +44,24 @@ def test_long_runs_take_linear_time():
     for text in ("a1" * 200_000, "password=" * 40_000, "token = " * 40_000, "/" * 300_000):
         list(secrets.candidates(text))
     assert time.perf_counter() - began < 20
+
+
+def test_full_length_and_letters_only(spark, forest):
+    r = random.Random(3)
+    pick = lambda n: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    whole = {
+        1: ("Authorization Bearer ", "eyJ" + pick(900), "run"), 2: ("the token=", pick(900), "assigned"), 3: ("my private key ", pick(600), "run"),
+        4: ("set password=", "correcthorsebattery", "assigned"), 5: ("secret key ", "QwhTzKpXvBnMrLsDfGjYcWqZ", "run"), 6: ("token=", pick(200_000), "assigned"),
+    }
+    docs = make_docs(spark, [(k, f"{lead}{value} in use", "en", "s") for k, (lead, value, _) in whole.items()])
+    got = secrets.scan_secrets(docs, model=forest).collect()
+    assert sorted((x.doc_id, x.kind, x.start, x.end) for x in got) == [(k, kind, len(lead), len(lead) + len(value)) for k, (lead, value, kind) in whole.items()]
+    assert {x.doc_id for x in got if x.is_secret} == set(whole)
+
+
+def test_features_of_one_long_value_take_linear_time():
+    began = time.perf_counter()
+    for value in ("a1" * 200_000, "".join(map(chr, range(0x4E00, 0x9E00))) * 10):
+        (found,) = secrets.candidates(f"token={value}")
+        secrets.describe(f"token={value}", *found)
+    assert time.perf_counter() - began < 20
