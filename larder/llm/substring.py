@@ -16,8 +16,9 @@ passage found in a third of all documents reaches its bucket once per task.
 
 Defined results: null or empty text has no words; fewer than 20 words make no window; a null
 doc_id comes before every other; rows with the same doc_id count as one document, and equal windows
-that start at the same place of it remove neither (rows that share an id are told apart by 24 bits of
-their text's hash); other columns are ignored.
+that start at the same place of it remove neither. Rows that share an id are told apart by a 64-bit
+digest of their text; rows equal in both are compared once, and each gets the result. Other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -42,8 +43,10 @@ DICT_DOCS, DICT_CHARS, DICT_BYTES = 400, 4_000, 65_536
 #: Hot windows that a task holds at most before it sends them on.
 HELD = 50_000
 NONE = -(2**63)
-#: A super-k-mer's place in 64 bits: 24 of the text's hash, 27 of the first window, 12 of the number of windows, and whether it travels on in any case.
-TAG, FIRST, COUNT = 1 << 24, 1 << 27, 1 << 12  # 13 bits lie below the first window
+#: (document, digest) pairs that a task remembers at most, to leave out rows equal in both early.
+MET = 200_000
+#: A super-k-mer's span in 64 bits: 51 of the first window, 12 of the number of windows, and whether it travels on in any case.
+COUNT = 1 << 12  # 13 bits lie below the first window
 
 
 class _Hashes(dict):
@@ -122,16 +125,28 @@ def train_dictionary(texts: list[str]) -> bytes:
         return b""
 
 
+class _Met(set):
+    """Whether a task met (document, digest) before; it may forget, so a later step must still bear repeats."""
+
+    def before(self, doc: int, digest: int) -> bool:
+        if (doc, digest) in self:
+            return True
+        if len(self) >= MET:
+            self.clear()
+        self.add((doc, digest))
+        return False
+
+
 def _packed(df: DataFrame, dictionary: bytes) -> DataFrame:
-    """doc_id, tag, body: the text packed, as it travels to a join."""
-    schema = pa.schema([("doc_id", pa.int64()), ("tag", pa.int32()), ("body", pa.binary())])
+    """doc_id, digest, body: the text packed, as it travels to a join."""
+    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("body", pa.binary())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = Packer(dictionary).pack
         for piece in pieces(batches):
             yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array([pack(t.encode()) for t in piece.column(2).to_pylist()], pa.binary())], schema=schema)
 
-    return df.mapInArrow(scan, "doc_id bigint, tag int, body binary")
+    return df.mapInArrow(scan, "doc_id bigint, digest bigint, body binary")
 
 
 def _hot(df: DataFrame, window: int, run: int, one_in: int, count: int) -> frozenset[int]:
@@ -142,75 +157,78 @@ def _hot(df: DataFrame, window: int, run: int, one_in: int, count: int) -> froze
             found = [np.zeros(0, dtype=np.int64), *(super_kmers(words_of(t), window, run)[0] for t in piece.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], names=["m"])
 
-    sample = df.where(F.pmod(F.xxhash64("doc_id", "tag"), F.lit(one_in)) == 0).mapInArrow(scan, "m bigint")
+    sample = df.where(F.pmod(F.xxhash64("doc_id", "digest"), F.lit(one_in)) == 0).mapInArrow(scan, "m bigint")
     often = sample.groupBy("m").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= count)
     return frozenset(r.m for r in often.orderBy(F.desc("n"), "m").limit(HOT_MOST).select("m").collect())
 
 
 def _places(df: DataFrame, hot: frozenset[int], window: int, run: int) -> DataFrame:
-    """key, doc_id, place of every super-k-mer; hot ones under a key that spreads them, marked to travel on."""
-    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int64())])
+    """key, doc_id, digest, span of every super-k-mer; hot ones under a key that spreads them, marked to travel on."""
+    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("digest", pa.int64()), ("span", pa.int64())])
 
     often = np.array(sorted(hot), dtype=np.int64)
     none = np.zeros(0, dtype=np.int64)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = _Met()
         for piece in pieces(batches):
-            keys, docs, places = [none], [none], [none]
-            for doc, tag, text in zip(*(piece.column(i).to_pylist() for i in range(3)), strict=True):
+            keys, docs, digests, spans = [none], [none], [none], [none]
+            for doc, digest, text in zip(*(piece.column(i).to_pylist() for i in range(3)), strict=True):
+                if met.before(doc, digest):
+                    continue
                 m, first, n, again = super_kmers(words_of(text), window, run)
                 if len(often):
                     known = np.isin(m, often)
-                    m = np.where(known, m ^ (first * 0x9E3779B1 + doc % 2**40), m)
+                    m = np.where(known, m ^ (first * 0x9E3779B1 + (doc ^ digest) % 2**40), m)
                     again = again | known
                 keys.append(m)
                 docs.append(np.full(len(m), doc, dtype=np.int64))
-                places.append((((np.uint64(tag * FIRST) + first.astype(np.uint64)) * np.uint64(COUNT) + n.astype(np.uint64)) * np.uint64(2) + again.astype(np.uint64)).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (keys, docs, places)], schema=schema)
+                digests.append(np.full(len(m), digest, dtype=np.int64))
+                spans.append((first.astype(np.int64) * COUNT + n) * 2 + again)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (keys, docs, digests, spans)], schema=schema)
 
-    return df.mapInArrow(scan, "key bigint, doc_id bigint, place bigint")
+    return df.mapInArrow(scan, "key bigint, doc_id bigint, digest bigint, span bigint")
 
 
 def _shared(places: DataFrame) -> DataFrame:
-    """doc_id, tag, span (first window, number of windows, and the mark to travel on) of super-k-mers whose minimiser occurs twice, or that travel on in any case."""
-    schema = pa.schema([("doc_id", pa.int64()), ("place", pa.int64())])
+    """doc_id, digest, span (first window, number of windows, and the mark to travel on) of super-k-mers whose minimiser occurs twice, or that travel on in any case."""
+    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("span", pa.int64())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # the last row waits for the next batch, which tells whether its key goes on; `tied`: whether it equals the one before it
-        last: tuple[int, int, int] | None = None
+        last: tuple[int, ...] | None = None
         tied = False
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, doc, place = (batch.column(i).to_numpy() for i in range(3))
+            key, *row = (batch.column(i).to_numpy() for i in range(4))
             if last is not None:
-                key, doc, place = (np.concatenate([[x], c]) for x, c in zip(last, (key, doc, place), strict=True))
+                key, *row = (np.concatenate([[x], c]) for x, c in zip(last, (key, *row), strict=True))
             same = key[1:] == key[:-1]
-            keep = np.concatenate([[tied if last is not None else False], same]) | np.concatenate([same, [False]]) | ((place & 1) == 1)
-            tied, last = bool(len(same) and same[-1]) if len(key) > 1 else tied, (int(key[-1]), int(doc[-1]), int(place[-1]))
+            keep = np.concatenate([[tied if last is not None else False], same]) | np.concatenate([same, [False]]) | ((row[2] & 1) == 1)
+            tied, last = bool(len(same) and same[-1]) if len(key) > 1 else tied, (int(key[-1]), *(int(c[-1]) for c in row))
             keep = keep[:-1]
-            yield pa.RecordBatch.from_arrays([pa.array(doc[:-1][keep]), pa.array(place[:-1][keep])], schema=schema)
-        if last is not None and (tied or last[2] & 1):
-            yield pa.RecordBatch.from_arrays([pa.array([last[1]], pa.int64()), pa.array([last[2]], pa.int64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c[:-1][keep]) for c in row], schema=schema)
+        if last is not None and (tied or last[3] & 1):
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in last[1:]], schema=schema)
 
-    found = places.repartition("key").sortWithinPartitions("key").mapInArrow(scan, "doc_id bigint, place bigint")
-    place = F.col("place")
-    return found.select("doc_id", F.shiftrightunsigned(place, 40).cast("int").alias("tag"), place.bitwiseAND(F.lit(FIRST * COUNT * 2 - 1)).alias("span"))
+    return places.repartition("key").sortWithinPartitions("key").mapInArrow(scan, "doc_id bigint, digest bigint, span bigint")
 
 
-_ROW = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("tag", pa.int32()), ("start", pa.int32()), ("packed", pa.binary())])
+_ROW = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("digest", pa.int64()), ("start", pa.int32()), ("packed", pa.binary())])
 
 
 def _travelling(df: DataFrame, hot: frozenset[int], dictionary: bytes, window: int, run: int) -> DataFrame:
     """The packed super-k-mers at the spans of each document, hot windows, and (packed null) windows known to be removed already.
 
-    ``df``: doc_id, tag, body, spans.
+    ``df``: doc_id, digest, body, spans; of rows equal in doc_id and digest a task sends one.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(dictionary)
         pack, unpack = packer.pack, packer.unpack
         held: dict[str, tuple[int, int, int]] = {}
+        met = _Met()
         of_content = lambda w: xxhash.xxh64_intdigest(w.encode(), 9) - 2**63
 
         def sent() -> list[tuple]:
@@ -224,7 +242,9 @@ def _travelling(df: DataFrame, hot: frozenset[int], dictionary: bytes, window: i
 
         for piece in pieces(batches, limit=1_000_000, rows=500, text="body"):
             rows: list[tuple] = []
-            for doc, tag, body, spans in zip(*(piece.column(i).to_pylist() for i in range(4)), strict=True):
+            for doc, digest, body, spans in zip(*(piece.column(i).to_pylist() for i in range(4)), strict=True):
+                if met.before(doc, digest):
+                    continue
                 words = words_of(unpack(body).decode())
                 whole = " ".join(words)
                 at = [0, *accumulate(len(w) + 1 for w in words)]
@@ -240,17 +260,17 @@ def _travelling(df: DataFrame, hot: frozenset[int], dictionary: bytes, window: i
                             for s in range(first, over):
                                 w = whole[at[s] : at[s + window] - 1]
                                 if w in inside:
-                                    rows.append((doc ^ s * 0x9E3779B1, doc, tag, s, None))
+                                    rows.append((doc ^ s * 0x9E3779B1, doc, digest, s, None))
                                 inside.add(w)
-                        rows.append((m, doc, tag, first, pack(whole[at[first] : at[over + window - 1] - 1].encode())))
+                        rows.append((m, doc, digest, first, pack(whole[at[first] : at[over + window - 1] - 1].encode())))
                         continue
                     for s in range(first, over):
-                        w, mine = whole[at[s] : at[s + window] - 1], (doc, s, tag)
+                        w, mine = whole[at[s] : at[s + window] - 1], (doc, s, digest)
                         other = held.setdefault(w, mine)
                         if other is mine:
                             continue
                         if other[:2] == mine[:2]:  # rows that share a doc_id: neither is earlier
-                            rows.append((of_content(w), doc, tag, s, pack(w.encode())))
+                            rows.append((of_content(w), doc, digest, s, pack(w.encode())))
                             continue
                         if mine < other:
                             held[w], mine = mine, other
@@ -263,30 +283,38 @@ def _travelling(df: DataFrame, hot: frozenset[int], dictionary: bytes, window: i
             yield out(rows)
         yield out(sent())
 
-    return df.mapInArrow(scan, "key bigint, doc_id bigint, tag int, start int, packed binary")
+    return df.mapInArrow(scan, "key bigint, doc_id bigint, digest bigint, start int, packed binary")
 
 
 def _removed(rows: DataFrame, dictionary: bytes, window: int) -> DataFrame:
-    """doc_id, tag, start, n: n windows of a document from start on that an earlier one equals."""
-    schema = pa.schema([("doc_id", pa.int64()), ("tag", pa.int32()), ("start", pa.int32()), ("n", pa.int32())])
+    """doc_id, digest, start, n: n windows of a document from start on that an earlier one equals."""
+    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = Packer(dictionary).unpack
         key, alone = None, None
         seen: dict[str, tuple[int, int]] = {}
+        # texts whose window inside a string is the earliest so far: a later string of the same doc_id may hold it earlier
+        inner: dict[str, list[int]] = {}
 
         def visit(row: list, found: list[tuple]) -> None:
-            doc, tag, start, packed = row
+            doc, digest, start, packed = row
             text = unpack(packed).decode()
             at = [0, *accumulate(len(w) + 1 for w in text.split(" "))]
             for i in range(len(at) - window):
                 w, here = text[at[i] : at[i + window] - 1], (doc, start + i)
                 first = seen.setdefault(w, here)
                 if first < here:
-                    if found and found[-1][:2] == (doc, tag) and found[-1][2] + found[-1][3] == start + i:
-                        found[-1] = (doc, tag, found[-1][2], found[-1][3] + 1)
+                    if found and found[-1][:2] == (doc, digest) and found[-1][2] + found[-1][3] == start + i:
+                        found[-1] = (doc, digest, found[-1][2], found[-1][3] + 1)
                     else:
-                        found.append((doc, tag, start + i, 1))
+                        found.append((doc, digest, start + i, 1))
+                    continue
+                if here < first:
+                    seen[w] = here
+                    found += [(doc, d, first[1], 1) for d in inner.pop(w)]
+                if i:
+                    inner.setdefault(w, []).append(digest)
 
         for batch in batches:
             found: list[tuple] = []
@@ -296,6 +324,7 @@ def _removed(rows: DataFrame, dictionary: bytes, window: int) -> DataFrame:
                 elif k != key:
                     key, alone = k, row
                     seen.clear()
+                    inner.clear()
                 else:
                     if alone is not None:
                         visit(alone, found)
@@ -304,18 +333,18 @@ def _removed(rows: DataFrame, dictionary: bytes, window: int) -> DataFrame:
             cols = zip(*found, strict=True) if found else [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
-    return rows.repartition("key").sortWithinPartitions("key", "doc_id", "start", "tag").mapInArrow(scan, "doc_id bigint, tag int, start int, n int")
+    return rows.repartition("key").sortWithinPartitions("key", "doc_id", "start", "digest").mapInArrow(scan, "doc_id bigint, digest bigint, start int, n int")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, run: int = RUN, one_in: int = SAMPLE_ONE_IN, hot_count: int = HOT_COUNT) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept (the words that stay, one space apart)."""
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    df = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NONE)).alias("doc_id"), F.xxhash64(text).bitwiseAND(F.lit(TAG - 1)).cast("int").alias("tag"), text.alias("text"))
+    df = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NONE)).alias("doc_id"), F.xxhash64(text).alias("digest"), text.alias("text"))
     hot = _hot(df, window, run, one_in, hot_count)
-    few = df.where(F.pmod(F.xxhash64("tag"), F.lit(one_in)) == 0).select(F.substring("text", 1, DICT_CHARS).alias("text")).limit(DICT_DOCS)
+    few = df.where(F.pmod(F.xxhash64("digest"), F.lit(one_in)) == 0).select(F.substring("text", 1, DICT_CHARS).alias("text")).limit(DICT_DOCS)
     dictionary = train_dictionary([r.text for r in few.collect()])
-    key, packed = ["doc_id", "tag"], _packed(df, dictionary)
-    spans = _shared(_places(df, hot, window, run)).groupBy(*key).agg(F.collect_list("span").alias("spans"))
+    key, packed = ["doc_id", "digest"], _packed(df, dictionary)
+    spans = _shared(_places(df, hot, window, run)).groupBy(*key).agg(F.collect_set("span").alias("spans"))
     rows = packed.join(spans, key).select(*key, "body", "spans")
     removed = _removed(_travelling(rows, hot, dictionary, window, run), dictionary, window)
     by_doc = removed.groupBy(*key).agg(F.collect_list(F.struct("start", "n")).alias("gone"))

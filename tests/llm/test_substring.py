@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import pytest
+import xxhash
 
 from larder.llm import substring
 from larder.llm.common import words_of
@@ -53,3 +54,34 @@ def test_empty(spark):
     docs = make_docs(spark, [(1, None, "en", "s")])
     assert substring.deduplicate(docs).first().asDict() == {"doc_id": 1, "n_words": 0, "n_removed": 0, "kept": ""}
     assert substring.deduplicate(docs.limit(0)).count() == 0
+
+
+def same_low_bits(make, bits=24, seed=42):
+    """An odd and an even text whose Spark xxhash64 agrees in its lowest bits."""
+    met = {}
+    for i in range(200_000):
+        text = make(i)
+        low = xxhash.xxh64_intdigest(text.encode(), seed) % (1 << bits)
+        if (low, 1 - i % 2) in met:
+            return sorted((met[low, 1 - i % 2], text), key=len)
+        met[low, i % 2] = text
+    raise AssertionError
+
+
+@pytest.mark.parametrize("options", [{}, {"one_in": 1, "hot_count": 1}])
+def test_texts_of_one_id_with_equal_low_bits(spark, vocabulary, options):
+    passage = sentence(random.Random(4), 40, vocabulary)
+    short, long = same_low_bits(lambda i: f"n{i} " + (passage if i % 2 else " ".join(f"{i}x{k}" for k in range(25)) + " " + passage))
+    rows = [(None, short, "en", "s"), (None, long, "en", "s"), (7, "lead " + passage, "en", "s"), (None, long, "en", "s")]
+    got = substring.deduplicate(make_docs(spark, rows), **options).collect()
+    assert sorted((str(x.doc_id), x.n_words, x.n_removed, x.kept) for x in got) == brute(rows)
+
+
+def test_many_texts_and_copies_of_one_id(spark, vocabulary):
+    """Passages at near places of many texts without an id, so that a later string may hold a window earlier; copies give a span once."""
+    r = random.Random(2)
+    passages = [sentence(r, 45, vocabulary) for _ in range(6)]
+    rows = [(None, " ".join([sentence(r, r.randint(0, 12), vocabulary), r.choice(passages), sentence(r, 5, vocabulary)]), "en", "s") for _ in range(150)]
+    rows += rows[:3] * 30
+    got = substring.deduplicate(make_docs(spark, rows)).collect()
+    assert sorted((str(x.doc_id), x.n_words, x.n_removed, x.kept) for x in got) == brute(rows)
