@@ -2,8 +2,9 @@
 
 Base patterns give exact spans (code points, end exclusive). On top of them a skip-chain CRF
 labels every token that holds a digit or an ``@``: neighbouring tokens share a chain potential,
-distant tokens of the same text with the same or a similar form share a skip potential, and
-loopy sum-product message passing makes labels agree across the document. Runs of tokens that
+all tokens of one text with the same or a similar form are tied by a skip potential to one hub, whose
+kind is known where a base span covers one of them, and loopy sum-product message passing, repeated
+until messages stand still, makes labels agree across the document. Runs of tokens that
 the CRF labels as an entity and that touch no base span are added; base spans always stay.
 
 Defined results: null text counts as empty; empty text has no spans and the digest of the empty
@@ -106,6 +107,9 @@ class Graph:
         self.digits: list[str] = []
         self.features: list[list[int]] = []
         self.edges: list[tuple[int, int, int]] = []
+        #: The hub of each token, one per text and form.
+        self.hub: list[int] = []
+        self._hubs = 0
         self._cache: dict[str, int] = {}
 
     def _id(self, name: str) -> int:
@@ -118,6 +122,7 @@ class Graph:
 
     def add(self, doc: int, text: str) -> None:
         last: dict[str, int] = {}
+        hubs: dict[str, int] = {}
         before_end, before = -2, -1
         for m in _TOKEN.finditer(text):
             node, token = len(self.token), m[0]
@@ -136,16 +141,36 @@ class Graph:
             chained = m.start() - before_end <= 1 and before >= 0
             if chained:
                 self.edges.append((before, node, 0))
-            # distant tokens of one form share a potential; each is tied to the one before it, so edges stay linear
+            form = digits[-7:] if len(digits) >= 7 else token.strip(".,;:()[]\"'").lower()
+            self.hub.append(hubs.setdefault(form, self._hubs + len(hubs)))
+            # with labels given (in fitting), distant tokens of one form share a potential; each is tied to the one before it
             keys = {token.strip(".,;:()[]\"'").lower(), digits[-7:] if len(digits) >= 7 else token.lower()}
             self.edges += [(p, node, 1) for p in sorted({last[k] for k in keys if k in last} - ({before} if chained else set()))]
             last |= dict.fromkeys(keys, node)
             before_end, before = m.end(), node
+        self._hubs += len(hubs)
 
     def arrays(self) -> tuple[np.ndarray, np.ndarray]:
         return np.array(self.features, dtype=np.int64).reshape(len(self.token), -1 if self.token else 0), np.array(self.edges, dtype=np.int64).reshape(-1, 3)
 
 
+    def tied(self, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For message passing: chain edges and edges to the hubs of repeated forms, the hubs' evidence, the text of each node.
+
+        Hubs are nodes after the tokens. A hub with base labels among its tokens has one of those; any other hub is free.
+        """
+        n, hub = len(self.token), np.array(self.hub, dtype=np.int64)
+        e = np.array(self.edges, dtype=np.int64).reshape(-1, 3)
+        tokens = np.flatnonzero(np.bincount(hub, minlength=self._hubs)[hub] > 1)
+        seen = np.zeros((self._hubs, len(LABELS)), dtype=bool)
+        seen[hub[labels > 0], labels[labels > 0]] = True
+        evidence = np.where(seen.any(axis=1, keepdims=True) & ~seen, -1e6, 0.0)
+        of_hub = np.zeros(self._hubs, dtype=np.int64)
+        of_hub[hub] = self.doc
+        edges = np.concatenate([e[e[:, 2] == 0], np.stack([tokens, n + hub[tokens], np.ones_like(tokens)], axis=1)])
+        return edges, evidence, np.concatenate([np.array(self.doc, dtype=np.int64), of_hub])
+
+
 def base_labels(graph: Graph, spans: list[list[tuple[int, int, int]]]) -> np.ndarray:
     """The base kind that covers each candidate token, 0 where none does."""
     out = np.zeros(len(graph.token), dtype=np.int64)
@@ -198,23 +223,38 @@ def fit_crf(texts: list[str], rounds: int = 150, rate: float = 0.5, l2: float =
     return {"weight": weight, "pair": pair}
 
 
-def marginals(model: dict[str, np.ndarray], x: np.ndarray, e: np.ndarray, rounds: int = 8, damping: float = 0.3) -> np.ndarray:
-    """Loopy sum-product over all texts of a batch at once; log domain, damped, a fixed number of rounds."""
+def marginals(model: dict[str, np.ndarray], x: np.ndarray, e: np.ndarray, rounds: int = 1000, damping: float = 0.3, evidence: np.ndarray | None = None, text: np.ndarray | None = None, tolerance: float = 1e-4) -> np.ndarray:
+    """Loopy sum-product over all texts of a batch at once, in the log domain.
+
+    ``evidence``: log potentials of hub nodes, which come after the tokens; ``text``: the text of each node. Each text goes on until
+    its largest change of a message is below ``tolerance``, whatever the other texts do; after 100 rounds messages that still
+    swing are damped heavily, and ``rounds`` only bounds those that never settle.
+    """
     unary = model["weight"][x].sum(axis=1)
+    tokens = len(unary)
+    if evidence is not None:
+        unary = np.concatenate([unary, evidence])
     n, k = unary.shape
     if len(e):
         src, dst = np.concatenate([e[:, 0], e[:, 1]]), np.concatenate([e[:, 1], e[:, 0]])
         pair = model["pair"][np.concatenate([e[:, 2], e[:, 2]])]
         back = np.concatenate([np.arange(len(e)) + len(e), np.arange(len(e))])
-        msg = np.zeros((len(src), k))
-        for _ in range(rounds):
-            total = unary + np.stack([np.bincount(dst, msg[:, j], n) for j in range(k)], axis=1)
-            out = total[src] - msg[back]
-            new = np.logaddexp.reduce(out[:, :, None] + pair, axis=1)
+        group = np.zeros(len(src), dtype=np.int64) if text is None else text[src]
+        msg, live = np.zeros((len(src), k)), np.arange(len(src))
+        for turn in range(rounds):
+            total = unary + np.stack([np.bincount(dst[live], msg[live, j], n) for j in range(k)], axis=1)
+            out = total[src[live]] - msg[back[live]]
+            new = np.logaddexp.reduce(out[:, :, None] + pair[live], axis=1)
             new -= new.max(axis=1, keepdims=True)
-            msg = damping * msg + (1 - damping) * new
+            worst = np.zeros(group.max() + 1)
+            np.maximum.at(worst, group[live], np.abs(new - msg[live]).max(axis=1))
+            keep = damping if turn < 100 else max(damping, 0.9)
+            msg[live] = keep * msg[live] + (1 - keep) * new
+            live = live[worst[group[live]] >= tolerance]
+            if not len(live):
+                break
         unary = unary + np.stack([np.bincount(dst, msg[:, j], n) for j in range(k)], axis=1)
-    p = np.exp(unary - unary.max(axis=1, keepdims=True))
+    p = np.exp(unary[:tokens] - unary[:tokens].max(axis=1, keepdims=True))
     return p / p.sum(axis=1, keepdims=True)
 
 
@@ -229,30 +269,19 @@ def _plausible(kind: int, text: str) -> bool:
     return 7 <= len(digits) <= 15 and not re.search(r"[^\x20-\x2F0-9]", text)
 
 
-def _anchored(graph: Graph, spans: list[list[tuple[int, int, int]]]) -> list[set[int]]:
-    """For each token the labels of base spans that it reaches over skip edges, its own included."""
-    label, root = base_labels(graph, spans), list(range(len(graph.token)))
-
-    def find(a: int) -> int:
-        while root[a] != a:
-            root[a] = root[root[a]]
-            a = root[a]
-        return a
-
-    for a, b, kind in graph.edges:
-        if kind == 1:
-            root[find(b)] = find(a)
+def _anchored(graph: Graph, labels: np.ndarray) -> list[set[int]]:
+    """For each token the labels of base spans on tokens of its hub, its own included."""
     found: dict[int, set[int]] = {}
-    for i, y in enumerate(label.tolist()):
+    for hub, y in zip(graph.hub, labels.tolist(), strict=True):
         if y:
-            found.setdefault(find(i), set()).add(y)
-    return [found.get(find(i), set()) for i in range(len(root))]
+            found.setdefault(hub, set()).add(y)
+    return [found.get(hub, set()) for hub in graph.hub]
 
 
 def added_spans(model: dict[str, np.ndarray], texts: list[str], spans: list[list[tuple[int, int, int]]], least: float = 0.9) -> list[list[tuple[int, int, int]]]:
     """Spans the CRF adds to each text: runs of one label, certain enough, apart from every base span.
 
-    A run of fewer than ten digits and without an @ must be tied by skip edges to a base span of its kind, since years and
+    A run of fewer than ten digits and without an @ must share a hub with a base span of its kind, since years and
     page ranges look like short numbers.
     """
     graph = Graph()
@@ -262,9 +291,11 @@ def added_spans(model: dict[str, np.ndarray], texts: list[str], spans: list[list
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     if not graph.token:
         return out
-    p = marginals(model, *graph.arrays())
+    labels = base_labels(graph, spans)
+    edges, evidence, text_of = graph.tied(labels)
+    p = marginals(model, graph.arrays()[0], edges, evidence=evidence, text=text_of)
     label, sure = p.argmax(axis=1), p.max(axis=1)
-    tied = _anchored(graph, spans)
+    tied = _anchored(graph, labels)
     i = 0
     while i < len(label):
         j = i + 1

@@ -54,6 +54,20 @@ def test_crf_extends_to_repeats_and_leaves_clean_text():
     assert pii.added_spans(model, [clean], [pii.base_spans(clean)]) == [[]]
 
 
+def test_repeats_in_a_long_text_are_added_together():
+    train = [f"Please call +1 ({200 + i}) 555-{1000 + i} or write to u{i}@mail.example.com about item {i} of {i + 3} in 2024." for i in range(60)]
+    fitted = pii.fit_crf(train)
+    for against, times in [(w, n) for w in (0.0, 6.5, 7.0) for n in (1, 10, 50, 500)]:
+        model = fitted | {"weight": fitted["weight"].copy()}
+        model["weight"][pii._bucket("left=number"), 0] += against  # the word before the repeats speaks against them
+        text = "Call +1 (988) 555-2485 now. " + "".join(f"Then the number 555-2485 rings, in week {i} as ever. " for i in range(times))
+        base = pii.base_spans(text)
+        added = [text[s:e] for _, s, e in pii.added_spans(model, [text], [base])[0]]
+        assert added == ["555-2485"] * (times if against < 7 else 0)  # all or none
+        both = pii.added_spans(model, ["nothing 1", text, train[0]], [[], base, pii.base_spans(train[0])])
+        assert both[1] == pii.added_spans(model, [text], [base])[0]  # other texts of a batch do not matter
+
+
 def test_message_passing_agrees_with_enumeration():
     """On a chain of three tokens with one skip edge the marginals are near those of full enumeration."""
     import itertools
