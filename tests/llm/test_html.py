@@ -2,11 +2,12 @@ from __future__ import annotations
 
 import time
 
+import numpy as np
 import pytest
 
 from larder.llm import html
 
-TREE = html.fit_tree(*html.labelled())
+TREE = html.tree()
 
 PARAGRAPH = "This is a long paragraph of the article with many words, enough of them to be text and nothing else at all."
 CASES = [
@@ -23,8 +24,31 @@ CASES = [
     ("<script>never ends", ""),
 ]
 
+WORDS = lambda n: " ".join(["word"] * n)
+LINKS = "<ul><li><a href=/1>one</a><li><a href=/2>two more</a><li><a href=/3>three</a></ul>"
+#: Pages on which links, words and neighbours decide, or whose markup is cut or odd.
+HARD = [
+    *((f"<article><p>{WORDS(80)}</p><p>{WORDS(n)}</p></article>{LINKS}", f"{WORDS(80)} {WORDS(n)}") for n in (1, 5, 20, 60, 67, 68, 200)),  # the last paragraph before a list of links
+    *((f"<div id=cookie-notice><p>{WORDS(n)}</p></div><a href=/>OK</a><article><p>{PARAGRAPH}</p></article>", PARAGRAPH) for n in (20, 70, 150)),
+    (f"<div><p>{WORDS(70)} <a href=/>cookies</a></p></div><a href=/>OK</a><article><p>{PARAGRAPH}</p></article>", PARAGRAPH),
+    (f"<div class='main share-content'><article><h1>Head</h1><p>{PARAGRAPH}</p></article></div>", f"Head {PARAGRAPH}"),
+    (f"<div class='main share-content'><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p></div>", f"{PARAGRAPH} {PARAGRAPH}"),
+    (f"<div class=has-sidebar><article class=comments-open><p>{PARAGRAPH}</p></article></div>", PARAGRAPH),
+    (f"<article><p>{PARAGRAPH}</p><p class=notice>{WORDS(30)}</p><p>{PARAGRAPH}</p></article>", f"{PARAGRAPH} {WORDS(30)} {PARAGRAPH}"),
+    (f"<article><p>{PARAGRAPH}</p></article><section id=comments><article><p>{WORDS(40)}</p></article></section>", PARAGRAPH),
+    (f"<script>x = 'İ'</SCRIPT ><article><p>İ {PARAGRAPH}</p></article>", f"İ {PARAGRAPH}"),
+    (f"<script>x = 'İ'</SCRIPT><style>İ</STYLE><article><p>{PARAGRAPH}</p></article>", PARAGRAPH),
+    (f"<html><head><title>T</title><meta charset=utf-8><article><p>{PARAGRAPH}</p></article>", PARAGRAPH),
+    (f"<html><head><title>T</title></head><body class=has-comments><p>{PARAGRAPH}</p></body></html>", PARAGRAPH),
+    *((f"<article><p>{PARAGRAPH}</p><div><{tag}><option>Buy</div><p>{PARAGRAPH}</p></article>", f"{PARAGRAPH} {PARAGRAPH}") for tag in ("button", "select", "svg", "noscript")),
+    *((f"<article><{tag}>Buy<p>{PARAGRAPH}</p></article>", PARAGRAPH) for tag in ("button", "select")),
+    (f"<article><svg><g><svg><text>a</text></svg><div></div></g></svg><p>{PARAGRAPH}</p></article>", PARAGRAPH),
+    (f"</nav></div></section><article><p>{PARAGRAPH}</p></nav></article>", PARAGRAPH),
+    (f"<form id=page><div><h1>Head of it</h1><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p></div></form>", f"Head of it {PARAGRAPH} {PARAGRAPH}"),
+]
+
 
-@pytest.mark.parametrize(("page", "want"), CASES)
+@pytest.mark.parametrize(("page", "want"), CASES + HARD)
 def test_pages(page, want):
     assert html.main_text(page, TREE) == want
 
@@ -32,15 +56,40 @@ def test_pages(page, want):
 def test_labelled_table_is_learned():
     x, y = html.labelled()
     for row, label in zip(x, y, strict=True):
-        node = TREE
-        while len(node) > 1:
-            node = node[2] if row[node[0]] <= node[1] else node[3]
-        assert node[0] == label
+        assert html.decide(TREE, row) == label
+
+
+def used(node):
+    return set() if len(node) == 1 else {html.FEATURES[node[0]]} | used(node[2]) | used(node[3])
+
+
+def test_words_and_links_decide():
+    """Own link density splits first, words and neighbours below; without them, or with markup alone, the table is not learned."""
+    assert html.FEATURES[TREE[0]] == "density"
+    assert {"words", "words_after", "density_before", "density_after"} <= used(TREE)
+    x, y = html.labelled()
+    counted = [i for i, f in enumerate(html.FEATURES) if f.split("_")[0] in ("words", "density")]
+
+    def wrong(columns):
+        kept = np.where(np.isin(np.arange(x.shape[1]), columns), x, 0.0)
+        fitted = html.fit_tree(kept, y)
+        return sum(html.decide(fitted, r) != label for r, label in zip(kept, y, strict=True)) / len(y)
+
+    everything = list(range(x.shape[1]))
+    assert wrong(everything) == 0
+    assert wrong([i for i in everything if i not in counted]) > 0.03  # markup alone
+    assert wrong(counted) < 0.12  # words and links alone
+
+
+def test_plain_pages_are_decided_by_words_and_links():
+    page = f"{LINKS}<div><p>{WORDS(60)}</p><p>{WORDS(45)}</p><p>{WORDS(70)}</p></div>{LINKS}"
+    assert html.main_text(page, TREE) == WORDS(175)
+    assert html.main_text(LINKS * 5, TREE) == ""
 
 
 def test_odd_pages_take_linear_time():
     began = time.perf_counter()
-    for page in ("<" * 200_000, "<!--" * 50_000, "<a href='" * 30_000, "<div>" * 50_000, "<script>" * 50_000, "&" * 200_000, "<p class=x " * 30_000):
+    for page in ("<" * 200_000, "<!--" * 50_000, "<a href='" * 30_000, "<div>" * 50_000, "<script>" * 50_000, "&" * 200_000, "<p class=x " * 30_000, "<div>" * 30_000 + "</nav>" * 30_000, "<svg>" * 30_000 + "</p>" * 30_000, "<button><div></nav>" * 20_000, "</script" * 30_000):
         html.main_text(page, TREE)
     assert time.perf_counter() - began < 30
 
