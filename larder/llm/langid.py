@@ -5,21 +5,22 @@ count every learnable document. Weights are trained by follow-the-regularised-le
 elastic-net penalty on a bounded sample, alike for every language; a temperature fitted on a part
 of the sample that training did not see calibrates the probabilities.
 
-Bounds: at most about ``SAMPLE_ROWS`` labelled documents fit the classifier; the least hashes of
-doc_id per language are taken. Everything else covers all rows and whole texts.
+Bounds: about ``SAMPLE_ROWS`` labelled documents fit the classifier, alike for every language: those whose hash lies
+under their language's share, repeated rows once. Languages themselves are few: their sizes, one row each, are
+collected. Everything else covers all rows and whole texts.
 
-Defined results: text that is null or has no letter is ``und`` with score 0, as is every text
+Defined results: text that is null or has no letter (Unicode's L) is ``und`` with score 0, as is every text
 when nothing can be learned; a null doc_id is neither learned from nor held out; repeated rows each
 get their own result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +30,9 @@ BITS = 14
 DIM = 1 << BITS
 SAMPLE_ROWS = 4000
 NGRAMS = 3
-_LETTER = re.compile(r"[^\W\d_]")
-_OTHER = re.compile(r"[\W\d_]+")
+#: A letter in Unicode's sense, the same here and in the filter of learnable rows; number-like signs such as a half or a Roman numeral are none.
+_LETTER = regex.compile(r"\p{L}")
+_OTHER = regex.compile(r"[^\p{L}\p{M}]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -123,9 +125,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         return {"labels": [], "idf": np.zeros(DIM), "weight": np.zeros((DIM, 0)), "temperature": 1.0}
     df_counts, n = document_frequencies(learnable)
     idf = np.log((1.0 + n) / (1.0 + df_counts)) + 0.1
-    each = max(1, sample_rows // len(labels))
-    share = F.create_map(*(F.lit(x) for k in labels for x in (k, min(1.0, each / sizes[k]))))
-    picked = learnable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20))
+    each = sample_rows / len(labels)
+    shares = docs.sparkSession.createDataFrame([(k, min(1.0, each / sizes[k])) for k in labels], "lang string, share double")
+    mark = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
+    picked = learnable.join(F.broadcast(shares), "lang").where(mark < F.col("share") * (1 << 30)).select("doc_id", "text", "lang").distinct()
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):

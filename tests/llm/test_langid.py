@@ -52,3 +52,22 @@ def test_temperature_lowers_log_loss():
     t = langid.fit_temperature(logits, y)
     loss = lambda k: -np.log(langid.softmax(logits / k)[np.arange(300), y] + 1e-12).mean()
     assert loss(t) <= loss(1.0)
+
+
+def test_signs_that_are_no_letters(spark):
+    r = random.Random(3)
+    a, b = words_like(r, "aeiou"), words_like(r, "xyzkt")
+    rows = [(i, sentence(r, 20, a if i % 2 else b), "a" if i % 2 else "b", "s") for i in range(100)]
+    odd = [(1000 + i, t, "a", "s") for i, t in enumerate(["½ ²", "Ⅷ", "12 _ 3", "①", "٣"])]
+    got = {x.doc_id: x.lang_pred for x in langid.identify(make_docs(spark, rows + odd)).collect()}
+    assert {got[x[0]] for x in odd} == {"und"} and got[1] == "a"
+
+
+def test_sample_is_bounded_and_repeated_rows_count_once(spark):
+    r = random.Random(4)
+    a, b = words_like(r, "aeiou"), words_like(r, "xyzkt")
+    rows = [(i, sentence(r, 20, a if i % 2 else b), "a" if i % 2 else "b", "s") for i in range(200)]
+    once, often = (langid.predictor(langid.train(make_docs(spark, x), sample_rows=10_000)) for x in (rows, rows + rows[:1] * 500))
+    assert all(once(t)[0] == often(t)[0] == k for _, t, k, _ in rows)  # 500 copies do not outweigh the others
+    few = langid.train(make_docs(spark, rows), sample_rows=1)
+    assert few["labels"] == ["a", "b"]
