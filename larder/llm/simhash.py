@@ -31,6 +31,8 @@ from larder.llm.common import ascii_lower, materialize, pieces, words_of
 SHINGLE, SEED, DISTANCE = 3, 42, 2
 #: Members up to which a bucket's pairs are joined and verified; larger ones take the exact way without pairs.
 MAX_BUCKET = 8
+#: (doc_id, digest) pairs that are broadcast at most.
+FEW = 300_000
 
 
 def shingle_hashes(text: str | None, size: int = SHINGLE, seed: int = SEED) -> np.ndarray:
@@ -176,17 +178,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(classes(fps, max_bucket), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bucket: int = MAX_BUCKET) -> DataFrame:
-    """The rows, all columns unchanged, of one document of each component: the one of the least (doc_id, digest).
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bucket: int = MAX_BUCKET, few: int = FEW) -> DataFrame:
+    """The rows, all columns unchanged, of one document of each component: the one of the least (doc_id, digest of the text).
 
-    Rows that repeat both id and text count as one document; one of them stays.
+    Ids and digests alone are shuffled to choose; the pairs that go, counted, are broadcast up to ``few`` and else joined.
+    Rows that repeat both id and text are one document: the one of the least hash over all columns stays (rows equal in
+    every column: any).
     """
-    fps = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("keep_id"), F.col("digest").alias("keep_digest"))
-    by_fp = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min(rank).alias("first")), "distinct")
+    pair = ["none", "row_id", "row_digest"]
+    key = lambda i, d: [i.isNull().alias("none"), F.coalesce(i, F.lit(0).cast("long")).alias("row_id"), d.alias("row_digest")]
+    fps = materialize(fingerprints(docs, id_col, text_col).select("doc_id", "fp", *key(F.col("doc_id"), F.col("digest"))), "fingerprints")
+    by_fp = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct(*pair)).alias("first")), "distinct")
     tied = components(links(by_fp.select("fp"), max_bucket)).select(F.col("u").alias("fp"), F.col("v").alias("root"))
-    firsts = by_fp.join(tied, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first")).select("first.keep_id", "first.keep_digest")
-    inner = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[id_col].cast("long").alias("row_id"), F.xxhash64(docs[text_col].cast("string")).alias("row_digest"))
-    kept = inner.join(firsts, inner.row_id.eqNullSafe(firsts.keep_id) & (inner.row_digest == firsts.keep_digest), "left_semi")
-    one = kept.groupBy("row_id", "row_digest").agg(F.first("row").alias("row"))
-    return one.select("row.*")
+    firsts = by_fp.join(tied, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first")).select("first.*")
+    counted = fps.groupBy(*pair).agg(F.count(F.lit(1)).alias("n"))
+    marked = materialize(counted.join(firsts.withColumn("first", F.lit(True)), pair, "left"), "marked")
+
+    def bounded(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if df.limit(few + 1).count() <= few else df
+
+    inner = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), *key(docs[id_col].cast("long"), F.xxhash64(docs[text_col].cast("string"))))
+    kept = inner.join(bounded(marked.where("first is null").select(*pair)), pair, "left_anti")
+    repeated = marked.where("first and n > 1").select(*pair)
+    if repeated.isEmpty():
+        return kept.select("row.*")
+    repeated = bounded(repeated)
+    one = kept.join(repeated, pair, "left_semi").groupBy(*pair).agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    return kept.join(repeated, pair, "left_anti").select("row.*").unionByName(one.select("row.*"))

@@ -3,7 +3,9 @@ from __future__ import annotations
 import random
 import re
 
+import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from larder.llm import simhash
 from tests.llm.conftest import make_docs
@@ -83,3 +85,16 @@ def test_long_chain_is_one_component(spark):
         fps.append(fps[-1] ^ (1 << i))
     df = spark.createDataFrame([(i, signed(x)) for i, x in enumerate(fps)], "doc_id long, fp long")
     assert {x.component_id for x in simhash.classes(df).collect()} == {0}
+
+
+@pytest.mark.parametrize("few", [0, 1_000])
+def test_one_row_of_each_document_whatever_the_order(spark, few):
+    """Rows that repeat id and text but not other columns: the same row stays however they are dealt; ties and repeats count once."""
+    rows = [(1, "a b c d", "en", f"s{i}") for i in range(6)] + [(None, "a b c d", "en", "s"), (None, None, "en", "x"), (None, None, "en", "y"), (2, "A B C D", "en", "s"), (3, "other words here now", "en", "s")] * 2
+    kept = []
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        docs = make_docs(spark, rows).drop("n_chars").repartition(1 + seed)
+        docs = docs.withColumn("n_chars", F.length("source"))
+        kept.append(sorted((str(x.doc_id), str(x.text), x.source) for x in simhash.drop_near_duplicates(docs, few=few).collect()))
+    assert kept[0] == kept[1] == kept[2] and [x[0] for x in kept[0]] == ["1", "3", "None"]
