@@ -93,6 +93,23 @@ def test_cache(spark, library, edge_rows, tmp_path):
     assert tokens.token_counts(docs.limit(0), PATH, str(tmp_path / "none")).count() == 0
 
 
+@pytest.mark.parametrize("few", [0, 1_000])
+def test_few_and_many_misses(spark, library, edge_rows, tmp_path, few):
+    docs = make_docs(spark, [*edge_rows, *edge_rows[:8]])
+    want = sorted((str(d), len(library.encode(t or "", add_special_tokens=False).ids)) for d, t, *_ in [*edge_rows, *edge_rows[:8]])
+    for _ in range(2):
+        got = tokens.token_counts(docs, PATH, str(tmp_path / "cache"), few=few).collect()
+        assert sorted((str(x.doc_id), x.n_tokens) for x in got) == want
+    assert spark.read.parquet(str(tmp_path / "cache")).count() == len({t or "" for _, t, *_ in edge_rows})
+
+
+def test_warm_cache_moves_no_text_but_the_missing(spark, tmp_path):
+    """With few misses the rows that lack a count are found by a broadcast before the only exchange."""
+    docs = make_docs(spark, [(i, f"text {i}", "en", "s") for i in range(50)]).selectExpr("unhex(sha2(text, 256)) as content_digest", "text")
+    plan = tokens.missing_texts(docs, docs.limit(1).select("content_digest"), True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("HashAggregate" if "HashAggregate" in plan else "SortAggregate") < plan.index("BroadcastHashJoin") and "SortMergeJoin" not in plan
+
+
 def test_cached_count_is_used(spark, tmp_path):
     """A stored count is taken as it is, which shows that hits are not encoded."""
     docs, cache = make_docs(spark, [(1, "hello world", "en", "s")]), str(tmp_path / "cache")
