@@ -1,26 +1,34 @@
 """Operator 3: quality rules with robust multivariate outliers, in DataFrame functions only.
 
 Base statistics come from array expressions on the whole text, with no row per word. On top of
-them a minimum-covariance-determinant estimate for each language and source rejects outliers:
-start from coordinate-wise medians and MADs, then take concentration steps (keep the share
-``support`` of rows at the least Mahalanobis distance, re-estimate mean and covariance). Every step is one
-aggregation over the small statistics table, for all groups at once; a row is rejected
-when its squared distance, scaled so that the group's median matches the chi-square median, is
-above ``cut``. Groups of fewer than ``least_rows`` rows use their language's estimate, and
-languages of fewer use the estimate of all rows.
+them a minimum-covariance-determinant estimate for each language and source rejects outliers. From two
+starts (coordinate medians with interquartile ranges, and the plain mean and covariance) concentration
+steps keep the share ``support`` of rows at the least Mahalanobis distance and estimate mean and
+covariance anew, until no determinant moves any more; the start that ends with the lesser determinant
+stands. A row is rejected when its squared distance is above ``cut``, the 99.9 % point of chi-square;
+distances are shrunk where the group's median is above chi-square's (heavy tails), never stretched.
+
+A part varies by its least deviation in ``LEAST_SPREAD`` at least (its square is added to the variance), so
+that a part in which ordinary texts of a group agree, such as symbols, rejects what differs a lot and not whatever differs at all.
+
+Groups of fewer than ``least_rows`` rows use their language's estimate, and languages of fewer that of
+all rows; only the estimates that some group uses are made. Quantiles are taken over counts of
+distances by bucket (a quarter of a percent wide), so they are exact up to a bucket, need bounded memory, and do not depend
+on how rows are dealt to tasks. Every step is one aggregation over the small statistics table, for all groups at once.
 
 Hot groups: aggregates combine before the shuffle, and the join that attaches the estimates is
 salted over ``salts`` copies of each group's one row.
 
 Defined results: null text has no words and fails the base rule; empty tables give no rows; null
-language or source is a group of its own; repeated rows each get their own result.
+language or source is a group of its own, apart from the empty string; repeated rows each get their own
+result; without any row that passes the base rule nothing else is rejected.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.llm.common import materialize
@@ -28,12 +36,16 @@ from larder.llm.common import materialize
 WINDOW = 8
 #: Words below which a text fails, and the largest percentage of words in repeated windows.
 LEAST_WORDS, MOST_REPEATED = 20, 30
-SUPPORT, STEPS, LEAST_ROWS, SALTS = 0.75, 3, 40, 16
-#: Squared robust distance above which a row is rejected; far beyond any usual chi-square quantile, as text statistics have heavy tails.
-CUT = 400.0
-#: The median of a chi-square variable with as many degrees of freedom as the vector has parts (5).
-CHI2_MEDIAN = 4.351
+SUPPORT, LEAST_ROWS, SALTS = 0.75, 40, 16
+#: Steps go on until no logarithm of a determinant moves by more than this; their number bounds what swings within one bucket.
+STILL, MOST_STEPS = 1e-4, 30
 PARTS = 5
+#: The median and the 99.9 % point of a chi-square variable with as many degrees of freedom as the vector has parts.
+CHI2_MEDIAN, CUT = 4.351, 20.515
+#: Least deviation of each part x0.. of the vector; see with_vector for their scales.
+LEAST_SPREAD = (1.0, 0.1, 0.35, 0.5, 0.05)
+#: Buckets for each doubling of a squared distance, and for each unit of a part.
+BUCKETS = 256
 _SPACE = "[ \\t\\n\\x0B\\f\\r]"
 
 
@@ -75,8 +87,13 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
     return let(words, from_words).cast("long")
 
 
+def _named(c: Column) -> Column:
+    """A key that no other column can be: "=" and the value, or the empty string for null."""
+    return F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
+
+
 def base_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_lines, n_chars, n_stops."""
+    """doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_lines, n_distinct."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike("[^ \\t\\n\\x0B\\f\\r]"))
     per = let(
@@ -90,8 +107,8 @@ def base_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     line = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup")))
     df = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
-        F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"),
-        F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"),
+        _named(F.col(lang_col)).alias("lang"),
+        _named(F.col(source_col)).alias("source"),
         per.alias("w"),
         line.alias("l"),
         F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
@@ -105,31 +122,43 @@ def base_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def with_vector(stats: DataFrame) -> DataFrame:
-    """x0..x4: transformed statistics, each on a scale where ordinary text spreads about evenly."""
+    """x0..x4: logarithms of the words, of their mean length, of the share of symbols (0.01 added) and of repeated lines
+    (0.05 added), and the logarithm of distinct words by that of words, which hardly depends on a text's length."""
     n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
-    logit = lambda a, b: F.log((a + 0.5) / (b - a + 0.5))
+    share = lambda a, b, more: F.log(F.col(a) / F.greatest(F.col(b), F.lit(1)) + more)
     return stats.withColumns({
         "x0": F.log1p(F.col("n_words").cast("double")),
         "x1": F.log((F.col("word_chars") + 1) / n),
-        "x2": logit(F.least(F.col("n_symbols"), F.col("word_chars")).cast("double"), F.col("word_chars").cast("double")),
-        "x3": logit(F.col("n_dup_lines").cast("double"), F.col("n_lines").cast("double")),
-        "x4": F.log(F.col("n_distinct") + 1.0) - F.log1p(F.col("n_words").cast("double")),
+        "x2": share("n_symbols", "word_chars", 0.01),
+        "x3": share("n_dup_lines", "n_lines", 0.05),
+        "x4": F.log1p(F.col("n_distinct").cast("double")) / F.log1p(n),
     })
 
 
-def _levels(df: DataFrame) -> DataFrame:
-    """Each row once for its group, its language and for all rows; the group aggregates combine before any shuffle."""
-    level = F.explode(F.array(F.struct(F.lit(0).alias("level"), F.col("lang").alias("g_lang"), F.col("source").alias("g_source")), F.struct(F.lit(1).alias("level"), F.col("lang").alias("g_lang"), F.lit("").alias("g_source")), F.struct(F.lit(2).alias("level"), F.lit("").alias("g_lang"), F.lit("").alias("g_source"))))
-    return df.select("*", level.alias("g")).select("*", "g.level", "g.g_lang", "g.g_source").drop("g")
+XS = range(PARTS)
+KEY = ["level", "g_lang", "g_source"]
+FACTOR = [f"l{i}{j}" for i in XS for j in range(i + 1)]
+
 
+def key_of(level: Column) -> Column:
+    """The group of a row at a level: its language and source, its language, or all rows."""
+    return F.struct(level.alias("level"), F.when(level < 2, F.col("lang")).otherwise("").alias("g_lang"), F.when(level == 0, F.col("source")).otherwise("").alias("g_source"))
 
-KEY = ["level", "g_lang", "g_source"]
+
+def group_levels(stats: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
+    """lang, source, level (whose estimate their rows use) and member_of (levels whose estimates their rows go into)."""
+    pairs = stats.groupBy("lang", "source").agg(F.count_if(~F.col("base_failed")).alias("n"))
+    langs = materialize(pairs.groupBy("lang").agg(F.sum("n").alias("n_lang"), F.max(F.col("n") < least_rows).alias("some")), "langs")
+    everything = bool(langs.agg(F.max(F.col("some") & (F.col("n_lang") < least_rows))).first()[0])
+    level = F.when(F.col("n") >= least_rows, 0).when(F.col("n_lang") >= least_rows, 1).otherwise(2)
+    member_of = F.array(F.when(F.col("n") >= least_rows, 0), F.when(F.col("some") & (F.col("n_lang") >= least_rows), 1), F.when(F.lit(everything), 2))
+    return pairs.join(langs, "lang").select("lang", "source", level.alias("level"), F.filter(member_of, lambda x: x.isNotNull()).alias("member_of"))
 
 
-def _distance(p: str = "p.") -> Column:
-    """Squared Mahalanobis distance from the mean m0.. with the Cholesky factor l00, l10, ..: forward substitution."""
+def _z(p: str = "p.") -> list[Column]:
+    """Parts of the vector from the mean m0.., by forward substitution with the Cholesky factor l00, l10, ..."""
     z: list[Column] = []
-    for i in range(PARTS):
+    for i in XS:
         rest = F.col(f"x{i}") - F.col(f"{p}m{i}")
         for j in range(i):
             rest = rest - F.col(f"{p}l{i}{j}") * F.col(f"z{j}")
@@ -137,74 +166,98 @@ def _distance(p: str = "p.") -> Column:
     return z
 
 
-def with_distance(df: DataFrame, out: str = "d2") -> DataFrame:
-    """Adds the distance of x0.. under the estimate in the struct column p; null where there is none."""
-    for i, z in enumerate(_distance()):
+def with_distance(df: DataFrame) -> DataFrame:
+    """Adds d2, the squared distance of x0.. under the estimate in the struct column p; null where there is none."""
+    for i, z in enumerate(_z()):
         df = df.withColumn(f"z{i}", z)
-    return df.withColumn(out, sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, PARTS)), F.col("z0") * F.col("z0"))).drop(*(f"z{i}" for i in range(PARTS)))
+    return df.withColumn("d2", sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, PARTS)), F.col("z0") * F.col("z0"))).drop(*(f"z{i}" for i in XS))
+
+
+def bucket(d2: Column) -> Column:
+    return F.floor(F.log2(d2 + 1e-6) * BUCKETS)
 
 
-def cholesky(df: DataFrame, ridge: float = 1e-3) -> DataFrame:
-    """From means m0.. and covariances c00, c10, ..: the lower factor l00, l10, .. A small ridge keeps constant parts usable."""
-    for i in range(PARTS):
+def cholesky(df: DataFrame) -> DataFrame:
+    """From means m0.. and covariances c00, c10, ..: the lower factor l00, l10, .. with the least spread added, and log_det."""
+    for i in XS:
         for j in range(i + 1):
-            rest = F.col(f"c{i}{j}") + (F.lit(ridge) if i == j else F.lit(0.0))
+            rest = F.col(f"c{i}{j}") + (F.lit(LEAST_SPREAD[i] ** 2) if i == j else F.lit(0.0))
             for k in range(j):
                 rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            df = df.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(ridge * ridge))) if i == j else rest / F.col(f"l{j}{j}"))
-    return df.drop(*(f"c{i}{j}" for i in range(PARTS) for j in range(i + 1)))
+            df = df.withColumn(f"l{i}{j}", F.sqrt(rest) if i == j else rest / F.col(f"l{j}{j}"))
+    log_det = sum((F.log(F.col(f"l{i}{i}")) for i in range(1, PARTS)), F.log(F.col("l00"))) * 2
+    return df.withColumn("log_det", log_det).drop(*(f"c{i}{j}" for i in XS for j in range(i + 1)))
 
 
 def _attach(df: DataFrame, params: DataFrame, salts: int) -> DataFrame:
-    """df with the struct p of its group; the group side is copied ``salts`` times so that a hot group spreads."""
+    """df with the struct p of its group (each, if it has several); the group side is copied ``salts`` times so that a hot group spreads."""
     packed = params.select(*KEY, F.struct(*[c for c in params.columns if c not in KEY]).alias("p"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    salted = df.withColumn("salt", F.pmod(F.hash("doc_id", "x0", "x1"), F.lit(salts)))
+    salted = df.withColumn("salt", F.pmod(F.hash(*(f"x{i}" for i in XS)), F.lit(salts)))
     return salted.join(packed, [*KEY, "salt"], "left").drop("salt")
 
 
-def mcd(vectors: DataFrame, support: float = SUPPORT, steps: int = STEPS, salts: int = SALTS) -> DataFrame:
-    """One row per group, language and the whole: n, m*, l*, scale (median of the squared distance)."""
-    xs = range(PARTS)
-    rows = _levels(vectors.select("doc_id", "lang", "source", *(f"x{i}" for i in xs)))
-    med = rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), *(F.percentile_approx(f"x{i}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 2000).alias(f"q{i}") for i in xs))
-    # the interquartile range over 1.349 stands for the deviation at the start
-    start = med.select(*KEY, "n", *(F.col(f"q{i}")[1].alias(f"m{i}") for i in xs), *((F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(2)) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i in xs for j in range(i + 1)))
-    params = materialize(cholesky(start), "mcd")
-    for _ in range(steps):
-        near = with_distance(_attach(rows, params.drop("n"), salts))
-        near = near.drop("p")
-        limit = near.groupBy(*KEY).agg(F.percentile_approx("d2", support, 2000).alias("limit"))
-        limits = materialize(params.join(limit, KEY), "mcd")
-        kept = with_distance(_attach(rows, limits.drop("n"), salts)).where("d2 <= p.limit")
-        means = {f"m{i}": F.avg(f"x{i}") for i in xs}
-        covs = {f"c{i}{j}": F.covar_pop(f"x{i}", f"x{j}") for i in xs for j in range(i + 1)}
-        step = kept.groupBy(*KEY).agg(*(c.alias(k) for k, c in {**means, **covs}.items()))
-        params = materialize(cholesky(params.select(*KEY, "n").join(step, KEY)), "mcd")
-    near = with_distance(_attach(rows, params.drop("n"), salts))
-    scale = near.groupBy(*KEY).agg(F.percentile_approx("d2", 0.5, 2000).alias("scale"))
-    return materialize(params.join(scale, KEY), "mcd")
-
-
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cut: float = CUT, least_rows: int = LEAST_ROWS, support: float = SUPPORT, steps: int = STEPS, salts: int = SALTS) -> DataFrame:
+def _at_share(counts: DataFrame, by: list[str], share: float, out: str) -> DataFrame:
+    """by, ``out``: the least bucket b up to which the share of the rows lies. ``counts``: by, b, k; a group has a bounded number of buckets."""
+    group = Window.partitionBy(*by)
+    so_far = F.sum("k").over(group.orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return counts.select(*by, "b", so_far.alias("so_far"), F.sum("k").over(group).alias("all")).where(F.col("so_far") >= F.ceil(share * F.col("all"))).groupBy(*by).agg(F.min("b").alias(out))
+
+
+def _moments(rows: DataFrame, by: list[str]) -> DataFrame:
+    """by, m0.., c00, c10, ..: means and covariances, rounded so that the order of their sums does not show."""
+    means = {f"m{i}": F.avg(f"x{i}") for i in XS}
+    covs = {f"c{i}{j}": F.covar_pop(f"x{i}", f"x{j}") for i in XS for j in range(i + 1)}
+    return rows.groupBy(*by).agg(*(F.round(c, 10).alias(k) for k, c in {**means, **covs}.items()))
+
+
+def _starts(members: DataFrame) -> DataFrame:
+    """KEY, start, m*, c*: the plain estimate, and coordinate medians with squared interquartile ranges over 1.349."""
+    plain = _moments(members, KEY).withColumn("start", F.lit(0))
+    long = members.select(*KEY, F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.floor(F.col(f"x{i}") * BUCKETS).alias("b")) for i in XS))).alias("e")).select(*KEY, "e.i", "e.b")
+    counts = long.groupBy(*KEY, "i", "b").agg(F.count(F.lit(1)).alias("k"))
+    at = lambda share, name: _at_share(counts, [*KEY, "i"], share, name)
+    quarters = at(0.25, "low").join(at(0.5, "mid"), [*KEY, "i"]).join(at(0.75, "high"), [*KEY, "i"])
+    of = lambda i, c: F.max(F.when(F.col("i") == i, c))
+    wide = F.pow((F.col("high") - F.col("low")) / (BUCKETS * 1.349), F.lit(2.0))
+    middle = quarters.groupBy(*KEY).agg(*(of(i, F.col("mid") / BUCKETS).alias(f"m{i}") for i in XS), *((of(i, wide) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i in XS for j in range(i + 1)))
+    return plain.unionByName(middle.withColumn("start", F.lit(1)))
+
+
+def mcd(members: DataFrame, support: float = SUPPORT, salts: int = SALTS) -> DataFrame:
+    """KEY, m*, l*, log_det, scale (median of the squared distance) of each group in ``members`` (KEY, x0..)."""
+    by = [*KEY, "start"]
+    params = materialize(cholesky(_starts(members)), "mcd")
+
+    def near(known: DataFrame) -> DataFrame:
+        rows = with_distance(_attach(members, known, salts))
+        return rows.select(*KEY, F.col("p.start").alias("start"), *(f"x{i}" for i in XS), bucket(F.col("d2")).alias("b"), *([F.col("p.limit").alias("limit")] if "limit" in known.columns else []))
+
+    counted = lambda known: near(known).groupBy(*by, "b").agg(F.count(F.lit(1)).alias("k"))
+    for _ in range(MOST_STEPS):
+        limits = params.join(_at_share(counted(params), by, support, "limit"), by)
+        after = materialize(cholesky(_moments(near(limits).where("b <= limit"), by)), "mcd")
+        moved = after.join(params.select(*by, F.col("log_det").alias("was")), by).agg(F.max(F.abs(F.col("log_det") - F.col("was")))).first()[0]
+        params = after
+        if moved is None or moved <= STILL:
+            break
+    least = params.groupBy(*KEY).agg(F.min_by("start", F.struct("log_det", "start")).alias("start"))
+    best = materialize(params.join(least, by), "mcd")
+    scale = _at_share(counted(best), by, 0.5, "b").select(*by, F.pow(F.lit(2.0), (F.col("b") + 0.5) / BUCKETS).alias("scale"))
+    return materialize(best.join(scale, by).drop("start"), "mcd")
+
+
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cut: float = CUT, least_rows: int = LEAST_ROWS, support: float = SUPPORT, salts: int = SALTS) -> DataFrame:
     """One row per input row: the base statistics, base_failed, distance2 (scaled) and kept."""
     stats = with_vector(materialize(base_statistics(docs, id_col, text_col, lang_col, source_col), "quality"))
+    levels = materialize(group_levels(stats, least_rows), "levels")
     # texts that the base rule rejects say nothing about ordinary ones
-    params = mcd(stats.where("not base_failed"), support, steps, salts)
-    usable = params.where((F.col("n") >= least_rows) | (F.col("level") == 2))
-    best = usable.select(*KEY).where("level < 2")
-    # which level each (language, source) uses: its own, its language's, or that of all rows
-    pairs = stats.groupBy("lang", "source").count().drop("count")
-    own = best.where("level = 0").select(F.col("g_lang").alias("lang"), F.col("g_source").alias("source"), F.lit(True).alias("own"))
-    tongue = best.where("level = 1").select(F.col("g_lang").alias("lang"), F.lit(True).alias("tongue"))
-    level = F.when(F.col("own"), 0).when(F.col("tongue"), 1).otherwise(2)
-    chosen = pairs.join(own, ["lang", "source"], "left").join(tongue, "lang", "left").select("lang", "source", level.alias("level"))
-    keyed = chosen.select("lang", "source", "level", F.when(F.col("level") < 2, F.col("lang")).otherwise("").alias("g_lang"), F.when(F.col("level") == 0, F.col("source")).otherwise("").alias("g_source"))
-    by_pair = keyed.join(usable, KEY).select(F.lit(0).alias("level"), F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), *(c for c in usable.columns if c not in KEY))
-    rows = stats.select("*", F.lit(0).alias("level"), F.col("lang").alias("g_lang"), F.col("source").alias("g_source"))
-    scored = with_distance(_attach(rows, materialize(by_pair, "mcd"), salts))
-    distance = F.col("d2") * CHI2_MEDIAN / F.greatest(F.col("p.scale"), F.lit(CHI2_MEDIAN * 0.25))
+    usable = stats.where("not base_failed").join(levels.select("lang", "source", "member_of"), ["lang", "source"])
+    members = usable.withColumn("g", F.explode(F.transform("member_of", key_of))).select("g.*", *(f"x{i}" for i in XS))
+    params = mcd(materialize(members, "members"), support, salts)
+    rows = stats.join(levels.select("lang", "source", "level"), ["lang", "source"]).withColumn("g", key_of(F.col("level"))).drop("level").select("*", "g.*")
+    distance = F.col("d2") * F.least(F.lit(1.0), CHI2_MEDIAN / F.col("p.scale"))
     kept = ~F.col("base_failed") & F.coalesce(distance <= cut, F.lit(True))
-    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.round(distance, 6).alias("distance2"))
+    return with_distance(_attach(rows, params, salts)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.round(distance, 6).alias("distance2"))
 
 
 #: The base columns in DuckDB; the verdict of the method is tested against a brute-force version.
