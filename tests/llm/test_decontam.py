@@ -34,11 +34,21 @@ def test_against_brute_force(spark, edge_rows, vocabulary):
     rows = [x for x in edge_rows if len(x[1] or "") < 10_000] + [(500 + i, sentence(r, 60, few) + " " + items[6][1].upper() + ", " + sentence(r, 5, few), "en", "a") for i in range(20)]
     docs, bench = make_docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")
     want = sorted((str(x[0]), *brute(x[1], items)) for x in rows)
-    for size in (decontam.BLOCK_CHARS, 60):
-        got = decontam.contamination(docs, bench, block_chars=size).collect()
+    for size, words in ((decontam.BLOCK_CHARS, decontam.PIECE_WORDS), (decontam.BLOCK_CHARS, 3), (200, 7)):
+        got = decontam.contamination(docs, bench, block_chars=size, piece_words=words).collect()
         assert sorted((str(x.doc_id), x.n_words, x.n_hit, x.n_items, x.items_sha256, x.contaminated) for x in got) == want
-    kept = decontam.drop_contaminated(docs, bench)
-    assert kept.columns == docs.columns and kept.count() == sum(not x[-1] for x in want)
+        kept = decontam.drop_contaminated(docs, bench, block_chars=size, piece_words=words)
+        assert kept.columns == docs.columns and kept.count() == sum(not x[-1] for x in want)
+
+
+def test_blocks_are_bounded(spark, vocabulary):
+    """One long item and many equal ones: pieces are cut and equal ones become one, so no block is much larger than asked."""
+    r = random.Random(3)
+    long, same = sentence(r, 5_000, vocabulary), sentence(r, 40, vocabulary)
+    bench = spark.createDataFrame([(0, long), *((i, same) for i in range(1, 400))], "item_id long, text string")
+    sizes = [sum(len(p) for _, _, b in t.groups for x in b.values() for p, _ in x) for t in decontam.blocks_of(bench, block_chars=3_000, piece_words=50)]
+    assert len(sizes) > 8 and max(sizes) < 4 * sum(sizes) / len(sizes)
+    assert len(list(decontam.blocks_of(bench, block_chars=10**7))) == 1
 
 
 def test_empty_tables(spark):
