@@ -1,15 +1,16 @@
 """Operator 9: secret scans with a random forest that removes false positives.
 
-Candidates are runs of 16 or more key-like characters that hold a letter, and values of six or more
-characters assigned to names such as password or token, both at their full length. Each candidate's features (length, character transitions,
-entropy, dictionary coverage, place in a path, neighbouring words) go through a random forest of
+Candidates are private key blocks, values of six or more characters assigned to names such as password or token,
+and runs of 16 or more key-like characters that hold a letter, all at their full length. Each candidate's features (length,
+character transitions, entropy, dictionary coverage, place in a path, neighbouring words) go through a random forest of
 Spark's ML library, fitted to labelled findings; the verdict is its probability of a secret.
 
-The labelled findings are a small table of kinds of true and false findings, filled in by rule
-with a fixed seed; their number is a parameter, so fitting is bounded.
+The labelled findings are a table of kinds of findings, one line of text each with its label, as they stand in settings, code,
+logs and prose (``KINDS``). Values are drawn by rule with a fixed seed, so that no key stands in the repository; their
+number is a parameter, so fitting is bounded. Tests hold out whole kinds, not draws of a kind that was learned.
 
 Defined results: null or empty text has no candidates and so no rows; candidates do not overlap
-(an assigned value goes first); runs without a letter are no candidates unless assigned; repeated
+(key blocks go first, then assigned values); runs without a letter are no candidates unless assigned; repeated
 rows each give their own findings; other columns are ignored. Work is linear in a text's length.
 """
 
@@ -31,7 +32,8 @@ from pyspark.sql import functions as F
 from larder.llm.common import id_and_text, pieces
 
 #: Labelled findings of each kind that fit the forest.
-EACH_KIND = 60
+EACH_KIND = 24
+_BLOCK = re.compile(r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s]*+(?:-----END [A-Z0-9 ]{0,40}PRIVATE KEY-----)?")
 _RUN = re.compile(r"(?<![A-Za-z0-9_+/=.-])[A-Za-z0-9_+/=.-]{16,}+")
 _ASSIGNED = re.compile(r"(?i)(?<![a-z])(password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth)[\"']?[ \t]{0,4}[=:][ \t]{0,4}[\"']?([^\s\"'<>,;]{6,}+)")
 _LETTER = re.compile("[A-Za-z]")
@@ -43,13 +45,20 @@ FEATURES = ("length", "letters", "digits", "transitions", "rare", "entropy", "di
 
 
 def candidates(text: str) -> Iterator[tuple[str, int, int]]:
-    """(kind, start, end): assigned values first, then other runs that hold a letter."""
-    taken: list[tuple[int, int]] = []
+    """(kind, start, end): key blocks and assigned values, then other runs that hold a letter."""
+    taken = [(m.start(), m.start() + len(m[0].rstrip())) for m in _BLOCK.finditer(text)]
+    for block in taken:
+        yield "block", *block
+    blocks, i = len(taken), 0
     for m in _ASSIGNED.finditer(text):
         value = m[2].rstrip(".)]}")
-        if len(value) >= 6:
-            taken.append((m.start(2), m.start(2) + len(value)))
-            yield "assigned", *taken[-1]
+        start, end = m.start(2), m.start(2) + len(value)
+        while i < blocks and taken[i][1] <= start:
+            i += 1
+        if len(value) >= 6 and not (i < blocks and taken[i][0] < end):
+            taken.append((start, end))
+            yield "assigned", start, end
+    taken.sort()
     i = 0
     for m in _RUN.finditer(text):
         start, end = m.start(), m.end()
@@ -72,6 +81,11 @@ def _kind(c: str) -> int:
     return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
 
 
+def _near(text: str, start: int, end: int) -> list[str]:
+    """Whole words between two places; one that reaches over an outer end of the window is none."""
+    return [m[0].lower() for m in _WORD.finditer(text, start, end) if not (m.start() == start > 0 and text[start - 1].isalpha()) and not (m.end() == end < len(text) and text[end].isalpha())]
+
+
 def describe(text: str, kind: str, start: int, end: int) -> list[float]:
     """The features of one candidate, in the order of FEATURES."""
     run = text[start:end]
@@ -87,59 +101,143 @@ def describe(text: str, kind: str, start: int, end: int) -> list[float]:
             hit = next((k for k in range(min(12, len(word) - at), 3, -1) if word[at : at + k] in DICTIONARY), 0)
             covered += hit
             at += hit or 1
-    before = [w.lower() for w in _WORD.findall(text[max(0, start - 40) : start])][-3:]
-    after = [w.lower() for w in _WORD.findall(text[end : end + 24])][:2]
+    before = _near(text, max(0, start - 40), start)[-3:]
+    after = _near(text, end, min(len(text), end + 24))[:2]
     near = [*before, *after]
     in_path = low.count("/") + (start > 0 and text[start - 1] in "/\\") + ("://" in text[max(0, start - 24) : start])
     return [
         float(n), letters / n, digits / n, sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / max(1, n - 1), rare / max(1, n - 1),
-        _entropy(run), len(set(run)) / n, covered / max(1, letters), float(in_path), float(kind == "assigned"), float(sum(w in CUES for w in before)), float(sum(w in ANTI for w in near)),
+        _entropy(run), len(set(run)) / n, covered / max(1, letters), float(in_path), float(kind != "run") + float(kind == "block"), float(sum(w in CUES for w in before)), float(sum(w in ANTI for w in near)),
         float(bool(re.fullmatch("[0-9a-fA-F]+", run))), sum(k == 1 for k in kinds) / n, float(run.startswith(("AKIA", "ASIA", "ghp_", "gho_", "sk_live_", "xox", "AIza", "eyJ"))),
         sum(a == b for a, b in zip(low, low[1:], strict=False)) / max(1, n - 1), sum(k == 3 for k in kinds) / n,
     ]
 
 
-def labelled_findings(each: int = EACH_KIND, seed: int = 11) -> list[tuple[list[float], float]]:
-    """(features, 1 for a secret): true and false findings of each kind, by rule."""
+#: Kinds of findings: label (1 for a secret) and a line in which one candidate is drawn by rule. {hex40}: so many characters; {hex16-64}: a number between.
+KINDS = """
+1 password={hex18} and then
+1 export DB_PASSWORD={odd9-20}
+1 "password": "{mixed12-30}",
+1 passwd: {odd10-16} # production
+1 spring.datasource.password={mixed12-24}
+1 the token = "{hex40}" is used
+1 auth_token: {hex32}
+1 access_token={mixed40-180}&expires=3600
+1 secret = '{base40}='
+1 aws_secret_access_key = {base40}
+1 the secret access key {base40} of the account
+1 api_key={hex16-64}
+1 "apiKey": "{mixed20-48}"
+1 apikey {mixed32} for the service
+1 X-Api-Key: {mixed24-40}
+1 private_key={base200-2000}
+1 my private key {base400-2400} stays here
+1 Authorization: Bearer {mixed32-80}
+1 Authorization: Bearer eyJ{mixed200-2000}
+1 curl -H 'Authorization: token ghp_{mixed36}'
+1 use ghp_{mixed36} to push
+1 key AKIA{up16} in use
+1 AKIA{up16}
+1 charged with sk_live_{mixed24}
+1 maps AIza{mixed35} loaded
+1 slack xoxb-{digits12}-{mixed24}
+1 client_secret: {mixed24-40}
+1 token: {letters20-48}
+1 secret key {letters24-80} given by mail
+1 password={phrase3-5}
+1 pwd = {lower14-30}
+1 secret: {up20-40}
+1 https://user:{mixed16-24}@host.example.com with secret
+1 credentials {mixed20-32}:{mixed30} of the bot
+1 -----BEGIN RSA PRIVATE KEY-----{base800-1600}-----END RSA PRIVATE KEY-----
+1 -----BEGIN PRIVATE KEY-----{base400-900}
+0 fixed in commit {hex40} today
+0 merge {hex40} into main
+0 sha256 checksum {hex64} of the file
+0 sha256:{hex64}
+0 md5 {hex32} matches
+0 "integrity": "sha512-{base86}=="
+0 ETag {hex32}
+0 id {uuid} created
+0 request {uuid} took 30 ms
+0 "guid": "{uuid}"
+0 see {path3-6}/{digits4}.html for more
+0 import {dotted3-5}.{camel}
+0 from {dotted3-4} it
+0 {path3-6}.py line 20
+0 https://www.example.com/{path2-4}/{digits5}
+0 https://{word}.example.com/{word}-{word}-{word}-{digits4}
+0 www.{word}{word}.com
+0 write to {word}.{word}@mail.{word}.example.com
+0 def {snake3-5}(self)
+0 class {camel}{camel}Test
+0 {camel}{camel}
+0 const {snake3-4}{digits2} = 5
+0 .{dash3-5} { color: red }
+0 version {digits1}.{digits2}.{digits1}-{word}-build{digits3}
+0 {word}-{word}-{digits1}.{digits2}.{digits1}.tar.gz
+0 order {digits12}-{upperword} shipped
+0 invoice {digits10}{upperword}
+0 isbn {digits13}x
+0 password: changeme1
+0 password=your_password_1
+0 token = xxxxxxxxxxxx
+0 secret: ********
+0 api_key=<your-api-key>
+0 password: {plain}
+0 token: {word}{word}
+0 password is {plain}
+0 secret = {word}_placeholder
+0 password: os.environ['{word}']
+0 token = get_{snake2}()
+0 password={snake2}
+0 auth: {word}.{word}.{word}
+0 data image png {base300-2400}
+0 {same16-2000}
+0 {compound3-5} in prose
+0 {capital3-5} in prose
+0 {upper3-4} in prose
+0 {syllables6-12} and so on
+0 {Syllables6-12} and so on
+0 {syllables4}-{syllables5} und so
+0 token: {syllables3-4}
+0 {long40-300}
+0 the {word}/{word}/{word}/{word} choice
+"""
+_DRAWN = re.compile(r"\{([A-Za-z]+)(\d*)(?:-(\d+))?\}")
+#: Words of no dictionary entry, as people choose them.
+_PLAIN = "required optional correct horse battery staple string missing expired invalid unknown nothing hidden protected generated rotating yellow river garden winter mountain silver orange falcon planet kitchen shadow bridge candle harbour meadow lantern pepper violet thunder".split()
+
+
+def labelled_findings(each: int = EACH_KIND, seed: int = 11, kinds: str = KINDS) -> list[tuple[list[float], float]]:
+    """(features, 1 for a secret) of ``each`` findings of every kind, measured at the candidates that the scan finds."""
     r = random.Random(seed)
-    pick = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
-    hexes, up, mixed, words = "0123456789abcdef", string.ascii_uppercase + "234567", string.ascii_letters + string.digits, sorted(DICTIONARY)
-    filler = ["the and of", "see also", "for more", "in with", "la que de", "und der die", "les des une"]
-    plain = "required optional correct horse battery staple string missing expired invalid unknown nothing hidden protected generated rotating yellow river garden winter mountain silver orange falcon planet kitchen shadow bridge candle harbour meadow lantern pepper violet thunder".split()
-    syllables = lambda n: "".join(r.choice("bdfgklmnprstvz") + r.choice("aeiou") + r.choice(["", "", "n", "r", "s", "l", "ch", "tz", "rb"]) for _ in range(n))
-    name = lambda: r.choice(["password", "token", "secret", "api_key", "apikey", "access_key", "pwd"])
-    sign = lambda: r.choice(["=", " = ", ": ", '="', ' = "'])
-    true = [
-        lambda: ("", "AKIA" + pick(up, 16)), lambda: ("key ", "AKIA" + pick(up, 16)), lambda: ("", "ghp_" + pick(mixed, 36)), lambda: ("", "sk_live_" + pick(mixed, 24)), lambda: ("", "AIza" + pick(mixed + "_-", 35)),
-        lambda: (f"{name()}{sign()}", pick(hexes, r.choice([16, 18, 20, 24, 32, 40, 64]))), lambda: (f"{name()}{sign()}", pick(mixed, r.randint(12, 48))), lambda: (f"{name()}{sign()}", pick(mixed + "+/", 40) + "="),
-        lambda: (f"{name()}{sign()}", pick(mixed + "!#$%&*", r.randint(9, 20))), lambda: ("Bearer ", pick(mixed + "_-", r.randint(32, 80))), lambda: ("secret access ", pick(mixed + "+/", 40)),
-        lambda: ("Bearer ", "eyJ" + pick(mixed + "_-", r.randint(200, 2000))), lambda: ("private key ", pick(mixed + "+/", r.randint(400, 2400))), lambda: (f"{name()}{sign()}", pick(mixed + "+/", r.randint(200, 2000))),
-        lambda: (f"{name()}{sign()}", pick(string.ascii_letters, r.randint(12, 48))), lambda: (f"{name()}{sign()}", pick(string.ascii_lowercase, r.randint(14, 40))), lambda: (f"{name()}{sign()}", "".join(r.choice(plain) for _ in range(r.randint(3, 5)))), lambda: (r.choice(["Bearer ", "secret key "]), pick(string.ascii_letters, r.randint(24, 80))),
-    ]
-    false = [
-        lambda: ("commit ", pick(hexes, 40)), lambda: ("sha256 checksum ", pick(hexes, 64)), lambda: ("md5 ", pick(hexes, 32)), lambda: ("id ", "-".join(pick(hexes, k) for k in (8, 4, 4, 4, 12))),
-        lambda: ("", "_".join(r.choice(words) for _ in range(r.randint(3, 5))) + str(r.randint(0, 99))), lambda: ("", "/".join(r.choice(words) for _ in range(r.randint(3, 6))) + f"/{r.randint(1, 2030)}.html"),
-        lambda: ("https://", f"{r.choice(words)}.example.com/{r.choice(words)}/{r.randint(1, 9999)}"), lambda: (f"{name()}{sign()}", r.choice(["changeme1", "your_password_1", "xxxxxxxx", "example123", "<password>1", "test1234", "********", "placeholder_1"])),
-        lambda: ("", "".join(w.capitalize() for w in r.sample(words, 3)) + str(r.randint(1, 20))), lambda: ("version ", ".".join(str(r.randint(0, 30)) for _ in range(3)) + "-" + r.choice(words) + "-build" + str(r.randint(1, 999))),
-        lambda: (f"{name()}: ", "os.environ['" + r.choice(words) + "']"), lambda: ("order ", pick(string.digits, 12) + "-" + r.choice(words).upper()), lambda: ("", f"{r.choice(words)}.{r.randint(10, 99)}-{r.choice(words)}-{r.choice(words)}-2024"),
-        lambda: ("image png ", pick(mixed + "+/", r.randint(300, 2400))), lambda: ("", "/".join(r.choice(words) + r.choice(["", str(r.randint(1, 99))]) for _ in range(r.randint(40, 300)))), lambda: ("", r.choice(string.ascii_letters + string.digits) * r.randint(16, 2000)), lambda: ("", r.choice(["-", "_", "/", "."]).join(r.choice(words + plain) for _ in range(r.randint(3, 6)))),
-        lambda: ("", "".join(w.capitalize() for w in r.sample(words, r.randint(3, 5)))), lambda: ("https://", f"www.{r.choice(words)}.com/{r.choice(words)}/{r.choice(plain)}"), lambda: ("", r.choice([str, str.capitalize, str.upper])(syllables(r.randint(6, 12)))), lambda: (f"{name()}{sign()}", r.choice([w for w in [*words, *plain] if len(w) > 5] + ["placeholder", "your_password", "undefined", "changeme"])),
-        lambda: (f"{name()}: ", syllables(r.randint(3, 4))),
-    ]
+    words = sorted(DICTIONARY)
+    sets = {"hex": "0123456789abcdef", "mixed": string.ascii_letters + string.digits, "base": string.ascii_letters + string.digits + "+/", "up": string.ascii_uppercase + "234567", "digits": string.digits, "letters": string.ascii_letters, "lower": string.ascii_lowercase, "odd": string.ascii_letters + string.digits + "!#$%&*"}
+    syllable = lambda: r.choice("bdfgklmnprstvz") + r.choice("aeiou") + r.choice(["", "", "n", "r", "s", "l", "ch", "tz", "rb"])
+    pick = lambda n, of=words: [r.choice(of) for _ in range(n)]
+    made = {
+        "uuid": lambda n: "-".join("".join(pick(k, sets["hex"])) for k in (8, 4, 4, 4, 12)), "path": lambda n: "/".join(pick(n)), "dotted": lambda n: ".".join(pick(n)), "snake": lambda n: "_".join(pick(n)), "dash": lambda n: "-".join(pick(n)),
+        "word": lambda n: r.choice(words), "plain": lambda n: r.choice([w for w in _PLAIN if len(w) > 5]), "upperword": lambda n: r.choice(words).upper(), "camel": lambda n: "".join(w.capitalize() for w in pick(2)), "phrase": lambda n: "".join(pick(n, _PLAIN)),
+        "compound": lambda n: "".join(pick(n)), "capital": lambda n: "".join(w.capitalize() for w in pick(n)), "upper": lambda n: "".join(pick(n)).upper(), "syllables": lambda n: "".join(syllable() for _ in range(n)), "Syllables": lambda n: "".join(syllable() for _ in range(n)).capitalize(),
+        "same": lambda n: r.choice(sets["mixed"]) * n, "long": lambda n: "/".join(pick(n, words + _PLAIN)),
+    }
+
+    def draw(m: re.Match) -> str:
+        n = r.randint(int(m[2]), int(m[3])) if m[3] else int(m[2] or 0)
+        return made[m[1]](n) if m[1] in made else "".join(pick(n, sets[m[1]]))
+
     out = []
-    for label, makers in ((1.0, true), (0.0, false)):
-        for make in makers:
-            for _ in range(each):
-                lead, value = make()
-                lead = f"{r.choice(filler)} {lead}"
-                kind = "assigned" if re.search(r"[=:]\s*\"?$", lead) else "run"
-                text = f"{lead}{value} {r.choice(filler)}"
-                out.append((describe(text, kind, len(lead), len(lead) + len(value)), label))
+    for line in kinds.strip().splitlines():
+        label, text = line.split(" ", 1)
+        for _ in range(each):
+            drawn = f"{r.choice(['the and of', 'see also', 'in with', 'la que de', 'und der die', 'les des une', ''])} {_DRAWN.sub(draw, text)} {r.choice(['and so', 'de la', 'und', ''])}"
+            out += [(describe(drawn, *found), float(label)) for found in candidates(drawn)]
     return out
 
 
-def train(spark: SparkSession, each: int = EACH_KIND, trees: int = 24, depth: int = 7) -> RandomForestClassificationModel:
-    rows = spark.createDataFrame(labelled_findings(each), "x array<double>, label double").coalesce(1)
+def train(spark: SparkSession, each: int = EACH_KIND, trees: int = 32, depth: int = 9, kinds: str = KINDS) -> RandomForestClassificationModel:
+    rows = spark.createDataFrame(labelled_findings(each, kinds=kinds), "x array<double>, label double").coalesce(1)
     return RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=trees, maxDepth=depth, seed=7).fit(rows.select(array_to_vector("x").alias("features"), "label"))
 
 
