@@ -9,10 +9,12 @@ strings stay equal). There rows are sorted by (bucket, document, start) and ever
 before in that order is removed; comparison is by the words themselves, so counts are exact. The
 removed windows are gathered per document and joined back to its text.
 
-Hot buckets: a sample of documents names the minimisers that are very frequent (it decides how
-rows travel, never what is removed). They skip the first round. Their windows travel one by one to the
-bucket of their whole content, and each task first keeps only the earliest of equal windows, so that a
-passage found in a third of all documents reaches its bucket once per task.
+Hot buckets, in two ways that change how rows travel and never what is removed. Minimisers that hold ``share`` or more of
+the repeated super-k-mers of a sample (so there are 1 / share of them at most) skip the first round, where they would fill one
+task. Minimisers of more than ``large`` windows, counted exactly in the first round, and those of the sample, have no
+string in a bucket: their windows travel one by one to the bucket of their whole content, and each task first keeps
+only the earliest of equal windows, so that a passage found in a third of all documents reaches its bucket
+once per task and no bucket holds more than ``large`` different windows.
 
 Defined results: null or empty text has no words; fewer than 20 words make no window; a null
 doc_id comes before every other; rows with the same doc_id count as one document, and equal windows
@@ -33,20 +35,24 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import pieces, words_of
+from larder.llm.common import materialize, pieces, words_of
 
 WINDOW, RUN = 20, 4
-#: One in so many documents is looked at for frequent minimisers; those met so often in it are hot, at most so many.
-SAMPLE_ONE_IN, HOT_COUNT, HOT_MOST = 64, 256, 100_000
-#: Documents, and characters of each, that train the dictionary of the packed strings; size of the dictionary.
+#: One in so many documents is looked at for frequent minimisers; hot are those of this share of its super-k-mers whose minimiser was met so often at least.
+SAMPLE_ONE_IN, HOT_SHARE, HOT_LEAST = 64, 1e-4, 8
+#: Windows of a bucket up to which its strings are compared in it.
+LARGE = 1 << 16
+#: Texts, of so many characters at most, that train the dictionary of the packed strings (it changes their size only); size of the dictionary.
 DICT_DOCS, DICT_CHARS, DICT_BYTES = 400, 4_000, 65_536
 #: Hot windows that a task holds at most before it sends them on.
 HELD = 50_000
 NONE = -(2**63)
 #: (document, digest) pairs that a task remembers at most, to leave out rows equal in both early.
 MET = 200_000
-#: A super-k-mer's span in 64 bits: 51 of the first window, 12 of the number of windows, and whether it travels on in any case.
-COUNT = 1 << 12  # 13 bits lie below the first window
+#: A super-k-mer's span in 64 bits: 50 of the first window, 12 of the number of windows, and the two marks.
+COUNT, SHIFT = 1 << 12, 14
+#: The minimiser occurs twice inside the run, so that windows may repeat there; the minimiser is hot or large.
+AGAIN, BY_CONTENT = 1, 2
 
 
 class _Hashes(dict):
@@ -149,23 +155,24 @@ def _packed(df: DataFrame, dictionary: bytes) -> DataFrame:
     return df.mapInArrow(scan, "doc_id bigint, digest bigint, body binary")
 
 
-def _hot(df: DataFrame, window: int, run: int, one_in: int, count: int) -> frozenset[int]:
-    """Minimisers met ``count`` times or more in a sample of documents; HOT_MOST at most, the most frequent."""
+def _hot(df: DataFrame, window: int, run: int, one_in: int, share: float, least: int) -> frozenset[int]:
+    """Minimisers that hold ``share`` or more of the super-k-mers, in a sample of documents, whose minimiser was met ``least`` times; 1 / share of them at most."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
             found = [np.zeros(0, dtype=np.int64), *(super_kmers(words_of(t), window, run)[0] for t in piece.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], names=["m"])
+            values, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(n.astype(np.int64))], names=["m", "n"])
 
-    sample = df.where(F.pmod(F.xxhash64("doc_id", "digest"), F.lit(one_in)) == 0).mapInArrow(scan, "m bigint")
-    often = sample.groupBy("m").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= count)
-    return frozenset(r.m for r in often.orderBy(F.desc("n"), "m").limit(HOT_MOST).select("m").collect())
+    sample = df.where(F.pmod(F.xxhash64("doc_id", "digest"), F.lit(one_in)) == 0).mapInArrow(scan, "m bigint, n bigint")
+    counts = materialize(sample.groupBy("m").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "minimisers")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return frozenset(r.m for r in counts.where(F.col("n") >= share * total).select("m").collect())
 
 
 def _places(df: DataFrame, hot: frozenset[int], window: int, run: int) -> DataFrame:
-    """key, doc_id, digest, span of every super-k-mer; hot ones under a key that spreads them, marked to travel on."""
+    """key, doc_id, digest, span of every super-k-mer; hot ones under a key that spreads them, marked to travel by content."""
     schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("digest", pa.int64()), ("span", pa.int64())])
-
     often = np.array(sorted(hot), dtype=np.int64)
     none = np.zeros(0, dtype=np.int64)
 
@@ -177,40 +184,58 @@ def _places(df: DataFrame, hot: frozenset[int], window: int, run: int) -> DataFr
                 if met.before(doc, digest):
                     continue
                 m, first, n, again = super_kmers(words_of(text), window, run)
+                marks = again * AGAIN
                 if len(often):
                     known = np.isin(m, often)
                     m = np.where(known, m ^ (first * 0x9E3779B1 + (doc ^ digest) % 2**40), m)
-                    again = again | known
+                    marks = marks | known * BY_CONTENT
                 keys.append(m)
                 docs.append(np.full(len(m), doc, dtype=np.int64))
                 digests.append(np.full(len(m), digest, dtype=np.int64))
-                spans.append((first.astype(np.int64) * COUNT + n) * 2 + again)
+                spans.append((first.astype(np.int64) * COUNT + n) * 4 + marks)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (keys, docs, digests, spans)], schema=schema)
 
     return df.mapInArrow(scan, "key bigint, doc_id bigint, digest bigint, span bigint")
 
 
-def _shared(places: DataFrame) -> DataFrame:
-    """doc_id, digest, span (first window, number of windows, and the mark to travel on) of super-k-mers whose minimiser occurs twice, or that travel on in any case."""
+def _shared(places: DataFrame, large: int) -> DataFrame:
+    """doc_id, digest, span of super-k-mers whose minimiser occurs twice; those of more than ``large`` windows are marked."""
     schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("span", pa.int64())])
 
+    def out(rows: np.ndarray, keep: np.ndarray, marked: np.ndarray | int) -> pa.RecordBatch:
+        span = rows[3] | (np.broadcast_to(marked, rows.shape[1:]) * BY_CONTENT)
+        return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (rows[1], rows[2], span)], schema=schema)
+
+    def complete(rows: np.ndarray) -> pa.RecordBatch:
+        """Buckets that are all there."""
+        key, n = rows[0], (rows[3] >> 2) % COUNT
+        starts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1]) if len(key) else np.zeros(0, dtype=np.int64)
+        size = np.diff(starts, append=len(key))
+        windows = np.add.reduceat(n, starts) if len(key) else n
+        return out(rows, (np.repeat(size, size) > 1) | ((rows[3] & 3) > 0), np.repeat(windows > large, size))
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # the last row waits for the next batch, which tells whether its key goes on; `tied`: whether it equals the one before it
-        last: tuple[int, ...] | None = None
-        tied = False
+        held = np.zeros((4, 0), dtype=np.int64)
+        over: int | None = None  # the key of a large bucket, whose rows go out as they come
         for batch in batches:
-            if not batch.num_rows:
+            rows = np.concatenate([held, np.stack([c.to_numpy() for c in batch.columns])], axis=1)
+            if over is not None:
+                others = np.flatnonzero(rows[0] != over)
+                n = int(others[0]) if len(others) else rows.shape[1]
+                yield out(rows[:, :n], np.ones(n, dtype=bool), 1)
+                rows = rows[:, n:]
+            if not rows.shape[1]:
+                held = rows
                 continue
-            key, *row = (batch.column(i).to_numpy() for i in range(4))
-            if last is not None:
-                key, *row = (np.concatenate([[x], c]) for x, c in zip(last, (key, *row), strict=True))
-            same = key[1:] == key[:-1]
-            keep = np.concatenate([[tied if last is not None else False], same]) | np.concatenate([same, [False]]) | ((row[2] & 1) == 1)
-            tied, last = bool(len(same) and same[-1]) if len(key) > 1 else tied, (int(key[-1]), *(int(c[-1]) for c in row))
-            keep = keep[:-1]
-            yield pa.RecordBatch.from_arrays([pa.array(c[:-1][keep]) for c in row], schema=schema)
-        if last is not None and (tied or last[3] & 1):
-            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in last[1:]], schema=schema)
+            others = np.flatnonzero(rows[0] != rows[0, -1])
+            cut = int(others[-1]) + 1 if len(others) else 0
+            yield complete(rows[:, :cut])
+            held, over = rows[:, cut:], None
+            if ((held[3] >> 2) % COUNT).sum() > large and held.shape[1] > 1:
+                over = int(held[0, -1])
+                yield out(held, np.ones(held.shape[1], dtype=bool), 1)
+                held = held[:, :0]
+        yield complete(held)
 
     return places.repartition("key").sortWithinPartitions("key").mapInArrow(scan, "doc_id bigint, digest bigint, span bigint")
 
@@ -218,8 +243,8 @@ def _shared(places: DataFrame) -> DataFrame:
 _ROW = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("digest", pa.int64()), ("start", pa.int32()), ("packed", pa.binary())])
 
 
-def _travelling(df: DataFrame, hot: frozenset[int], dictionary: bytes, window: int, run: int) -> DataFrame:
-    """The packed super-k-mers at the spans of each document, hot windows, and (packed null) windows known to be removed already.
+def _travelling(df: DataFrame, dictionary: bytes, window: int, run: int) -> DataFrame:
+    """The packed super-k-mers at the spans of each document, windows that travel by content, and (packed null) windows known to be removed already.
 
     ``df``: doc_id, digest, body, spans; of rows equal in doc_id and digest a task sends one.
     """
@@ -249,12 +274,12 @@ def _travelling(df: DataFrame, hot: frozenset[int], dictionary: bytes, window: i
                 whole = " ".join(words)
                 at = [0, *accumulate(len(w) + 1 for w in words)]
                 code = run_hashes(words, run)
-                firsts = np.array(spans, dtype=np.int64) >> 13
+                firsts = np.array(spans, dtype=np.int64) >> SHIFT
                 least = sliding_min(code, window - run + 1)[firsts].tolist()
                 for span, first, m in zip(spans, firsts.tolist(), least, strict=True):
-                    over = first + (span >> 1) % COUNT
-                    if m not in hot:
-                        if span & 1:
+                    over = first + (span >> 2) % COUNT
+                    if not span & BY_CONTENT:
+                        if span & AGAIN:
                             inside: set[str] = set()
                             # windows may repeat inside the string: those are known to be removed
                             for s in range(first, over):
@@ -336,17 +361,17 @@ def _removed(rows: DataFrame, dictionary: bytes, window: int) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "doc_id", "start", "digest").mapInArrow(scan, "doc_id bigint, digest bigint, start int, n int")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, run: int = RUN, one_in: int = SAMPLE_ONE_IN, hot_count: int = HOT_COUNT) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, run: int = RUN, one_in: int = SAMPLE_ONE_IN, share: float = HOT_SHARE, least: int = HOT_LEAST, large: int = LARGE) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept (the words that stay, one space apart)."""
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     df = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NONE)).alias("doc_id"), F.xxhash64(text).alias("digest"), text.alias("text"))
-    hot = _hot(df, window, run, one_in, hot_count)
-    few = df.where(F.pmod(F.xxhash64("digest"), F.lit(one_in)) == 0).select(F.substring("text", 1, DICT_CHARS).alias("text")).limit(DICT_DOCS)
+    hot = _hot(df, window, run, one_in, share, least)
+    few = df.where((F.pmod(F.xxhash64("digest"), F.lit(one_in)) == 0) & (F.length("text") <= DICT_CHARS)).select("text").limit(DICT_DOCS)
     dictionary = train_dictionary([r.text for r in few.collect()])
     key, packed = ["doc_id", "digest"], _packed(df, dictionary)
-    spans = _shared(_places(df, hot, window, run)).groupBy(*key).agg(F.collect_set("span").alias("spans"))
+    spans = _shared(_places(df, hot, window, run), large).groupBy(*key).agg(F.collect_set("span").alias("spans"))
     rows = packed.join(spans, key).select(*key, "body", "spans")
-    removed = _removed(_travelling(rows, hot, dictionary, window, run), dictionary, window)
+    removed = _removed(_travelling(rows, dictionary, window, run), dictionary, window)
     by_doc = removed.groupBy(*key).agg(F.collect_list(F.struct("start", "n")).alias("gone"))
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 

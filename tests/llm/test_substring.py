@@ -28,7 +28,7 @@ def brute(rows, window=20):
     return sorted(out)
 
 
-@pytest.mark.parametrize("options", [{}, {"one_in": 1, "hot_count": 2}, {"one_in": 1, "hot_count": 1}, {"run": 1}])
+@pytest.mark.parametrize("options", [{}, {"one_in": 1, "share": 0.0, "least": 1}, {"one_in": 1, "share": 0.002, "least": 2}, {"large": 1}, {"large": 40}, {"run": 1}])
 def test_against_brute_force(spark, edge_rows, vocabulary, options):
     r = random.Random(8)
     passages = [sentence(r, n, vocabulary) for n in (20, 25, 60, 200)]
@@ -44,10 +44,18 @@ def test_batches_do_not_matter(spark, vocabulary):
     passage = sentence(r, 40, vocabulary)
     rows = [(i, sentence(r, 25, vocabulary) + " " + passage, "en", "s") for i in range(80)]
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
-    got = substring.deduplicate(make_docs(spark, rows)).collect()
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
-    assert sorted((str(x.doc_id), x.n_words, x.n_removed, x.kept) for x in got) == brute(rows)
+    for options in ({}, {"large": 30}):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        got = substring.deduplicate(make_docs(spark, rows), **options).collect()
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+        assert sorted((str(x.doc_id), x.n_words, x.n_removed, x.kept) for x in got) == brute(rows)
+
+
+def test_hot_minimisers_are_bounded_by_their_share(spark, vocabulary):
+    passage = sentence(random.Random(1), 40, vocabulary)
+    docs = make_docs(spark, [(i, sentence(random.Random(i), 60, vocabulary) + " " + passage, "en", "s") for i in range(100)]).selectExpr("doc_id", "xxhash64(text) as digest", "text")
+    hot = substring._hot(docs, 20, 4, 1, 0.01, 2)
+    assert 0 < len(hot) <= 100 and hot <= set(substring.super_kmers(passage.split())[0].tolist()) | set(substring.run_hashes(passage.split()).tolist())
 
 
 def test_empty(spark):
@@ -68,7 +76,7 @@ def same_low_bits(make, bits=24, seed=42):
     raise AssertionError
 
 
-@pytest.mark.parametrize("options", [{}, {"one_in": 1, "hot_count": 1}])
+@pytest.mark.parametrize("options", [{}, {"one_in": 1, "share": 0.0, "least": 1}, {"large": 5}])
 def test_texts_of_one_id_with_equal_low_bits(spark, vocabulary, options):
     passage = sentence(random.Random(4), 40, vocabulary)
     short, long = same_low_bits(lambda i: f"n{i} " + (passage if i % 2 else " ".join(f"{i}x{k}" for k in range(25)) + " " + passage))
