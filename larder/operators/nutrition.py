@@ -1,11 +1,11 @@
-"""Recipe cleaning and nutrition per 100 g, as joins and aggregates keyed by recipe."""
+"""Recipe cleaning and nutrition per 100 g, as joins and aggregates."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.functions.exprs import null_greatest
+from larder.functions.exprs import clean_name, null_greatest
 from larder.functions.nutrition import contribution, health_index, zero_filled
 from larder.operators.filters import clean_recipes_filter
 from larder.schemas import NUTRIENTS
@@ -58,21 +58,37 @@ def impute_quantities(quantity: DataFrame, recipes: DataFrame, share: float = 0.
     return joined.withColumns({"known_weight": known, "n_unknown": unknown, "filled_qty_g": filled})
 
 
-def best_matches(matching: DataFrame, ingredients: DataFrame) -> DataFrame:
-    """Per recipe and ingredient the match of the highest score (nulls last, then least ndb_no), with its nutrients."""
-    scored = matching.join(ingredients.select("ndb_no", "score_sante", *NUTRIENTS), "ndb_no", "left")
+def best_matches(matching: DataFrame, ingredients: DataFrame, by_key: bool = False, known_only: bool = False) -> DataFrame:
+    """Per recipe and ingredient the match of the highest score (nulls last, then least ndb_no), with its nutrients.
+
+    ``by_key``: names that differ only in case and outer spaces are one, and the result has that key; ``known_only``: matches without an id do not count.
+    """
+    rows = matching.withColumn("ingredient", clean_name(F.col("ingredient"))) if by_key else matching
+    rows = rows.where("ndb_no is not null") if known_only else rows
+    scored = rows.join(ingredients.select("ndb_no", "score_sante", *NUTRIENTS), "ndb_no", "left")
     first = Window.partitionBy("recipe_id", "ingredient").orderBy(F.desc_nulls_last("score_sante"), F.asc_nulls_last("ndb_no"))
     return scored.withColumn("rn", F.row_number().over(first)).where("rn = 1").drop("rn")
 
 
-def recipe_nutrition_100g(quantity: DataFrame, recipes: DataFrame, matching: DataFrame, ingredients: DataFrame) -> DataFrame:
-    """One row per recipe with quantities: id, total_weight, known_weight and 13 nutrients per 100 g (null if the weight is not positive)."""
-    filled = impute_quantities(quantity, recipes)
+def recipe_nutrition_100g(quantity: DataFrame, recipes: DataFrame, matching: DataFrame, ingredients: DataFrame, share: float = 0.5) -> DataFrame:
+    """One row per recipe with quantities: id, total_weight, known_weight and 13 nutrients per 100 g (null if the weight is not positive).
+
+    Every unknown line of a recipe is filled with the same grams, so nutrients of known and of unknown lines are summed apart
+    and the fill enters afterwards: lines move once, to meet their matches, and sums combine before they move.
+    """
     best = best_matches(matching, ingredients).select(F.col("recipe_id").alias("id"), F.col("ingredient").alias("ingredients"), *NUTRIENTS)
-    lines = filled.join(best, ["id", "ingredients"], "left")
-    totals = lines.groupBy("id").agg(F.first("total_weight").alias("total_weight"), F.first("known_weight").alias("known_weight"), *(F.sum(contribution(F.col("filled_qty_g"), F.col(n))).alias(n) for n in NUTRIENTS))
+    lines = quantity.select("id", "ingredients", "qty_g").join(best, ["id", "ingredients"], "left")
+    unknown = F.col("qty_g").isNull()
+    per = lambda n: F.coalesce(n, F.lit(0.0)) / 100.0
+    sums = lines.groupBy("id").agg(
+        F.sum(F.coalesce("qty_g", F.lit(0.0))).alias("known_weight"), F.count_if(unknown).alias("n_unknown"),
+        *(F.sum(F.coalesce("qty_g", F.lit(0.0)) * per(n)).alias(n) for n in NUTRIENTS), *(F.sum(F.when(unknown, per(n)).otherwise(0.0)).alias(f"{n}_open") for n in NUTRIENTS),
+    )
+    joined = sums.join(recipe_weights(recipes), "id")
+    left = null_greatest(F.col("total_weight") - F.col("known_weight"), F.lit(0.0))
+    filled = F.coalesce(F.when(F.col("n_unknown") > 0, left / F.col("n_unknown") * share), F.lit(0.0))
     weight = null_greatest(F.col("total_weight"), F.col("known_weight"))
-    return totals.select("id", "total_weight", "known_weight", *(F.when(weight > 0, F.col(n) / weight * 100.0).alias(f"{n}_100g") for n in NUTRIENTS))
+    return joined.select("id", "total_weight", "known_weight", *(F.when(weight > 0, (F.col(n) + filled * F.col(f"{n}_open")) / weight * 100.0).alias(f"{n}_100g") for n in NUTRIENTS))
 
 
 def enrich_recipes(recipes: DataFrame, nutrition: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Ingredient substitution as joins and windows over many recipes at once.
 
-Names and targets are query sets, compared with every row of the catalogue. They are counted and
-broadcast in blocks of at most ``BLOCK`` rows; the catalogue stays where it is.
+Names meet descriptions by equality of letter groups and words, never each with each; the nearest rows of a
+target come from one pass over the catalogue (``larder.operators.nearest``), which stays where it is.
 """
 
 from __future__ import annotations
@@ -9,14 +9,16 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.functions.text import description_flags
-from larder.functions.vectors import l2_distance
+from larder.operators.nearest import nearest
 from larder.schemas import NUTRIENTS
 
-BLOCK = 2_000
+#: Letters of the groups by which names and descriptions meet.
+GRAM = 3
 #: Nutrient and order of preference of each goal of an addition.
 ADD_GOALS = {"increase_protein": "protein_g", "decrease_protein": "protein_g", "increase_fiber": "fiber_g", "decrease_sugar": "sugar_g", "decrease_carbs": "carb_g", "decrease_calories": "energy_kcal", "decrease_sodium": "sodium_mg", "decrease_satfat": "saturated_fats_g"}
 #: Nutrient and sign of each goal of a removal.
@@ -80,30 +82,52 @@ def infer_role() -> Column:
     )
 
 
-def against(rows: DataFrame, queries: DataFrame, key: str, block: int = BLOCK) -> DataFrame:
-    """Every row beside every query, the queries broadcast in blocks of about ``block`` by a hash of their key."""
-    blocks = -(-queries.count() // block)
-    if blocks <= 1:
-        return rows.crossJoin(F.broadcast(queries))
-    out = None
-    for b in range(2 * blocks):  # twice as many, so that an uneven hash stays near the bound
-        part = rows.crossJoin(F.broadcast(queries.where(F.pmod(F.xxhash64(key), F.lit(2 * blocks)) == b)))
-        out = part if out is None else out.unionByName(part)
-    return out
+def _grams(text: Column) -> Column:
+    """Distinct runs of one to GRAM letters, among them the first letters of whatever text lies inside."""
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substring(text, i, F.lit(n)))
+    return F.when(F.length(text) > 0, F.array_distinct(F.concat(*(runs(n) for n in range(1, GRAM + 1))))).otherwise(F.array().cast("array<string>"))
+
+
+def first_holding(needles: DataFrame, texts: DataFrame) -> DataFrame:
+    """needle, best: the least value of the texts that hold each needle. ``needles``: needle, not empty; ``texts``: low, value.
+
+    A needle and the texts that hold it meet on the needle's first letters; then the whole is compared.
+    """
+    spread = texts.groupBy("low").agg(F.min("value").alias("value")).select("low", "value", F.explode(_grams(F.col("low"))).alias("gram"))
+    wanted = needles.select("needle", F.substring("needle", 1, GRAM).alias("gram")).distinct()
+    return wanted.join(spread, "gram").where(F.contains("low", F.col("needle"))).groupBy("needle").agg(F.min("value").alias("best"))
 
 
 def match_ingredients(names: DataFrame, candidates: DataFrame) -> DataFrame:
     """name, ndb_no, descrip of the best candidate: the exact name, else one that holds the name or any word of it; ties by descrip.
 
-    ``names``: name; ``candidates``: ndb_no, descrip. Names without a match keep nulls.
+    ``names``: name; ``candidates``: ndb_no, descrip. Names without a match keep nulls. A candidate that holds a word holds
+    it inside one of its own words, so the least candidate of each word is found first and a name takes the least of its words'.
     """
-    wanted = names.select(F.lower(F.trim("name")).alias("key")).distinct().withColumn("parts", F.filter(F.split("key", r"\s+"), lambda x: x != ""))
-    side = candidates.select("ndb_no", "descrip", F.lower(F.trim("descrip")).alias("low"))
-    exact = F.col("low") == F.col("key")
-    partial = F.contains(F.col("low"), F.col("key")) | F.exists("parts", lambda p: F.contains(F.col("low"), p))
-    pairs = against(side, wanted, "key").where(exact | partial).withColumn("priority", F.when(exact, 0).otherwise(1))
-    first = pairs.withColumn("rn", F.row_number().over(Window.partitionBy("key").orderBy("priority", "descrip", "ndb_no"))).where("rn = 1")
-    return names.withColumn("key", F.lower(F.trim("name"))).join(first.select("key", "ndb_no", "descrip"), "key", "left").drop("key")
+    value = F.struct("descrip", "ndb_no")
+    side = candidates.select(F.lower(F.trim("descrip")).alias("low"), value.alias("value"))
+    keyed = names.select(F.lower(F.trim("name")).alias("key")).distinct()
+    parts = keyed.select("key", F.explode(F.filter(F.split("key", r"\s+"), lambda x: x != "")).alias("needle"))
+    words = side.select(F.explode(F.filter(F.split("low", r"\s+"), lambda x: x != "")).alias("low"), "value")
+    partial = parts.join(first_holding(parts, words), "needle").groupBy("key").agg(F.min("best").alias("partial"))
+    exact = side.groupBy("low").agg(F.min("value").alias("exact")).withColumnRenamed("low", "key")
+    found = keyed.join(exact, "key", "left").join(partial, "key", "left").select("key", F.coalesce("exact", "partial").alias("best"))
+    return names.withColumn("key", F.lower(F.trim("name"))).join(found, "key", "left").select(*names.columns, "best.ndb_no", "best.descrip")
+
+
+def _weighted_distance(split: int, w_macro: float, w_micro: float):
+    """Minus the weighted sum of the distances on the first ``split`` axes and on the others."""
+
+    def score(asked: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        def distance(cut: slice) -> np.ndarray:
+            total = np.zeros((len(asked), len(rows)))
+            for a, b in zip(asked[:, cut].T, rows[:, cut].T, strict=True):
+                total += np.square(b[None, :] - a[:, None])
+            return np.sqrt(total)
+
+        return -(w_macro * distance(slice(0, split)) + w_micro * distance(slice(split, None)))
+
+    return score
 
 
 def substitutes(targets: DataFrame, catalogue: DataFrame, constraints: Constraints, k: int = 5, w_macro: float = 0.7, w_micro: float = 0.3) -> DataFrame:
@@ -112,15 +136,16 @@ def substitutes(targets: DataFrame, catalogue: DataFrame, constraints: Constrain
     A target is the first catalogue row (by ndb_no) whose description holds its name. ``catalogue``: ndb_no,
     descrip, macro and micro (arrays of axes) and the diet flags. First k, then the first-word rule, so fewer than k may stay.
     """
-    side = catalogue.select("ndb_no", "descrip", "macro", "micro", meets_diet(constraints).alias("fits"))
-    wanted = targets.select("target").distinct()
-    holds = F.contains(F.lower("descrip"), F.lower(F.trim("target")))
-    found = against(side, wanted, "target").where(holds).withColumn("rn", F.row_number().over(Window.partitionBy("target").orderBy("ndb_no"))).where("rn = 1")
-    origin = found.select("target", F.col("ndb_no").alias("own"), F.col("macro").alias("macro0"), F.col("micro").alias("micro0"))
-    near = against(side.where("fits"), origin, "target").where("ndb_no != own").withColumn("distance", w_macro * l2_distance(F.col("macro"), F.col("macro0")) + w_micro * l2_distance(F.col("micro"), F.col("micro0")))
-    best = near.withColumn("rank", F.row_number().over(Window.partitionBy("target").orderBy("distance", "ndb_no"))).where(F.col("rank") <= k)
+    side = catalogue.select("ndb_no", "descrip", F.concat("macro", "micro").alias("v"), F.size("macro").alias("split"), meets_diet(constraints).alias("fits"))
+    wanted = targets.select("target", F.lower(F.trim("target")).alias("needle")).where("needle <> ''").distinct()
+    own = first_holding(wanted, side.select(F.lower("descrip").alias("low"), F.col("ndb_no").alias("value")))
+    origin = wanted.join(own, "needle").join(side.select(F.col("ndb_no").alias("best"), "v"), "best").select(F.col("target").alias("query_id"), "v", F.col("best").alias("own"))
+    split = side.agg(F.max("split")).first()[0] or 0
+    near = nearest(side.where("fits").select(F.col("ndb_no").alias("doc_id"), "v"), origin, k, _weighted_distance(split, w_macro, w_micro))
+    best = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).where(F.col("rank") <= k)
+    named = best.select(F.col("query_id").alias("target"), F.col("doc_id").alias("ndb_no"), (-F.col("score")).alias("distance"), "rank").join(side.select("ndb_no", "descrip"), "ndb_no")
     word = lambda c: F.regexp_extract(F.lower(F.trim(c)), r"^\S+", 0)
-    return best.where(~F.startswith(F.lower("descrip"), word("target"))).select("target", "ndb_no", "descrip", "distance", "rank")
+    return named.where(~F.startswith(F.lower("descrip"), word("target"))).select("target", "ndb_no", "descrip", "distance", "rank")
 
 
 def removal_score(constraints: Constraints) -> Column:

@@ -31,7 +31,7 @@ STAND_INS: dict[str, str] = {
     "transform_log": "SELECT event_id, concat('c', CAST(user_id % 40 AS STRING)) AS conversation_id, CAST(user_id AS STRING) AS user_id, concat('Dish ', CAST(event_id % 50 AS STRING)) AS original_name, event_type <> 'error' AS success, ts AS transform_timestamp, concat('{{\"calories\":', CAST(event_id % 900 AS STRING), ',\"protein_g\":', CAST(event_id % 37 AS STRING), CASE WHEN event_id % 3 = 0 THEN '' ELSE concat(',\"health_score\":', CAST(event_id % 101 AS STRING)) END, '}}') AS nutrition_before, concat('{{\"calories\":', CAST(event_id % 700 AS STRING), ',\"protein_g\":', CAST(event_id % 41 AS STRING), ',\"health_score\":', CAST(event_id % 97 AS STRING), '}}') AS nutrition_after FROM {events} WHERE event_type IN ('purchase', 'signup', 'error')",
     "messages": "SELECT concat(CAST(conv_id AS STRING), '-', CAST(turn + 1000 AS STRING)) AS id, concat('c', CAST(conv_id % 40 AS STRING)) AS conversation_id, role, text AS content, CASE WHEN turn % 3 = 0 THEN NULL ELSE conv_id END AS thread_id, CASE WHEN turn % 2 = 0 THEN NULL ELSE turn END AS message_id, turn AS created_at FROM {conversations}",
     "agent_events": "SELECT concat('run', CAST(user_id AS STRING)) AS run_id, event_id AS seq, CASE WHEN event_id % 2 = 0 THEN 'tool_use' ELSE 'tool_result' END AS type, event_type AS tool_name, CASE WHEN event_id % 5 = 3 THEN NULL ELSE concat('u', CAST(floor(event_id / 2) AS STRING)) END AS tool_use_id, CASE WHEN event_id % 2 = 0 THEN concat('{{\"query\":\"q', CAST(event_id AS STRING), '\"}}') END AS tool_input, CASE WHEN event_id % 2 = 0 THEN NULL WHEN event_id % 3 = 0 THEN concat('{{\"results\":[{{\"id\":', CAST(event_id AS STRING), '}},{{\"id\":\"', CAST(event_id % 9 AS STRING), '\"}}],\"total_found\":77}}') WHEN event_id % 3 = 1 THEN concat('broken \"id\": ', CAST(event_id AS STRING), ', \"id\": ', CAST(event_id AS STRING)) ELSE '{{\"results\":[]}}' END AS content, value FROM {events}",
-    "judgments": "SELECT concat('q', CAST(q.vec_id AS STRING)) AS query, d.vec_id AS doc_id, CAST(CASE WHEN q.label = d.label THEN 1.0 ELSE 0.5 END AS DOUBLE) AS relevance FROM {embeddings} AS q JOIN {embeddings} AS d ON d.label = q.label OR d.label = q.label + 1 WHERE q.vec_id % 100 = 0 AND d.vec_id % 3 <> 0",
+    "judgments": "SELECT concat('q', CAST(q.vec_id AS STRING)) AS query, d.vec_id AS doc_id, CAST(1.0 AS DOUBLE) AS relevance FROM {embeddings} AS q JOIN {embeddings} AS d ON d.label = q.label WHERE q.vec_id % 100 = 0 AND d.vec_id % 3 <> 0 UNION ALL SELECT concat('q', CAST(q.vec_id AS STRING)), d.vec_id, CAST(0.5 AS DOUBLE) FROM {embeddings} AS q JOIN {embeddings} AS d ON d.label = q.label + 1 WHERE q.vec_id % 100 = 0 AND d.vec_id % 3 <> 0",
 }
 
 
