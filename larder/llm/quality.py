@@ -4,7 +4,7 @@ Base statistics come from array expressions on the whole text, with no row per w
 them a minimum-covariance-determinant estimate for each language and source rejects outliers. From two
 starts (coordinate medians with interquartile ranges, and the plain mean and covariance) concentration
 steps keep the share ``support`` of rows at the least Mahalanobis distance and estimate mean and
-covariance anew, until no determinant moves any more; the start that ends with the lesser determinant
+covariance anew, each group until its determinant falls no further; the start that ends with the lesser determinant
 stands. A row is rejected when its squared distance is above ``cut``, the 99.9 % point of chi-square;
 distances are shrunk where the group's median is above chi-square's (heavy tails), never stretched.
 
@@ -13,11 +13,11 @@ that a part in which ordinary texts of a group agree, such as symbols, rejects w
 
 Groups of fewer than ``least_rows`` rows use their language's estimate, and languages of fewer that of
 all rows; only the estimates that some group uses are made. Quantiles are taken over counts of
-distances by bucket (a quarter of a percent wide), so they are exact up to a bucket, need bounded memory, and do not depend
+distances by bucket (one percent wide), so they are exact up to a bucket, need bounded memory, and do not depend
 on how rows are dealt to tasks. Every step is one aggregation over the small statistics table, for all groups at once.
 
-Hot groups: aggregates combine before the shuffle, and the join that attaches the estimates is
-salted over ``salts`` copies of each group's one row.
+Hot groups: aggregates combine before the shuffle. Estimates, one row for each group, are counted: up to ``FEW_GROUPS``
+are broadcast, more are joined, salted over ``salts`` copies of each row.
 
 Defined results: null text has no words and fails the base rule; empty tables give no rows; null
 language or source is a group of its own, apart from the empty string; repeated rows each get their own
@@ -37,15 +37,17 @@ WINDOW = 8
 #: Words below which a text fails, and the largest percentage of words in repeated windows.
 LEAST_WORDS, MOST_REPEATED = 20, 30
 SUPPORT, LEAST_ROWS, SALTS = 0.75, 40, 16
-#: Steps go on until no logarithm of a determinant moves by more than this; their number bounds what swings within one bucket.
-STILL, MOST_STEPS = 1e-4, 30
+#: A group's steps go on while they lower the logarithm of its determinant by more than this. Each does, so they end; the number only guards.
+STILL, MOST_STEPS = 1e-3, 100
+#: Groups whose estimates (some 25 numbers each) are broadcast.
+FEW_GROUPS = 10_000
 PARTS = 5
 #: The median and the 99.9 % point of a chi-square variable with as many degrees of freedom as the vector has parts.
 CHI2_MEDIAN, CUT = 4.351, 20.515
 #: Least deviation of each part x0.. of the vector; see with_vector for their scales.
 LEAST_SPREAD = (1.0, 0.1, 0.35, 0.5, 0.05)
 #: Buckets for each doubling of a squared distance, and for each unit of a part.
-BUCKETS = 256
+BUCKETS, UNITS = 64, 256
 _SPACE = "[ \\t\\n\\x0B\\f\\r]"
 
 
@@ -189,11 +191,13 @@ def cholesky(df: DataFrame) -> DataFrame:
     return df.withColumn("log_det", log_det).drop(*(f"c{i}{j}" for i in XS for j in range(i + 1)))
 
 
-def _attach(df: DataFrame, params: DataFrame, salts: int) -> DataFrame:
-    """df with the struct p of its group (each, if it has several); the group side is copied ``salts`` times so that a hot group spreads."""
-    packed = params.select(*KEY, F.struct(*[c for c in params.columns if c not in KEY]).alias("p"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    salted = df.withColumn("salt", F.pmod(F.hash(*(f"x{i}" for i in XS)), F.lit(salts)))
-    return salted.join(packed, [*KEY, "salt"], "left").drop("salt")
+def _attach(df: DataFrame, params: DataFrame, few: bool, salts: int) -> DataFrame:
+    """df with the struct p of its group (each, if it has several), null where it has none."""
+    packed = params.select(*KEY, F.struct(*[c for c in params.columns if c not in KEY]).alias("p"))
+    if few:
+        return df.join(F.broadcast(packed), KEY, "left")
+    copied = packed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return df.withColumn("salt", F.pmod(F.hash(*(f"x{i}" for i in XS)), F.lit(salts))).join(copied, [*KEY, "salt"], "left").drop("salt")
 
 
 def _at_share(counts: DataFrame, by: list[str], share: float, out: str) -> DataFrame:
@@ -213,35 +217,42 @@ def _moments(rows: DataFrame, by: list[str]) -> DataFrame:
 def _starts(members: DataFrame) -> DataFrame:
     """KEY, start, m*, c*: the plain estimate, and coordinate medians with squared interquartile ranges over 1.349."""
     plain = _moments(members, KEY).withColumn("start", F.lit(0))
-    long = members.select(*KEY, F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.floor(F.col(f"x{i}") * BUCKETS).alias("b")) for i in XS))).alias("e")).select(*KEY, "e.i", "e.b")
+    long = members.select(*KEY, F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.floor(F.col(f"x{i}") * UNITS).alias("b")) for i in XS))).alias("e")).select(*KEY, "e.i", "e.b")
     counts = long.groupBy(*KEY, "i", "b").agg(F.count(F.lit(1)).alias("k"))
     at = lambda share, name: _at_share(counts, [*KEY, "i"], share, name)
     quarters = at(0.25, "low").join(at(0.5, "mid"), [*KEY, "i"]).join(at(0.75, "high"), [*KEY, "i"])
     of = lambda i, c: F.max(F.when(F.col("i") == i, c))
-    wide = F.pow((F.col("high") - F.col("low")) / (BUCKETS * 1.349), F.lit(2.0))
-    middle = quarters.groupBy(*KEY).agg(*(of(i, F.col("mid") / BUCKETS).alias(f"m{i}") for i in XS), *((of(i, wide) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i in XS for j in range(i + 1)))
+    wide = F.pow((F.col("high") - F.col("low")) / (UNITS * 1.349), F.lit(2.0))
+    middle = quarters.groupBy(*KEY).agg(*(of(i, F.col("mid") / UNITS).alias(f"m{i}") for i in XS), *((of(i, wide) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i in XS for j in range(i + 1)))
     return plain.unionByName(middle.withColumn("start", F.lit(1)))
 
 
-def mcd(members: DataFrame, support: float = SUPPORT, salts: int = SALTS) -> DataFrame:
+def mcd(members: DataFrame, few: bool, support: float = SUPPORT, salts: int = SALTS) -> DataFrame:
     """KEY, m*, l*, log_det, scale (median of the squared distance) of each group in ``members`` (KEY, x0..)."""
     by = [*KEY, "start"]
-    params = materialize(cholesky(_starts(members)), "mcd")
 
     def near(known: DataFrame) -> DataFrame:
-        rows = with_distance(_attach(members, known, salts))
+        rows = with_distance(_attach(members, known, few, salts).where("p is not null"))
         return rows.select(*KEY, F.col("p.start").alias("start"), *(f"x{i}" for i in XS), bucket(F.col("d2")).alias("b"), *([F.col("p.limit").alias("limit")] if "limit" in known.columns else []))
 
     counted = lambda known: near(known).groupBy(*by, "b").agg(F.count(F.lit(1)).alias("k"))
+    # a start is no estimate of a part of the rows, so the first step counts as a fall
+    active = materialize(cholesky(_starts(members)).withColumn("log_det", F.lit(float("inf"))), "mcd")
+    values = [c for c in active.columns if c not in by]
+    ended: DataFrame | None = None
     for _ in range(MOST_STEPS):
-        limits = params.join(_at_share(counted(params), by, support, "limit"), by)
-        after = materialize(cholesky(_moments(near(limits).where("b <= limit"), by)), "mcd")
-        moved = after.join(params.select(*by, F.col("log_det").alias("was")), by).agg(F.max(F.abs(F.col("log_det") - F.col("was")))).first()[0]
-        params = after
-        if moved is None or moved <= STILL:
+        limits = active.join(_at_share(counted(active), by, support, "limit"), by)
+        after, was = cholesky(_moments(near(limits).where("b <= limit"), by)).alias("a"), active.alias("w")
+        lower = F.col("a.log_det") <= F.col("w.log_det")
+        both = after.join(was, by).select(*by, *(F.when(lower, F.col(f"a.{c}")).otherwise(F.col(f"w.{c}")).alias(c) for c in values), (F.col("a.log_det") >= F.col("w.log_det") - STILL).alias("still"))
+        both = materialize(both, "mcd")
+        done = both.where("still").drop("still")
+        ended, active = done if ended is None else ended.unionByName(done), both.where("not still").drop("still")
+        if active.isEmpty():
             break
-    least = params.groupBy(*KEY).agg(F.min_by("start", F.struct("log_det", "start")).alias("start"))
-    best = materialize(params.join(least, by), "mcd")
+    every = ended.unionByName(active)
+    least = every.groupBy(*KEY).agg(F.min_by("start", F.struct("log_det", "start")).alias("start"))
+    best = materialize(every.join(least, by), "mcd")
     scale = _at_share(counted(best), by, 0.5, "b").select(*by, F.pow(F.lit(2.0), (F.col("b") + 0.5) / BUCKETS).alias("scale"))
     return materialize(best.join(scale, by).drop("start"), "mcd")
 
@@ -253,11 +264,12 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     # texts that the base rule rejects say nothing about ordinary ones
     usable = stats.where("not base_failed").join(levels.select("lang", "source", "member_of"), ["lang", "source"])
     members = usable.withColumn("g", F.explode(F.transform("member_of", key_of))).select("g.*", *(f"x{i}" for i in XS))
-    params = mcd(materialize(members, "members"), support, salts)
+    few = levels.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS
+    params = mcd(materialize(members, "members"), few, support, salts)
     rows = stats.join(levels.select("lang", "source", "level"), ["lang", "source"]).withColumn("g", key_of(F.col("level"))).drop("level").select("*", "g.*")
     distance = F.col("d2") * F.least(F.lit(1.0), CHI2_MEDIAN / F.col("p.scale"))
     kept = ~F.col("base_failed") & F.coalesce(distance <= cut, F.lit(True))
-    return with_distance(_attach(rows, params, salts)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.round(distance, 6).alias("distance2"))
+    return with_distance(_attach(rows, params, few, salts)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.round(distance, 6).alias("distance2"))
 
 
 #: The base columns in DuckDB; the verdict of the method is tested against a brute-force version.

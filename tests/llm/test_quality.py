@@ -44,17 +44,19 @@ def brute_mcd(x, support=quality.SUPPORT):
         return np.floor(np.log2(d + 1e-6) * quality.BUCKETS)
 
     cols = range(x.shape[1])
-    q = {s: np.array([at_share(np.floor(x[:, i] * quality.BUCKETS), s) for i in cols]) for s in (0.25, 0.5, 0.75)}
+    q = {s: np.array([at_share(np.floor(x[:, i] * quality.UNITS), s) for i in cols]) for s in (0.25, 0.5, 0.75)}
     ends = []
-    for mean, cov in ((x.mean(axis=0), np.cov(x.T, bias=True)), (q[0.5] / quality.BUCKETS, np.diag(((q[0.75] - q[0.25]) / (quality.BUCKETS * 1.349)) ** 2))):
-        d, was = estimate(mean, cov)
+    for mean, cov in ((x.mean(axis=0), np.cov(x.T, bias=True)), (q[0.5] / quality.UNITS, np.diag(((q[0.75] - q[0.25]) / (quality.UNITS * 1.349)) ** 2))):
+        (d, _), was = estimate(mean, cov), np.inf
         for step in range(quality.MOST_STEPS):
             kept = x[bucket(d) <= at_share(bucket(d), support)]
-            d, log_det = estimate(kept.mean(axis=0), np.cov(kept.T, bias=True))
-            if abs(log_det - was) <= quality.STILL:
+            new, log_det = estimate(kept.mean(axis=0), np.cov(kept.T, bias=True))
+            stop = log_det >= was - quality.STILL
+            if log_det <= was:
+                d, was = new, log_det
+            if stop:
                 break
-            was = log_det
-        ends.append((log_det, d, step))
+        ends.append((was, d, step))
     log_det, d, step = min(ends, key=lambda e: e[0])
     scale = 2 ** ((at_share(bucket(d), 0.5) + 0.5) / quality.BUCKETS)
     return d * min(1, quality.CHI2_MEDIAN / scale), log_det, step
@@ -96,7 +98,7 @@ def test_the_end_is_no_worse_than_its_starts():
     x = np.concatenate([r.normal(size=(200, 5)), r.normal(loc=6, size=(50, 5))])
     d, log_det, steps = brute_mcd(x)
     spread = np.diag(np.square(quality.LEAST_SPREAD))
-    assert log_det < np.linalg.slogdet(np.cov(x.T, bias=True) + spread)[1] and steps < quality.MOST_STEPS - 1
+    assert log_det < np.linalg.slogdet(np.cov(x.T, bias=True) + spread)[1] and steps < 20
     assert (d[200:] > quality.CUT).all() and (d[:200] <= quality.CUT).mean() > 0.95
 
 
@@ -108,6 +110,14 @@ def test_result_does_not_depend_on_partitions(spark, vocabulary):
     assert found[0] == found[1] and len(found[0]) == 300
 
 
+def test_many_groups_are_joined(spark, vocabulary, monkeypatch):
+    """Beyond the number of groups that are broadcast the salted join gives the same."""
+    docs = make_docs(spark, [(i, t, "en", f"s{i % 3}") for i, t, *_ in spread_rows(random.Random(7), vocabulary, 150)])
+    one = sorted(map(tuple, quality.quality(docs, least_rows=30).collect()))
+    monkeypatch.setattr(quality, "FEW_GROUPS", 0)
+    assert sorted(map(tuple, quality.quality(docs, least_rows=30, salts=3).collect())) == one
+
+
 def test_levels(spark):
     rows = [("=en", "=a", False)] * 5 + [("=en", "=b", False)] * 2 + [("=fr", "=a", False)] * 2 + [("=fr", "=b", False)] * 2 + [("", "", False), ("=", "", True)]
     got = {(x.lang, x.source): (x.level, list(x.member_of)) for x in quality.group_levels(spark.createDataFrame(rows, "lang string, source string, base_failed boolean"), 3).collect()}
