@@ -124,6 +124,14 @@ def what_if_nutrition(edited: DataFrame, quantity: DataFrame, recipes: DataFrame
     lines = lines.join(best, ["id", "ingredients"], "left")
     if extra:
         lines = lines.withColumns({"qty_g": F.coalesce("qty_g", F.try_element_at("replaced_qty", F.col("ingredients"))), "ndb_no": F.coalesce("ndb_no", F.try_element_at("replaced_ndb", F.col("ingredients")))})
+    return nutrition_of_lines(lines, ingredients)
+
+
+def nutrition_of_lines(lines: DataFrame, ingredients: DataFrame) -> DataFrame:
+    """variant, id, nutrients per 100 g and score_sante of ingredient lists. ``lines``: variant, id, ndb_no, qty_g, total_weight.
+
+    Lines without grams share half of the weight that is left over.
+    """
     of_variant = Window.partitionBy("variant", "id")
     known = F.sum(F.coalesce("qty_g", F.lit(0.0))).over(of_variant)
     unknown = F.count_if(F.col("qty_g").isNull()).over(of_variant)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larder.functions import exprs, nutrition, text, vectors
-from larder.operators import filters, ireval, logs, search, substitute
+from larder.operators import filters, ireval, logs, search, substitute, transform
 from larder.operators import nutrition as recipes
 from larder.plans.stand_ins import base, stand_in, with_stand_ins
 from larder.schemas import NUTRIENTS, NUTRITION_ARRAY
@@ -725,6 +725,120 @@ def merged_judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ireval.merge_judgments(parts).select("query", F.array_join(F.transform("judgments", lambda x: x.cast("string")), ",").alias("docs"))
 
 
+# ---- whole transformations --------------------------------------------------------------------
+
+
+def _kitchen(spark: SparkSession, sf_dir: str) -> transform.Kitchen:
+    s = lambda n: stand_in(spark, sf_dir, n)
+    return transform.Kitchen(s("dishes").select("id", "name", "ingredients", "steps"), s("dish_weights"), s("dish_quantity"), _catalogue(spark, sf_dir), s("tagged"))
+
+
+def weigh_sql(name: str, lines: str) -> str:
+    """CTEs that end in ``name``(variant, id, energy_kcal, score) of lines(variant, id, ndb_no, qty_g, total_weight)."""
+    fill = "CASE WHEN qty_g IS NOT NULL THEN qty_g WHEN total_weight IS NULL THEN NULL ELSE greatest(total_weight - known, 0.0) / unknown * 0.5 END"
+    return f"""{name}_f AS (SELECT l.*, {', '.join(NUTRIENTS)}, sum(coalesce(qty_g, 0.0)) OVER v AS known, count(*) FILTER (WHERE qty_g IS NULL) OVER v AS unknown FROM {lines} l LEFT JOIN ingredients i ON i.ndb_no = l.ndb_no WINDOW v AS (PARTITION BY variant, id)),
+{name}_t AS (SELECT variant, id, greatest(max(total_weight), max(known)) AS weight, {', '.join(f'sum(coalesce({fill}, 0.0) * coalesce({n}, 0.0) / 100.0) AS {n}' for n in NUTRIENTS)} FROM {name}_f GROUP BY 1, 2),
+{name}_p AS (SELECT variant, id, {', '.join(f'CASE WHEN weight > 0 THEN {n} / weight * 100.0 END AS {n}' for n in NUTRIENTS)} FROM {name}_t),
+{name} AS (SELECT variant, id, energy_kcal, {index_sql(lambda n: f'coalesce({n}, 0.0)')} AS score FROM {name}_p)"""
+
+
+_KITCHEN = """kn AS (SELECT DISTINCT lower(trim(w)) AS name FROM (SELECT unnest(ingredients) AS w FROM dishes)),
+km AS (SELECT name, ndb_no FROM (SELECT name, ndb_no, row_number() OVER (PARTITION BY name ORDER BY CASE WHEN lower(descrip) = name THEN 0 ELSE 1 END, descrip, ndb_no) AS rn FROM kn JOIN ingredients ON contains(lower(descrip), name)) WHERE rn = 1),
+kq AS (SELECT id, lower(trim(ingredients)) AS name, sum(qty_g) AS qty_g FROM dish_quantity GROUP BY 1, 2),
+kw AS (SELECT id, TRY_CAST(serving_size AS DOUBLE) * TRY_CAST(servings AS DOUBLE) AS total_weight FROM dish_weights),
+kl AS (SELECT '' AS variant, d.id, d.pos, d.ingredient, ndb_no, qty_g, total_weight FROM (SELECT id, unnest(ingredients) AS ingredient, generate_subscripts(ingredients, 1) - 1 AS pos FROM dishes) d LEFT JOIN km ON km.name = lower(trim(d.ingredient)) LEFT JOIN kq ON kq.id = d.id AND kq.name = lower(trim(d.ingredient)) LEFT JOIN kw ON kw.id = d.id)"""
+_GONE = """rm AS (SELECT * FROM (SELECT id, ingredient, pos, br, row_number() OVER (PARTITION BY id ORDER BY br DESC, CASE WHEN br THEN pos END, score DESC, pos) AS place
+  FROM (SELECT l.*, {breaks} AS br, CASE WHEN qty_g > 0 AND i.ndb_no IS NOT NULL THEN qty_g * coalesce(sugar_g, 0.0) / 100.0 END AS score FROM kl l LEFT JOIN tagged t USING (ndb_no) LEFT JOIN ingredients i USING (ndb_no)) WHERE br OR score IS NOT NULL) WHERE place <= {most})"""
+
+
+def _edited_steps(pairs: str) -> str:
+    """steps of every dish with up to three replacements of ``pairs``(id, place, old, new) in order."""
+    one = "s"
+    for i in (1, 2, 3):
+        one = f"CASE WHEN m{i}.old IS NULL THEN {one} ELSE replace({one}, m{i}.old, m{i}.new) END"
+    joins = " ".join(f"LEFT JOIN {pairs} m{i} ON m{i}.id = d.id AND m{i}.place = {i}" for i in (1, 2, 3))
+    return f"st AS (SELECT d.id, array_to_string(CASE WHEN m1.id IS NULL AND m2.id IS NULL AND m3.id IS NULL THEN d.steps ELSE [trim(regexp_replace({one}, ' +', ' ', 'g')) for s in d.steps] END, ';') AS steps FROM dishes d {joins})"
+
+
+_FLOW = "SELECT d.id, d.name AS original_name, coalesce(nl.ingredients, '') AS ingredients, st.steps, a.id IS NOT NULL AS success, round(b.score, 6) AS score_before, round(a.score, 6) AS score_after, round(a.energy_kcal, 4) AS energy_after FROM dishes d JOIN bf b ON b.id = d.id LEFT JOIN af a ON a.id = d.id LEFT JOIN nl ON nl.id = d.id JOIN st ON st.id = d.id"
+_DISHES = ("dishes", "ingredients", "tagged", "dish_quantity", "dish_weights")
+
+
+def _flow(responses: DataFrame) -> DataFrame:
+    return responses.select("id", "original_name", F.array_join("ingredients", ",").alias("ingredients"), F.array_join("steps", ";").alias("steps"), "success", _r("nutrition_before.score_sante").alias("score_before"), _r("nutrition_after.score_sante").alias("score_after"), _r("nutrition_after.energy_kcal", 4).alias("energy_after"))
+
+
+_DIET = "coalesce(is_dairy, false) OR coalesce(NOT is_vegetarian, false)"
+_SUBSTITUTE = f"""{_KITCHEN}, {_GONE.format(breaks=_DIET, most=3)},
+cat AS (SELECT i.*, coalesce(is_dairy, false) AS l, coalesce(is_vegetarian, false) AS v FROM ingredients i LEFT JOIN tagged USING (ndb_no)),
+o AS (SELECT target, ndb_no FROM (SELECT target, ndb_no, row_number() OVER (PARTITION BY target ORDER BY ndb_no) AS rn FROM (SELECT DISTINCT ingredient AS target FROM rm) t JOIN cat ON contains(lower(descrip), lower(trim(target)))) WHERE rn = 1),
+near AS (SELECT o.target, b.ndb_no, b.descrip, 0.7 * {_axes(NUTRIENTS[:3])} + 0.3 * {_axes(NUTRIENTS[8:10])} AS distance FROM o JOIN cat a ON a.ndb_no = o.ndb_no, cat b WHERE b.ndb_no <> a.ndb_no AND NOT b.l AND b.v),
+cand AS (SELECT target, ndb_no AS candidate, descrip, rank FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY distance, ndb_no) AS rank FROM near) WHERE rank <= 5 AND NOT starts_with(lower(descrip), lower(target))),
+tr AS (SELECT rm.id, cand.*, place, target || '|' || candidate AS variant FROM rm JOIN cand ON cand.target = rm.ingredient),
+tl AS (SELECT tr.variant, l.id, CASE WHEN l.ingredient = target THEN candidate ELSE l.ndb_no END AS ndb_no, qty_g, total_weight FROM kl l JOIN tr ON tr.id = l.id),
+{weigh_sql('sc', 'tl')},
+win AS (SELECT id, target AS old, descrip AS new, candidate, place FROM tr JOIN sc USING (variant, id) QUALIFY row_number() OVER (PARTITION BY id, target ORDER BY round(score, 9) DESC NULLS LAST, rank) = 1),
+{_edited_steps('win')},
+nl AS (SELECT l.id, string_agg(coalesce(w.new, l.ingredient), ',' ORDER BY pos) AS ingredients FROM kl l LEFT JOIN win w ON w.id = l.id AND w.old = l.ingredient GROUP BY l.id),
+al AS (SELECT '' AS variant, l.id, coalesce(w.candidate, l.ndb_no) AS ndb_no, qty_g, total_weight FROM kl l LEFT JOIN win w ON w.id = l.id AND w.old = l.ingredient WHERE l.id IN (SELECT id FROM win)),
+{weigh_sql('bf', 'kl')}, {weigh_sql('af', 'al')}"""
+
+
+@query(f"WITH {_SUBSTITUTE} {_FLOW}", *_DISHES)
+def transform_substitute_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every dish without lactose and meat and with less sugar, by substitution."""
+    return _flow(transform.substitute_flow(_kitchen(spark, sf_dir), substitute.constraint_struct(["no_lactose", "vegetarian", "decrease_sugar"])))
+
+
+_ROLE = "CASE WHEN is_seafood THEN 'animal_protein' WHEN NOT coalesce(is_vegetarian, true) THEN 'animal_protein' WHEN is_sweetener THEN 'sugar' WHEN is_grain THEN 'carb' WHEN coalesce(is_dairy, false) THEN 'dairy_fat' WHEN is_vegetable THEN 'plant' WHEN contains_nuts THEN 'nuts' ELSE 'other' END"
+
+
+@query(f"""WITH {_KITCHEN},
+rl AS (SELECT id, list(DISTINCT role) FILTER (WHERE role IS NOT NULL) AS roles FROM (SELECT l.id, CASE WHEN t.ndb_no IS NOT NULL THEN {_ROLE} END AS role FROM kl l LEFT JOIN tagged t USING (ndb_no)) GROUP BY id),
+c AS (SELECT i.*, {_ROLE} AS role, coalesce(contains_nuts, false) AS nuts FROM ingredients i LEFT JOIN tagged USING (ndb_no)),
+pool AS (SELECT * FROM c WHERE fiber_g > (SELECT median(fiber_g) FROM c) ORDER BY fiber_g DESC, ndb_no LIMIT 200),
+fit AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lower(trim(descrip)) ORDER BY fiber_g DESC, ndb_no) AS rn FROM pool) WHERE rn = 1 AND NOT nuts),
+tr AS (SELECT * FROM (SELECT rl.id, f.ndb_no AS candidate, f.descrip, row_number() OVER (PARTITION BY rl.id ORDER BY fiber_g DESC, f.ndb_no) AS rank FROM rl, fit f WHERE role = 'other' OR NOT coalesce(list_contains(roles, role), false)) WHERE rank <= 5),
+tl AS (SELECT candidate AS variant, l.id, l.ndb_no, qty_g, total_weight FROM kl l JOIN tr ON tr.id = l.id UNION ALL SELECT candidate, tr.id, candidate, NULL, total_weight FROM tr LEFT JOIN kw ON kw.id = tr.id),
+{weigh_sql('sc', 'tl')},
+win AS (SELECT tr.id, candidate, descrip FROM tr JOIN sc ON sc.id = tr.id AND sc.variant = candidate QUALIFY row_number() OVER (PARTITION BY tr.id ORDER BY round(score, 9) DESC NULLS LAST, rank) = 1),
+st AS (SELECT d.id, array_to_string(CASE WHEN w.id IS NULL THEN d.steps ELSE list_append(d.steps, 'Add ' || w.descrip) END, ';') AS steps FROM dishes d LEFT JOIN win w ON w.id = d.id),
+nl AS (SELECT id, string_agg(x, ',' ORDER BY p) AS ingredients FROM (SELECT id, x, min(p) AS p FROM (SELECT id, ingredient AS x, pos AS p FROM kl UNION ALL SELECT id, descrip, 1000 FROM win) GROUP BY 1, 2) GROUP BY id),
+al AS (SELECT '' AS variant, id, ndb_no, qty_g, total_weight FROM kl WHERE id IN (SELECT id FROM win) UNION ALL SELECT '', win.id, candidate, NULL, total_weight FROM win LEFT JOIN kw ON kw.id = win.id),
+{weigh_sql('bf', 'kl')}, {weigh_sql('af', 'al')} {_FLOW}""", *_DISHES)
+def transform_add_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The addition of more fibre without nuts that suits each dish best."""
+    return _flow(transform.add_flow(_kitchen(spark, sf_dir), substitute.constraint_struct(["increase_fiber", "no_nuts"])))
+
+
+_DELETE = f"""{_KITCHEN}, {_GONE.format(breaks='coalesce(is_gluten, false)', most=3).replace('sugar_g', 'NULL')},
+gn AS (SELECT id, place, ingredient AS old, '' AS new FROM rm WHERE br),
+{_edited_steps('gn')},
+al AS (SELECT l.* FROM kl l ANTI JOIN gn ON gn.id = l.id AND gn.old = l.ingredient WHERE l.id IN (SELECT id FROM gn)),
+nl AS (SELECT l.id, string_agg(l.ingredient, ',' ORDER BY pos) AS ingredients FROM kl l ANTI JOIN gn ON gn.id = l.id AND gn.old = l.ingredient GROUP BY l.id),
+{weigh_sql('bf', 'kl')}, {weigh_sql('af', 'al')}"""
+
+
+def _deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transform.delete_flow(_kitchen(spark, sf_dir), substitute.constraint_struct(["no_gluten"]))
+
+
+@query(f"WITH {_DELETE} {_FLOW}", *_DISHES)
+def transform_delete_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every dish without what holds gluten."""
+    return _flow(_deleted(spark, sf_dir))
+
+
+@query(f"""WITH {_DELETE} SELECT 'c' || CAST(d.id % 9 AS VARCHAR) AS conversation_id, d.name AS original_name, CASE WHEN a.id IS NOT NULL THEN d.name END AS transformed_name, a.id IS NOT NULL AS success, 'deleted' AS message, round(b.score, 4) AS before, round(a.score, 4) AS after, round(a.energy_kcal, 3) AS calories
+FROM dishes d JOIN bf b ON b.id = d.id LEFT JOIN af a ON a.id = d.id""", *_DISHES)
+def transformation_log_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses as JSON, then the rows that the log keeps of them."""
+    responses = transform.response_json(_deleted(spark, sf_dir))
+    rows = logs.log_transformation(responses.select(F.concat(F.lit("c"), F.col("id") % 9).alias("conversation_id"), F.lit("u").alias("user_id"), F.lit("2024-01-01").cast("timestamp").alias("ts"), "response"))
+    number = lambda c, f, n: _r(exprs.json_number(F.col(c), f"$.{f}"), n)
+    return rows.select("conversation_id", "original_name", "transformed_name", "success", "message", number("nutrition_before", "health_score", 4).alias("before"), number("nutrition_after", "health_score", 4).alias("after"), number("nutrition_after", "calories", 3).alias("calories"))
+
+
 # ---- models: no SQL twin ----------------------------------------------------------------------
 
 

@@ -27,6 +27,8 @@ STAND_INS: dict[str, str] = {
     "matching": "SELECT DISTINCT l_orderkey AS recipe_id, concat('i', CAST(l_partkey AS STRING)) AS ingredient, CAST(CASE WHEN c = 0 THEN l_partkey ELSE (l_partkey * 7) % 200 + 1 END AS STRING) AS ndb_no FROM {lineitem} CROSS JOIN (SELECT 0 AS c UNION ALL SELECT 1 AS c) AS two",
     "tagged": "SELECT CAST(p_partkey AS STRING) AS ndb_no, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_partkey % 5 = 0 END AS is_dairy, p_partkey % 4 = 0 AS is_gluten, p_partkey % 9 = 0 AS contains_nuts, CASE WHEN p_partkey % 8 = 0 THEN NULL ELSE p_partkey % 3 <> 0 END AS is_vegetarian, p_partkey % 2 = 0 AS is_vegetable, p_partkey % 17 = 0 AS is_seafood, p_partkey % 6 = 0 AS is_sweetener, p_partkey % 10 = 0 AS is_grain FROM {part}",
     "dishes": "SELECT p_partkey AS id, CASE WHEN p_partkey % 19 = 0 THEN '  ' ELSE p_name END AS name, CAST(p_size - 2 AS BIGINT) AS minutes, split(concat(p_type, ',', p_brand, ',', CASE WHEN p_size % 3 = 0 THEN 'Vegan' WHEN p_size % 3 = 1 THEN 'no meat' ELSE 'x' END, ',', CASE WHEN p_size % 4 = 0 THEN 'meatless' WHEN p_size % 4 = 1 THEN 'ramadan' ELSE 'low-carb' END), ',') AS tags, split(p_name, ' ') AS ingredients, split(concat('Chop ', p_name, ';Mix ', p_type, ';Serve'), ';') AS steps, CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE concat('About ', p_name, ' [\"it''s\"] ,  ', p_brand, ' | Crème!') END AS description, CAST(CASE WHEN p_partkey % 5 = 0 THEN 4 ELSE 3 END AS BIGINT) AS n_steps, CAST(2 AS BIGINT) AS n_ingredients, p_retailprice AS price FROM {part}",
+    "dish_quantity": "SELECT p_partkey AS id, split_part(p_name, ' ', 1) AS ingredients, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_size * 1.37 END AS qty_g FROM {part} UNION ALL SELECT p_partkey, split_part(p_name, ' ', 2), CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_size * 2.41 END FROM {part}",
+    "dish_weights": "SELECT p_partkey AS id, CASE WHEN p_partkey % 11 = 0 THEN 'abc' ELSE CAST((p_partkey % 7) * 50 AS STRING) END AS serving_size, CAST(p_partkey % 5 AS STRING) AS servings FROM {part}",
     "search_log": "SELECT event_id, concat('c', CAST(user_id % 40 AS STRING)) AS conversation_id, CAST(user_id AS STRING) AS user_id, event_type AS query, ts AS search_timestamp, event_id % 500 AS recipe_id, concat('Dish ', CAST(event_id % 50 AS STRING)) AS name, value AS minutes, concat('{{\"id\":', CAST(event_id % 500 AS STRING), ',\"tags\":[\"', event_type, '\",\"course\",\"t', CAST(event_id % 7 AS STRING), '\"],\"nutrition_detailed\":{{\"sugar_g_100g\":', CAST(event_id % 31 AS STRING), '}}}}') AS raw_recipe_json FROM {events} WHERE event_type IN ('view', 'click')",
     "transform_log": "SELECT event_id, concat('c', CAST(user_id % 40 AS STRING)) AS conversation_id, CAST(user_id AS STRING) AS user_id, concat('Dish ', CAST(event_id % 50 AS STRING)) AS original_name, event_type <> 'error' AS success, ts AS transform_timestamp, concat('{{\"calories\":', CAST(event_id % 900 AS STRING), ',\"protein_g\":', CAST(event_id % 37 AS STRING), CASE WHEN event_id % 3 = 0 THEN '' ELSE concat(',\"health_score\":', CAST(event_id % 101 AS STRING)) END, '}}') AS nutrition_before, concat('{{\"calories\":', CAST(event_id % 700 AS STRING), ',\"protein_g\":', CAST(event_id % 41 AS STRING), ',\"health_score\":', CAST(event_id % 97 AS STRING), '}}') AS nutrition_after FROM {events} WHERE event_type IN ('purchase', 'signup', 'error')",
     "messages": "SELECT concat(CAST(conv_id AS STRING), '-', CAST(turn + 1000 AS STRING)) AS id, concat('c', CAST(conv_id % 40 AS STRING)) AS conversation_id, role, text AS content, CASE WHEN turn % 3 = 0 THEN NULL ELSE conv_id END AS thread_id, CASE WHEN turn % 2 = 0 THEN NULL ELSE turn END AS message_id, turn AS created_at FROM {conversations}",
