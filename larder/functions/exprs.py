@@ -68,6 +68,21 @@ def array_std(col: Column) -> Column:
     return F.when(F.size(col) > 0, F.sqrt(square / F.size(col)))
 
 
+def square(a: Column) -> Column:
+    return a * a
+
+
+def total(*cols: Column) -> Column:
+    """Sum of the arguments, null if any is null."""
+    return reduce(lambda a, b: a + b, cols)
+
+
+def power(a: Column, b: Column) -> Column:
+    """a to the power of b in double precision; null for null, and where no number comes of it."""
+    p = F.pow(a.cast("double"), b.cast("double"))
+    return F.when(~F.isnan(p), p)
+
+
 def safe_quotient(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / b)
 

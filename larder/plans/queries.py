@@ -244,10 +244,14 @@ def tag_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_FILTERS} SELECT d.id, CAST(CASE WHEN d.id % 4 = 1 THEN 1 ELSE 0 END AS BIGINT) AS has_image, CASE WHEN d.id % 3 = 0 THEN NULL ELSE d.id % 6 END AS servings FROM dishes d JOIN tf USING (id) WHERE description IS NOT NULL AND length(name) > 0 AND minutes > 5 AND filters <> '' AND d.id % 10 <> 0 AND d.id % 7 <> 0", "dishes")
 def clean_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaning: rows with images (some), quantities (most) and all required fields."""
+    return _cleaned(spark, sf_dir).select("id", "has_image", "servings")
+
+
+def _cleaned(spark: SparkSession, sf_dir: str, limit: int | None = None) -> DataFrame:
     raw = _raw_dishes(stand_in(spark, sf_dir, "dishes"))
     images = raw.where("id % 4 < 2").select("id", F.when(F.col("id") % 4 == 1, F.concat(F.lit("http://img/"), "id")).otherwise("").alias("image_url"))
     amounts = raw.where("id % 7 <> 0").select("id", F.lit("100").alias("serving_size"), F.when(F.col("id") % 3 == 0, "few").otherwise((F.col("id") % 6).cast("string")).alias("servings"), F.col("tags").alias("search_terms"), F.col("ingredients").alias("ingredients_raw_str"))
-    return recipes.ingest_clean_recipes(raw, images, amounts).select("id", "has_image", "servings")
+    return recipes.ingest_clean_recipes(raw, images, amounts, limit)
 
 
 @query("""WITH e AS (SELECT unnest(list_filter([CASE WHEN n_steps <> len(steps) THEN 'n_steps differs from the number of steps' END, CASE WHEN n_ingredients <> len(ingredients) THEN 'n_ingredients differs from the number of ingredients' END,
@@ -334,12 +338,19 @@ def recipes_without_quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stand_in(spark, sf_dir, "recipes").join(stand_in(spark, sf_dir, "quantity"), "id", "left_anti").select("id").distinct()
 
 
-@query("SELECT event_id, CAST(event_id % 50 AS DOUBLE) AS n, round(value / nullif(event_id % 4, 0), 6) AS quotient, round(CASE WHEN event_id % 9 - 4 >= 0 THEN sqrt(event_id % 9 - 4) END, 6) AS root, CASE WHEN value >= 30 THEN 'green' WHEN value >= 15 THEN 'orange' ELSE 'red' END AS protein_level, CASE WHEN value <= 400 THEN 'green' WHEN value <= 600 THEN 'orange' ELSE 'red' END AS calories_level FROM events")
+@query("""SELECT event_id, TRY_CAST(replace(CASE WHEN t = 'X' THEN '0' ELSE split(t, ' ')[1] END, ',', '.') AS DOUBLE) AS n, round(value / nullif(event_id % 4, 0), 6) AS quotient, round(CASE WHEN event_id % 9 - 4 >= 0 THEN sqrt(event_id % 9 - 4) END, 6) AS root, round(value * value, 4) AS squared, round(value + event_id % 7 + 0.5, 6) AS summed, round(pow(value, event_id % 3), 4) AS powered,
+CASE WHEN value >= 30 THEN 'green' WHEN value >= 15 THEN 'orange' ELSE 'red' END AS protein_level, CASE WHEN value <= 400 THEN 'green' WHEN value <= 600 THEN 'orange' ELSE 'red' END AS calories_level
+FROM (SELECT *, CASE WHEN event_id % 50 = 0 THEN 'X' WHEN event_id % 50 = 1 THEN event_type ELSE replace(CAST(CAST(round(value, 2) AS DECIMAL(18, 2)) AS VARCHAR), '.', ',') || ' ' || event_type END AS t FROM events)""")
 def scalar_maths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dirty = F.when(F.col("event_id") % 50 == 0, "X").otherwise(F.concat((F.col("event_id") % 50).cast("string"), F.lit(",0 7")))
+    """Number text as it comes, with decimal commas, units and words, then safe arithmetic."""
+    k = F.col("event_id") % 50
+    dirty = F.when(k == 0, "X").when(k == 1, F.col("event_type")).otherwise(F.concat(F.translate(F.round("value", 2).cast("decimal(18,2)").cast("string"), ".", ","), F.lit(" "), "event_type"))
     df = io.replace_values(base(spark, sf_dir, "events").withColumn("n", dirty), "n", {"X": "0"})
     level = lambda n: exprs.health_level(F.col("value"), F.lit(n)).alias(f"{n}_level")
-    return df.select("event_id", "n", _r(exprs.safe_quotient(F.col("value"), F.col("event_id") % 4)).alias("quotient"), _r(exprs.safe_sqrt((F.col("event_id") % 9 - 4).cast("double"))).alias("root"), level("protein"), level("calories"))
+    return df.select(
+        "event_id", "n", _r(exprs.safe_quotient(F.col("value"), F.col("event_id") % 4)).alias("quotient"), _r(exprs.safe_sqrt((F.col("event_id") % 9 - 4).cast("double"))).alias("root"), _r(exprs.square(F.col("value")), 4).alias("squared"),
+        _r(exprs.total(F.col("value"), F.col("event_id") % 7, F.lit(0.5))).alias("summed"), _r(exprs.power(F.col("value"), F.col("event_id") % 3), 4).alias("powered"), level("protein"), level("calories"),
+    )
 
 
 @query("SELECT vec_id, round(list_avg(CAST(embedding AS DOUBLE[])), 6) AS mean, round(list_stddev_pop(CAST(embedding AS DOUBLE[])), 6) AS std FROM embeddings")
@@ -348,10 +359,14 @@ def array_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.select("vec_id", _r(exprs.array_mean(F.col("v"))).alias("mean"), _r(exprs.array_std(F.col("v"))).alias("std"))
 
 
-@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'a|b c' WHEN 1 THEN 'x|y' WHEN 2 THEN source END AS parts FROM documents")
+@query("""SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN nullif(source, '') ELSE array_to_string(list_filter(w, lambda x: x <> ''), '|') END AS parts
+FROM (SELECT doc_id, source, [regexp_replace(x, '[^A-Za-z]', '', 'g') for x in split(replace(coalesce(text, ''), chr(10), ' '), ' ')[1:6]] AS w FROM documents)""")
 def parsed_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first words of every text as JSON, as a quoted list with braces, and as a bare list; the source as it is."""
     k = F.col("doc_id") % 4
-    raw = F.when(k == 0, '["a", "b c"]').when(k == 1, io.fix_set_literals(F.lit("{'x', 'y'}"))).when(k == 2, F.col("source")).otherwise("")
+    w = F.filter(F.transform(F.slice(F.split(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")), " "), 1, 6), lambda x: F.regexp_replace(x, "[^A-Za-z]", "")), lambda x: x != "")
+    quoted = F.concat(F.lit("{"), F.array_join(F.transform(w, lambda x: F.concat(F.lit("'"), x, F.lit("'"))), ", "), F.lit("}"))
+    raw = F.when(k == 0, F.to_json(w)).when(k == 1, io.fix_set_literals(quoted)).when(k == 2, F.concat(F.lit("["), F.array_join(w, " , "), F.lit("]"))).otherwise(F.col("source"))
     return base(spark, sf_dir, "documents").select("doc_id", F.array_join(io.parse_list(raw), "|").alias("parts"))
 
 
@@ -725,6 +740,147 @@ def merged_judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ireval.merge_judgments(parts).select("query", F.array_join(F.transform("judgments", lambda x: x.cast("string")), ",").alias("docs"))
 
 
+# ---- loading, views and keys ------------------------------------------------------------------
+
+
+@query("SELECT CAST(p_partkey AS DOUBLE) AS PID, p_name AS NAME, TRY_CAST(p_brand AS DOUBLE) AS BRAND, CAST(p_size AS DOUBLE) AS SIZE, round(p_retailprice, 2) AS PRICE, NULL::VARCHAR AS NOTE FROM part")
+def loaded_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The loader's chain: written and read as CSV, numbers coerced but for the name, headers raised, a missing column added."""
+    parts = base(spark, sf_dir, "part").select(F.col("p_partkey").alias("pid"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), F.col("p_size").alias("size"), _r("p_retailprice", 2).alias("price"))
+    path = shared_dir(spark, "csv")
+    io.write_csv_table(parts, path, sep=";")
+    return io.ensure_columns(io.uppercase_columns(io.coerce_numeric(io.read_csv_table(spark, path, sep=";"), ["name"])), {"NOTE": "string", "name": "string"})
+
+
+@query("SELECT n_nationkey AS id, n_name AS name, CAST(count(*) AS BIGINT) AS copies FROM (SELECT n_nationkey, n_name FROM nation UNION ALL SELECT n_nationkey, n_name FROM nation WHERE n_regionkey < 3) GROUP BY 1, 2")
+def stored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table written, added to, left alone where it exists, exported as JSON records and read again."""
+    path, nation = shared_dir(spark, "table"), base(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), "n_regionkey")
+    io.write_table(nation.drop("n_regionkey"), path, "overwrite", catalog=False)
+    io.write_table(nation.where("n_regionkey < 3").drop("n_regionkey"), path, "append", catalog=False)
+    io.write_table(nation.drop("n_regionkey"), path, "ignore", catalog=False)
+    io.write_json_records(spark.read.parquet(path), f"{path}-json")
+    return spark.read.schema("id int, name string").json(f"{path}-json").groupBy("id", "name").agg(F.count(F.lit(1)).alias("copies"))
+
+
+def _enriched_dishes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dishes with the nutrients of the ingredient of the same number per 100 g."""
+    facts = recipes.ingredient_health(stand_in(spark, sf_dir, "ingredients")).select(F.col("ndb_no").cast("long").alias("id"), "score_sante", *(F.col(n).alias(f"{n}_100g") for n in NUTRIENTS))
+    return stand_in(spark, sf_dir, "dishes").withColumn("ingredients_raw_str", F.col("ingredients")).join(facts, "id")
+
+
+@query(f"SELECT CASE WHEN id % 5 = 0 THEN -1 ELSE id END AS id, CASE WHEN id % 3 = 0 THEN 'Unknown Recipe' ELSE name END AS name, array_to_string(ingredients, ',') AS amounts, round(carb_g, 6) AS carbs, round(energy_kcal * 2.5, 6) AS energy_scaled FROM dishes JOIN ingredients ON ndb_no = CAST(id AS VARCHAR)", "dishes", "ingredients")
+def recipe_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outward form of every recipe with defaults for what is missing, and its nutrients scaled."""
+    rows = _enriched_dishes(spark, sf_dir).withColumns({"name": F.when(F.col("id") % 3 != 0, F.col("name")), "id": F.when(F.col("id") % 5 != 0, F.col("id"))})
+    seen = filters.to_recipe(rows.withColumn("rrf_score", F.lit(1.0)))
+    scaled = seen.select("id", "name", F.array_join("ingredients_with_quantities", ",").alias("amounts"), _r("nutrition_detailed.carbs_g_100g").alias("carbs"), *(F.col(f"nutrition_detailed.{'carbs_g_100g' if n == 'carb_g' else n + '_100g'}").alias(n) for n in NUTRIENTS))
+    return scaled.select("id", "name", "amounts", "carbs", *nutrition.scale_nutrition(F.lit(2.5), "_scaled")).select("id", "name", "amounts", "carbs", _r("energy_kcal_scaled").alias("energy_scaled"))
+
+
+@query("SELECT p_partkey AS id, p_name AS name FROM part WHERE (contains(lower(p_name), 'ed ') OR contains(lower(p_type), 'nickel')) AND p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 25)")
+def keyword_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that hold a text in one of two columns, literally, and whose key is in another table."""
+    keys = base(spark, sf_dir, "lineitem").where("l_quantity > 25").select(F.col("l_partkey").alias("p_partkey"))
+    found = filters.keyword_search(base(spark, sf_dir, "part"), "ED ", "p_name").unionByName(filters.keyword_search(base(spark, sf_dir, "part"), "Nickel", "p_type")).distinct()
+    return filters.keep_keys(found, keys, "p_partkey").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+
+
+@query(f"WITH {_FILTERS} SELECT d.id, CAST(CASE WHEN d.id % 4 = 1 THEN 1 ELSE 0 END AS BIGINT) AS has_image FROM dishes d JOIN tf USING (id) WHERE description IS NOT NULL AND length(name) > 0 AND minutes > 5 AND filters <> '' AND d.id % 10 <> 0 AND d.id % 7 <> 0 ORDER BY d.id LIMIT 25", "dishes")
+def first_clean_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sample of cleaned recipes: the first 25 by id."""
+    return _cleaned(spark, sf_dir, 25).select("id", "has_image")
+
+
+_labelled = lambda c, label: f"CASE WHEN coalesce({c}, '') = '' THEN '' ELSE ' recipe {label}: ' || trim(replace(regexp_replace(regexp_replace(lower(replace(translate({c}, '[]''\"', ''), '|', ',')), '[^a-z0-9 .,?!]', '', 'g'), ' +', ' ', 'g'), ' ,', ',')) || '.' END"
+
+
+@query(f"SELECT id, {_labelled('name', 'name')} AS short, {_labelled('name', 'name')} || ' ' || {_labelled('t', 'tags')} || ' ' || {_labelled('description', 'description')} AS long FROM (SELECT *, array_to_string(tags, ',') AS t FROM dishes)", "dishes")
+def labelled_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A labelled text for each configuration of columns."""
+    return text.text_configurations(stand_in(spark, sf_dir, "dishes"), {"short": ["name"], "long": ["name", "tags", "description"]}).select("id", "short", "long")
+
+
+@query(f"""WITH {_HEALTH}, m AS (SELECT recipe_id, lower(trim(CASE WHEN recipe_id % 2 = 0 THEN '  ' || upper(ingredient) ELSE ingredient END)) AS ingredient, CASE WHEN CAST(ndb_no AS BIGINT) % 3 = 0 THEN NULL ELSE ndb_no END AS ndb_no FROM matching)
+SELECT recipe_id AS id, ingredient, ndb_no, round(score_sante, 6) AS score_sante FROM m LEFT JOIN health h USING (ndb_no) WHERE ndb_no IS NOT NULL QUALIFY row_number() OVER (PARTITION BY recipe_id, ingredient ORDER BY score_sante DESC NULLS LAST, ndb_no) = 1""", "ingredients", "matching")
+def best_known_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best match of each name, whatever its case and outer spaces, among matches that have an id."""
+    odd = F.when(F.col("recipe_id") % 2 == 0, F.concat(F.lit("  "), F.upper("ingredient"))).otherwise(F.col("ingredient"))
+    some = stand_in(spark, sf_dir, "matching").withColumns({"ingredient": odd, "ndb_no": F.when(F.col("ndb_no").cast("long") % 3 != 0, F.col("ndb_no"))})
+    got = recipes.best_matches(some, recipes.ingredient_health(stand_in(spark, sf_dir, "ingredients")), by_key=True, known_only=True)
+    return got.select(F.col("recipe_id").alias("id"), "ingredient", "ndb_no", _r("score_sante").alias("score_sante"))
+
+
+# ---- search with filters, responses and their log ---------------------------------------------
+
+
+@query("WITH " + bm25_sql(_HYBRID, 60, "source IN ('src1', 'src2', 'src3') AND n_chars > 200") + """,
+kd AS (SELECT doc_id FROM documents WHERE source IN ('src1', 'src2', 'src3') AND n_chars > 200), """ + vector_sql(60).replace("WHERE q.vec_id % 100 = 0", "WHERE q.vec_id % 100 = 0 AND d.vec_id IN (SELECT doc_id FROM kd)") + """,
+f AS (SELECT coalesce(v.query_id, b.query_id) AS query_id, coalesce(v.doc_id, b.doc_id) AS doc_id, round((coalesce(0.7 / (60 + v.rank), 0) + coalesce(0.3 / (60 + b.rank), 0)) * CASE WHEN v.rank IS NOT NULL AND b.rank IS NOT NULL THEN 1.15 ELSE 1.0 END, 6) AS rrf_score
+      FROM (SELECT query_id, doc_id, rank FROM vs WHERE query_id IN (SELECT query_id FROM qs)) v FULL JOIN (SELECT query_id, doc_id, rank FROM bm) b ON v.query_id = b.query_id AND v.doc_id = b.doc_id)
+SELECT query_id, doc_id, CAST(rrf_score AS DOUBLE) AS rrf_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, doc_id) AS rank FROM f) WHERE rank <= 10""")
+def hybrid_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both kinds of search among the documents that pass a filter, fused."""
+    docs = base(spark, sf_dir, "documents")
+    asked = _vector_queries(spark, sf_dir).join(docs.select(F.col("doc_id").alias("query_id"), F.col("text").alias("query")), "query_id")
+    source = docs.withColumn("ingredients", F.array(F.concat("source", F.lit(" "))))
+    wanted = filters.SearchFilters([filters.NumericFilter("n_chars", ">", 200)], any_ingredients=["src1 ", "src2 ", "src3 "], numeric_columns=("n_chars",))
+    hits = search.hybrid_search(_index(spark, sf_dir), _vectors(spark, sf_dir), asked, 10, source, wanted)
+    return hits.select("query_id", "doc_id", "rrf_score", F.col("rank").cast("long").alias("rank"))
+
+
+def _recipe_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = _vector_queries(spark, sf_dir).withColumn("query", F.concat(F.lit("q"), "query_id"))
+    hits = search.vector_search(_vectors(spark, sf_dir), asked, 5).select("query_id", "rank", F.col("doc_id").alias("id"), F.col("score").alias("similarity_score"))
+    return search.search_response(hits.join(_enriched_dishes(spark, sf_dir), "id"), asked, recipes=True)
+
+
+@query("WITH " + vector_sql(5) + """ SELECT 'q' || CAST(v.query_id AS VARCHAR) AS query, CAST(count(d.id) AS BIGINT) AS total_found, string_agg(CAST(d.id AS VARCHAR) || ':' || d.name, ',' ORDER BY rank) AS found, round(arg_min_null(energy_kcal, rank) FILTER (WHERE d.id IS NOT NULL), 6) AS first_energy
+FROM vs v LEFT JOIN (SELECT * FROM dishes JOIN ingredients ON ndb_no = CAST(id AS VARCHAR)) d ON d.id = v.doc_id GROUP BY 1""", "dishes", "ingredients")
+def recipe_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search responses of recipes in their outward form, nutrition nested."""
+    r = F.col("results")
+    return _recipe_responses(spark, sf_dir).select("query", "total_found", F.array_join(F.transform(r, lambda x: F.concat_ws(":", x["id"].cast("string"), x["name"])), ",").alias("found"), _r(F.get(r, F.lit(0))["nutrition_detailed"]["energy_kcal_100g"]).alias("first_energy"))
+
+
+_LOGGED = "WITH " + vector_sql(5) + """ SELECT 'conv' || CAST(query_id % 3 AS VARCHAR) AS conversation_id, 'q' || CAST(query_id AS VARCHAR) AS query, count(*) OVER (PARTITION BY query_id) AS total_found, id AS recipe_id, name, CAST(minutes AS DOUBLE) AS minutes, round(energy_kcal, 3) AS calories
+FROM vs JOIN (SELECT * FROM dishes JOIN ingredients ON ndb_no = CAST(id AS VARCHAR)) d ON d.id = doc_id"""
+
+
+def _logged_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _recipe_responses(spark, sf_dir).where("total_found > 0")
+    return found.select(F.concat(F.lit("conv"), F.substring("query", 2, 20).cast("long") % 3).alias("conversation_id"), F.lit("u").alias("user_id"), "query", "total_found", F.lit(1.0).alias("execution_time_ms"), "status", F.lit("2024-01-01").cast("timestamp").alias("ts"), F.transform("results", lambda x: F.to_json(x)).alias("results"))
+
+
+def _log_columns(rows: DataFrame) -> DataFrame:
+    return rows.select("conversation_id", "query", "total_found", "recipe_id", "name", "minutes", _r("calories", 3).alias("calories"))
+
+
+@query(_LOGGED, "dishes", "ingredients")
+def search_log_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that the log keeps of search responses, one per result."""
+    return _log_columns(logs.log_search(_logged_responses(spark, sf_dir)))
+
+
+@query(_LOGGED, "dishes", "ingredients")
+def streamed_search_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows, appended by a stream of responses as they arrive."""
+    from larder.streaming.jobs import stream_search_log
+
+    out, responses = shared_dir(spark, "log"), _logged_responses(spark, sf_dir)
+    responses.write.parquet(f"{out}/in")
+    stream_search_log(spark.readStream.schema(responses.schema).parquet(f"{out}/in"), f"{out}/rows", f"{out}/checkpoint").awaitTermination()
+    return _log_columns(spark.read.parquet(f"{out}/rows"))
+
+
+@query("SELECT CAST(time_bucket(INTERVAL 1 DAY, search_timestamp) AS VARCHAR) AS day, tag, count(*) AS n FROM (SELECT search_timestamp, unnest(CAST(json_extract(raw_recipe_json, '$.tags') AS VARCHAR[])) AS tag FROM search_log) GROUP BY 1, 2", "search_log")
+def daily_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags of results per day, the batch form of the windowed stream."""
+    from larder.streaming.jobs import windowed_tags
+
+    return windowed_tags(_log(spark, sf_dir)[0], _tags()).select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("day"), "tag", "n")
+
+
 # ---- whole transformations --------------------------------------------------------------------
 
 
