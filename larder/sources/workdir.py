@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -11,14 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir.
 
-    Where the setting is absent and Spark runs in this one process, a temporary folder takes its place; on a cluster
-    that would be a folder that executors do not share, so it is an error.
+    Where the setting is absent and Spark runs in this one process, a temporary folder takes its place, which goes with the
+    process; on a cluster that would be a folder that executors do not share, so it is an error. Folders below
+    spark.checkpoint.dir stay: results are read from them as long as someone does, and lost executors read them again.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="larder-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
