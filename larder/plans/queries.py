@@ -995,6 +995,82 @@ def transformation_log_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conversation_id", "original_name", "transformed_name", "success", "message", number("nutrition_before", "health_score", 4).alias("before"), number("nutrition_after", "health_score", 4).alias("after"), number("nutrition_after", "calories", 3).alias("calories"))
 
 
+# ---- texts of models, functions and encoders --------------------------------------------------
+
+
+@query("SELECT query, doc_id, relevance FROM judgments", "judgments")
+def judgment_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judgments as JSON of query, document and grade, and back to rows."""
+    per = F.to_json(F.create_map("query", F.create_map(F.col("doc_id").cast("string"), F.col("relevance"))))
+    return io.judgments_of(stand_in(spark, sf_dir, "judgments").select(per.alias("json")))
+
+
+@query("SELECT vec_id, CAST(len(embedding) AS BIGINT) AS n, round(list_sum(CAST(embedding AS DOUBLE[])), 4) AS total FROM embeddings")
+def vector_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors written as text in brackets and parsed again."""
+    written = F.concat(F.lit("["), F.array_join(F.transform("embedding", lambda x: x.cast("string")), "  "), F.lit("]"))
+    v = base(spark, sf_dir, "embeddings").select("vec_id", vectors.parse_vector(written).alias("v"))
+    return v.select("vec_id", F.size("v").cast("long").alias("n"), _r(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double")), 4).alias("total"))
+
+
+@query("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(user_id AS VARCHAR) AS grams FROM events")
+def model_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON out of a model's fenced answer, and an amount out of a serving's text."""
+    fenced = F.concat(F.lit('Here:\n```json\n'), "props", F.lit('\n```'))
+    serving = F.concat(F.lit("1 ("), F.col("user_id").cast("string"), F.lit(" g)"))
+    return base(spark, sf_dir, "events").select("event_id", F.get_json_object(exprs.json_text(fenced), "$.k").try_cast("bigint").alias("k"), exprs.slice_text(serving, 3, -3).alias("grams"))
+
+
+@query("SELECT vec_id, 'Hello ' || CAST(label AS VARCHAR) || '!' AS greeting, round(list_avg(CAST(embedding AS DOUBLE[])), 6) AS mean, CAST(label * label + 1 AS BIGINT) AS squared FROM embeddings")
+def registered_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Python functions registered by their type hints and called from SQL."""
+    from larder.functions import udfs
+
+    def greet(name: str) -> str:
+        return f"Hello {name}!"
+
+    def mean(xs: list[float]) -> float | None:
+        return sum(xs) / len(xs) if xs else None
+
+    def square_and(x: int, more: int) -> int:
+        return x * x + more
+
+    for f in (greet, mean, square_and):
+        udfs.register(spark, f"larder_{f.__name__}", f)
+    return spark.sql("SELECT vec_id, larder_greet(CAST(label AS STRING)) AS greeting, round(larder_mean(CAST(embedding AS ARRAY<DOUBLE>)), 6) AS mean, larder_square_and(CAST(label AS BIGINT), 1L) AS squared FROM {e}", e=base(spark, sf_dir, "embeddings"))
+
+
+def _letters():
+    """An encoder of two numbers: the text's length and its letters a."""
+    import numpy as np
+
+    return lambda texts: np.array([[len(t), t.count("a")] for t in texts], dtype=float)
+
+
+_ENCODED = "SELECT doc_id, CAST(length(text) AS DOUBLE) AS length, CAST(length(text) - length(replace(text, 'a', '')) AS DOUBLE) AS letters FROM documents"
+
+
+def _encoded(df: DataFrame) -> DataFrame:
+    return search.embed(df.select("doc_id", "text"), "text", _letters).select("doc_id", F.col("embedding")[0].cast("double").alias("length"), F.col("embedding")[1].cast("double").alias("letters"))
+
+
+@query(_ENCODED)
+def encoded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors by a pluggable encoder that is made once per task."""
+    return _encoded(base(spark, sf_dir, "documents"))
+
+
+@query(_ENCODED)
+def streamed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same vectors from a stream of documents, each micro-batch stored once."""
+    from larder.streaming.jobs import stream_embed
+
+    docs, out = base(spark, sf_dir, "documents"), shared_dir(spark, "vectors")
+    docs.write.parquet(f"{out}/in")
+    stream_embed(spark.readStream.schema(docs.schema).parquet(f"{out}/in"), f"{out}/rows", f"{out}/checkpoint", _encoded).awaitTermination()
+    return spark.read.parquet(f"{out}/rows").select("doc_id", "length", "letters")
+
+
 # ---- models: no SQL twin ----------------------------------------------------------------------
 
 
