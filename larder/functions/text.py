@@ -8,16 +8,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words that search drops. Forms with an apostrophe never match, since tokens end at it.
-STOP_WORDS = (
-    "a about above after again against all am an and any are aren't as at be because been before being below between both but by "
-    "can't cannot could couldn't did didn't do does doesn't doing don't down during each few for from further had hadn't has hasn't "
-    "have haven't having he he'd he'll he's her here here's hers herself him himself his how how's i i'd i'll i'm i've if in into is "
-    "isn't it it's its itself just k let's me might more most mustn't my myself no nor not of off on once only or other ought our ours "
-    "ourselves out over own same shan't she she'd she'll she's should shouldn't so some such t than that that's the their theirs them "
-    "themselves then there there's these they they'd they'll they're they've this those through to too under until up very was wasn't "
-    "we we'd we'll we're we've were weren't what what's when when's where where's which while who who's whom why why's with won't would "
-    "wouldn't you you'd you'll you're you've your yours yourself yourselves"
-).split()
+STOP_WORDS = [
+    "a", "about", "above", "after", "again", "against", "all", "am", "an", "and", "any", "are", "aren't", "as", "at", "be",
+    "because", "been", "before", "being", "below", "between", "both", "but", "by", "can't", "cannot", "could", "couldn't", "did",
+    "didn't", "do", "does", "doesn't", "doing", "don't", "down", "during", "each", "few", "for", "from", "further", "had",
+    "hadn't", "has", "hasn't", "have", "haven't", "having", "he", "he'd", "he'll", "he's", "her", "here", "here's", "hers",
+    "herself", "him", "himself", "his", "how", "how's", "i", "i'd", "i'll", "i'm", "i've", "if", "in", "into", "is", "isn't",
+    "it", "it's", "its", "itself", "just", "k", "let's", "me", "might", "more", "most", "mustn't", "my", "myself", "no", "nor",
+    "not", "of", "off", "on", "once", "only", "or", "other", "ought", "our", "ours", "ourselves", "out", "over", "own", "same",
+    "shan't", "she", "she'd", "she'll", "she's", "should", "shouldn't", "so", "some", "such", "t", "than", "that", "that's",
+    "the", "their", "theirs", "them", "themselves", "then", "there", "there's", "these", "they", "they'd", "they'll", "they're",
+    "they've", "this", "those", "through", "to", "too", "under", "until", "up", "very", "was", "wasn't", "we", "we'd", "we'll",
+    "we're", "we've", "were", "weren't", "what", "what's", "when", "when's", "where", "where's", "which", "while", "who",
+    "who's", "whom", "why", "why's", "with", "won't", "would", "wouldn't", "you", "you'd", "you'll", "you're", "you've", "your",
+    "yours", "yourself", "yourselves",
+]
 
 #: The diet label of each tag.
 TAG_LABELS = {
@@ -35,7 +40,11 @@ TAG_LABELS = {
 }
 
 #: Words of a recipe's name that say nothing in a message.
-NAME_STOP_WORDS = "the a an of in on for and with to from recipe one two three four five six seven eight nine ten about this that these those breakfast lunch dinner brunch idea ideas".split()
+NAME_STOP_WORDS = [
+    "the", "a", "an", "of", "in", "on", "for", "and", "with", "to", "from", "recipe", "one", "two", "three", "four", "five",
+    "six", "seven", "eight", "nine", "ten", "about", "this", "that", "these", "those", "breakfast", "lunch", "dinner", "brunch",
+    "idea", "ideas",
+]
 
 #: Ordinals in the order they are looked for.
 ORDINALS = {"first": 1, "1st": 1, "second": 2, "2nd": 2, "third": 3, "3rd": 3, "fourth": 4, "4th": 4, "fifth": 5, "5th": 5, "sixth": 6, "6th": 6, "seventh": 7, "7th": 7, "eighth": 8, "8th": 8, "ninth": 9, "9th": 9, "tenth": 10, "10th": 10}
@@ -153,12 +162,17 @@ def conversation_title(text: Column, limit: int = 27) -> Column:
 
 
 #: Words in a description that set a flag.
-FLAG_WORDS = {"is_lactose": "milk cheese butter cream yogurt", "is_gluten": "wheat bread flour pasta cereal", "contains_nuts": "nut almond peanut walnut pecan", "is_vegetable": "vegetable fruit bean pea lentil spinach carrot tomato"}
-MEAT_WORDS = "beef pork chicken fish meat turkey lamb"
+FLAG_WORDS = {
+    "is_lactose": ["milk", "cheese", "butter", "cream", "yogurt"],
+    "is_gluten": ["wheat", "bread", "flour", "pasta", "cereal"],
+    "contains_nuts": ["nut", "almond", "peanut", "walnut", "pecan"],
+    "is_vegetable": ["vegetable", "fruit", "bean", "pea", "lentil", "spinach", "carrot", "tomato"],
+}
+MEAT_WORDS = ["beef", "pork", "chicken", "fish", "meat", "turkey", "lamb"]
 
 
 def description_flags(descrip: Column) -> dict[str, Column]:
     """0/1 flags by substrings of a description; vegetarian is the absence of meat words."""
     low = F.lower(F.coalesce(descrip, F.lit("")))
-    has = lambda ws: low.rlike("|".join(ws.split()))
+    has = lambda ws: low.rlike("|".join(ws))
     return {k: has(v).cast("int") for k, v in FLAG_WORDS.items()} | {"is_vegetarian": (~has(MEAT_WORDS)).cast("int")}

@@ -12,7 +12,11 @@ from pyspark.sql import functions as F
 from larder.schemas import NUTRIENTS
 
 #: Diet labels a search may ask for.
-DIET_LABELS = "amish dairy_free diabetic egg_free gluten_free halal kosher low_calorie low_carb low_cholesterol low_fat low_protein low_saturated_fat low_sodium no_shell_fish non_alcoholic nut_free vegan vegetarian".split()
+DIET_LABELS = [
+    "amish", "dairy_free", "diabetic", "egg_free", "gluten_free", "halal", "kosher", "low_calorie", "low_carb",
+    "low_cholesterol", "low_fat", "low_protein", "low_saturated_fat", "low_sodium", "no_shell_fish", "non_alcoholic", "nut_free",
+    "vegan", "vegetarian",
+]
 OPERATORS = {">": Column.__gt__, ">=": Column.__ge__, "<": Column.__lt__, "<=": Column.__le__, "=": Column.__eq__}
 #: Days of a named time range.
 RANGES = {"7d": 7, "30d": 30, "90d": 90, "all": None}
