@@ -26,6 +26,7 @@ import hashlib
 import random
 import re
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Iterator
 from itertools import chain
@@ -110,6 +111,12 @@ def _bucket(name: str) -> int:
     return int.from_bytes(hashlib.blake2b(name.encode(), digest_size=4).digest(), "little") % DIM
 
 
+#: Features of a token.
+FEATURES = 14
+#: Edges whose messages are computed at once.
+EDGES = 100_000
+
+
 def tokens_in_context(text: str) -> Iterator[tuple[int, int, int, str, list[str]]]:
     """Tokens with a digit or an @: place among all tokens, start, end, token, and the two whole tokens before and after it."""
     around: deque[tuple[int, int, str]] = deque([(0, 0, "^"), (0, 0, "^")], maxlen=5)
@@ -127,7 +134,8 @@ class Graph:
     def __init__(self) -> None:
         self.doc: list[int] = []
         self.span: list[tuple[int, int]] = []
-        self.features: list[list[int]] = []
+        #: Hashed features, FEATURES of them for each token, one after another.
+        self.features = array("i")
         self.chain: list[tuple[int, int]] = []
         #: Neighbours of each token in the chain whose label is fixed: tokens that can be no entity, and the ends of the text.
         self.fixed: list[int] = []
@@ -156,7 +164,7 @@ class Graph:
                 "bias", f"shape={shape}", f"digits={min(len(digits), 20)}", f"at={'@' in token}", f"dots={min(token.count('.'), 5)}", f"plus={token[0] == '+'}", f"paren={token[0] == '('}", f"dash={min(token.count('-'), 4)}",
                 f"luhn={12 < len(digits) < 20 and luhn(digits)}", f"alpha={bool(re.search('[^\\W0-9_]', token))}", f"left={left.lower()}", f"right={right.lower()}", f"left2={left2.lower()}", f"right2={right2.lower()}",
             ]
-            self.features.append([self._id(x) for x in names])
+            self.features.extend([self._id(x) for x in names])
             self.fixed.append(2)
             if place == last + 1:
                 self.chain.append((node - 1, node))
@@ -176,7 +184,7 @@ class Graph:
         """Features (a row per token), chain edges, ties to hubs of two tokens or more, number of fixed neighbours."""
         ties = np.array(self.ties, dtype=np.int64).reshape(-1, 2)
         ties = ties[np.bincount(ties[:, 1], minlength=self.hubs)[ties[:, 1]] > 1]
-        return np.array(self.features, dtype=np.int64).reshape(len(self.doc), -1 if self.doc else 0), np.array(self.chain, dtype=np.int64).reshape(-1, 2), ties, np.array(self.fixed, dtype=float)
+        return np.array(self.features, dtype=np.int32).reshape(len(self.doc), FEATURES), np.array(self.chain, dtype=np.int64).reshape(-1, 2), ties, np.array(self.fixed, dtype=float)
 
 
 def base_labels(graph: Graph, spans: list[list[tuple[int, int, int]]]) -> np.ndarray:
@@ -296,14 +304,16 @@ def marginals(model: dict[str, np.ndarray], unary: np.ndarray, e: np.ndarray, ro
     n, k = unary.shape
     if len(e):
         src, dst = np.concatenate([e[:, 0], e[:, 1]]), np.concatenate([e[:, 1], e[:, 0]])
-        pair = model["pair"][np.concatenate([e[:, 2], e[:, 2]])]
+        kind = np.concatenate([e[:, 2], e[:, 2]])
         back = np.concatenate([np.arange(len(e)) + len(e), np.arange(len(e))])
         group = np.zeros(len(src), dtype=np.int64) if text is None else text[src]
         msg, live = np.zeros((len(src), k)), np.arange(len(src))
         for turn in range(rounds):
             total = unary + np.stack([np.bincount(dst[live], msg[live, j], n) for j in range(k)], axis=1)
-            out = total[src[live]] - msg[back[live]]
-            new = np.logaddexp.reduce(out[:, :, None] + pair[live], axis=1)
+            new = np.empty((len(live), k))
+            for at in range(0, len(live), EDGES):
+                some = live[at : at + EDGES]
+                new[at : at + EDGES] = np.logaddexp.reduce((total[src[some]] - msg[back[some]])[:, :, None] + model["pair"][kind[some]], axis=1)
             new -= new.max(axis=1, keepdims=True)
             worst = np.zeros(group.max() + 1)
             np.maximum.at(worst, group[live], np.abs(new - msg[live]).max(axis=1))
@@ -321,7 +331,9 @@ def label_tokens(model: dict[str, np.ndarray], graph: Graph, known: np.ndarray)
     """Marginals of every candidate token; ``known``: labels given (0: none)."""
     n = len(LABELS)
     x, edges, ties, fixed = graph.arrays()
-    unary = model["weight"][x].sum(axis=1) + fixed[:, None] * model["pair"][0][0]
+    unary = fixed[:, None] * model["pair"][0][0]
+    for column in x.T:
+        unary += model["weight"][column]
     given = np.flatnonzero(known)
     unary[given] = -1e6
     unary[given, known[given]] = 0.0
