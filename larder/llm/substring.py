@@ -38,8 +38,9 @@ from pyspark.sql import functions as F
 from larder.llm.common import materialize, pieces, words_of
 
 WINDOW, RUN = 20, 4
-#: One in so many documents is looked at for frequent minimisers; hot are those of this share of its super-k-mers whose minimiser was met so often at least.
-SAMPLE_ONE_IN, HOT_SHARE, HOT_LEAST = 64, 1e-4, 8
+#: One in so many documents is looked at for frequent minimisers; hot are those of this share of its super-k-mers whose minimiser was met so often at least (fewer fill
+#: no task, and their buckets are counted in the first round).
+SAMPLE_ONE_IN, HOT_SHARE, HOT_LEAST = 64, 1e-4, 128
 #: Windows of a bucket up to which its strings are compared in it.
 LARGE = 1 << 16
 #: Texts, of so many characters at most, that train the dictionary of the packed strings (it changes their size only); size of the dictionary.
