@@ -55,7 +55,8 @@ STRONG_WORDS = COMMENT_WORDS | frozenset("ad ads adv advert adverts advertisemen
 WEAK_WORDS = frozenset("header notice notices banner overlay subscribe subscription search share sharing social related recommended recommendations reply widget toolbar promotion copyright legal disclaimer alert teaser tags meta byline".split())
 #: Words that name the text itself, or say that a page has something: with one of them a furniture word counts as weak.
 TEXT_WORDS = frozenset("article post entry story content main body text page wrapper container layout has with no open closed enabled".split())
-_ATTRS = re.compile(r"""(class|id|role|itemprop|style|aria-hidden|hidden)(?=[\s=>/]|$)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: An attribute with its value, if it has one; values of other attributes are passed over whole.
+_ATTRS = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _HREF = re.compile(r"\bhref\b", re.I)
 _NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9:-]*)")
 _QUOTE = re.compile(r"=\s*([\"'])")

@@ -44,6 +44,8 @@ HARD = [
     *((f"<article><{tag}>Buy<p>{PARAGRAPH}</p></article>", PARAGRAPH) for tag in ("button", "select")),
     (f"<article><svg><g><svg><text>a</text></svg><div></div></g></svg><p>{PARAGRAPH}</p></article>", PARAGRAPH),
     (f"</nav></div></section><article><p>{PARAGRAPH}</p></nav></article>", PARAGRAPH),
+    *((f"<div {attrs}><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p></div>", f"{PARAGRAPH} {PARAGRAPH}") for attrs in ('title="a hidden menu id=ads"', "data-hidden=1", "data-id='sidebar'", 'aria-hidden="false"', 'style="color:red" class="x')),
+    *((f"<div {attrs}><p>{PARAGRAPH}</p></div><article><p>{PARAGRAPH}</p></article>", PARAGRAPH) for attrs in ("hidden", 'aria-hidden="true"', "style='display: none'", "ID = 'Sidebar'")),
     (f"<form id=page><div><h1>Head of it</h1><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p></div></form>", f"Head of it {PARAGRAPH} {PARAGRAPH}"),
 ]
 
@@ -89,7 +91,7 @@ def test_plain_pages_are_decided_by_words_and_links():
 
 def test_odd_pages_take_linear_time():
     began = time.perf_counter()
-    for page in ("<" * 200_000, "<!--" * 50_000, "<a href='" * 30_000, "<div>" * 50_000, "<script>" * 50_000, "&" * 200_000, "<p class=x " * 30_000, "<div>" * 30_000 + "</nav>" * 30_000, "<svg>" * 30_000 + "</p>" * 30_000, "<button><div></nav>" * 20_000, "</script" * 30_000):
+    for page in ("<" * 200_000, "<!--" * 50_000, "<a href='" * 30_000, "<div>" * 50_000, "<script>" * 50_000, "&" * 200_000, "<p class=x " * 30_000, "<div>" * 30_000 + "</nav>" * 30_000, "<svg>" * 30_000 + "</p>" * 30_000, "<button><div></nav>" * 20_000, "</script" * 30_000, "<div " + "a " * 200_000 + ">", "<div " + "a='" * 100_000, "<div hidden" + " " * 200_000 + ">"):
         html.main_text(page, TREE)
     assert time.perf_counter() - began < 30
 
