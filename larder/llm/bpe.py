@@ -33,7 +33,7 @@ from larder.llm.common import id_and_text, pieces
 #: Fixed value: how the vocabulary's byte-level pre-tokenizer cuts text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces whose ids are kept per worker, and the longest piece that is kept.
-KEPT_PIECES, KEPT_LENGTH = 250_000, 64
+KEPT_PIECES, KEPT_LENGTH = 120_000, 64
 
 
 def byte_alphabet() -> dict[str, int]:
