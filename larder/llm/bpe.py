@@ -26,7 +26,6 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from larder.llm.common import id_and_text, pieces
 

@@ -48,7 +48,6 @@ CHI2_MEDIAN, CUT = 4.351, 20.515
 LEAST_SPREAD = (1.0, 0.1, 0.35, 0.5, 0.05)
 #: Buckets for each doubling of a squared distance, and for each unit of a part.
 BUCKETS, UNITS = 64, 256
-_SPACE = "[ \\t\\n\\x0B\\f\\r]"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -139,7 +138,6 @@ def with_vector(stats: DataFrame) -> DataFrame:
 
 XS = range(PARTS)
 KEY = ["level", "g_lang", "g_source"]
-FACTOR = [f"l{i}{j}" for i in XS for j in range(i + 1)]
 
 
 def key_of(level: Column) -> Column:

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 import re
 
+import duckdb
 import numpy as np
 
 from larder.llm import quality
@@ -124,6 +125,16 @@ def test_levels(spark):
     assert got == {("=en", "=a"): (0, [0, 1, 2]), ("=en", "=b"): (1, [1, 2]), ("=fr", "=a"): (1, [1, 2]), ("=fr", "=b"): (1, [1, 2]), ("", ""): (2, [2]), ("=", ""): (2, [2])}
 
 
+def test_base_equals_sql(spark):
+    """The base columns of the query against DuckDB, over a whole table."""
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    found = con.execute(quality.ORACLE_BASE)
+    names = [d[0] for d in found.description]
+    got = quality.base_statistics(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).select(*names).collect()
+    assert sorted(map(tuple, got)) == sorted(found.fetchall())
+
+
 def test_edges(spark, edge_rows):
     docs = make_docs(spark, edge_rows)
     got = quality.quality(docs).collect()
