@@ -811,6 +811,19 @@ def best_known_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("recipe_id").alias("id"), "ingredient", "ndb_no", _r("score_sante").alias("score_sante"))
 
 
+@query("""WITH e AS (SELECT id, list_filter([CASE WHEN n_steps <> len(steps) THEN 'n_steps differs from the number of steps' END, CASE WHEN n_ingredients <> len(ingredients) THEN 'n_ingredients differs from the number of ingredients' END,
+CASE WHEN minutes < 0 THEN 'minutes is negative' END, CASE WHEN trim(coalesce(name, '')) = '' THEN 'name is blank' END], lambda x: x IS NOT NULL) AS errors FROM dishes) SELECT id, array_to_string(errors, '; ') AS errors FROM e WHERE len(errors) > 0""", "dishes")
+def invalid_dishes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with errors and what they are."""
+    return filters.invalid_rows(filters.validate_recipes(stand_in(spark, sf_dir, "dishes"))).select("id", F.array_join("validation_errors", "; ").alias("errors"))
+
+
+@query("SELECT conversation_id, id, md5(content) AS digest FROM messages WHERE role = 'assistant' QUALIFY row_number() OVER (PARTITION BY conversation_id ORDER BY created_at DESC, id DESC) = 1", "messages")
+def latest_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest answer of every conversation."""
+    return logs.latest_message(stand_in(spark, sf_dir, "messages"), F.col("role") == "assistant").select("conversation_id", "id", F.md5("content").alias("digest"))
+
+
 # ---- search with filters, responses and their log ---------------------------------------------
 
 
