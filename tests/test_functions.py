@@ -137,3 +137,19 @@ def test_registered_functions(spark):
 def test_conform(spark):
     got = conform(spark.createDataFrame([(1, "a", 5)], "ID int, Name string, other int"), RECIPES)
     assert got.schema == RECIPES and got.first().name == "a" and got.first().tags is None
+
+
+def test_shared_folder_is_never_local_on_a_cluster():
+    from types import SimpleNamespace
+
+    from larder.sources.workdir import shared_dir
+
+    def session(master, **conf):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: conf.get(k.replace(".", "_"), d), set=lambda k, v: conf.__setitem__(k.replace(".", "_"), v)), sparkContext=SimpleNamespace(master=master))
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]", "k8s://x"):
+        with pytest.raises(ValueError):
+            shared_dir(session(master), "a")
+        assert shared_dir(session(master, spark_checkpoint_dir="file:///shared/"), "a").startswith("file:///shared/a-")
+    local = session("local[2]")
+    assert shared_dir(local, "a").rsplit("/", 1)[0] == shared_dir(local, "b").rsplit("/", 1)[0]
