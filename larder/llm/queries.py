@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import bpe, decontam, html, langid, pii, quality, secrets, simhash, substring, tokens
+from larder.llm import bpe, decontam, html, langid, packing, pii, quality, secrets, simhash, substring, tokens
 from larder.llm.common import shared_dir, table
 
-#: The vocabulary file of the token queries, as the installed package of public tokenizers names it.
-VOCABULARY = "byte_bpe_50k.json"
+#: The vocabulary files of the token queries, as the installed package of public tokenizers names them, and the id behind each packed document.
+VOCABULARY, PACKED_VOCABULARY, END_ID = "byte_bpe_50k.json", "word_bpe_49k.json", 1
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -77,8 +77,14 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document's tokens in sequences of 2048."""
+    found = packing.pack(table(spark, sf_dir, "documents"), vocabulary_path(PACKED_VOCABULARY), END_ID)
+    return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_tokens")
+
+
 def queries() -> dict[str, Query]:
-    found = [op1_pii, op2_decontamination, op3_quality, op4_html, op5_langid, op6_simhash, op7_token_counts, op8_bpe, op9_secrets, op10_substring_dedup]
+    found = [op1_pii, op2_decontamination, op3_quality, op4_html, op5_langid, op6_simhash, op7_token_counts, op8_bpe, op9_secrets, op10_substring_dedup, op12_packing]
     return {f.__name__: f for f in found}
 
 
