@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import bpe, decontam, html, langid, packing, pii, quality, secrets, simhash, substring, tokens
+from larder.llm import bpe, decontam, html, langid, packing, pii, quality, secrets, simhash, substring, tokens, trie
 from larder.llm.common import shared_dir, table
 
 #: The vocabulary files of the token queries, as the installed package of public tokenizers names them, and the id behind each packed document.
@@ -77,6 +77,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of the rebuilt conversations."""
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every document's tokens in sequences of 2048."""
     found = packing.pack(table(spark, sf_dir, "documents"), vocabulary_path(PACKED_VOCABULARY), END_ID)
@@ -84,9 +89,9 @@ def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_pii, op2_decontamination, op3_quality, op4_html, op5_langid, op6_simhash, op7_token_counts, op8_bpe, op9_secrets, op10_substring_dedup, op12_packing]
+    found = [op1_pii, op2_decontamination, op3_quality, op4_html, op5_langid, op6_simhash, op7_token_counts, op8_bpe, op9_secrets, op10_substring_dedup, op11_prefix_trie, op12_packing]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": decontam.ORACLE, "op10_substring_dedup": substring.ORACLE}
+    return {"op2_decontamination": decontam.ORACLE, "op10_substring_dedup": substring.ORACLE, "op11_prefix_trie": trie.ORACLE}
