@@ -19,6 +19,7 @@ is a sequence's length with padding. Other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 from collections.abc import Iterator
@@ -123,6 +124,12 @@ class WordEncoder:
         return [b"".join(map(memo.__getitem__, words)) for words in split]
 
 
+@functools.lru_cache(maxsize=1)
+def worker_encoder(path: str) -> WordEncoder:
+    """The encoder of this worker process, which keeps its words from task to task."""
+    return WordEncoder(path)
+
+
 def encode(docs: DataFrame, tokenizer_path: str, end_id: int, by_words: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """First pass: ids of every document with ``end_id`` behind them, and the tokens before it in its input split; written and read again."""
     end = _as_bytes([end_id])
@@ -130,7 +137,7 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int, by_words: bool = T
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, before = TaskContext.get().partitionId(), 0
         _, whole = (None, None) if by_words else library(tokenizer_path)
-        to_bytes = WordEncoder(tokenizer_path) if by_words else lambda texts: [_as_bytes(i) for i in whole(texts)]
+        to_bytes = worker_encoder(tokenizer_path) if by_words else lambda texts: [_as_bytes(i) for i in whole(texts)]
         for piece in pieces(batches, limit=2_000_000):
             found = [b + end for b in to_bytes([t or "" for t in piece.column(1).to_pylist()])]
             sizes = np.array([len(b) // 4 for b in found], dtype=np.int64)
