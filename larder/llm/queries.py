@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import bpe, decontam, html, langid, packing, pii, quality, secrets, simhash, substring, tokens, trie
+from larder.llm import bpe, decontam, html, langid, negatives, packing, pii, quality, secrets, simhash, substring, tokens, trie
 from larder.llm.common import shared_dir, table
 
 #: The vocabulary files of the token queries, as the installed package of public tokenizers names them, and the id behind each packed document.
@@ -88,10 +88,19 @@ def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_tokens")
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Negatives close under each positive of every anchor; vectors as whole 256ths, the labels of some rows moved on by one."""
+    rows = table(spark, sf_dir, "embeddings")
+    finite = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    whole = F.transform("embedding", lambda x: F.floor(256 * x.cast("double")))
+    return negatives.hard_negatives(rows.where(finite).select("vec_id", label.alias("label"), whole.alias("v")), F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Query]:
-    found = [op1_pii, op2_decontamination, op3_quality, op4_html, op5_langid, op6_simhash, op7_token_counts, op8_bpe, op9_secrets, op10_substring_dedup, op11_prefix_trie, op12_packing]
+    found = [op1_pii, op2_decontamination, op3_quality, op4_html, op5_langid, op6_simhash, op7_token_counts, op8_bpe, op9_secrets, op10_substring_dedup, op11_prefix_trie, op12_packing, op13_hard_negatives]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": decontam.ORACLE, "op10_substring_dedup": substring.ORACLE, "op11_prefix_trie": trie.ORACLE}
+    return {"op2_decontamination": decontam.ORACLE, "op10_substring_dedup": substring.ORACLE, "op11_prefix_trie": trie.ORACLE, "op13_hard_negatives": negatives.ORACLE}
