@@ -20,6 +20,7 @@ is a sequence's length with padding. Other columns are ignored.
 from __future__ import annotations
 
 import functools
+import gc
 import os
 import re
 from collections.abc import Iterator
@@ -112,16 +113,20 @@ class WordEncoder:
         memo.update((w, memo[c] + mark) for w, (c, mark) in new.items() if mark or w != c)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [t.split() if not SEPARATORS.search(t) else words_of(t) for t in texts]
         if len(self.memo) > self.limit:
             self.memo, self.old = {}, self.memo
-        new = [w for w in set().union(*split) if w not in self.memo]
-        long = [w for w in new if len(w) > MEMO_CHARS]
-        self.learn([w for w in new if len(w) <= MEMO_CHARS])
-        memo = self.memo
-        if long:
-            memo = memo | dict(zip(long, map(_as_bytes, self.encode(long)), strict=True))
-        return [b"".join(map(memo.__getitem__, words)) for words in split]
+        known = self.memo.get
+        split = [t.split() if not SEPARATORS.search(t) else words_of(t) for t in texts]
+        found = [list(map(known, words)) for words in split]
+        lacking = [k for k, ids in enumerate(found) if None in ids]
+        if lacking:
+            new = {w for k in lacking for w, ids in zip(split[k], found[k], strict=True) if ids is None}
+            self.learn([w for w in new if len(w) <= MEMO_CHARS])
+            long = [w for w in new if len(w) > MEMO_CHARS]
+            rest = dict(zip(long, map(_as_bytes, self.encode(long)), strict=True)).get
+            for k in lacking:
+                found[k] = [known(w) or rest(w, b"") if ids is None else ids for w, ids in zip(split[k], found[k], strict=True)]
+        return [b"".join(ids) for ids in found]
 
 
 @functools.lru_cache(maxsize=1)
@@ -139,7 +144,9 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int, by_words: bool = T
         _, whole = (None, None) if by_words else library(tokenizer_path)
         to_bytes = worker_encoder(tokenizer_path) if by_words else lambda texts: [_as_bytes(i) for i in whole(texts)]
         for piece in pieces(batches, limit=2_000_000):
+            gc.disable()  # millions of words and no cycles among them
             found = [b + end for b in to_bytes([t or "" for t in piece.column(1).to_pylist()])]
+            gc.enable()
             sizes = np.array([len(b) // 4 for b in found], dtype=np.int64)
             ends = before + np.cumsum(sizes)
             yield pa.RecordBatch.from_arrays(
