@@ -9,7 +9,7 @@ written table, so a task that runs again cannot renumber them.
 Pieces are the boundary records: which tokens of which document stand where in which sequence. ``sequences`` turns them
 into rows of ids: windows that lie within one batch leave at once, and only those that a batch begins or ends in are shuffled.
 
-White space of any kind separates tokens in the vocabulary this is made for, so a text is encoded word by word and a worker
+White space separates tokens in the vocabulary this is made for, so a text is encoded word by word and a worker
 keeps the ids of up to ``MEMO`` words; ``by_words=False`` gives whole texts to the library, for vocabularies that join words.
 
 Defined results: null text is empty, its document is the end id alone; repeated rows are documents of their own; a null id stays null;
@@ -22,22 +22,22 @@ from __future__ import annotations
 import functools
 import gc
 import os
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.llm.common import id_and_text, materialize, pieces, words_of
+from larder.llm.common import id_and_text, materialize, pieces
 
 WIDTH = 2048
 #: Words whose ids a worker keeps, and their length in code points at most.
 MEMO, MEMO_CHARS = 500_000, 40
-#: End of the tokens that end a word, marks that are encoded apart from the word before, and what str.split() splits at beyond white space.
-WORD_END, MARKS, SEPARATORS = "</w>", ",.;:!?", re.compile("[\x1c-\x1f]")
+#: End of the tokens that end a word, and marks that often stand behind one.
+WORD_END, MARKS = "</w>", ",.;:!?"
 #: Totals (16 bytes each, one per input split) that are broadcast at most.
 MOST_SPLITS = 2_000_000
 
@@ -61,11 +61,11 @@ def _as_bytes(ids: list[int]) -> bytes:
 
 
 class WordEncoder:
-    """Texts -> little-endian ids, word by word, for vocabularies in which no token holds or crosses white space.
+    """Texts -> ids, word by word, for vocabularies in which no token holds or crosses white space.
 
-    Such a vocabulary folds case and ends every run of letters with a token of its own kind (word end), so an ASCII word has the
-    ids of its lower form, a mark behind an ASCII letter has ids of its own, and words of letters are encoded many at a time
-    and told apart by their last tokens. A full memo becomes the old one, whose words come back as they are met.
+    Such a vocabulary ends every run of letters, and every run of marks, with a token of its own kind (word end), so words of letters, with
+    or without a mark behind them, are encoded many at a time and told apart by their last tokens. Each distinct word of
+    a batch is looked up once. A full memo becomes the old one, whose words come back as they are met.
     """
 
     def __init__(self, path: str, memo: int = MEMO):
@@ -74,59 +74,68 @@ class WordEncoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
         self.limit, self.memo, self.old = memo, {}, {}
-        self.marks = {m: _as_bytes(ids) for m, ids in zip(MARKS, self.encode(list(MARKS)), strict=True)}
-
-    def _parts(self, word: str) -> tuple[str, bytes]:
-        """Word to encode, and the ids of the mark behind it."""
-        mark = b""
-        if word[-1] in self.marks and len(word) > 1 and word[-2].isascii() and word[-2].isalpha():
-            word, mark = word[:-1], self.marks[word[-1]]
-        return (word.lower() if word.isascii() and "|" not in word else word), mark
 
     def encode_words(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
         """Each word with its ids."""
         plain = [w for w in words if w.isalpha()]
-        other = [w for w in words if not w.isalpha()]
-        groups = [plain[i : i + 200] for i in range(0, len(plain), 200)]
-        for group, ids in zip(groups, self.encode([" ".join(g) for g in groups]), strict=True):
-            ids = np.asarray(ids, dtype="<u4")
-            ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
-            if len(ends) != len(group):  # a letter that folds to more than letters
-                other += group
-                continue
-            data, begin = ids.tobytes(), 0
-            for w, end in zip(group, ends.tolist(), strict=True):
-                yield w, data[begin:end]
-                begin = end
+        marked = [w for w in words if w[-1] in MARKS and w[:-1].isalpha()]
+        known = {*plain, *marked}
+        other = [w for w in words if w not in known]
+        for some, ends_each in ((plain, 1), (marked, 2)):
+            groups = [some[i : i + 200] for i in range(0, len(some), 200)]
+            for group, ids in zip(groups, self.encode([" ".join(g) for g in groups]), strict=True):
+                ids = np.asarray(ids, dtype="<u4")
+                ends = (np.flatnonzero(self.ends[ids])[ends_each - 1 :: ends_each] + 1) * 4
+                if np.count_nonzero(self.ends[ids]) != ends_each * len(group):  # a letter that folds to more than letters
+                    other += group
+                    continue
+                data, begin = ids.tobytes(), 0
+                for w, end in zip(group, ends.tolist(), strict=True):
+                    yield w, data[begin:end]
+                    begin = end
         yield from zip(other, map(_as_bytes, self.encode(other)), strict=True)
 
-    def learn(self, words: list[str]) -> None:
-        """Adds words to the memo, from the old one where that has them."""
-        memo, old = self.memo, self.old
-        new = {}
-        for w in words:
-            if (found := old.get(w)) is None:
-                new[w] = self._parts(w)
-            else:
-                memo[w] = found
-        memo.update(self.encode_words(list({c for c, _ in new.values() if c not in memo})))
-        memo.update((w, memo[c] + mark) for w, (c, mark) in new.items() if mark or w != c)
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
+    def look_up(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words."""
         if len(self.memo) > self.limit:
             self.memo, self.old = {}, self.memo
-        known = self.memo.get
-        split = [t.split() if not SEPARATORS.search(t) else words_of(t) for t in texts]
-        found = [list(map(known, words)) for words in split]
-        lacking = [k for k, ids in enumerate(found) if None in ids]
-        if lacking:
-            new = {w for k in lacking for w, ids in zip(split[k], found[k], strict=True) if ids is None}
-            self.learn([w for w in new if len(w) <= MEMO_CHARS])
-            long = [w for w in new if len(w) > MEMO_CHARS]
-            rest = dict(zip(long, map(_as_bytes, self.encode(long)), strict=True)).get
-            for k in lacking:
-                found[k] = [known(w) or rest(w, b"") if ids is None else ids for w, ids in zip(split[k], found[k], strict=True)]
-        return [b"".join(ids) for ids in found]
+        found = list(map(self.memo.get, words))
+        lacking = [k for k, ids in enumerate(found) if ids is None]
+        new = []
+        for k in lacking:
+            if (ids := self.old.get(words[k])) is None:
+                new.append(words[k])
+            else:
+                found[k] = self.memo[words[k]] = ids
+        made = dict(self.encode_words(new))
+        self.memo.update(made if max(map(len, new), default=0) <= MEMO_CHARS else {w: i for w, i in made.items() if len(w) <= MEMO_CHARS})
+        for k in lacking:
+            if found[k] is None:
+                found[k] = made[words[k]]
+        return found
+
+    def __call__(self, texts: pa.Array, end: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of each text's ids), with ``end`` behind each text."""
+        split = pa.compute.ascii_split_whitespace(pa.compute.fill_null(texts, ""))
+        stops = np.asarray(split.offsets)[1:] - split.offsets[0].as_py()
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        blank = words.index("") if "" in words else None
+        found = self.look_up([w for w in words if w])
+        if blank is not None:
+            found.insert(blank, b"")
+        found.append(end)
+        kind = np.int32 if texts.nbytes < 500_000_000 else np.int64  # at most a token for each byte and text
+        sizes = np.fromiter(map(len, found), dtype=kind, count=len(found)) // 4
+        pool = np.frombuffer(b"".join(found), dtype="<u4")
+        place = np.insert(np.asarray(coded.indices), stops, len(found) - 1)  # the end stands behind each text's words
+        own = sizes[place]
+        shift = (np.cumsum(sizes, dtype=kind) - sizes)[place] - (np.cumsum(own, dtype=kind) - own)
+        at = np.arange(own.sum(), dtype=kind)
+        at += np.repeat(shift, own)
+        ids = pool[at]
+        first = np.concatenate([[0], stops[:-1] + np.arange(1, len(stops))]) if len(stops) else np.zeros(0, dtype=int)
+        return ids, (np.add.reduceat(own, first) if len(first) else own).astype(np.int64)
 
 
 @functools.lru_cache(maxsize=1)
@@ -142,15 +151,17 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int, by_words: bool = T
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, before = TaskContext.get().partitionId(), 0
         _, whole = (None, None) if by_words else library(tokenizer_path)
-        to_bytes = worker_encoder(tokenizer_path) if by_words else lambda texts: [_as_bytes(i) for i in whole(texts)]
-        for piece in pieces(batches, limit=2_000_000):
-            gc.disable()  # millions of words and no cycles among them
-            found = [b + end for b in to_bytes([t or "" for t in piece.column(1).to_pylist()])]
-            gc.enable()
-            sizes = np.array([len(b) // 4 for b in found], dtype=np.int64)
+        for piece in pieces(batches, limit=4_000_000, rows=8_000):
+            if by_words:
+                gc.disable()  # many words and no cycles among them
+                ids, sizes = worker_encoder(tokenizer_path)(piece.column(1), end)
+                gc.enable()
+            else:
+                lists = [[*i, end_id] for i in whole([t or "" for t in piece.column(1).to_pylist()])]
+                ids, sizes = np.array([i for own in lists for i in own], dtype="<u4"), np.array([len(own) for own in lists], dtype=np.int64)
             ends = before + np.cumsum(sizes)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(found), split, dtype=np.int32)), pa.array(ends - sizes), piece.column(0), pa.array(sizes), pa.array(found, pa.binary())],
+                [pa.array(np.full(len(sizes), split, dtype=np.int32)), pa.array(ends - sizes), piece.column(0), pa.array(sizes), binaries(ids.tobytes(), sizes * 4)],
                 names=["split", "before", "doc_id", "doc_tokens", "ids"],
             )
             before = int(ends[-1])
@@ -158,6 +169,12 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int, by_words: bool = T
     return materialize(id_and_text(docs, id_col, text_col).mapInArrow(run, ENCODED), "encoded")
 
 
+def binaries(data: bytes, sizes: np.ndarray) -> pa.Array:
+    """A binary column of consecutive parts of ``data``."""
+    bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(bounds), pa.py_buffer(data)]).cast(pa.binary())
+
+
 def cut_batch(batch: pa.RecordBatch, width: int) -> pa.RecordBatch:
     """Rows (at, doc_id, doc_tokens, ids) -> pieces: the same ids with more boundaries between them."""
     at, size = np.asarray(batch.column(0)), np.asarray(batch.column(2))
@@ -169,8 +186,7 @@ def cut_batch(batch: pa.RecordBatch, width: int) -> pa.RecordBatch:
     begin = np.maximum(at[row], sequence * width)
     length = np.minimum((at + size)[row], (sequence + 1) * width) - begin
     data = b"".join(ids.to_pylist())
-    bounds = np.concatenate([[0], np.cumsum(length * 4)])
-    parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
+    parts = binaries(data, length * 4)
     columns = [batch.column(1).take(pa.array(row)), begin - at[row], length, parts, size[row], sequence, begin - sequence * width]
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 

@@ -30,8 +30,13 @@ def test_words_give_the_ids_of_whole_texts(vocabulary):
     texts += ["".join(r.choice(["a", "B", "é", "İ", "Σ", "'", "s", ".", ",", " ", "\n", "́", "1", "|", "<", "\x1c", "ǅ"]) for _ in range(60)) for _ in range(800)]
     wanted = [packing._as_bytes(i) for i in packing.library(path)[1](texts)]
     for memo in (packing.MEMO, 50):  # a memo that is full all the time changes nothing
-        encoder = packing.WordEncoder(path, memo)
-        assert [b for k in range(0, len(texts), 37) for b in encoder(texts[k : k + 37])] == wanted
+        encoder, found = packing.WordEncoder(path, memo), []
+        for k in range(0, len(texts), 37):
+            ids, sizes = encoder(pa.array([None, *texts[k : k + 37], ""])[1:], b"\1\0\0\0")
+            ends = np.cumsum(sizes)
+            found += [ids[a : b - 1].tobytes() for a, b in zip([0, *ends[:-1]], ends, strict=True)][:-1]
+            assert all(ids[ends - 1] == 1)
+        assert found == wanted
 
 
 def check(rows, docs, encoded, width):
