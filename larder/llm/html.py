@@ -50,9 +50,9 @@ BY_TAG = {"nav": STRONG, "footer": STRONG, "aside": STRONG, "menu": STRONG, "for
 #: Words of readers' comments; an article inside such an element is a comment.
 COMMENT_WORDS = frozenset("comment comments commentlist disqus respond replies".split())
 #: Words in class, id or role that name furniture of a page.
-STRONG_WORDS = COMMENT_WORDS | frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr popup modal newsletter signup login searchbox pagination pager outbrain taboola hidden contentinfo complementary".split())
+STRONG_WORDS = COMMENT_WORDS | frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr popup modal newsletter signup login searchbox pagination pager outbrain taboola hidden contentinfo complementary notice notices alert alerts disclaimer legal".split())
 #: Words that furniture carries, and content at times.
-WEAK_WORDS = frozenset("header notice notices banner overlay subscribe subscription search share sharing social related recommended recommendations reply widget toolbar promotion copyright legal disclaimer alert teaser tags meta byline".split())
+WEAK_WORDS = frozenset("header banner overlay subscribe subscription search share sharing social related recommended recommendations reply widget toolbar promotion copyright teaser tags meta byline".split())
 #: Words that name the text itself, or say that a page has something: with one of them a furniture word counts as weak.
 TEXT_WORDS = frozenset("article post entry story content main body text page wrapper container layout has with no open closed enabled".split())
 #: An attribute with its value, if it has one; values of other attributes are passed over whole.
@@ -122,9 +122,9 @@ def blocks(page: str) -> list[Block]:
 
     def close() -> None:
         if text:
-            words = html.unescape("".join(text)).split()
+            words = "".join(text).split()
             if words:
-                out.append(Block(" ".join(words), len(words), len(html.unescape(" ".join(links)).split()), kind, own.article, own.furniture, own.element))
+                out.append(Block(" ".join(words), len(words), len(" ".join(links).split()), kind, own.article, own.furniture, own.element))
             text.clear()
         links.clear()
 
@@ -150,9 +150,10 @@ def blocks(page: str) -> list[Block]:
             if in_head and not page[at:lt].isspace():
                 in_head = False
             if not in_head:
-                text.append(page[at:lt])
+                said = html.unescape(page[at:lt])  # each run of text alone: a reference never goes on behind markup
+                text.append(said)
                 if in_link:
-                    links.append(page[at:lt])
+                    links.append(said)
         if lt == end:
             break
         if page.startswith("<!--", lt):
@@ -286,7 +287,7 @@ LABELLED = """
 <article><p>+[80]</p><p>+[30]</p></article><section id=comments><h3>-[2]</h3><article class=comment><p>-[25]</p></article><article><p>-[60]</p><p>-[10]</p></article></section>
 <article><p>+[15]</p></article><div id=comments><div>-[40]</div><div>-[90]</div><div>-[35]</div></div><footer>-[9]</footer>
 <article><p>+[40]</p><form><label>-[1]</label><p>-[14]</p></form><p>+[30]</p><div class=newsletter><p>-[16]</p><p>-[2*]</p></div></article>
-<article><header><h1>+[8]</h1><p>+[4]</p></header><p>+[45]</p><p class=notice>+[20]</p><p>+[35]</p><p class=alert>+[9]</p><p>+[30]</p></article>
+<article><header><h1>+[8]</h1><p>+[4]</p></header><p>+[45]</p><p class=notice>-[20]</p><p>+[35]</p><p class=alert>-[9]</p><p>+[30]</p></article>
 <article><p>+[50]</p><div class=share><p>-[1*]</p><p>-[1*]</p><p>-[2*]</p></div><p>+[25]</p><div class=related><h4>-[2]</h4><p>-[6*]</p><p>-[8*]</p></div></article>
 <article><p>+[50]</p><p class=related>+[28 2*]</p><p>+[25]</p><div class=widget>-[3]</div></article>
 <article><blockquote>+[30]</blockquote><p>+[6*]</p><p>+[45 15*]</p><table><tr><td>+[2]<td>+[1]<tr><td>+[3]<td>+[1 1*]</table><p>+[20]</p></article>
@@ -356,9 +357,18 @@ LABELLED = """
 <nav><ul><li>-[1*]<li>-[1*]<li>-[2*]<li>-[1*]</ul></nav><article><p>+[3]</p></article><ul><li>-[1*]<li>-[3*]<li>-[2*]</ul>
 <nav><ul><li>-[1*]<li>-[1*]<li>-[2*]<li>-[1*]</ul></nav><article><p>+[6]</p></article><ul><li>-[1*]<li>-[3*]<li>-[2*]</ul>
 <nav><ul><li>-[1*]<li>-[1*]<li>-[2*]<li>-[1*]</ul></nav><article><p>+[30]</p></article><ul><li>-[1*]<li>-[3*]<li>-[2*]</ul>
-<article><p>+[40]</p><p class=notice>+[20]</p><p>+[1]</p></article>
-<article><p>+[40]</p><p class=notice>+[20]</p></article>
-<article><p class=legal>+[30]</p><p>+[40]</p><p class=alert>+[35]</p><h2>+[2]</h2><p>+[50]</p></article>
+<article><p>+[40]</p><p class=notice>-[20]</p><p>+[1]</p></article>
+<article><p>+[40]</p><p class=notice>-[20]</p></article>
+<article><p class=legal>-[30]</p><p>+[40]</p><p class=alert>-[35]</p><h2>+[2]</h2><p>+[50]</p></article>
+<div class=notice><p>-[25]</p></div><article><h1>+[5]</h1><p>+[60]</p><div class=notice>-[40]</div><p>+[30]</p></article>
+<div class=notice>-[25]</div><div><p>+[60]</p><p>+[35]</p></div><p class=alert>-[12]</p>
+<div class=notice>-[25]</div><p>+[60]</p><p>+[35]</p>
+<article><p>+[40]</p><form><p>-[25]</p></form><p>+[30]</p></article>
+<article><h1>+[5]</h1><p>+[60]</p><form>-[25]</form></article>
+<article><p>+[50]</p><form><p>-[60]</p><label>-[3]</label></form><p>+[20]</p></article>
+<article><form><p>-[30]</p><p>-[25]</p></form><p>+[90]</p></article>
+<div><p>+[60]</p><p>+[35]</p></div><form><p>-[50]</p></form>
+<form><p>-[40]</p><label>-[2]</label></form><p>+[70]</p><p>+[45]</p>
 <article><p class=teaser>+[25]</p><p class=byline>-[4]</p><p>+[60]</p></article>
 <article><p>+[30]</p><div class=share>-[1*]</div><div class=tags>-[2*]</div></article>
 <article><p>+[30]</p><div class=widget>-[1]</div><p>+[20]</p></article>

@@ -34,7 +34,7 @@ HARD = [
     (f"<div class='main share-content'><article><h1>Head</h1><p>{PARAGRAPH}</p></article></div>", f"Head {PARAGRAPH}"),
     (f"<div class='main share-content'><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p></div>", f"{PARAGRAPH} {PARAGRAPH}"),
     (f"<div class=has-sidebar><article class=comments-open><p>{PARAGRAPH}</p></article></div>", PARAGRAPH),
-    (f"<article><p>{PARAGRAPH}</p><p class=notice>{WORDS(30)}</p><p>{PARAGRAPH}</p></article>", f"{PARAGRAPH} {WORDS(30)} {PARAGRAPH}"),
+    (f"<article><p>{PARAGRAPH}</p><p class=notice>{WORDS(30)}</p><p>{PARAGRAPH}</p></article>", f"{PARAGRAPH} {PARAGRAPH}"),
     (f"<article><p>{PARAGRAPH}</p></article><section id=comments><article><p>{WORDS(40)}</p></article></section>", PARAGRAPH),
     (f"<script>x = 'İ'</SCRIPT ><article><p>İ {PARAGRAPH}</p></article>", f"İ {PARAGRAPH}"),
     (f"<script>x = 'İ'</SCRIPT><style>İ</STYLE><article><p>{PARAGRAPH}</p></article>", PARAGRAPH),
@@ -101,3 +101,26 @@ def test_operator(spark):
     rows = html.extract(pages).collect()
     assert len(rows) == 4 and all(len(r.text) == r.n_chars for r in rows)
     assert html.extract(pages.limit(0)).count() == 0
+
+
+def _words(n, word="text"):
+    return " ".join([word] * n)
+
+
+@pytest.mark.parametrize("gone", ["<p class=notice>{}</p>", "<div class=notice>{}</div>", "<div class=alert><p>{}</p></div>", "<p class=legal>{}</p>", "<form>{}</form>", "<form><p>{}</p><input></form>"])
+@pytest.mark.parametrize("n", [8, 25, 60])
+def test_notices_and_forms_are_not_main_text(gone, n):
+    other = gone.format(_words(n, "other"))
+    inside = f"<article><h1>{_words(5)}</h1><p>{_words(70)}</p>{other}<p>{_words(50)}</p></article>"
+    before = f"{other}<article><h1>{_words(5)}</h1><p>{_words(90)}</p><p>{_words(40)}</p></article>"
+    assert html.main_text(inside, html.tree()) == _words(125)
+    assert html.main_text(before, html.tree()) == _words(135)
+
+
+def test_a_form_around_the_whole_page_is_layout():
+    assert html.main_text(f"<form id=page><h1>{_words(5)}</h1><p>{_words(60)}</p></form>", html.tree()) == _words(65)
+
+
+def test_references_end_with_their_run_of_text():
+    page = "<article><p>AT&<b>amp</b>; T &amp;lt; &#233; &nbsp; x</p></article>"
+    assert html.main_text(page, html.tree()) == "AT&amp; T &lt; é x"
