@@ -168,6 +168,7 @@ FLAG_WORDS = {
     "contains_nuts": ["nut", "almond", "peanut", "walnut", "pecan"],
     "is_vegetable": ["vegetable", "fruit", "bean", "pea", "lentil", "spinach", "carrot", "tomato"],
 }
+#: Words of meat in a description.
 MEAT_WORDS = ["beef", "pork", "chicken", "fish", "meat", "turkey", "lamb"]
 
 

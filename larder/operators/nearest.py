@@ -42,7 +42,7 @@ def matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(flat.cast(pa.float64()).fill_null(np.nan)).reshape(len(at), dim), at
 
 
-def _first_k(row: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+def first_k(row: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Places of the k best of each row: highest score, then least id; ordered by row."""
     order = np.lexsort((ids, -score, row))
     new = np.concatenate([[True], row[order][1:] != row[order][:-1]]) if len(order) else np.zeros(0, dtype=bool)
@@ -80,7 +80,7 @@ def _best_in_task(corpus: DataFrame, ids: pa.Array, asked: np.ndarray, own: np.n
                     continue
                 row, value = np.concatenate([row, q]), np.concatenate([value, scores[q, d]])
                 doc = here[d] if doc is None else np.concatenate([doc, here[d]])
-                kept = _first_k(row, value, doc, k)
+                kept = first_k(row, value, doc, k)
                 row, value, doc = row[kept], value[kept], doc[kept]
                 full = np.bincount(row, minlength=n) >= k
                 last = np.flatnonzero(np.append(row[1:] != row[:-1], True))

@@ -94,7 +94,7 @@ def recipe_nutrition_100g(quantity: DataFrame, recipes: DataFrame, matching: Dat
 def enrich_recipes(recipes: DataFrame, nutrition: DataFrame) -> DataFrame:
     """Recipes with 13 per-100 g columns, 0 where no row matches, overwritten (also by null) where one does."""
     start = recipes.withColumns({f"{n}_100g": F.lit(0.0) for n in NUTRIENTS})
-    return merge_update(start, nutrition, "id", [f"{n}_100g" for n in NUTRIENTS])
+    return merge_update(start, nutrition, "id", [f"{n}_100g" for n in NUTRIENTS], unique=True)
 
 
 def recipe_health(enriched: DataFrame, null_energy: str = "zero") -> DataFrame:

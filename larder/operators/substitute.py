@@ -26,7 +26,7 @@ REMOVE_GOALS = {"decrease_sugar": ("sugar_g", 1), "decrease_sodium": ("sodium_mg
 DIETS = ("no_lactose", "no_gluten", "no_nuts", "vegetarian", "vegan")
 #: The flag a diet needs in the catalogue, and its value.
 DIET_FLAGS = {"no_lactose": ("is_lactose", 0), "no_gluten": ("is_gluten", 0), "no_nuts": ("contains_nuts", 0), "vegetarian": ("is_vegetarian", 1), "vegan": ("is_vegetable", 1)}
-#: The tag that breaks a diet, and the value that does; null breaks none.
+#: The tag that breaks a diet, and the value that does; null breaks none.
 DIET_BREAKERS = {"no_lactose": ("is_dairy", True), "no_gluten": ("is_gluten", True), "no_nuts": ("contains_nuts", True), "vegetarian": ("is_vegetarian", False), "vegan": ("is_vegetable", False)}
 MOST_REMOVED, POOL, CANDIDATES = 3, 200, 5
 
@@ -201,9 +201,13 @@ def add_candidates(recipe_roles: DataFrame, catalogue: DataFrame, constraints: C
     named = pool.withColumn("_key", F.lower(F.trim("descrip")))
     firsts = named.withColumn("_rn", F.row_number().over(Window.partitionBy("_key").orderBy(*order))).where("_rn = 1")
     fit = firsts.where(~breaks_diet(constraints)).select("ndb_no", "descrip", F.col(nutrient).alias("_n"), infer_role().alias("role"))
-    pairs = recipe_roles.crossJoin(F.broadcast(fit)).where((F.col("role") == "other") | ~F.array_contains("roles", F.col("role")))  # POOL rows at most
-    by = Window.partitionBy("id").orderBy(F.desc("_n") if up else F.asc("_n"), "ndb_no")
-    return pairs.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= CANDIDATES).select("id", "ndb_no", "descrip", "rank")
+    # ranked once for each set of roles, of which there are few (a set of eight roles' names), then met by the recipes that have it
+    keyed = recipe_roles.withColumn("_roles", F.array_sort(F.coalesce("roles", F.array().cast("array<string>"))))
+    sets = keyed.select("_roles").distinct()
+    pairs = sets.crossJoin(F.broadcast(fit)).where((F.col("role") == "other") | ~F.array_contains("_roles", F.col("role")))  # POOL rows at most
+    by = Window.partitionBy("_roles").orderBy(F.desc("_n") if up else F.asc("_n"), "ndb_no")
+    best = pairs.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= CANDIDATES)
+    return keyed.select("id", "_roles").join(best, "_roles").select("id", "ndb_no", "descrip", "rank")
 
 
 def transform_add(recipes: DataFrame, added: DataFrame) -> DataFrame:

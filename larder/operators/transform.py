@@ -11,13 +11,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.functions.exprs import clean_name
 from larder.operators.nutrition import nutrition_of_lines, recipe_weights
 from larder.operators.substitute import Constraints, add_candidates, infer_role, ingredients_to_remove, judge_substitutes, match_ingredients, rewrite_steps, substitutes, transform_add, transform_delete, transform_response, transform_substitute
 from larder.schemas import NUTRIENTS
+from larder.sources.workdir import materialize
 
 
 @dataclass(frozen=True)
@@ -71,7 +72,8 @@ def substitute_flow(kitchen: Kitchen, constraints: Constraints, remove: DataFram
     """Ingredients that break the constraints (or ``remove``: id, ingredient, place) replaced by the candidate of the highest index.
 
     id, original_name, transformed_name, success, message, nutrition_before, nutrition_after, ingredients, steps; a recipe
-    without any replacement keeps its lists and has success false. Each line is judged on the original list.
+    without any replacement keeps its lists and has success false. Each line is judged on the original list, all in one
+    plan; ``substitute_rounds`` judges one after another.
     """
     lines = recipe_lines(kitchen)
     gone = removals(lines, kitchen, constraints) if remove is None else remove
@@ -87,8 +89,66 @@ def substitute_flow(kitchen: Kitchen, constraints: Constraints, remove: DataFram
     return _finished(kitchen, changed, lines, after, "substituted")
 
 
-def add_flow(kitchen: Kitchen, constraints: Constraints) -> DataFrame:
-    """The addition, among up to five for the first active goal, that gives each recipe the highest index; columns as in substitute_flow."""
+def _removed(kitchen: Kitchen, lines: DataFrame, constraints: Constraints, remove: DataFrame | None) -> DataFrame:
+    """id, ingredient, place (from 1): a recipe's given list, then what else breaks an active diet; the constraints' own choice where it has none."""
+    found = removals(lines, kitchen, constraints).select("id", "ingredient", "place")
+    if remove is None:
+        return found
+    given = remove.select("id", "ingredient", F.lit(0).alias("extra"), "place")
+    extra = found if constraints.diets else found.join(given.select("id").distinct(), "id", "left_anti")
+    both = given.unionByName(extra.withColumn("extra", F.lit(1))).join(lines.select("id", "ingredient").distinct(), ["id", "ingredient"], "left_semi")
+    once = both.groupBy("id", "ingredient").agg(F.min(F.struct("extra", "place")).alias("at"))
+    return once.select("id", "ingredient", F.row_number().over(Window.partitionBy("id").orderBy("at", "ingredient")).alias("place"))
+
+
+def substitute_rounds(kitchen: Kitchen, constraints: Constraints, remove: DataFrame | None = None, given: DataFrame | None = None, k: int = 5) -> DataFrame:
+    """As substitute_flow, each replacement judged on the list that the ones before it have left.
+
+    ``remove``: id, ingredient, place: what a recipe's user wants gone; what breaks an active diet goes besides, and names that
+    the recipe lacks are ignored. ``given``: id, place, name: the user's substitute for the removal of that place, taken
+    without judgment if the catalogue knows the name; surplus ones are ignored. The working list starts with the
+    lines that stay; a removal joins it with its substitute, in its turn, and stays out of it, and of the nutrition after, where
+    none is found, though not out of the recipe. A recipe's n-th removals are one round over all recipes, three rounds
+    without given lists; a round is written before the next.
+    """
+    lines = materialize(recipe_lines(kitchen), "lines")
+    gone = materialize(_removed(kitchen, lines, constraints, remove), "gone")
+    found = substitutes(gone.select(F.col("ingredient").alias("target")).distinct(), kitchen.catalogue, constraints, k)
+    offers = found.select(F.col("target").alias("ingredient"), F.col("ndb_no").alias("candidate"), "descrip", "rank")
+    open_places = gone
+    if given is not None:
+        known = match_ingredients(given.select("name").distinct(), kitchen.catalogue.select("ndb_no", "descrip")).where("ndb_no is not null")
+        own = given.join(known, "name").groupBy("id", "place").agg(F.min(F.struct("ndb_no", "descrip")).alias("c"))
+        own = materialize(gone.join(own, ["id", "place"]).select("id", "ingredient", "place", F.col("c.ndb_no").alias("candidate"), F.col("c.descrip").alias("descrip"), F.lit(1).alias("rank")), "given")
+        open_places = gone.join(own, ["id", "place"], "left_anti")
+    tried = open_places.join(offers, "ingredient").select("id", "ingredient", "place", "candidate", "descrip", "rank")
+    tried = materialize(tried if given is None else tried.unionByName(own), "offers")
+    state = lines.join(gone, ["id", "ingredient"], "left").withColumn("live", F.col("place").isNull())
+    best = None
+    for turn in range(1, (tried.agg(F.max("place")).first()[0] or 0) + 1):
+        now = tried.where(F.col("place") == turn).select("id", F.struct(F.col("ingredient").alias("target"), "candidate", "rank", "descrip").alias("variant"))
+        listed = state.join(now, "id").where(F.col("live") | (F.col("place") == turn))
+        listed = listed.withColumn("ndb_no", F.when(F.col("place") == turn, F.when(F.col("live"), F.col("ndb_no")).otherwise(F.col("variant.candidate"))).otherwise(F.col("ndb_no")))
+        scored = _scored(listed.select("variant", "id", "ndb_no", "qty_g", "total_weight"), kitchen)
+        won = judge_substitutes(scored.select("id", "variant.*", F.round("score_sante", 9).alias("score_sante")))
+        won = materialize(won.select("id", F.col("target").alias("old"), F.col("descrip").alias("new"), "candidate", F.lit(turn).alias("place")), "round")
+        best = won if best is None else best.unionByName(won)
+        taken = won.select("id", "place", F.col("candidate").alias("_new"))
+        state = state.join(taken, ["id", "place"], "left").withColumns({"ndb_no": F.coalesce("_new", "ndb_no"), "live": F.col("live") | F.col("_new").isNotNull()}).drop("_new")
+        state = materialize(state, "list")
+    if best is None:
+        best = kitchen.recipes.select("id", F.lit("").alias("old"), F.lit("").alias("new"), F.lit("").alias("candidate"), F.lit(0).alias("place")).where("false")
+    changed = _steps(transform_substitute(kitchen.recipes, best.select("id", "old", "new")), best)
+    after = state.where("live").join(best.select("id").distinct(), "id", "left_semi")
+    return _finished(kitchen, changed, lines, after.select(*lines.columns), "substituted")
+
+
+def add_flow(kitchen: Kitchen, constraints: Constraints, given: DataFrame | None = None) -> DataFrame:
+    """The addition, among up to five for the first active goal, that gives each recipe the highest index; columns as in substitute_flow.
+
+    ``given``: id, place, name: the user's own additions, which come before it in their order, weighed by the catalogue's match of
+    the name. What a recipe has already is not added again.
+    """
     lines = recipe_lines(kitchen)
     roles = lines.join(kitchen.tags.select("ndb_no", infer_role().alias("role")), "ndb_no", "left").groupBy("id").agg(F.collect_set("role").alias("roles"))
     offered = add_candidates(roles, kitchen.catalogue.select("ndb_no", "descrip", *NUTRIENTS).join(kitchen.tags, "ndb_no", "left"), constraints)
@@ -97,10 +157,17 @@ def add_flow(kitchen: Kitchen, constraints: Constraints) -> DataFrame:
     old = lines.select("id", "ndb_no", "qty_g", "total_weight").join(kinds.select("id", "variant"), "id")
     new = kinds.select("id", "ndb_no", F.lit(None).cast("double").alias("qty_g"), "variant").join(recipe_weights(kitchen.weights), "id", "left")
     scored = _scored(old.unionByName(new), kitchen).select("id", "variant.*", F.round("score_sante", 9).alias("score_sante"))
-    best = judge_substitutes(scored).select("id", F.col("descrip").alias("new"), "candidate")
-    changed = _steps(transform_add(kitchen.recipes, best.select("id", F.array("new").alias("new"))), best.select("id", F.lit(1).alias("place"), F.lit(None).cast("string").alias("old"), "new"), added=True)
-    more = best.select("id", F.col("candidate").alias("ndb_no"), F.lit(None).cast("double").alias("qty_g")).join(recipe_weights(kitchen.weights), "id", "left")
-    after = lines.select("id", "ndb_no", "qty_g", "total_weight").join(best.select("id"), "id", "left_semi").unionByName(more)
+    best = judge_substitutes(scored).select("id", F.col("descrip").alias("new"), "candidate", F.lit(1).alias("last"), F.lit(0).alias("place"))
+    if given is not None:
+        known = match_ingredients(given.select("name").distinct(), kitchen.catalogue.select("ndb_no", "descrip"))
+        wanted = given.join(known.select("name", F.col("ndb_no").alias("candidate")), "name", "left")
+        best = best.unionByName(wanted.select("id", F.col("name").alias("new"), "candidate", F.lit(0).alias("last"), "place"))
+    once = best.groupBy("id", "new").agg(F.min(F.struct("last", "place", "candidate")).alias("at")).join(lines.select("id", F.col("ingredient").alias("new")), ["id", "new"], "left_anti")
+    once = once.select("id", "new", "at.candidate", F.row_number().over(Window.partitionBy("id").orderBy("at.last", "at.place", "new")).alias("place"))
+    per = once.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "new"))), lambda x: x["new"]).alias("new"))
+    changed = _steps(transform_add(kitchen.recipes, per), once.select("id", "place", F.lit(None).cast("string").alias("old"), "new"), added=True)
+    more = once.select("id", F.col("candidate").alias("ndb_no"), F.lit(None).cast("double").alias("qty_g")).join(recipe_weights(kitchen.weights), "id", "left")
+    after = lines.select("id", "ndb_no", "qty_g", "total_weight").join(once.select("id").distinct(), "id", "left_semi").unionByName(more)
     return _finished(kitchen, changed, lines, after, "added")
 
 

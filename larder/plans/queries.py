@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larder.functions import exprs, nutrition, text, vectors
-from larder.operators import filters, ireval, logs, search, substitute, transform
+from larder.operators import filters, ireval, logs, search, segments, sketches, substitute, transform, vector_index
 from larder.operators import nutrition as recipes
 from larder.plans.stand_ins import base, stand_in, with_stand_ins
 from larder.schemas import NUTRIENTS, NUTRITION_ARRAY
-from larder.sources import io
+from larder.sources import io, tables
 from larder.sources.workdir import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,6 +88,31 @@ def bm25_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return full.select("query_id", "doc_id", _r("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"), "source")
 
 
+@query("WITH " + bm25_sql(_BENCH, 10) + " SELECT query_id, doc_id, round(score, 4) AS score, rank FROM bm")
+def bm25_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search over posting blocks, reading only those that can hold one of the best."""
+    index = segments.SegmentIndex.create(base(spark, sf_dir, "documents"), "doc_id", WEIGHTS, shared_dir(spark, "segments"))
+    hits = index.search(_bench_queries(spark, sf_dir), 10).hits
+    return hits.select("query_id", "doc_id", _r("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+_GROWN = "SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN substr(text, 1, 200) ELSE text END AS text, lang, source FROM all_documents WHERE doc_id % 5 <> 1 OR doc_id % 35 = 1"
+
+
+@query("WITH all_documents AS (SELECT * FROM documents), " + bm25_sql(_BENCH, 10).replace("FROM documents", "FROM grown").replace("\ntok AS", f"\ngrown AS ({_GROWN}),\ntok AS", 1).lstrip() + " SELECT query_id, doc_id, round(score, 4) AS score, rank FROM bm")
+def bm25_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of half the documents to which the others are added; then some come with new texts, some go, some of those return, and segments merge."""
+    docs = base(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    index = segments.SegmentIndex.create(docs.where("doc_id % 2 = 0"), "doc_id", WEIGHTS, shared_dir(spark, "segments"))
+    index = index.append(docs.where("doc_id % 2 = 1"))
+    index = index.append(docs.where("doc_id % 6 = 0").withColumn("text", F.substring("text", 1, 200)))
+    index = index.delete(docs.where("doc_id % 5 = 1"))
+    back = docs.where("doc_id % 35 = 1").withColumn("text", F.when(F.col("doc_id") % 6 == 0, F.substring("text", 1, 200)).otherwise(F.col("text")))
+    index = index.compact().append(back)
+    hits = index.search(_bench_queries(spark, sf_dir), 10).hits
+    return hits.select("query_id", "doc_id", _r("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", "label")
 
@@ -107,6 +132,25 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("query_id", "doc_id", _r("score").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+def _vector_index(spark: SparkSession, sf_dir: str) -> vector_index.VectorIndex:
+    return vector_index.VectorIndex.build(_vectors(spark, sf_dir), shared_dir(spark, "vectors"))
+
+
+@query("WITH " + vector_sql(10) + " SELECT query_id, doc_id, round(score, 6) AS score, rank FROM vs")
+def vector_index_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest rows from the stored cells, leaving out only those that cannot hold any."""
+    hits = _vector_index(spark, sf_dir).search(_vector_queries(spark, sf_dir), 10)
+    return hits.select("query_id", "doc_id", _r("score").alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("SELECT count(*) AS queries, true AS reached, true AS fewer_cells FROM embeddings WHERE vec_id % 100 = 0")
+def vector_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the fewest probes that reach a recall at 10 of 0.9, against the exact search of all rows, are fewer than all cells."""
+    index, asked = _vector_index(spark, sf_dir), _vector_queries(spark, sf_dir)
+    probes, recall = index.probes_for(_vectors(spark, sf_dir), asked, 10)
+    return asked.agg(F.count(F.lit(1)).alias("queries")).select("queries", F.lit(recall >= 0.9).alias("reached"), F.lit(probes < len(index.cells)).alias("fewer_cells"))
+
+
 _HYBRID = "SELECT vec_id AS query_id, text AS query FROM embeddings JOIN documents ON doc_id = vec_id WHERE vec_id % 100 = 0"
 
 
@@ -886,6 +930,44 @@ def streamed_search_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _log_columns(spark.read.parquet(f"{out}/rows"))
 
 
+@query(_LOGGED, "dishes", "ingredients")
+def streamed_search_log_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows from a source that delivers every response twice, in one file and in a later one."""
+    from larder.streaming.jobs import stream_search_log
+
+    out, responses = shared_dir(spark, "log"), _logged_responses(spark, sf_dir)
+    for _ in range(2):
+        responses.write.mode("append").parquet(f"{out}/in")
+    source = spark.readStream.schema(responses.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in")
+    stream_search_log(source, f"{out}/rows", f"{out}/checkpoint", once_by=["conversation_id", "query", "ts"]).awaitTermination()
+    return _log_columns(spark.read.parquet(f"{out}/rows"))
+
+
+@query("""WITH c AS (SELECT time_bucket(INTERVAL 1 DAY, search_timestamp) AS day, tag, count(*) AS n FROM (SELECT search_timestamp, unnest(CAST(json_extract(raw_recipe_json, '$.tags') AS VARCHAR[])) AS tag FROM search_log) GROUP BY 1, 2)
+SELECT CAST(day AS VARCHAR) AS day, tag, n, row_number() OVER (PARTITION BY day ORDER BY n DESC, tag) AS rank FROM c WHERE day + INTERVAL 1 DAY <= (SELECT max(search_timestamp) - INTERVAL 1 HOUR FROM search_log) QUALIFY rank <= 5""", "search_log")
+def streamed_top_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most frequent tags of every day that the watermark closed, from keyed state of a stream."""
+    from larder.streaming.jobs import top_of_shards
+
+    rows = top_of_shards(_streamed_tags(spark, sf_dir, shared_dir(spark, "tags")))
+    return rows.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("day"), "tag", "n", F.col("rank").cast("long").alias("rank"))
+
+
+def _streamed_tags(spark: SparkSession, sf_dir: str, out: str) -> DataFrame:
+    from larder.streaming.jobs import STATE_STORE, top_tags_stream, write_windows
+
+    log = _log(spark, sf_dir)[0].select(F.col("search_timestamp").cast("timestamp").alias("search_timestamp"), "raw_recipe_json")
+    log.write.parquet(f"{out}/in")
+    before = spark.conf.get(STATE_STORE[0], None)
+    spark.conf.set(*STATE_STORE)
+    try:
+        source = spark.readStream.schema(log.schema).parquet(f"{out}/in")
+        write_windows(top_tags_stream(source, _tags()), f"{out}/rows", f"{out}/checkpoint").awaitTermination()
+    finally:
+        spark.conf.set(STATE_STORE[0], before) if before else spark.conf.unset(STATE_STORE[0])
+    return spark.read.parquet(f"{out}/rows")
+
+
 @query("SELECT CAST(time_bucket(INTERVAL 1 DAY, search_timestamp) AS VARCHAR) AS day, tag, count(*) AS n FROM (SELECT search_timestamp, unnest(CAST(json_extract(raw_recipe_json, '$.tags') AS VARCHAR[])) AS tag FROM search_log) GROUP BY 1, 2", "search_log")
 def daily_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tags of results per day, the batch form of the windowed stream."""
@@ -894,6 +976,65 @@ def daily_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windowed_tags(_log(spark, sf_dir)[0], _tags()).select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("day"), "tag", "n")
 
 
+# ---- states that merge ------------------------------------------------------------------------
+
+_RANGES = "(SELECT unnest([7, 30, 90]) AS days)"
+_LAST_DAY = "(SELECT max(CAST(search_timestamp AS DATE)) FROM search_log)"
+
+
+@query(f"""SELECT CAST(days AS BIGINT) AS days, count(*) AS result_rows, round(avg(minutes), 6) AS avg_minutes, count(DISTINCT name) AS distinct_recipes FROM search_log, {_RANGES} WHERE CAST(search_timestamp AS DATE) > {_LAST_DAY} - CAST(days AS INTEGER) GROUP BY days""", "search_log")
+def merged_kpi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures of the last 7, 30 and 90 days from states of each day and user, stored once."""
+    states, last = _states(spark, sf_dir)
+    parts = [sketches.merge_states(states, F.lit(last), d).select(F.lit(d).cast("long").alias("days"), "result_rows", _r("avg_minutes").alias("avg_minutes"), "distinct_recipes") for d in (7, 30, 90)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _states(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, object]:
+    out = shared_dir(spark, "states")
+    sketches.daily_states(_log(spark, sf_dir)[0], _tags()).write.parquet(out)
+    states = spark.read.parquet(out)
+    return states, states.agg(F.max("day")).first()[0]
+
+
+@query(f"""WITH t AS (SELECT days, unnest(CAST(json_extract(raw_recipe_json, '$.tags') AS VARCHAR[])) AS value FROM search_log, {_RANGES} WHERE CAST(search_timestamp AS DATE) > {_LAST_DAY} - CAST(days AS INTEGER))
+SELECT CAST(days AS BIGINT) AS days, value, n FROM (SELECT days, value, count(*) AS n FROM t GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY days ORDER BY n DESC, value) <= 5""", "search_log")
+def merged_top_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most frequent tags of the same ranges, from the same kind of states."""
+    states, last = _states(spark, sf_dir)
+    parts = [sketches.merged_tags(states, F.lit(last), d).select(F.lit(d).cast("long").alias("days"), "value", "n") for d in (7, 30, 90)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("SELECT lang, CAST(unnest([0.1, 0.5, 0.9]) AS DOUBLE) AS q, true AS near FROM documents GROUP BY lang")
+def token_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether quantiles of the texts' lengths per language, from sketches, lie within three times the stated rank error of their place."""
+    n = base(spark, sf_dir, "documents").select("lang", F.size(text.words(F.col("text"))).alias("n"))
+    found = sketches.quantiles(n, "n", (0.1, 0.5, 0.9), exact=False, by=["lang"]).select("lang", F.posexplode("quantiles").alias("i", "value"))
+    same = n["lang"].eqNullSafe(found["lang"])
+    ranks = found.join(n, same).groupBy(found["lang"].alias("lang"), "i").agg(F.avg((F.col("n") < F.col("value")).cast("double")).alias("below"), F.avg((F.col("n") <= F.col("value")).cast("double")).alias("upto"))
+    q, slack = F.element_at(F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)), F.col("i") + 1), 3 * sketches.KLL_RANK_ERROR
+    return ranks.select("lang", q.alias("q"), ((F.col("below") - slack <= q) & (q <= F.col("upto") + slack)).alias("near"))
+
+
+# ---- stored tables that change ----------------------------------------------------------------
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 0.0 ELSE o_totalprice END AS price, CASE WHEN m.k IS NOT NULL THEN m.v ELSE o_orderpriority END AS priority FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey AS k, CASE WHEN l_orderkey % 2 = 0 THEN NULL ELSE 'new' END AS v FROM lineitem) m ON m.k = o_orderkey WHERE o_orderstatus <> 'P' UNION ALL SELECT -1 - c_custkey, c_acctbal, NULL FROM customer")
+def stored_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored table after UPDATE, MERGE with new rows and DELETE, read again by its path."""
+    orders = base(spark, sf_dir, "orders")
+    start = orders.select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"), F.col("o_orderpriority").alias("priority"))
+    table = tables.StoredTable.create(start, shared_dir(spark, "orders"))
+    table = table.update(F.col("id") % 3 == 0, {"price": F.lit(0.0)})
+    changed = base(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id")).distinct().withColumn("priority", F.when(F.col("id") % 2 == 0, None).otherwise("new"))
+    table = table.merge(changed, "id", ["priority"])
+    new = base(spark, sf_dir, "customer").select((-1 - F.col("c_custkey")).alias("id"), F.col("c_acctbal").alias("price"))
+    table = table.merge(new, "id", ["price"], insert=True)
+    table.delete(orders.where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("id")), "id")
+    return tables.StoredTable.open(spark, table.path).read()
+
+
 # ---- whole transformations --------------------------------------------------------------------
 
 
@@ -959,6 +1100,54 @@ def transform_substitute_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flow(transform.substitute_flow(_kitchen(spark, sf_dir), substitute.constraint_struct(["no_lactose", "vegetarian", "decrease_sugar"])))
 
 
+_GIVEN = """gvr AS (SELECT d.id, d.ingredients[1] AS ingredient, 1 AS place FROM dishes d WHERE id % 2 = 0 UNION ALL SELECT id, 'nowhere', 2 FROM dishes WHERE id % 10 = 0),
+gvs AS (SELECT id, 1 AS place, CASE WHEN id % 4 = 0 THEN name ELSE 'zzz' END AS name FROM dishes WHERE id % 2 = 0 AND trim(name) <> '' UNION ALL SELECT id, 9, 'red' FROM dishes)"""
+
+
+def _given(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """What users want gone from every second dish (a name that no dish has among it), and their substitutes: known, unknown and surplus ones."""
+    dishes = stand_in(spark, sf_dir, "dishes")
+    first = dishes.where("id % 2 = 0").select("id", F.get("ingredients", F.lit(0)).alias("ingredient"), F.lit(1).alias("place"))
+    remove = first.unionByName(dishes.where("id % 10 = 0").select("id", F.lit("nowhere").alias("ingredient"), F.lit(2).alias("place")))
+    own = dishes.where("id % 2 = 0 and trim(name) <> ''").select("id", F.lit(1).alias("place"), F.when(F.col("id") % 4 == 0, F.col("name")).otherwise("zzz").alias("name"))
+    return remove, own.unionByName(dishes.select("id", F.lit(9).alias("place"), F.lit("red").alias("name")))
+
+
+def _round_sql(turn: int) -> str:
+    """CTEs of one round: its variants, their scores, the winners ``w``turn and the list ``s``turn after it."""
+    i, last = turn, turn - 1
+    return f"""tl{i} AS (SELECT o.candidate AS variant, s.id, CASE WHEN s.place = {i} THEN o.candidate ELSE s.ndb_no END AS ndb_no, s.qty_g, s.total_weight FROM s{last} s JOIN off o ON o.id = s.id AND o.place = {i} WHERE s.live OR s.place = {i}),
+{weigh_sql(f'sc{i}', f'tl{i}')},
+w{i} AS (SELECT o.id, o.ingredient AS old, o.descrip AS new, o.candidate, o.place FROM off o JOIN sc{i} c ON c.id = o.id AND c.variant = o.candidate WHERE o.place = {i} QUALIFY row_number() OVER (PARTITION BY o.id, o.ingredient ORDER BY round(c.score, 9) DESC NULLS LAST, o.rank) = 1),
+s{i} AS (SELECT s.id, s.pos, s.place, coalesce(w.candidate, s.ndb_no) AS ndb_no, s.qty_g, s.total_weight, s.live OR w.id IS NOT NULL AS live FROM s{last} s LEFT JOIN w{i} w ON w.id = s.id AND w.place = s.place)"""
+
+
+_ROUNDS = f"""{_KITCHEN}, {_GONE.format(breaks=_DIET, most=3)}, {_GIVEN},
+all_gone AS (SELECT id, ingredient, min((extra, place)) AS turn FROM (SELECT id, ingredient, 0 AS extra, place FROM gvr UNION ALL SELECT id, ingredient, 1, place FROM rm) WHERE (id, ingredient) IN (SELECT (id, ingredient) FROM kl) GROUP BY 1, 2),
+gone AS (SELECT id, ingredient, row_number() OVER (PARTITION BY id ORDER BY turn, ingredient) AS place FROM all_gone),
+cat AS (SELECT i.*, coalesce(is_dairy, false) AS l, coalesce(is_vegetarian, false) AS v FROM ingredients i LEFT JOIN tagged USING (ndb_no)),
+o AS (SELECT target, ndb_no FROM (SELECT target, ndb_no, row_number() OVER (PARTITION BY target ORDER BY ndb_no) AS rn FROM (SELECT DISTINCT ingredient AS target FROM gone) t JOIN cat ON contains(lower(descrip), lower(trim(target)))) WHERE rn = 1),
+near AS (SELECT o.target, b.ndb_no, b.descrip, 0.7 * {_axes(NUTRIENTS[:3])} + 0.3 * {_axes(NUTRIENTS[8:10])} AS distance FROM o JOIN cat a ON a.ndb_no = o.ndb_no, cat b WHERE b.ndb_no <> a.ndb_no AND NOT b.l AND b.v),
+cand AS (SELECT target, ndb_no AS candidate, descrip, rank FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY distance, ndb_no) AS rank FROM near) WHERE rank <= 5 AND NOT starts_with(lower(descrip), lower(target))),
+gm AS (SELECT DISTINCT g.name, first(i.ndb_no ORDER BY i.descrip, i.ndb_no) OVER (PARTITION BY g.name) AS ndb_no, first(i.descrip ORDER BY i.descrip, i.ndb_no) OVER (PARTITION BY g.name) AS descrip FROM (SELECT DISTINCT name FROM gvs) g JOIN ingredients i ON lower(trim(i.descrip)) = lower(trim(g.name))),
+own AS (SELECT gone.id, gone.ingredient, gone.place, gm.ndb_no AS candidate, gm.descrip, 1 AS rank FROM gone JOIN gvs USING (id, place) JOIN gm USING (name)),
+off AS (SELECT * FROM own UNION ALL SELECT g.id, g.ingredient, g.place, candidate, descrip, rank FROM gone g JOIN cand ON target = ingredient WHERE (g.id, g.place) NOT IN (SELECT (id, place) FROM own)),
+s0 AS (SELECT l.id, l.pos, g.place, l.ndb_no, l.qty_g, l.total_weight, g.place IS NULL AS live FROM kl l LEFT JOIN gone g ON g.id = l.id AND g.ingredient = l.ingredient),
+{_round_sql(1)}, {_round_sql(2)}, {_round_sql(3)},
+win AS (SELECT * FROM w1 UNION ALL SELECT * FROM w2 UNION ALL SELECT * FROM w3),
+{_edited_steps('win')},
+nl AS (SELECT l.id, string_agg(coalesce(w.new, l.ingredient), ',' ORDER BY pos) AS ingredients FROM kl l LEFT JOIN win w ON w.id = l.id AND w.old = l.ingredient GROUP BY l.id),
+al AS (SELECT '' AS variant, id, ndb_no, qty_g, total_weight FROM s3 WHERE live AND id IN (SELECT id FROM win)),
+{weigh_sql('bf', 'kl')}, {weigh_sql('af', 'al')}"""
+
+
+@query(f"WITH {_ROUNDS} {_FLOW}", *_DISHES)
+def transform_substitute_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Substitution one after another, with the users' removals and substitutes for every second dish."""
+    wanted = substitute.constraint_struct(["no_lactose", "vegetarian", "decrease_sugar"])
+    return _flow(transform.substitute_rounds(_kitchen(spark, sf_dir), wanted, *_given(spark, sf_dir)))
+
+
 _ROLE = "CASE WHEN is_seafood THEN 'animal_protein' WHEN NOT coalesce(is_vegetarian, true) THEN 'animal_protein' WHEN is_sweetener THEN 'sugar' WHEN is_grain THEN 'carb' WHEN coalesce(is_dairy, false) THEN 'dairy_fat' WHEN is_vegetable THEN 'plant' WHEN contains_nuts THEN 'nuts' ELSE 'other' END"
 
 

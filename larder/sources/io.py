@@ -11,9 +11,12 @@ from pyspark.sql import types as T
 from larder.functions.exprs import try_number
 
 
-def read_csv_table(spark: SparkSession, path: str, schema: T.StructType | None = None, sep: str = ",", nrows: int | None = None, drop: Sequence[str] = ()) -> DataFrame:
-    """CSV with a header and quoted line breaks; without a schema every column is text. ``drop`` names index columns."""
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("sep", sep)
+def read_csv_table(spark: SparkSession, path: str, schema: T.StructType | None = None, sep: str = ",", nrows: int | None = None, drop: Sequence[str] = (), line_breaks: bool = False) -> DataFrame:
+    """CSV with a header; without a schema every column is text. ``drop`` names index columns.
+
+    ``line_breaks``: fields may hold quoted line breaks; each file is then one task, where otherwise it is split.
+    """
+    reader = spark.read.option("header", True).option("multiLine", line_breaks).option("escape", '"').option("sep", sep)
     df = (reader.schema(schema) if schema else reader).csv(path).drop(*drop)
     return df.limit(nrows) if nrows is not None else df
 
@@ -119,8 +122,16 @@ def update_where(df: DataFrame, condition: Column, values: Mapping[str, Column])
     return df.withColumns({c: F.when(condition, v).otherwise(F.col(c)) for c, v in values.items()})
 
 
-def merge_update(target: DataFrame, source: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
-    """MERGE ... WHEN MATCHED THEN UPDATE: no row is added or removed, and a matched null overwrites. Keys of ``source`` are unique."""
+def merge_update(target: DataFrame, source: DataFrame, key: str, cols: Sequence[str], unique: bool = False) -> DataFrame:
+    """MERGE ... WHEN MATCHED THEN UPDATE: no row is added or removed, and a matched null overwrites.
+
+    Repeated keys of ``source`` raise, as they would multiply rows; null keys match nothing. ``unique`` says that the source is
+    grouped by its key, so that nothing need be checked.
+    """
+    source = source.where(F.col(key).isNotNull())
+    repeated = [] if unique else source.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).collect()
+    if repeated:
+        raise ValueError(f"the source of a merge has {key} {repeated[0][0]!r} more than once")
     new = source.select(F.col(key).alias("_key"), F.struct(*cols).alias("_new"))
     joined = target.join(new, target[key] == F.col("_key"), "left")
     change = {c: F.when(F.col("_key").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)) for c in cols}
