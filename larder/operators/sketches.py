@@ -47,7 +47,8 @@ def merged_tags(states: DataFrame, until: Column, days: int, k: int = 5) -> Data
     """value, n of the k most frequent tags of a range; ties by value."""
     own = states.where((F.col("day") > F.date_sub(until, days)) & (F.col("day") <= until) & F.col("top_tags").isNotNull())
     # all tracked values come back, so that ties at the k-th place go by value
-    found = own.agg(F.expr(f"approx_top_k_combine(top_tags, {TRACKED})").alias("s")).where("s is not null").select(F.explode(F.expr(f"approx_top_k_estimate(s, {TRACKED})")).alias("t"))
+    # grouped by a constant, as no states at all give no group
+    found = own.groupBy(F.lit(1)).agg(F.expr(f"approx_top_k_combine(top_tags, {TRACKED})").alias("s")).select(F.explode(F.expr(f"approx_top_k_estimate(s, {TRACKED})")).alias("t"))
     return found.select(F.col("t.item").alias("value"), F.col("t.count").alias("n")).orderBy(F.desc("n"), "value").limit(k)
 
 

@@ -84,7 +84,7 @@ class VectorIndex:
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> VectorIndex:
         found = spark.read.parquet(f"{path}/cells").orderBy("cell").toArrow()  # MOST_CELLS rows at most
-        centre = np.array(found["centre"].to_pylist(), dtype=float).reshape(found.num_rows, -1)
+        centre = np.array(found["centre"].to_pylist(), dtype=float) if found.num_rows else np.zeros((0, 1))
         return cls(spark, path, centre, np.asarray(found["cell"]), np.asarray(found["widest"], dtype=float))
 
     def _probed(self, asked: np.ndarray, k: int, probes: int | None, floor: np.ndarray | None) -> np.ndarray:
@@ -102,7 +102,9 @@ class VectorIndex:
 
     def files(self, probed: np.ndarray) -> tuple[int, int]:
         """Files that a search of these cells reads, and all files."""
-        return len(self._read(self.cells[probed.any(axis=0)]).select("doc_id").inputFiles()), len(self.spark.read.parquet(f"{self.path}/rows").inputFiles())
+        every = self.spark.read.parquet(f"{self.path}/rows").inputFiles()
+        read = {f"cell={c}" for c in self.cells[probed.any(axis=0)]}
+        return sum(f.rsplit("/", 2)[-2] in read for f in every), len(every)
 
     def _compare(self, names: pa.Array, asked: np.ndarray, own: np.ndarray | None, probed: np.ndarray, k: int) -> DataFrame:
         """The k best rows of every task for each query, among the cells it reads."""
@@ -138,6 +140,8 @@ class VectorIndex:
         """As ``vector_search``. Queries are taken in blocks of ``block_bytes``. Exact (``probes`` null) first reads the nearest cells
         that hold k rows, then every other cell that can still change the k best."""
         asked = queries.where("query_id is not null and vector is not null").select("query_id", F.col("vector").alias("v"))
+        if not len(self.cells):
+            return ranked(asked.select("query_id", F.lit(None).cast("long").alias("doc_id"), F.lit(0.0).alias("score")).where("false"), "score", k)
         n, out = asked.count(), None
         per_block = max(1, block_bytes // (8 * (self.centre.shape[1] + 2 * k + len(self.cells) // 8 + 1)))
         blocks = max(1, -(-n // per_block))
