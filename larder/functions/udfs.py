@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import typing
 from collections.abc import Callable
 
@@ -35,8 +36,28 @@ def signature(f: Callable) -> tuple[list[T.DataType], T.DataType]:
 
 
 def register(spark: SparkSession, name: str, f: Callable):
-    """Makes ``f`` callable in SQL; values travel in Arrow batches."""
+    """Makes ``f`` callable in SQL; values travel in Arrow batches. A value comes as its hint says: numbers given where text is
+    hinted come as text, whole numbers where a float is hinted as floats, and so on inside lists and maps."""
     from pyspark.sql.functions import udf
 
-    _, result = signature(f)
-    return spark.udf.register(name, udf(f, result, useArrow=True))
+    takes, result = signature(f)
+    casts = [_cast(t) for t in takes]
+
+    @functools.wraps(f)
+    def typed(*values):
+        return f(*(cast(v) for cast, v in zip(casts, values, strict=True)))
+
+    typed.__annotations__ = {}
+    return spark.udf.register(name, udf(typed, result, useArrow=True))
+
+
+def _cast(kind: T.DataType) -> Callable:
+    """A value to the Python type that stands for the Spark type; null stays null."""
+    if isinstance(kind, T.ArrayType):
+        inner = _cast(kind.elementType)
+        return lambda v: None if v is None else [inner(x) for x in v]
+    if isinstance(kind, T.MapType):
+        key, value = _cast(kind.keyType), _cast(kind.valueType)
+        return lambda v: None if v is None else {key(k): value(x) for k, x in dict(v).items()}
+    python = {t: p for p, t in _SIMPLE.items()}[kind]
+    return lambda v: v if v is None or isinstance(v, python) and not (python is int and isinstance(v, bool)) else python(v)

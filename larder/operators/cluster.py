@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions.vectors import l2_distance
+from larder.sources.workdir import materialize
 
 #: Columns of the macro profile.
 MACRO = ("energy_kcal", "protein_g", "saturated_fats_g", "fat_g", "carb_g", "fiber_g", "sugar_g")
@@ -57,17 +58,35 @@ def cluster_profile(df: DataFrame, cluster: str, cols: Sequence[str]) -> DataFra
     return df.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"), *(F.avg(c).alias(c) for c in cols))
 
 
-def recipe_clusters(df: DataFrame, vector: str = "embedding", axes: int = 8, ks: Sequence[int] = (3, 4, 5, 6), seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Rows with cluster_km, x and y at the k of the best silhouette, and the table of k, silhouette, explained."""
+def knee(explained: Sequence[float]) -> int:
+    """How many axes to keep: where the curve of their summed variance is furthest above its chord from nothing to all."""
+    total = [0.0]
+    for x in explained:
+        total.append(total[-1] + float(x))
+    n = len(explained)
+    return max(range(1, n + 1), key=lambda i: (round(total[i] - total[-1] * i / n, 9), -i)) if n else 0
+
+
+def recipe_clusters(df: DataFrame, vector: str = "embedding", axes: int | None = None, ks: Sequence[int] = (3, 4, 5, 6), seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Rows with cluster_km, x and y at the k of the best silhouette, and the table of k, silhouette, explained, axes.
+
+    Without ``axes`` their number (two at least) is the knee of the explained variance, from the one pass that sums the covariance
+    of all axes. The projection is written once; every k and its silhouette read it. Rows with a null vector are left out.
+    """
     rows = df.withColumn("_v", array_to_vector(F.transform(vector, lambda x: x.cast("double"))))
-    pca = PCA(k=axes, inputCol="_v", outputCol="_pca").fit(rows)
-    low, best, scores = pca.transform(rows).drop("_v"), None, []
+    some = rows.where(F.col(vector).isNotNull())
+    if axes is None:
+        first = some.select(F.size(vector)).first()
+        full = PCA(k=first[0], inputCol="_v", outputCol="_pca").fit(some) if first else None
+        axes = max(2, knee(list(full.explainedVariance))) if full else 2
+    pca = PCA(k=axes, inputCol="_v", outputCol="_pca").fit(some)
+    low, best, scores = materialize(pca.transform(some).drop("_v"), "projected"), None, []
     for k in ks:
         got = KMeans(k=k, seed=seed, featuresCol="_pca", predictionCol="cluster_km").fit(low).transform(low)
         score = ClusteringEvaluator(featuresCol="_pca", predictionCol="cluster_km").evaluate(got)
-        scores.append((k, float(score), float(sum(pca.explainedVariance))))
+        scores.append((k, float(score), float(sum(pca.explainedVariance)), axes))
         if best is None or score > best[0]:
             best = (score, got)
     axes_of = vector_to_array("_pca")
-    table = df.sparkSession.createDataFrame(scores, "k int, silhouette double, explained double")
+    table = df.sparkSession.createDataFrame(scores, "k int, silhouette double, explained double, axes int")
     return best[1].withColumns({"x": axes_of[0], "y": axes_of[1]}).drop("_pca"), table

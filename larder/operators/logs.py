@@ -171,10 +171,22 @@ def resolve_references(messages: DataFrame, recent: DataFrame, least: float = 0.
     return per.select("id", F.coalesce("by_position", F.when(F.col("n_best") == 1, F.col("by_name"))).alias("recipe_id"))
 
 
-def agent_run_report(events: DataFrame) -> DataFrame:
-    """Per run: tools called in order, their outputs in order, number of events, seconds between first and last."""
+def agent_run_report(events: DataFrame, scores: DataFrame | None = None) -> DataFrame:
+    """Per run: tools called in order, their outputs in order, number of events, seconds between first and last.
+
+    ``scores``: run_id, prompt, metric, score of each prompt's judgment; the report then has scores, a map of metric to the mean over
+    the run's prompts, and n_prompts. A run without scores has an empty map; null scores count nowhere.
+    """
     ordered = lambda cond, value: F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("seq", F.col(value).alias("v"))))), lambda x: x["v"])
-    return events.groupBy("run_id").agg(
+    report = events.groupBy("run_id").agg(
         ordered(F.col("type") == "tool_use", "tool_name").alias("tools"), ordered(F.col("type") == "tool_result", "content").alias("outputs"), F.count(F.lit(1)).alias("n_events"),
         (F.max("ts").cast("double") - F.min("ts").cast("double")).alias("elapsed_s"),
     )
+    if scores is None:
+        return report
+    known = scores.where("metric is not null and score is not null")
+    means = known.groupBy("run_id", "metric").agg(F.avg("score").alias("score"))
+    per = means.groupBy("run_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "score")))).alias("scores"))
+    prompts = scores.groupBy("run_id").agg(F.count_distinct("prompt").alias("n_prompts"))
+    out = report.join(per, "run_id", "left").join(prompts, "run_id", "left")
+    return out.withColumns({"scores": F.coalesce("scores", F.create_map().cast("map<string,double>")), "n_prompts": F.coalesce("n_prompts", F.lit(0).cast("long"))})

@@ -1,6 +1,6 @@
 """Ingredient substitution as joins and windows over many recipes at once.
 
-Names meet descriptions by equality of letter groups and words, never each with each; the nearest rows of a
+Names meet descriptions in one pass of an automaton (``larder.operators.matching``), never each with each; the nearest rows of a
 target come from one pass over the catalogue (``larder.operators.nearest``), which stays where it is.
 """
 
@@ -14,11 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.functions.text import description_flags
+from larder.operators.matching import least_holding
 from larder.operators.nearest import nearest
 from larder.schemas import NUTRIENTS
 
-#: Letters of the groups by which names and descriptions meet.
-GRAM = 3
 #: Nutrient and order of preference of each goal of an addition.
 ADD_GOALS = {"increase_protein": "protein_g", "decrease_protein": "protein_g", "increase_fiber": "fiber_g", "decrease_sugar": "sugar_g", "decrease_carbs": "carb_g", "decrease_calories": "energy_kcal", "decrease_sodium": "sodium_mg", "decrease_satfat": "saturated_fats_g"}
 #: Nutrient and sign of each goal of a removal.
@@ -82,22 +81,6 @@ def infer_role() -> Column:
     )
 
 
-def _grams(text: Column) -> Column:
-    """Distinct runs of one to GRAM letters, among them the first letters of whatever text lies inside."""
-    runs = lambda n: F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substring(text, i, F.lit(n)))
-    return F.when(F.length(text) > 0, F.array_distinct(F.concat(*(runs(n) for n in range(1, GRAM + 1))))).otherwise(F.array().cast("array<string>"))
-
-
-def first_holding(needles: DataFrame, texts: DataFrame) -> DataFrame:
-    """needle, best: the least value of the texts that hold each needle. ``needles``: needle, not empty; ``texts``: low, value.
-
-    A needle and the texts that hold it meet on the needle's first letters; then the whole is compared.
-    """
-    spread = texts.groupBy("low").agg(F.min("value").alias("value")).select("low", "value", F.explode(_grams(F.col("low"))).alias("gram"))
-    wanted = needles.select("needle", F.substring("needle", 1, GRAM).alias("gram")).distinct()
-    return wanted.join(spread, "gram").where(F.contains("low", F.col("needle"))).groupBy("needle").agg(F.min("value").alias("best"))
-
-
 def match_ingredients(names: DataFrame, candidates: DataFrame) -> DataFrame:
     """name, ndb_no, descrip of the best candidate: the exact name, else one that holds the name or any word of it; ties by descrip.
 
@@ -109,7 +92,7 @@ def match_ingredients(names: DataFrame, candidates: DataFrame) -> DataFrame:
     keyed = names.select(F.lower(F.trim("name")).alias("key")).distinct()
     parts = keyed.select("key", F.explode(F.filter(F.split("key", r"\s+"), lambda x: x != "")).alias("needle"))
     words = side.select(F.explode(F.filter(F.split("low", r"\s+"), lambda x: x != "")).alias("low"), "value")
-    partial = parts.join(first_holding(parts, words), "needle").groupBy("key").agg(F.min("best").alias("partial"))
+    partial = parts.join(least_holding(parts, words), "needle").groupBy("key").agg(F.min("best").alias("partial"))
     exact = side.groupBy("low").agg(F.min("value").alias("exact")).withColumnRenamed("low", "key")
     found = keyed.join(exact, "key", "left").join(partial, "key", "left").select("key", F.coalesce("exact", "partial").alias("best"))
     return names.withColumn("key", F.lower(F.trim("name"))).join(found, "key", "left").select(*names.columns, "best.ndb_no", "best.descrip")
@@ -138,7 +121,7 @@ def substitutes(targets: DataFrame, catalogue: DataFrame, constraints: Constrain
     """
     side = catalogue.select("ndb_no", "descrip", F.concat("macro", "micro").alias("v"), F.size("macro").alias("split"), meets_diet(constraints).alias("fits"))
     wanted = targets.select("target", F.lower(F.trim("target")).alias("needle")).where("needle <> ''").distinct()
-    own = first_holding(wanted, side.select(F.lower("descrip").alias("low"), F.col("ndb_no").alias("value")))
+    own = least_holding(wanted, side.select(F.lower("descrip").alias("low"), F.col("ndb_no").alias("value")))
     origin = wanted.join(own, "needle").join(side.select(F.col("ndb_no").alias("best"), "v"), "best").select(F.col("target").alias("query_id"), "v", F.col("best").alias("own"))
     split = side.agg(F.max("split")).first()[0] or 0
     near = nearest(side.where("fits").select(F.col("ndb_no").alias("doc_id"), "v"), origin, k, _weighted_distance(split, w_macro, w_micro))

@@ -13,7 +13,7 @@ from larder.operators import nutrition as recipes
 from larder.plans.stand_ins import base, stand_in, with_stand_ins
 from larder.schemas import NUTRIENTS, NUTRITION_ARRAY
 from larder.sources import io, tables
-from larder.sources.workdir import shared_dir
+from larder.sources.workdir import materialize, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -404,11 +404,11 @@ def array_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN nullif(source, '') ELSE array_to_string(list_filter(w, lambda x: x <> ''), '|') END AS parts
-FROM (SELECT doc_id, source, [regexp_replace(x, '[^A-Za-z]', '', 'g') for x in split(replace(coalesce(text, ''), chr(10), ' '), ' ')[1:6]] AS w FROM documents)""")
+FROM (SELECT doc_id, source, [regexp_replace(x, '[^A-Za-z]', '', 'g') for x in split(replace(coalesce(text, ''), chr(10), ' '), ' ')] AS w FROM documents)""")
 def parsed_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first words of every text as JSON, as a quoted list with braces, and as a bare list; the source as it is."""
+    """The words of every text as JSON, as a quoted list with braces, and as a bare list; the source as it is."""
     k = F.col("doc_id") % 4
-    w = F.filter(F.transform(F.slice(F.split(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")), " "), 1, 6), lambda x: F.regexp_replace(x, "[^A-Za-z]", "")), lambda x: x != "")
+    w = F.filter(F.transform(F.split(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")), " "), lambda x: F.regexp_replace(x, "[^A-Za-z]", "")), lambda x: x != "")
     quoted = F.concat(F.lit("{"), F.array_join(F.transform(w, lambda x: F.concat(F.lit("'"), x, F.lit("'"))), ", "), F.lit("}"))
     raw = F.when(k == 0, F.to_json(w)).when(k == 1, io.fix_set_literals(quoted)).when(k == 2, F.concat(F.lit("["), F.array_join(w, " , "), F.lit("]"))).otherwise(F.col("source"))
     return base(spark, sf_dir, "documents").select("doc_id", F.array_join(io.parse_list(raw), "|").alias("parts"))
@@ -548,6 +548,19 @@ def agent_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("run_id", F.when(F.size("tools") > 0, F.array_join("tools", ",")).alias("tools"), "n_events")
 
 
+@query("""WITH r AS (SELECT run_id, count(*) AS n_events, CAST(max(seq) - min(seq) AS DOUBLE) AS elapsed_s, md5(coalesce(string_agg(content, '|' ORDER BY seq) FILTER (WHERE type = 'tool_result' AND content IS NOT NULL), '')) AS outputs FROM agent_events GROUP BY run_id),
+s AS (SELECT run_id, count(DISTINCT seq) AS n_prompts, round(avg(value) FILTER (WHERE seq % 4 = 0), 6) AS relevance, round(avg(value / 2) FILTER (WHERE seq % 4 <> 0), 6) AS style FROM agent_events WHERE seq % 3 = 0 GROUP BY run_id)
+SELECT r.run_id, n_events, elapsed_s, outputs, coalesce(n_prompts, 0) AS n_prompts, relevance, style FROM r LEFT JOIN s USING (run_id)""", "agent_events")
+def agent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outputs, elapsed time and mean scores per prompt of every run."""
+    events = stand_in(spark, sf_dir, "agent_events").withColumn("ts", F.timestamp_seconds("seq"))
+    first = F.col("seq") % 4 == 0
+    judged = events.where("seq % 3 = 0").select("run_id", F.col("seq").alias("prompt"), F.when(first, "relevance").otherwise("style").alias("metric"), F.when(first, F.col("value")).otherwise(F.col("value") / 2).alias("score"))
+    got = logs.agent_run_report(events, judged)
+    score = lambda m: _r(F.try_element_at("scores", F.lit(m))).alias(m)
+    return got.select("run_id", "n_events", "elapsed_s", F.md5(F.array_join("outputs", "|")).alias("outputs"), "n_prompts", score("relevance"), score("style"))
+
+
 _SAID = "SELECT event_id AS id, CASE event_id % 5 WHEN 0 THEN 'the Second one' WHEN 1 THEN concat('recipe #', CAST(event_id % 4 AS STRING)) WHEN 2 THEN concat('about dish ', CAST(event_id % 50 AS STRING)) WHEN 3 THEN 'Recipe number 3 please' ELSE 'hello' END AS content, concat('c', CAST(user_id % 40 AS STRING)) AS conversation_id FROM {events}"
 
 
@@ -1169,6 +1182,23 @@ def transform_add_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flow(transform.add_flow(_kitchen(spark, sf_dir), substitute.constraint_struct(["increase_fiber", "no_nuts"])))
 
 
+@query(f"""WITH {_KITCHEN},
+gv AS (SELECT id, 1 AS place, 'saffron' AS new FROM dishes WHERE id % 3 = 0 UNION ALL SELECT id, 2, ingredients[1] FROM dishes UNION ALL SELECT id, 3, name FROM dishes WHERE id % 2 = 0 AND trim(name) <> '' UNION ALL SELECT id, 4, 'saffron' FROM dishes WHERE id % 6 = 0),
+gm AS (SELECT g.new, min((i.descrip, i.ndb_no)) AS m FROM (SELECT DISTINCT new FROM gv) g JOIN ingredients i ON lower(trim(i.descrip)) = lower(trim(g.new)) GROUP BY g.new),
+onc AS (SELECT id, new, min(place) AS place FROM gv WHERE NOT EXISTS (SELECT 1 FROM kl WHERE kl.id = gv.id AND kl.ingredient = gv.new) GROUP BY 1, 2),
+win AS (SELECT onc.*, m[2] AS candidate FROM onc LEFT JOIN gm USING (new)),
+st AS (SELECT d.id, array_to_string(CASE WHEN a.l IS NULL THEN d.steps ELSE list_concat(d.steps, a.l) END, ';') AS steps FROM dishes d LEFT JOIN (SELECT id, list('Add ' || new ORDER BY place) AS l FROM win GROUP BY id) a ON a.id = d.id),
+nl AS (SELECT id, string_agg(x, ',' ORDER BY p) AS ingredients FROM (SELECT id, x, min(p) AS p FROM (SELECT id, ingredient AS x, pos AS p FROM kl UNION ALL SELECT id, new, 1000 + place FROM win) GROUP BY 1, 2) GROUP BY id),
+al AS (SELECT '' AS variant, id, ndb_no, qty_g, total_weight FROM kl WHERE id IN (SELECT id FROM win) UNION ALL SELECT '', win.id, candidate, NULL, total_weight FROM win LEFT JOIN kw ON kw.id = win.id),
+{weigh_sql('bf', 'kl')}, {weigh_sql('af', 'al')} {_FLOW}""", *_DISHES)
+def transform_add_given(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The users' own additions: unknown ones, repeated ones, what the dish has already, and dishes' names."""
+    d = stand_in(spark, sf_dir, "dishes")
+    part = lambda where, place, name: d.where(where).select("id", F.lit(place).alias("place"), name.alias("name"))
+    given = part("id % 3 = 0", 1, F.lit("saffron")).unionByName(part("true", 2, F.get("ingredients", F.lit(0)))).unionByName(part("id % 2 = 0 and trim(name) <> ''", 3, F.col("name"))).unionByName(part("id % 6 = 0", 4, F.lit("saffron")))
+    return _flow(transform.add_flow(_kitchen(spark, sf_dir), substitute.constraint_struct([]), given))
+
+
 _DELETE = f"""{_KITCHEN}, {_GONE.format(breaks='coalesce(is_gluten, false)', most=3).replace('sugar_g', 'NULL')},
 gn AS (SELECT id, place, ingredient AS old, '' AS new FROM rm WHERE br),
 {_edited_steps('gn')},
@@ -1253,12 +1283,12 @@ _ENCODED = "SELECT doc_id, CAST(length(text) AS DOUBLE) AS length, CAST(length(t
 
 
 def _encoded(df: DataFrame) -> DataFrame:
-    return search.embed(df.select("doc_id", "text"), "text", _letters).select("doc_id", F.col("embedding")[0].cast("double").alias("length"), F.col("embedding")[1].cast("double").alias("letters"))
+    return search.embed(df.select("doc_id", "text"), "text", _letters, name="letters").select("doc_id", F.col("embedding")[0].cast("double").alias("length"), F.col("embedding")[1].cast("double").alias("letters"))
 
 
 @query(_ENCODED)
 def encoded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors by a pluggable encoder that is made once per task."""
+    """Vectors by a pluggable encoder that is made once per worker."""
     return _encoded(base(spark, sf_dir, "documents"))
 
 
@@ -1314,3 +1344,34 @@ def recipe_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from larder.operators import cluster
 
     return cluster.recipe_clusters(base(spark, sf_dir, "embeddings"))[0].select("vec_id", "cluster_km", "x", "y")
+
+
+# ---- encoders that learn ----------------------------------------------------------------------
+
+
+@query()
+def latent_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latent semantic vectors of every document, fitted on all of them."""
+    from larder.operators.latent import LatentEncoder
+
+    docs = base(spark, sf_dir, "documents")
+    return LatentEncoder.fit(docs, F.col("text"), 32, 4096).encode(docs, F.col("text")).select("doc_id", "embedding")
+
+
+@query()
+def encoder_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two encoders by two sets of columns: metrics of the nearest documents of each hundredth one, those of its language being relevant."""
+    from larder.operators.latent import LatentEncoder
+
+    docs = base(spark, sf_dir, "documents").withColumns({"short": F.col("source"), "long": F.concat_ws(" ", "source", "text")})
+    asked = docs.where("doc_id % 100 = 0").select(F.col("doc_id").cast("string").alias("query"), "lang")
+    judgments = asked.join(docs.select("doc_id", "lang"), "lang").where("query <> cast(doc_id as string)").select("query", "doc_id", F.lit(1.0).alias("relevance"))
+    runs = {}
+    for text_of in ("short", "long"):
+        c = F.col(text_of)
+        for name, vectors_of in (("hashed", search.hashing_embeddings(docs, c, 64)), ("latent", LatentEncoder.fit(docs, c, 32, 4096).encode(docs, c))):
+            kept = materialize(vectors_of.select("doc_id", "embedding"), "encoded")
+            wanted = kept.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("vector"))
+            hits = search.vector_search(kept, wanted, 10, exclude_self=True)
+            runs[f"{name}-{text_of}"] = hits.select(F.col("query_id").cast("string").alias("query"), "doc_id", "rank")
+    return ireval.evaluate_grid(runs, judgments, (1, 5, 10))

@@ -186,7 +186,7 @@ def test_stream_log_and_embeddings_append_once(spark, tmp_path):
 def test_csv_and_json(spark, tmp_path):
     df = spark.createDataFrame([("0", 'a "quoted"\nline', "5,5")], "index string, name string, n string")
     io.write_csv_table(df, str(tmp_path / "csv"), sep=";")
-    back = io.read_csv_table(spark, str(tmp_path / "csv"), sep=";", drop=["index"], nrows=5)
+    back = io.read_csv_table(spark, str(tmp_path / "csv"), sep=";", drop=["index"], nrows=5, line_breaks=True)
     assert back.first().asDict() == {"name": 'a "quoted"\nline', "n": "5,5"}
     (tmp_path / "truth.json").write_text('{"q": {"3": 0.5, "4": 1.0}}')
     assert sorted(map(tuple, io.read_json_map(spark, str(tmp_path / "truth.json")).collect())) == [("q", 3, 0.5), ("q", 4, 1.0)]
