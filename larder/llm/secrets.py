@@ -1,7 +1,7 @@
 """Operator 9: secret scans with a random forest that removes false positives.
 
-Candidates are private key blocks, values of six or more characters assigned to names such as password or token,
-and runs of 16 or more key-like characters that hold a letter, all at their full length. Each candidate's features (length,
+Candidates are private key blocks (PEM with its headers, and PGP), passwords in URLs, values of six or more characters assigned to names
+such as password or token, quoted ones up to their quote, and runs of 16 or more key-like characters that hold a letter, all at their full length. Each candidate's features (length,
 character transitions, entropy, dictionary coverage, place in a path, neighbouring words) go through a random forest of
 Spark's ML library, fitted to labelled findings; the verdict is its probability of a secret.
 
@@ -10,32 +10,46 @@ logs and prose (``KINDS``). Values are drawn by rule with a fixed seed, so that
 number is a parameter, so fitting is bounded. Tests hold out whole kinds, not draws of a kind that was learned.
 
 Defined results: null or empty text has no candidates and so no rows; candidates do not overlap
-(key blocks go first, then assigned values); runs without a letter are no candidates unless assigned; repeated
+(key blocks go first, then passwords in URLs and assigned values); runs without a letter are no candidates unless assigned; repeated
 rows each give their own findings; other columns are ignored. Work is linear in a text's length.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import random
 import re
 import string
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm.common import id_and_text, pieces
+from larder.llm.common import id_and_text, materialize, pieces
 
 #: Labelled findings of each kind that fit the forest.
 EACH_KIND = 24
-_BLOCK = re.compile(r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s]*+(?:-----END [A-Z0-9 ]{0,40}PRIVATE KEY-----)?")
+#: A word of the dictionary stands in at least this share of a language's documents, and in so many.
+WORD_SHARE, WORD_DOCUMENTS = 0.002, 5
+#: A private key from its BEGIN line to its END line, headers and all; without an END line as far as whole lines of a key go. A BEGIN line alone is none.
+_GAP, _KEY = r"(?:\s|\\[nr])", r"[A-Za-z0-9+/=]"
+_BLOCK = re.compile(
+    rf"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(?:{_GAP}*[A-Za-z][A-Za-z0-9-]*:[ \t][^\n\\]*(?=\n|\\[nr]))*+"
+    rf"(?:(?:{_GAP}|{_KEY})*+-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----|(?:{_GAP}*+{_KEY}{{40,}}+)+(?:{_GAP}*+{_KEY}+={{1,2}}(?!{_KEY}))?)"
+)
 _RUN = re.compile(r"(?<![A-Za-z0-9_+/=.-])[A-Za-z0-9_+/=.-]{16,}+")
-_ASSIGNED = re.compile(r"(?i)(?<![a-z])(password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth)[\"']?[ \t]{0,4}[=:][ \t]{0,4}[\"']?([^\s\"'<>,;]{6,}+)")
+#: Names that values are assigned to. A value in quotes goes up to its quote on the same line, another up to white space or a mark.
+_NAMES = r"password|passphrase|passwd|passcode|pwd|secret(?:[_-]?access)?[_-]?key|client[_-]?secret|secret|(?:api|access|private|encryption|signing|auth|account)[_-]?key|(?:access|auth|api|bearer)?[_-]?token|credentials?|auth"
+_ASSIGNED = re.compile(rf"""(?i)(?<![a-z])(?:{_NAMES})["']?[ \t]*+[=:][ \t]*+(?:"([^"\n]{{6,}}+)"|'([^'\n]{{6,}}+)'|["']?([^\s"'<>,;]{{6,}}+))""")
+#: The password of user:password@host in a URL.
+_IN_URL = re.compile(r"""(?<=://)[^\s/:@"'<>]*+:([^\s/@"'<>]{4,}+)@""")
 _LETTER = re.compile("[A-Za-z]")
 _WORD = re.compile(r"[^\W\d_]+")
 CUES = frozenset("password passwd pwd secret secrets token key apikey api access private auth bearer credential credentials".split())
@@ -45,20 +59,31 @@ FEATURES = ("length", "letters", "digits", "transitions", "rare", "entropy", "di
 
 
 def candidates(text: str) -> Iterator[tuple[str, int, int]]:
-    """(kind, start, end): key blocks and assigned values, then other runs that hold a letter."""
+    """(kind, start, end): key blocks, passwords in URLs and assigned values, then other runs that hold a letter."""
     taken = [(m.start(), m.start() + len(m[0].rstrip())) for m in _BLOCK.finditer(text)]
     for block in taken:
         yield "block", *block
-    blocks, i = len(taken), 0
-    for m in _ASSIGNED.finditer(text):
-        value = m[2].rstrip(".)]}")
-        start, end = m.start(2), m.start(2) + len(value)
-        while i < blocks and taken[i][1] <= start:
-            i += 1
-        if len(value) >= 6 and not (i < blocks and taken[i][0] < end):
-            taken.append((start, end))
-            yield "assigned", start, end
-    taken.sort()
+    def free(spans: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
+        """Those that touch none that is taken; both in order."""
+        i, out = 0, []
+        for start, end in spans:
+            while i < len(taken) and taken[i][1] <= start:
+                i += 1
+            if not (i < len(taken) and taken[i][0] < end):
+                out.append((start, end))
+        return out
+
+    def assigned() -> Iterator[tuple[int, int]]:
+        for m in _ASSIGNED.finditer(text):
+            group = m.lastindex
+            value = m[group] if group < 3 else m[group].rstrip(".)]}")
+            if len(value) >= 6:
+                yield m.start(group), m.start(group) + len(value)
+
+    for kind, spans in (("url", (m.span(1) for m in _IN_URL.finditer(text))), ("assigned", assigned())):
+        new = free(spans)
+        yield from ((kind, *span) for span in new)
+        taken = sorted(taken + new)
     i = 0
     for m in _RUN.finditer(text):
         start, end = m.start(), m.end()
@@ -72,47 +97,105 @@ def candidates(text: str) -> Iterator[tuple[str, int, int]]:
             yield "run", start, end
 
 
-def _entropy(s: str) -> float:
-    n = len(s)
-    return -sum(c / n * math.log2(c / n) for c in Counter(s).values())
+def _entropy(counts: Counter, n: int) -> float:
+    return -sum(c / n * math.log2(c / n) for c in counts.values())
 
 
 def _kind(c: str) -> int:
     return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
 
 
+#: Kind of every ASCII character, and which may stand first and second in a pair that words seldom have.
+_KINDS = np.array([_kind(chr(i)) for i in range(128)], dtype=np.int8)
+_FIRST, _SECOND = (np.isin(np.arange(129), [ord(c) for c in some]) for some in ("bcdfgjkqvwxz", "bcdfghjkmnpqvwxz"))
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+
+
+def _kinds_of(codes: np.ndarray) -> np.ndarray:
+    out = _KINDS[np.minimum(codes, 127)]
+    far = codes > 127
+    if far.any():
+        known, place = np.unique(codes[far], return_inverse=True)
+        out[far] = np.array([_kind(chr(c)) for c in known.tolist()], dtype=np.int8)[place]
+    return out
+
+
+def measure(run: str, part: int = 65_536) -> tuple[list[int], int, int, int]:
+    """(characters of each kind, changes of kind, rare pairs, repeated pairs), read in parts, so that a value's length costs no memory."""
+    counts, changes, rare, repeats, before = np.zeros(4, dtype=np.int64), 0, 0, 0, ""
+    for at in range(0, len(run), part):
+        piece = before + run[at : at + part]
+        kinds, low = _kinds_of(_codes(piece)), _codes("".join(c if len(c) == 1 else "\x80" for c in map(str.lower, piece)) if not piece.isascii() else piece.lower())
+        counts += np.bincount(kinds[len(before) :], minlength=4)
+        changes += int(np.count_nonzero(kinds[1:] != kinds[:-1]))
+        near = np.minimum(low, 128)
+        rare += int(np.count_nonzero(_FIRST[near[:-1]] & _SECOND[near[1:]]))
+        repeats += int(np.count_nonzero(low[1:] == low[:-1]))
+        before = piece[-1]
+    return counts.tolist(), changes, rare, repeats
+
+
+class Dictionary:
+    """Words of four letters or more, found longest first from left to right by an automaton."""
+
+    def __init__(self, words: Iterable[str]):
+        self.words = frozenset(w for w in words if len(w) > 3)
+        self.machine = ahocorasick.Automaton()
+        for w in self.words:
+            self.machine.add_word(w, len(w))
+        self.machine.make_automaton()
+
+    def covered(self, low: str) -> int:
+        """Characters of a lower-case text that belong to words."""
+        return sum(n for _, n in self.machine.iter_long(low)) if self.words else 0
+
+
 def _near(text: str, start: int, end: int) -> list[str]:
     """Whole words between two places; one that reaches over an outer end of the window is none."""
     return [m[0].lower() for m in _WORD.finditer(text, start, end) if not (m.start() == start > 0 and text[start - 1].isalpha()) and not (m.end() == end < len(text) and text[end].isalpha())]
 
 
-def describe(text: str, kind: str, start: int, end: int) -> list[float]:
+def describe(text: str, kind: str, start: int, end: int, dictionary: Dictionary | None = None) -> list[float]:
     """The features of one candidate, in the order of FEATURES."""
     run = text[start:end]
-    n, low = len(run), run.lower()
-    kinds = list(map(_kind, run))
-    letters, digits = sum(k < 2 for k in kinds), kinds.count(2)
-    # candidates may be very long: neighbours are read off two strings, never kept as a list of pairs
-    rare = sum(a in "bcdfgjkqvwxz" and b in "bcdfghjkmnpqvwxz" for a, b in zip(low, low[1:], strict=False))
-    covered = 0
-    for found in re.finditer("[a-z]{4,}", low):
-        word, at = found[0], 0
-        while at < len(word):
-            hit = next((k for k in range(min(12, len(word) - at), 3, -1) if word[at : at + k] in DICTIONARY), 0)
-            covered += hit
-            at += hit or 1
+    n, low, counts = len(run), run.lower(), Counter(run)
+    (lower, upper, digits, others), changes, rare, repeats = measure(run)
+    letters = lower + upper
+    covered = (dictionary or base_dictionary()).covered(low)
     before = _near(text, max(0, start - 40), start)[-3:]
     after = _near(text, end, min(len(text), end + 24))[:2]
     near = [*before, *after]
-    in_path = low.count("/") + (start > 0 and text[start - 1] in "/\\") + ("://" in text[max(0, start - 24) : start])
+    in_path = low.count("/") + (start > 0 and text[start - 1] in "/\\") + ("://" in text[max(0, start - 24) : start] and kind != "url")
     return [
-        float(n), letters / n, digits / n, sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / max(1, n - 1), rare / max(1, n - 1),
-        _entropy(run), len(set(run)) / n, covered / max(1, letters), float(in_path), float(kind != "run") + float(kind == "block"), float(sum(w in CUES for w in before)), float(sum(w in ANTI for w in near)),
-        float(bool(re.fullmatch("[0-9a-fA-F]+", run))), sum(k == 1 for k in kinds) / n, float(run.startswith(("AKIA", "ASIA", "ghp_", "gho_", "sk_live_", "xox", "AIza", "eyJ"))),
-        sum(a == b for a, b in zip(low, low[1:], strict=False)) / max(1, n - 1), sum(k == 3 for k in kinds) / n,
+        float(n), letters / n, digits / n, changes / max(1, n - 1), rare / max(1, n - 1),
+        _entropy(counts, n), len(counts) / n, covered / max(1, letters), float(in_path), float(kind != "run") + float(kind == "block"), float(sum(w in CUES for w in before) + (kind == "url")), float(sum(w in ANTI for w in near)),
+        float(bool(re.fullmatch("[0-9a-fA-F]+", run))), upper / n, float(run.startswith(("AKIA", "ASIA", "ghp_", "gho_", "sk_live_", "xox", "AIza", "eyJ"))),
+        repeats / max(1, n - 1), others / n,
     ]
 
 
+@functools.cache
+def base_dictionary() -> Dictionary:
+    return Dictionary(DICTIONARY)
+
+
+def learn_dictionary(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", share: float = WORD_SHARE, least: int = WORD_DOCUMENTS) -> Dictionary:
+    """DICTIONARY and the words of a to z, four letters or more, that at least ``share`` of a language's documents hold (``least`` of them at
+    the fewest): whole texts, all documents, counts that combine before they move. As a document holds few words, few reach the share."""
+    lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("")) if lang_col in docs.columns else F.lit("")
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col).cast("string")), F.lit(r"(?<![\p{L}\p{N}])[a-z]{4,24}(?![\p{L}\p{N}])"), F.lit(0)))
+    rows = docs.where(F.col(text_col).isNotNull()).select(lang.alias("_lang"), words.alias("_words"))
+    # the number of documents of a language travels with its words, under a word that no text has
+    counts = rows.select("_lang", F.explode(F.array_append("_words", F.lit("#"))).alias("_word")).groupBy("_lang", "_word").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialize(counts.where((F.col("n") >= least) | (F.col("_word") == "#")), "words")
+    sizes = counts.where("_word = '#'").select("_lang", F.col("n").alias("documents"))
+    kept = counts.where("_word <> '#'").join(sizes, "_lang").where(F.col("n") >= share * F.col("documents")).select("_word").distinct()
+    return Dictionary(DICTIONARY | {r[0] for r in kept.collect()})
+
+
 #: Kinds of findings: label (1 for a secret) and a line in which one candidate is drawn by rule. {hex40}: so many characters; {hex16-64}: a number between.
 KINDS = """
 1 password={hex18} and then
@@ -148,6 +231,10 @@ KINDS = """
 1 pwd = {lower14-30}
 1 secret: {up20-40}
 1 https://user:{mixed16-24}@host.example.com with secret
+1 postgres://admin:{odd8-16}@db.internal:5432/app
+1 secret_key = {odd8-14}
+1 passphrase: {odd9-18}
+1 password = "{mixed4-8},{mixed3-6} {mixed3-6};{digits2}"
 1 credentials {mixed20-32}:{mixed30} of the bot
 1 -----BEGIN RSA PRIVATE KEY-----{base800-1600}-----END RSA PRIVATE KEY-----
 1 -----BEGIN PRIVATE KEY-----{base400-900}
@@ -191,6 +278,9 @@ KINDS = """
 0 password: os.environ['{word}']
 0 token = get_{snake2}()
 0 password={snake2}
+0 http://{word}:{word}@{word}.example.com/{word}
+0 secret: "{word} {word} {word}"
+0 password: "{plain} {word} {word} {word}"
 0 auth: {word}.{word}.{word}
 0 data image png {base300-2400}
 0 {same16-2000}
@@ -209,7 +299,7 @@ _DRAWN = re.compile(r"\{([A-Za-z]+)(\d*)(?:-(\d+))?\}")
 _PLAIN = "required optional correct horse battery staple string missing expired invalid unknown nothing hidden protected generated rotating yellow river garden winter mountain silver orange falcon planet kitchen shadow bridge candle harbour meadow lantern pepper violet thunder".split()
 
 
-def labelled_findings(each: int = EACH_KIND, seed: int = 11, kinds: str = KINDS) -> list[tuple[list[float], float]]:
+def labelled_findings(each: int = EACH_KIND, seed: int = 11, kinds: str = KINDS, dictionary: Dictionary | None = None) -> list[tuple[list[float], float]]:
     """(features, 1 for a secret) of ``each`` findings of every kind, measured at the candidates that the scan finds."""
     r = random.Random(seed)
     words = sorted(DICTIONARY)
@@ -232,27 +322,33 @@ def labelled_findings(each: int = EACH_KIND, seed: int = 11, kinds: str = KINDS)
         label, text = line.split(" ", 1)
         for _ in range(each):
             drawn = f"{r.choice(['the and of', 'see also', 'in with', 'la que de', 'und der die', 'les des une', ''])} {_DRAWN.sub(draw, text)} {r.choice(['and so', 'de la', 'und', ''])}"
-            out += [(describe(drawn, *found), float(label)) for found in candidates(drawn)]
+            out += [(describe(drawn, *found, dictionary), float(label)) for found in candidates(drawn)]
     return out
 
 
-def train(spark: SparkSession, each: int = EACH_KIND, trees: int = 32, depth: int = 9, kinds: str = KINDS) -> RandomForestClassificationModel:
-    rows = spark.createDataFrame(labelled_findings(each, kinds=kinds), "x array<double>, label double").coalesce(1)
+def train(spark: SparkSession, each: int = EACH_KIND, trees: int = 32, depth: int = 9, kinds: str = KINDS, dictionary: Dictionary | None = None) -> RandomForestClassificationModel:
+    rows = spark.createDataFrame(labelled_findings(each, kinds=kinds, dictionary=dictionary), "x array<double>, label double").coalesce(1)
     return RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=trees, maxDepth=depth, seed=7).fit(rows.select(array_to_vector("x").alias("features"), "label"))
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: RandomForestClassificationModel | None = None, least: float = 0.5) -> DataFrame:
-    """One row per candidate: doc_id, kind, start, end (code points), score, is_secret."""
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: RandomForestClassificationModel | None = None, least: float = 0.5, lang_col: str = "lang") -> DataFrame:
+    """One row per candidate: doc_id, kind, start, end (code points), score, is_secret.
+
+    Without a ``model`` the dictionary is learned from these documents and the forest fitted with it; a given model goes with DICTIONARY.
+    """
+    dictionary = None if model else learn_dictionary(docs, text_col, lang_col)
+    words = sorted(dictionary.words) if dictionary else None
     schema = pa.schema([("doc_id", pa.int64()), ("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("x", pa.list_(pa.float64()))])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Dictionary(words) if words else base_dictionary()
         for piece in pieces(batches):
-            rows = [(doc, kind, s, e, describe(t, kind, s, e)) for doc, t in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True) if t for kind, s, e in candidates(t)]
+            rows = [(doc, kind, s, e, describe(t, kind, s, e, known)) for doc, t in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True) if t for kind, s, e in candidates(t)]
             cols = zip(*rows, strict=True) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
     found = id_and_text(docs, id_col, text_col).mapInArrow(find, "doc_id bigint, kind string, start bigint, end bigint, x array<double>")
-    model = model or train(docs.sparkSession)
+    model = model or train(docs.sparkSession, dictionary=dictionary)
     scored = model.transform(found.withColumn("features", array_to_vector("x")))
     score = F.round(vector_to_array("probability")[1], 6)
     return scored.select("doc_id", "kind", "start", "end", score.alias("score"), (score >= least).alias("is_secret"))
