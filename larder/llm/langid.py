@@ -16,7 +16,7 @@ get their own result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +30,8 @@ BITS = 14
 DIM = 1 << BITS
 SAMPLE_ROWS = 4000
 NGRAMS = 3
+#: Letters of a text whose n-grams are counted at once.
+PART = 1_000_000
 #: A letter in Unicode's sense, the same here and in the filter of learnable rows; number-like signs such as a half or a Roman numeral are none.
 _LETTER = regex.compile(r"\p{L}")
 _OTHER = regex.compile(r"[^\p{L}\p{M}]+")
@@ -39,13 +41,15 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 def ngram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Hashed n-grams of the letters of a text, words apart by one space: bucket numbers and counts."""
     clean = f" {_OTHER.sub(' ', text.lower()).strip()} "
-    c = np.frombuffer(clean.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-    code, total = np.zeros(len(c), dtype=np.uint64), np.zeros(DIM, dtype=np.int64)
-    for n in range(1, NGRAMS + 1):
-        if len(c) < n:
-            break
-        code = code[: len(c) - n + 1] * np.uint64(1_114_111) + c[n - 1 :] + np.uint64(n)
-        total += np.bincount((code * _MIX >> np.uint64(64 - BITS)).astype(np.int64), minlength=DIM)
+    total = np.zeros(DIM, dtype=np.int64)
+    for start in range(0, len(clean), PART):  # a part's n-grams begin in it and end up to two letters behind it
+        c = np.frombuffer(clean[start : start + PART + NGRAMS - 1].encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+        code = np.zeros(len(c), dtype=np.uint64)
+        for n in range(1, NGRAMS + 1):
+            if len(c) < n:
+                break
+            code = code[: len(c) - n + 1] * np.uint64(1_114_111) + c[n - 1 :] + np.uint64(n)
+            total += np.bincount((code[:PART] * _MIX >> np.uint64(64 - BITS)).astype(np.int64), minlength=DIM)
     at = np.flatnonzero(total)
     return at, total[at]
 
@@ -79,12 +83,33 @@ def weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return v / (np.sqrt(v @ v) or 1.0)
 
 
+class Rows:
+    """Rows of (buckets, weights) over the columns of an Arrow table; weights are made when a row is read."""
+
+    def __init__(self, at: pa.ListArray, counts: pa.ListArray, order: np.ndarray, idf: np.ndarray):
+        self.ends, self.at, self.counts = np.asarray(at.offsets), np.asarray(at.values), np.asarray(counts.values)
+        self.order, self.idf = order, idf
+
+    def __len__(self) -> int:
+        return len(self.order)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        own = slice(self.ends[self.order[i]], self.ends[self.order[i] + 1])
+        at = self.at[own].astype(np.int64)
+        return at, weigh(self.counts[own].astype(float), self.idf[at])
+
+    def part(self, which: np.ndarray) -> Rows:
+        out = object.__new__(Rows)
+        out.__dict__ = self.__dict__ | {"order": self.order[which]}
+        return out
+
+
 def softmax(z: np.ndarray) -> np.ndarray:
     p = np.exp(z - z.max(axis=-1, keepdims=True))
     return p / p.sum(axis=-1, keepdims=True)
 
 
-def fit_ftrl(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes: int, epochs: int = 3, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.02, l2: float = 0.02) -> np.ndarray:
+def fit_ftrl(rows: Sequence[tuple[np.ndarray, np.ndarray]] | Rows, y: np.ndarray, classes: int, epochs: int = 3, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.02, l2: float = 0.02) -> np.ndarray:
     """Weights (DIM x classes) by FTRL-proximal with L1 and L2 penalties; rows are (buckets, values)."""
     z, n = np.zeros((DIM, classes)), np.zeros((DIM, classes))
     order = np.random.default_rng(7)
@@ -135,15 +160,18 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             got = [ngram_counts(t) for t in piece.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(2), pa.array([a for a, _ in got], pa.list_(pa.int32())), pa.array([c for _, c in got], pa.list_(pa.int32()))], names=["doc_id", "lang", "at", "n"])
 
-    sample = picked.mapInArrow(vectors, "doc_id bigint, lang string, at array<int>, n array<int>").toArrow()
+    # two columns of whole numbers, 8 bytes for each distinct bucket of a sampled text: at most DIM of them
+    sample = picked.mapInArrow(vectors, "doc_id bigint, lang string, at array<int>, n array<int>").toArrow().combine_chunks()
     ids, langs = sample["doc_id"].to_pylist(), sample["lang"].to_pylist()
-    at, counts = sample["at"].to_pylist(), sample["n"].to_pylist()
-    order = sorted(range(len(ids)), key=lambda i: (ids[i], langs[i], at[i]))
-    rows = [(np.array(at[i], dtype=np.int64), weigh(np.array(counts[i], dtype=float), idf[at[i]])) for i in order]
-    y = np.array([labels.index(langs[i]) for i in order])
-    check = np.arange(len(rows)) % 5 == 4
-    weight = fit_ftrl([r for r, c in zip(rows, check, strict=True) if not c], y[~check], len(labels))
-    logits = np.array([v @ weight[a] for (a, v), c in zip(rows, check, strict=True) if c]).reshape(-1, len(labels))
+    at, counts = (sample[c].combine_chunks() if sample.num_rows else pa.array([], pa.list_(pa.int32())) for c in ("at", "n"))
+    whole = Rows(at, counts, np.arange(len(ids)), idf)
+    digest = lambda i: whole.at[whole.ends[i] : whole.ends[i + 1]].tobytes()
+    whole.order = np.array(sorted(range(len(ids)), key=lambda i: (ids[i], langs[i], digest(i))), dtype=int)
+    y = np.array([labels.index(langs[i]) for i in whole.order], dtype=int)
+    check = np.arange(len(whole)) % 5 == 4
+    weight = fit_ftrl(whole.part(~check), y[~check], len(labels))
+    tested = whole.part(check)
+    logits = np.array([v @ weight[a] for a, v in (tested[i] for i in range(len(tested)))]).reshape(-1, len(labels))
     return {"labels": labels, "idf": idf, "weight": weight.astype(np.float32), "temperature": fit_temperature(logits, y[check])}
 
 

@@ -71,3 +71,54 @@ def test_sample_is_bounded_and_repeated_rows_count_once(spark):
     assert all(once(t)[0] == often(t)[0] == k for _, t, k, _ in rows)  # 500 copies do not outweigh the others
     few = langid.train(make_docs(spark, rows), sample_rows=1)
     assert few["labels"] == ["a", "b"]
+
+
+def plain_ngrams(text):
+    """Hashed n-grams one at a time, with whole numbers of 64 bits."""
+    words = "".join(c if langid._OTHER.sub("", c) else " " for c in text.lower()).split()
+    clean, mask, out = f" {' '.join(words)} ", 2**64 - 1, {}
+    for n in range(1, langid.NGRAMS + 1):
+        for i in range(len(clean) - n + 1):
+            code = 0
+            for k in range(n):
+                code = (code * 1_114_111 + ord(clean[i + k]) + k + 1) & mask
+            bucket = (code * 0x9E3779B97F4A7C15 & mask) >> (64 - langid.BITS)
+            out[bucket] = out.get(bucket, 0) + 1
+    return out
+
+
+def test_ngrams_equal_plain_counts_whatever_the_parts(monkeypatch):
+    texts = ["a", "Hello, Wörld 12!", "  ", "ß İ ǅ", "日本語 текст 🙂 é", "one two three four " * 5]
+    for part in (1_000_000, 7, 1):
+        monkeypatch.setattr(langid, "PART", part)
+        for text in texts:
+            at, n = langid.ngram_counts(text)
+            assert dict(zip(at.tolist(), n.tolist(), strict=True)) == plain_ngrams(text)
+
+
+def test_ftrl_equals_a_plain_loop(monkeypatch):
+    import math
+
+    monkeypatch.setattr(langid, "DIM", 12)
+    r = np.random.default_rng(4)
+    rows = [(np.sort(r.choice(12, 4, replace=False)), r.random(4)) for _ in range(30)]
+    y = r.integers(0, 3, 30)
+    got = langid.fit_ftrl(rows, y, 3, epochs=2)
+    z, n, order = [[0.0] * 3 for _ in range(12)], [[0.0] * 3 for _ in range(12)], np.random.default_rng(7)
+
+    def weight(b, k):
+        if abs(z[b][k]) <= 0.02:
+            return 0.0
+        return -(z[b][k] - math.copysign(0.02, z[b][k])) / ((1 + math.sqrt(n[b][k])) / 1.0 + 0.02)
+
+    for _ in range(2):
+        for i in order.permutation(30):
+            at, v = rows[i]
+            score = [sum(x * weight(b, k) for b, x in zip(at, v, strict=True)) for k in range(3)]
+            total = sum(math.exp(s) for s in score)
+            g = {(b, k): x * (math.exp(score[k]) / total - (y[i] == k)) for b, x in zip(at, v, strict=True) for k in range(3)}
+            w = {key: weight(*key) for key in g}
+            for (b, k), d in g.items():
+                z[b][k] += d - (math.sqrt(n[b][k] + d * d) - math.sqrt(n[b][k])) * w[b, k]
+                n[b][k] += d * d
+    assert np.allclose(got, [[weight(b, k) for k in range(3)] for b in range(12)])
