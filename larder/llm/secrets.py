@@ -52,6 +52,7 @@ _ASSIGNED = re.compile(rf"""(?i)(?<![a-z])(?:{_NAMES})["']?[ \t]*+[=:][ \t]*+(?:
 _IN_URL = re.compile(r"""(?<=://)[^\s/:@"'<>]*+:([^\s/@"'<>]{4,}+)@""")
 _LETTER = re.compile("[A-Za-z]")
 _WORD = re.compile(r"[^\W\d_]+")
+_PLAIN_WORD = re.compile(r"(?<![^\W_])[a-z]{4,24}(?![^\W_])")
 CUES = frozenset("password passwd pwd secret secrets token key apikey api access private auth bearer credential credentials".split())
 ANTI = frozenset("sha sha1 sha256 md5 commit checksum hash digest uuid guid id version build example sample test dummy placeholder your xxx changeme isbn order invoice".split())
 DICTIONARY = frozenset("access account address admin after also back base build cache change class client code color commit common config content count create data date default delete description document domain draft email empty enable error event example file filter final first font form from function general group guide have header height home host html http https image import index info input insert item java json key label language last layout left letter level license line link list local login main make manager master media member menu message method model module month more name network null number object online open option order package page panel parent password path people picture place player plugin point policy post private product profile project public query read record region release remove report request resource result return right root sample save school screen script search section select send server service session setting site size slide source start state static status store string style submit summary support system table target task team template test text that theme thing this thumb time title token tool type under update upload user value version video view visit water week width window with word work world year your".split())
@@ -182,18 +183,39 @@ def base_dictionary() -> Dictionary:
     return Dictionary(DICTIONARY)
 
 
+def _document_words(rows: DataFrame, share: float, known: frozenset[str] | None = None) -> DataFrame:
+    """lang, word, n: how many documents of a task hold each word: of ``known``, or words that ``share`` of the task's documents hold.
+    The number of documents stands beside the word "#"."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str, Counter] = {}
+        for piece in pieces(batches):
+            for lang, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
+                words = set(_PLAIN_WORD.findall(text.lower()))
+                own = found.setdefault(lang, Counter())
+                own.update(words if known is None else words & known)
+                own["#"] += 1
+        kept = [(lang, w, n) for lang, own in found.items() for w, n in own.items() if known is not None or n >= share * own["#"]]
+        columns = zip(*kept, strict=True) if kept else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], names=["lang", "word", "n"])
+
+    return rows.mapInArrow(count, "lang string, word string, n bigint")
+
+
 def learn_dictionary(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", share: float = WORD_SHARE, least: int = WORD_DOCUMENTS) -> Dictionary:
     """DICTIONARY and the words of a to z, four letters or more, that at least ``share`` of a language's documents hold (``least`` of them at
-    the fewest): whole texts, all documents, counts that combine before they move. As a document holds few words, few reach the share."""
+    the fewest): whole texts, all documents, exact counts.
+
+    A word that reaches the share in all documents reaches it in those of some task, so a first pass returns only such words, and a second
+    counts them; the words of a text never move. As a document holds few words, few can reach the share.
+    """
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("")) if lang_col in docs.columns else F.lit("")
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col).cast("string")), F.lit(r"(?<![\p{L}\p{N}])[a-z]{4,24}(?![\p{L}\p{N}])"), F.lit(0)))
-    rows = docs.where(F.col(text_col).isNotNull()).select(lang.alias("_lang"), words.alias("_words"))
-    # the number of documents of a language travels with its words, under a word that no text has
-    counts = rows.select("_lang", F.explode(F.array_append("_words", F.lit("#"))).alias("_word")).groupBy("_lang", "_word").agg(F.count(F.lit(1)).alias("n"))
-    counts = materialize(counts.where((F.col("n") >= least) | (F.col("_word") == "#")), "words")
-    sizes = counts.where("_word = '#'").select("_lang", F.col("n").alias("documents"))
-    kept = counts.where("_word <> '#'").join(sizes, "_lang").where(F.col("n") >= share * F.col("documents")).select("_word").distinct()
-    return Dictionary(DICTIONARY | {r[0] for r in kept.collect()})
+    rows = docs.where(F.col(text_col).isNotNull()).select(lang.alias("lang"), F.col(text_col).cast("string").alias("text"))
+    likely = frozenset(r[0] for r in _document_words(rows, share).select("word").distinct().collect()) - {"#"}
+    counts = materialize(_document_words(rows, share, likely).groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+    sizes = counts.where("word = '#'").select("lang", F.col("n").alias("documents"))
+    kept = counts.where("word <> '#'").join(sizes, "lang").where((F.col("n") >= least) & (F.col("n") >= share * F.col("documents")))
+    return Dictionary(DICTIONARY | {r[0] for r in kept.select("word").distinct().collect()})
 
 
 #: Kinds of findings: label (1 for a secret) and a line in which one candidate is drawn by rule. {hex40}: so many characters; {hex16-64}: a number between.
