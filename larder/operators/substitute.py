@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from larder.functions.text import description_flags
 from larder.operators.matching import least_holding
 from larder.operators.nearest import nearest
+from larder.operators.sketches import quantiles
 from larder.schemas import NUTRIENTS
 
 #: Nutrient and order of preference of each goal of an addition.
@@ -167,17 +168,18 @@ def transform_substitute(recipes: DataFrame, mapping: DataFrame) -> DataFrame:
     return out.withColumn("ingredients", F.when(F.col("_m").isNull(), F.col("ingredients")).otherwise(swap)).drop("_m")
 
 
-def add_candidates(recipe_roles: DataFrame, catalogue: DataFrame, constraints: Constraints) -> DataFrame:
+def add_candidates(recipe_roles: DataFrame, catalogue: DataFrame, constraints: Constraints, exact: bool = True) -> DataFrame:
     """id, ndb_no, descrip, rank: up to five additions for the first active goal.
 
     From catalogue rows beyond the goal's median, the 200 furthest that break no diet and whose
-    role the recipe doesn't have yet ("other" always may). ``recipe_roles``: id, roles (array).
+    role the recipe doesn't have yet ("other" always may). ``recipe_roles``: id, roles (array). ``exact`` false: the median
+    from a sketch (``larder.operators.sketches``), which never holds the distinct values of a large catalogue.
     """
     goal = next((g for g in ADD_GOALS if g in constraints.active), None)
     if goal is None:
         return recipe_roles.select("id", F.lit(None).cast("string").alias("ndb_no"), F.lit(None).cast("string").alias("descrip"), F.lit(None).cast("int").alias("rank")).where("false")
     nutrient, up = ADD_GOALS[goal], goal.startswith("increase")
-    middle = catalogue.agg(F.median(nutrient).alias("_median"))
+    middle = quantiles(catalogue, nutrient, [0.5], exact).select(F.get("quantiles", F.lit(0)).alias("_median"))
     far = catalogue.crossJoin(F.broadcast(middle)).where(F.col(nutrient) > F.col("_median") if up else F.col(nutrient) < F.col("_median"))  # one row
     order = [F.desc(nutrient) if up else F.asc(nutrient), F.asc("ndb_no")]
     pool = far.where("descrip is not null and ndb_no is not null").orderBy(*order).limit(POOL)

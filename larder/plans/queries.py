@@ -11,7 +11,7 @@ from larder.functions import exprs, nutrition, text, vectors
 from larder.operators import filters, ireval, logs, search, segments, sketches, substitute, transform, vector_index
 from larder.operators import nutrition as recipes
 from larder.plans.stand_ins import base, stand_in, with_stand_ins
-from larder.schemas import NUTRIENTS, NUTRITION_ARRAY
+from larder.schemas import MORE_NUTRIENTS, NUTRIENTS, NUTRITION_ARRAY
 from larder.sources import io, tables
 from larder.sources.workdir import materialize, shared_dir
 
@@ -989,6 +989,37 @@ def daily_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windowed_tags(_log(spark, sf_dir)[0], _tags()).select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("day"), "tag", "n")
 
 
+# ---- files and names ----
+
+
+@query("SELECT query, doc_id, relevance FROM judgments", "judgments")
+def judgment_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graded documents from JSON files, one for each query."""
+    out = shared_dir(spark, "judgments")
+    graded = F.map_from_entries(F.collect_list(F.struct(F.col("doc_id").cast("string"), "relevance")))
+    per = stand_in(spark, sf_dir, "judgments").groupBy("query").agg(graded.alias("docs"))
+    per.select(F.col("query").alias("file"), F.to_json(F.create_map("query", "docs")).alias("value")).write.partitionBy("file").text(out)
+    return io.read_json_map(spark, out).select("query", "doc_id", "relevance")
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY item_id, text) - 1 AS BIGINT) AS query_id, text AS query FROM benchmark")
+def query_list_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries in the order of a JSON file that lists them."""
+    out = shared_dir(spark, "list")
+    listed = F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "text"))), lambda x: x["text"]))
+    base(spark, sf_dir, "benchmark").agg(listed.alias("value")).write.text(out)
+    return io.read_query_list(spark, out).select(F.col("query_id").cast("long").alias("query_id"), "query")
+
+
+@query("SELECT p_partkey AS id, p_name AS name FROM part")
+def named_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table by its name in the catalog."""
+    base(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")).createOrReplaceTempView("larder_named_rows")
+    if not io.table_exists(spark, "larder_named_rows"):
+        raise LookupError("larder_named_rows")
+    return io.read_table(spark, "larder_named_rows")
+
+
 # ---- states that merge ------------------------------------------------------------------------
 
 _RANGES = "(SELECT unnest([7, 30, 90]) AS days)"
@@ -1329,14 +1360,15 @@ def macro_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def micro_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from larder.operators import cluster
 
-    return cluster.micro_clusters(stand_in(spark, sf_dir, "ingredients"), NUTRIENTS[7:]).select("ndb_no", "cluster_micro", "dist_micro_centroid", "pca_micro_1", "pca_micro_2")
+    return cluster.micro_clusters(stand_in(spark, sf_dir, "wide_ingredients"), [*NUTRIENTS[7:], *MORE_NUTRIENTS]).select("ndb_no", "cluster_micro", "dist_micro_centroid", "pca_micro_1", "pca_micro_2")
 
 
 @query()
 def total_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from larder.operators import cluster
 
-    return cluster.cluster_profile(cluster.total_clusters(stand_in(spark, sf_dir, "ingredients"), NUTRIENTS), "cluster_total", NUTRIENTS)
+    every = [*NUTRIENTS, *MORE_NUTRIENTS]
+    return cluster.cluster_profile(cluster.total_clusters(stand_in(spark, sf_dir, "wide_ingredients"), every), "cluster_total", every)
 
 
 @query()

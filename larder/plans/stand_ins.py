@@ -11,7 +11,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.schemas import NUTRIENTS
+from larder.schemas import MORE_NUTRIENTS, NUTRIENTS
 
 BASE = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -19,11 +19,14 @@ BASE = "region nation customer supplier part orders lineitem events documents em
 SCALES = [math.sqrt(x) for x in (27, 0.38, 0.1, 0.28, 0.86, 0.17, 0.67, 637, 131, 0.07, 1625, 1.25, 17)]
 _nutrients = ", ".join(f"CASE WHEN (p_partkey + {i}) % 13 = 0 THEN NULL ELSE CAST((p_partkey * {i + 3}) % 97 AS DOUBLE) * {scale} END AS {n}" for i, (n, scale) in enumerate(zip(NUTRIENTS, SCALES, strict=True)))
 
+_more = ", ".join(f"CASE WHEN (p_partkey + {i}) % 11 = 0 THEN NULL ELSE CAST((p_partkey * {2 * i + 5}) % 89 AS DOUBLE) * {0.37 * (i + 1)} END AS {n}" for i, n in enumerate(MORE_NUTRIENTS))
+
 #: name: (tables it reads, SELECT)
 STAND_INS: dict[str, str] = {
     "recipes": "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 11 = 0 THEN 'abc' ELSE CAST((o_orderkey % 7) * 50 AS STRING) END AS serving_size, CAST(o_orderkey % 5 AS STRING) AS servings, o_orderpriority AS name FROM {orders}",
     "quantity": "SELECT l_orderkey AS id, concat('i', CAST(l_partkey AS STRING)) AS ingredients, CASE WHEN l_linenumber % 4 = 0 THEN NULL ELSE l_quantity END AS qty_g FROM {lineitem}",
     "ingredients": f"SELECT CAST(p_partkey AS STRING) AS ndb_no, p_name AS descrip, {_nutrients} FROM {{part}}",
+    "wide_ingredients": f"SELECT CAST(p_partkey AS STRING) AS ndb_no, p_name AS descrip, {_nutrients}, {_more} FROM {{part}}",
     "matching": "SELECT DISTINCT l_orderkey AS recipe_id, concat('i', CAST(l_partkey AS STRING)) AS ingredient, CAST(CASE WHEN c = 0 THEN l_partkey ELSE (l_partkey * 7) % 200 + 1 END AS STRING) AS ndb_no FROM {lineitem} CROSS JOIN (SELECT 0 AS c UNION ALL SELECT 1 AS c) AS two",
     "tagged": "SELECT CAST(p_partkey AS STRING) AS ndb_no, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_partkey % 5 = 0 END AS is_dairy, p_partkey % 4 = 0 AS is_gluten, p_partkey % 9 = 0 AS contains_nuts, CASE WHEN p_partkey % 8 = 0 THEN NULL ELSE p_partkey % 3 <> 0 END AS is_vegetarian, p_partkey % 2 = 0 AS is_vegetable, p_partkey % 17 = 0 AS is_seafood, p_partkey % 6 = 0 AS is_sweetener, p_partkey % 10 = 0 AS is_grain FROM {part}",
     "dishes": "SELECT p_partkey AS id, CASE WHEN p_partkey % 19 = 0 THEN '  ' ELSE p_name END AS name, CAST(p_size - 2 AS BIGINT) AS minutes, split(concat(p_type, ',', p_brand, ',', CASE WHEN p_size % 3 = 0 THEN 'Vegan' WHEN p_size % 3 = 1 THEN 'no meat' ELSE 'x' END, ',', CASE WHEN p_size % 4 = 0 THEN 'meatless' WHEN p_size % 4 = 1 THEN 'ramadan' ELSE 'low-carb' END), ',') AS tags, split(p_name, ' ') AS ingredients, split(concat('Chop ', p_name, ';Mix ', p_type, ';Serve'), ';') AS steps, CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE concat('About ', p_name, ' [\"it''s\"] ,  ', p_brand, ' | Crème!') END AS description, CAST(CASE WHEN p_partkey % 5 = 0 THEN 4 ELSE 3 END AS BIGINT) AS n_steps, CAST(2 AS BIGINT) AS n_ingredients, p_retailprice AS price FROM {part}",

@@ -8,6 +8,8 @@ from pyspark.sql import types as T
 
 #: Nutrients of the per-100 g profile, in table order.
 NUTRIENTS = ("energy_kcal", "protein_g", "saturated_fats_g", "fat_g", "carb_g", "fiber_g", "sugar_g", "sodium_mg", "calcium_mg", "iron_mg", "potassium_mg", "vitc_mg", "magnesium_mg")
+#: The other nutrients of an ingredient.
+MORE_NUTRIENTS = ("phosphorus_mg", "zinc_mg", "copper_mcg", "manganese_mg", "selenium_mcg", "thiamin_mg", "riboflavin_mg", "niacin_mg", "vitb6_mg", "folate_mcg", "vitb12_mcg", "vita_mcg", "vite_mg", "vitd2_mcg")
 #: Order of a recipe's seven-number nutrition array.
 NUTRITION_ARRAY = ("calories", "total_fat", "sugar", "sodium", "protein", "saturated_fat", "carbs")
 
