@@ -2,8 +2,8 @@
 
 The queries go to the tasks as one matrix, as many at a time as ``BLOCK_BYTES`` hold with their k best (tens of
 thousands); a larger set takes a pass for each such block, whose results are written to the shared folder before the next
-block is read. A task compares a few thousand rows at a time and holds k candidates per query, so what is shuffled is
-k rows per query and task.
+block is read. A task compares ``CELLS`` pairs at a time and holds k candidates per query and about as many that wait to be
+sorted in, so its memory depends neither on the rows nor on the number of queries, and what is shuffled is k rows per query and task.
 """
 
 from __future__ import annotations
@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from larder.sources.workdir import materialize
 
 #: Bytes of a block of queries with their candidates.
-BLOCK_BYTES = 64_000_000
-#: Scores computed at once: queries times rows.
-CELLS = 4_000_000
+BLOCK_BYTES = 32_000_000
+#: Scores computed at once, and queries among them at most: a few megabytes, which stay in the cache.
+CELLS, ASKED = 500_000, 2_000
 
 #: (queries, rows) -> score of each pair, the larger the better, NaN for none.
 Score = Callable[[np.ndarray, np.ndarray], np.ndarray]
@@ -51,42 +51,75 @@ def first_k(row: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> np.n
     return order[rank < k]
 
 
+class Best:
+    """The k best rows of each of n queries among those offered so far; candidates wait until there are as many as are held."""
+
+    def __init__(self, n: int, k: int):
+        self.k = k
+        self.floor = np.full(n, np.finfo(float).min)  # what a query's next candidate must reach
+        self.row, self.value, self.doc = np.zeros(0, dtype=np.int64), np.zeros(0), None
+        self.waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.most, self.n_waiting = max(n * k, CELLS // 2), 0
+
+    def offer(self, who: np.ndarray, scores: np.ndarray, ids: np.ndarray, own: np.ndarray | None = None) -> None:
+        """``scores``: queries ``who`` x rows ``ids``, NaN for none; it is written to. ``own``: a row that each query must not find."""
+        scores[np.isnan(scores)] = -np.inf
+        least, k, rows = self.floor[who], self.k + (own is not None), scores.shape[1]
+        hit = scores >= least[:, None]
+        if rows > k and np.count_nonzero(hit) > 2 * k * len(who):  # of these rows alone, only the k best and their ties can stay
+            hit = scores >= np.maximum(least, np.partition(scores, rows - k, axis=1)[:, rows - k])[:, None]
+        q, d = np.nonzero(hit)
+        if own is not None:
+            apart = own[who[q]] != ids[d]
+            q, d = q[apart], d[apart]
+        if len(q):
+            self.waiting.append((who[q], scores[q, d], ids[d]))
+            self.n_waiting += len(q)
+            if self.n_waiting >= self.most:
+                self._sort_in()
+
+    def _sort_in(self) -> None:
+        rows, values, docs = zip(*self.waiting, strict=True)
+        held = [] if self.doc is None else [self.doc]
+        row, value, doc = np.concatenate([self.row, *rows]), np.concatenate([self.value, *values]), np.concatenate([*held, *docs])
+        kept = first_k(row, value, doc, self.k)
+        self.row, self.value, self.doc, self.waiting, self.n_waiting = row[kept], value[kept], doc[kept], [], 0
+        last = np.flatnonzero(np.append(self.row[1:] != self.row[:-1], True))
+        full = np.bincount(self.row, minlength=len(self.floor))[self.row[last]] >= self.k
+        self.floor[self.row[last[full]]] = self.value[last[full]]
+
+    def batch(self, queries: pa.Array, doc_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+        """query_id, doc_id, score of what was kept, if anything."""
+        if self.waiting:
+            self._sort_in()
+        if self.doc is not None:
+            yield pa.RecordBatch.from_arrays([queries.take(pa.array(self.row)), pa.array(self.doc, doc_type), pa.array(self.value)], names=["query_id", "doc_id", "score"])
+
+
+def tiles(n: int, rows: int) -> Iterator[tuple[slice, slice]]:
+    """Queries x rows in parts of about ``CELLS`` pairs."""
+    width = min(n, ASKED)
+    step = max(1, CELLS // max(1, width))
+    for s in range(0, rows, step):
+        for a in range(0, n, ASKED):
+            yield slice(a, a + ASKED), slice(s, s + step)
+
+
 def _best_in_task(corpus: DataFrame, ids: pa.Array, asked: np.ndarray, own: np.ndarray | None, k: int, score: Score) -> DataFrame:
     dim, n = asked.shape[1], len(asked)
     kind = corpus.schema["doc_id"].dataType.simpleString()
     query_kind = {pa.int64(): "bigint", pa.int32(): "int"}.get(ids.type, "string")
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row, value, doc = np.zeros(0, dtype=np.int64), np.zeros(0), None
-        floor = np.full(n, -np.inf)
-        doc_type = None
+        found, doc_type, every = Best(n, k), None, np.arange(n)
         for batch in batches:
             doc_type = batch.column(0).type
-            found, at = matrix(batch.column(1), dim)
-            if not len(found) or not n:
-                continue
+            rows, at = matrix(batch.column(1), dim)
             names = batch.column(0).take(pa.array(at)).to_numpy(zero_copy_only=False)
             names = names.astype(str) if names.dtype == object else names
-            step = max(1, CELLS // n)
-            for s in range(0, len(found), step):
-                here = names[s : s + step]
-                with np.errstate(invalid="ignore"):
-                    scores = score(asked, found[s : s + step])
-                    q, d = np.nonzero(scores >= floor[:, None])
-                if own is not None:
-                    apart = own[q] != here[d]
-                    q, d = q[apart], d[apart]
-                if not len(q):
-                    continue
-                row, value = np.concatenate([row, q]), np.concatenate([value, scores[q, d]])
-                doc = here[d] if doc is None else np.concatenate([doc, here[d]])
-                kept = first_k(row, value, doc, k)
-                row, value, doc = row[kept], value[kept], doc[kept]
-                full = np.bincount(row, minlength=n) >= k
-                last = np.flatnonzero(np.append(row[1:] != row[:-1], True))
-                floor[row[last]] = np.where(full[row[last]], value[last], -np.inf)
-        if doc is not None:
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(doc, doc_type), pa.array(value)], names=["query_id", "doc_id", "score"])
+            for q, d in tiles(n, len(rows)):
+                found.offer(every[q], score(asked[q], rows[d]), names[d], own)
+        yield from found.batch(ids, doc_type)
 
     return corpus.select("doc_id", "v").mapInArrow(best, f"query_id {query_kind}, doc_id {kind}, score double")
 

@@ -17,7 +17,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.operators.nearest import BLOCK_BYTES, cosine_scores, first_k, matrix
+from larder.operators.nearest import BLOCK_BYTES, Best, cosine_scores, matrix, tiles
 from larder.operators.search import ranked, vector_search
 from larder.sources.workdir import materialize
 
@@ -113,7 +113,7 @@ class VectorIndex:
         column = {int(c): i for i, c in enumerate(self.cells)}
 
         def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            row, value, doc, doc_type = np.zeros(0, dtype=np.int64), np.zeros(0), None, None
+            kept, doc_type = Best(len(asked), k), None
             for batch in batches:
                 doc_type = batch.column(0).type
                 found, at = matrix(batch.column(1), asked.shape[1])
@@ -121,18 +121,9 @@ class VectorIndex:
                 ids = ids.astype(str) if ids.dtype == object else ids
                 for c in np.unique(cells):
                     who, here = np.flatnonzero(probed[:, column[int(c)]]), np.flatnonzero(cells == c)
-                    scores = cosine_scores(asked[who], found[here])
-                    q, d = np.nonzero(~np.isnan(scores))
-                    new_row, new_doc, new_value = who[q], ids[here[d]], scores[q, d]
-                    if own is not None:
-                        apart = own[new_row] != new_doc
-                        new_row, new_doc, new_value = new_row[apart], new_doc[apart], new_value[apart]
-                    row, value = np.concatenate([row, new_row]), np.concatenate([value, new_value])
-                    doc = new_doc if doc is None else np.concatenate([doc, new_doc])
-                    kept = first_k(row, value, doc, k)
-                    row, value, doc = row[kept], value[kept], doc[kept]
-            if doc is not None:
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(row)), pa.array(doc, doc_type), pa.array(value)], names=["query_id", "doc_id", "score"])
+                    for q, d in tiles(len(who), len(here)):
+                        kept.offer(who[q], cosine_scores(asked[who[q]], found[here[d]]), ids[here[d]], own)
+            yield from kept.batch(names, doc_type)
 
         return rows.mapInArrow(best, f"query_id {query_kind}, doc_id {kind}, score double")
 
