@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from larder.operators import nearest
+from larder.operators import nearest, search
 
 
 def test_nearest_compares_a_bounded_number_of_pairs_at_once(spark):
@@ -44,3 +46,18 @@ def test_best_keeps_the_first_k_over_many_offers(own):
     for q in range(7):
         valid = [d for d in range(400) if not np.isnan(scores[q, d]) and not (own and d == q)]
         assert best.doc[best.row == q].tolist() == sorted(valid, key=lambda d: (-scores[q, d], d))[:5]
+
+
+def test_bm25_moves_no_pairs_and_takes_any_number_of_queries(spark, monkeypatch):
+    words = [f"w{i:02d}" for i in range(30)]
+    texts = [(i, " ".join(words[(i * j) % 30] for j in range(1, 3 + i % 9))) for i in range(60)]
+    docs = spark.createDataFrame(texts, "doc_id long, body string")
+    queries = spark.createDataFrame([(f"q{i}", t) for i, t in texts[:20]], "query_id string, query string")
+    index = search.bm25_index(docs, "doc_id", {"body": 1})
+    found = search.bm25_search(index, queries, 4)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(query_id" in plan and not re.search(r"hashpartitioning\(query_id#\d+, doc_id", plan)
+    whole = sorted(map(tuple, found.collect()))
+    for name, value in (("QUERY_ENTRIES", 7), ("BAG_ROWS", 5), ("HITS", 3), ("CELLS", 40)):
+        monkeypatch.setattr(search, name, value)
+    assert whole == sorted(map(tuple, search.bm25_search(search.bm25_index(docs, "doc_id", {"body": 1}), queries, 4).collect())) and len(whole) > 60
