@@ -41,10 +41,15 @@ def weigh(ids: pa.ListArray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 def _times(row: np.ndarray, feature: np.ndarray, weight: np.ndarray, matrix: np.ndarray, n: int) -> np.ndarray:
-    """Sparse rows times a matrix, a thousand or so cells at a time."""
+    """Sparse rows times a matrix, a thousand or so cells at a time; cells of one row are summed side by side."""
     out = np.zeros((n, matrix.shape[1]))
+    if len(row) and (row[1:] < row[:-1]).any():
+        order = np.argsort(row, kind="stable")
+        row, feature, weight = row[order], feature[order], weight[order]
     for i in range(0, len(row), 65_536):
-        np.add.at(out, row[i : i + 65_536], weight[i : i + 65_536, None] * matrix[feature[i : i + 65_536]])
+        here = row[i : i + 65_536]
+        start = np.flatnonzero(np.append(True, here[1:] != here[:-1]))
+        out[here[start]] += np.add.reduceat(weight[i : i + 65_536, None] * matrix[feature[i : i + 65_536]], start, axis=0)
     return out
 
 

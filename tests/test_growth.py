@@ -9,7 +9,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from larder.operators import nearest, search
+from larder.operators import ireval, nearest, search
+from larder.plans import queries
+from larder.plans.stand_ins import stand_in
 
 
 def test_nearest_compares_a_bounded_number_of_pairs_at_once(spark):
@@ -61,3 +63,24 @@ def test_bm25_moves_no_pairs_and_takes_any_number_of_queries(spark, monkeypatch)
     for name, value in (("QUERY_ENTRIES", 7), ("BAG_ROWS", 5), ("HITS", 3), ("CELLS", 40)):
         monkeypatch.setattr(search, name, value)
     assert whole == sorted(map(tuple, search.bm25_search(search.bm25_index(docs, "doc_id", {"body": 1}), queries, 4).collect())) and len(whole) > 60
+
+
+def test_metrics_need_no_row_per_judgment(spark):
+    judged = spark.createDataFrame([("a", i, 1.0 if i % 2 else 0.5) for i in range(9)] + [("b", 3, 1.0)], "query string, doc_id long, relevance double")
+    hits = spark.createDataFrame([("a", 1, 1), ("a", 40, 2), ("a", 4, 3), ("b", 5, 1)], "query string, doc_id long, rank int")
+    plain = sorted(map(tuple, ireval.retrieval_metrics(hits, judged, [1, 3]).collect()))
+    once = ireval.retrieval_metrics(hits, judged, [1, 3], unique=True)
+    assert sorted(map(tuple, once.collect())) == plain
+    maxima = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("max(relevance")
+    assert maxima(once) == 1 and maxima(ireval.retrieval_metrics(hits, judged, [1, 3])) == 2  # of what was retrieved, not of all judgments
+    pool = judged.groupBy("query").agg(F.sum("relevance").alias("pool"))
+    known = ireval.retrieval_metrics(hits, judged.where("doc_id in (1, 4)"), [1, 3], pool=pool)
+    assert sorted(map(tuple, known.collect())) == plain
+
+
+def test_judgments_of_one_label_are_dealt_out(spark, tmp_path):
+    rows = spark.createDataFrame([(i, [1.0], 3 if i else 2) for i in range(400)], "vec_id long, embedding array<float>, label int")
+    rows.write.parquet(str(tmp_path / "embeddings.parquet"))
+    found = queries._judgments(spark, str(tmp_path))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, stand_in(spark, str(tmp_path), "judgments").collect()))
+    assert len({r.p for r in found.select(F.spark_partition_id().alias("p")).distinct().collect()}) > 1
