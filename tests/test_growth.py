@@ -10,8 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from larder.operators import ireval, nearest, search
+from larder.operators import nutrition as recipes
 from larder.plans import queries
 from larder.plans.stand_ins import stand_in
+from larder.schemas import NUTRIENTS
 
 
 def test_nearest_compares_a_bounded_number_of_pairs_at_once(spark):
@@ -84,3 +86,21 @@ def test_judgments_of_one_label_are_dealt_out(spark, tmp_path):
     found = queries._judgments(spark, str(tmp_path))
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, stand_in(spark, str(tmp_path), "judgments").collect()))
     assert len({r.p for r in found.select(F.spark_partition_id().alias("p")).distinct().collect()}) > 1
+
+
+def test_shared_lines_move_once_and_matches_without_nutrients(spark):
+    nutrients = spark.createDataFrame([("1", *[float(i) for i in range(13)]), ("2", *[2.0] * 13)], "ndb_no string, " + ", ".join(f"{n} double" for n in NUTRIENTS))
+    known = recipes.ingredient_health(nutrients)
+    quantity = spark.createDataFrame([(1, "a", 10.0), (1, "b", None), (2, "a", 5.0)], "id int, ingredients string, qty_g double")
+    weights = spark.createDataFrame([(1, "100", "1"), (2, "abc", "1")], "id int, serving_size string, servings string")
+    matching = spark.createDataFrame([(1, "a", "1"), (1, "b", "2"), (2, "a", "1")], "recipe_id int, ingredient string, ndb_no string")
+    edited = spark.createDataFrame([("all", 1, ["a", "b"]), ("one", 1, ["b", "b"]), ("all", 2, ["a", "x"])], "variant string, id int, ingredients array<string>")
+    got = recipes.what_if_nutrition(edited, quantity, weights, matching, known)
+    extra = edited.withColumns({"replaced_qty": F.create_map().cast("map<string,double>"), "replaced_ndb": F.create_map().cast("map<string,string>")})
+    rounded = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.select(*got.columns).collect())
+    assert rounded(got) == rounded(recipes.what_if_nutrition(extra, quantity, weights, matching, known))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window [sum" not in plan and "collect_list" in plan
+    whole = recipes.recipe_nutrition_100g(quantity, weights, matching, known)._jdf.queryExecution().optimizedPlan().toString()
+    below = whole[whole.index("row_number") :]
+    assert "energy_kcal" not in below.split("\n")[0] and below.count("Window") >= 1
