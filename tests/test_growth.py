@@ -133,3 +133,17 @@ def test_shared_lines_move_once_and_matches_without_nutrients(spark):
     whole = recipes.recipe_nutrition_100g(quantity, weights, matching, known)._jdf.queryExecution().optimizedPlan().toString()
     below = whole[whole.index("row_number") :]
     assert "energy_kcal" not in below.split("\n")[0] and below.count("Window") >= 1
+
+
+def test_a_candidate_is_weighed_from_sums(spark):
+    facts = spark.createDataFrame([(str(i), *[float(3 * i + j) if (i + j) % 5 else None for j in range(13)]) for i in range(4)], "ndb_no string, " + ", ".join(f"{n} double" for n in NUTRIENTS))
+    rows = [(1, "0", 10.0, 90.0), (1, "1", None, 90.0), (2, "1", 5.0, None), (2, "9", None, None)]
+    lines = spark.createDataFrame(rows, "id int, ndb_no string, qty_g double, total_weight double")
+    values = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.select("id", *NUTRIENTS, "score_sante").collect())
+    cand = recipes.per_gram(facts.where("ndb_no = '3'"), "candidate")
+    swapped = lines.withColumns({"ndb_no": F.when(F.col("ndb_no") == "1", "3").otherwise(F.col("ndb_no")), "variant": F.lit("")})
+    sums = recipes.line_sums(lines, facts, "id", own=F.coalesce(F.col("ndb_no") == "1", F.lit(False)))
+    assert values(recipes.per_100g(sums.crossJoin(cand), "id", of=True)) == values(recipes.nutrition_of_lines(swapped, facts))
+    more = spark.createDataFrame([(1, "3", None, 90.0), (2, "3", None, None)], lines.schema)
+    sums = recipes.line_sums(lines, facts, "id", open_lines=1)
+    assert values(recipes.per_100g(sums.crossJoin(cand), "id", of=True)) == values(recipes.nutrition_of_lines(lines.unionByName(more).withColumn("variant", F.lit("")), facts))
